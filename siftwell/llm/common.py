@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of ``may_hold``'s filter.
+FILTER_BITS = 1 << 23
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,3 +51,23 @@ def ascii_lower(text: Column) -> Column:
 def plain(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash."""
     return df.select(*(df[c] for c in cols))
+
+
+def may_hold(ids: DataFrame, id_col: str):
+    """A function from an id column to a boolean column: false only for ids not in ``ids``.
+
+    The bit filter has a fixed size (1 MiB), whatever the number of ids; once it is crowded it
+    lets more through, which costs work and changes no result, as an exact join follows.
+    """
+    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).toPandas()
+    mask = np.zeros(FILTER_BITS // 64, np.int64)
+    mask[words["w"].to_numpy()] = words["m"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def test(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy()
+        return pd.Series(((shared.value[b >> 6] >> (b & 63)) & 1).astype(bool))
+
+    return lambda column: test(F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS)))

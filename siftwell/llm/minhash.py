@@ -34,14 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import stored
+from siftwell.llm.common import may_hold, stored
 from siftwell.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 CHUNK = 1024
-FILTER_BITS = 1 << 23
 
 _seeds = np.random.default_rng(20240229)
 MULTIPLY = _seeds.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,28 +231,12 @@ def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInPandas(run, "one binary, two binary")
 
 
-def filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over doc_ids; false positives only cost work."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["w"].to_numpy()] = rows["m"].to_numpy()
-    return out
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, shingles: the full sets of the wanted (node, doc_id)."""
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted))
+    held = may_hold(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bit = batch.column(2).to_numpy()
-                hit = (bits.value[bit >> 6] >> (bit & 63)) & 1
-                if hit.any():
-                    yield batch.filter(pa.array(hit.astype(bool)))
-
-        for block in K.blocks(some()):
+        for block in K.blocks(batches):
             values, at = text_sets(block, size)
             spans = [(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -265,8 +248,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "node", "shingles"],
             )
 
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("bit")
-    rebuilt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), bit).mapInArrow(run, "doc_id long, node binary, shingles binary")
+    rebuilt = docs.where(held(docs["doc_id"])).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, shingles binary")
     own = wanted.select(F.col("node").alias("wanted_node"), F.col("doc_id").alias("wanted_id"))
     found = rebuilt.join(own, (F.col("node") == F.col("wanted_node")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))

@@ -4,22 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import minhash, sql_near
+from siftwell.llm import bpe, chat, decontaminate, minhash, sharding, sql_near, substrings, topk
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 40
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat.digest(chat.format_chats(rows.unionByName(extra)))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), {s: 1.0 for s in range(SHARDS)}, {SHARDS: 1.0})
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
+#: Queries without SQL (training, merges, fuzzy alignment, CRC-32) are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.ORACLE,
     "op5_minhash_near_dedup": sql_near.NEAR_DUPLICATES,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_exact_top_k": topk.ORACLE,
 }
