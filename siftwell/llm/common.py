@@ -71,3 +71,15 @@ def may_hold(ids: DataFrame, id_col: str):
         return pd.Series(((shared.value[b >> 6] >> (b & 63)) & 1).astype(bool))
 
     return lambda column: test(F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose key is in ``ids`` (distinct, not null), all columns kept.
+
+    Only rows that the bit filter lets through are shuffled for the exact anti-join.
+    """
+    held = may_hold(ids, id_col)
+    flagged = docs.withColumn("maybe out", F.coalesce(held(docs[key]), F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    checked = flagged.where(F.col("maybe out")).join(ids.select(F.col(id_col).alias("id out")), F.col(key).cast("long") == F.col("id out"), "left_anti")
+    return flagged.where(~F.col("maybe out")).select(*columns).union(checked.select(*columns))

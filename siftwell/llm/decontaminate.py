@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
+from siftwell.llm.common import stored, without_ids
 
 WINDOW = 10
 MOST_WINDOWS = 1_000_000
@@ -135,9 +136,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Documents without any hit, with all their columns."""
-    hit = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """Documents without any hit, with all their columns; rows of one doc_id go together, a null doc_id stays."""
+    hit = scan(docs, benchmark, size).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("hit_id")).distinct()
+    return without_ids(docs, stored(hit, "contaminated"), "hit_id")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import may_hold, stored
+from siftwell.llm.common import may_hold, stored, without_ids
 from siftwell.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -284,3 +284,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the smallest doc_id.
+
+    Rows of one doc_id go together; of rows that repeat a doc_id and its text, one stays. A null
+    doc_id stays.
+    """
+    found = stored(near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-duplicates")
+    left = without_ids(docs, found.where("not kept").select(F.col("doc_id").alias("out_id")), "out_id")
+    repeated = found.where("kept and n > 1").select(F.col("doc_id").alias("out_id"))
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, F.col("doc_id").cast("long") == F.col("out_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_ids(left, repeated, "out_id").union(once)

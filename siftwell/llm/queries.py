@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, chat, decontaminate, minhash, sharding, sql_near, substrings, topk
+from siftwell.llm import bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, sql_near, substrings, topk
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(extra)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -37,6 +46,10 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), {s: 1.0 for s in range(SHARDS)}, {SHARDS: 1.0})
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -51,9 +64,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op7_html_extraction": op7_html_extraction,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_top_k": op10_exact_top_k,
