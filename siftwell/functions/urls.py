@@ -80,11 +80,11 @@ def parse_query(raw: Column) -> Column:
 
     def restricts(p: Column) -> Column:
         pieces = F.split(p, ":", -1)
-        return (F.size(pieces) == 2) & pieces[0].isin(RESTRICTIONS)
+        return (F.size(pieces) == 2) & F.get(pieces, 0).isin(RESTRICTIONS)
 
     def last(name: str) -> Column:
-        found = F.filter(parts, lambda p: restricts(p) & (F.split(p, ":", -1)[0] == name))
-        return F.when(F.size(found) > 0, F.split(F.element_at(found, -1), ":", -1)[1])
+        found = F.filter(parts, lambda p: restricts(p) & (F.get(F.split(p, ":", -1), 0) == name))
+        return F.when(F.size(found) > 0, F.get(F.split(F.get(found, F.size(found) - 1), ":", -1), 1))
 
     return F.struct(F.filter(parts, lambda p: ~restricts(p)).alias("words"), mime_from_filetype(last("filetype")).alias("filetype"), last("filename").alias("filename"), last("searchtype").alias("searchtype"))
 
@@ -94,7 +94,7 @@ def split_prefixed(words: Column) -> Column:
     urls = F.filter(words, lambda w: w.startswith("url:"))
     ids = F.filter(words, lambda w: w.startswith("#"))
     plain = F.filter(words, lambda w: ~w.startswith("url:") & ~w.startswith("#"))
-    return F.struct(plain.alias("words"), F.when(F.size(urls) > 0, F.substring(F.element_at(urls, -1), 5, 1 << 20)).alias("url"), F.when(F.size(ids) > 0, F.substring(F.element_at(ids, -1), 2, 1 << 20)).alias("document_id"))
+    return F.struct(plain.alias("words"), F.when(F.size(urls) > 0, F.substring(F.get(urls, F.size(urls) - 1), 5, 1 << 20)).alias("url"), F.when(F.size(ids) > 0, F.substring(F.get(ids, F.size(ids) - 1), 2, 1 << 20)).alias("document_id"))
 
 
 def publication_date(epoch: Column) -> Column:
@@ -108,7 +108,7 @@ def http_date(value: Column) -> Column:
 
 
 def content_type(value: Column) -> Column:
-    return F.trim(F.split(value, ";", -1)[0])
+    return F.trim(F.get(F.split(value, ";", -1), 0))
 
 
 def state_bit(state: Column) -> Column:
@@ -127,7 +127,7 @@ def in_mask(state: Column, mask: int) -> Column:
 def is_private_ip(ip: Column) -> Column:
     """10/8, 172.16/12 and 192.168/16."""
     part = F.split(ip, r"\.", -1)
-    first, second = part[0].try_cast("int"), part[1].try_cast("int")
+    first, second = F.get(part, 0).try_cast("int"), F.get(part, 1).try_cast("int")
     return F.coalesce((first == 10) | ((first == 172) & second.between(16, 31)) | ((first == 192) & (second == 168)), F.lit(False))
 
 

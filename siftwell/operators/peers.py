@@ -93,7 +93,7 @@ def route_queries(queries: DataFrame, scores: DataFrame, nodes: DataFrame, me: s
 def load_presence_lines(lines: DataFrame) -> DataFrame:
     """ts, event_id, action, args of ``action:p1:p2`` lines."""
     parts = F.split("line", ":", -1)
-    return lines.select("ts", "event_id", parts[0].alias("action"), F.slice(parts, 2, F.size(parts)).alias("args"))
+    return lines.select("ts", "event_id", F.get(parts, 0).alias("action"), F.slice(parts, 2, F.size(parts)).alias("args"))
 
 
 def presence_registry(log: DataFrame, now: Column) -> DataFrame:
@@ -115,5 +115,5 @@ def who_lines(registry: DataFrame) -> DataFrame:
 def read_neighbors(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """ip, port of ``ip port`` lines that no node has yet."""
     parts = F.split(F.trim("line"), r"\s+", -1)
-    seeds = lines.where(F.size(parts) >= 2).select(parts[0].alias("ip"), parts[1].try_cast("int").alias("port")).where("port is not null").distinct()
+    seeds = lines.where(F.size(parts) >= 2).select(F.get(parts, 0).alias("ip"), F.get(parts, 1).try_cast("int").alias("port")).where("port is not null").distinct()
     return seeds.join(nodes.select("ip", "port"), ["ip", "port"], "left_anti")
