@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftwell.llm import kernels as K
 from siftwell.llm.pretokenize import token_starts
 
-CACHE = 200_000
+CACHE = 100_000
 CACHED_BYTES = 64
 
 
@@ -144,8 +144,8 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
                 part = batch.slice(start, 256)
                 column = part.column(part.schema.get_field_index("ids"))
                 bounds = column.offsets.to_numpy().tolist()
-                ids = column.values.to_numpy().tolist()
-                out = [b"".join([pieces[k] for k in ids[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                ids = column.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy().tolist()
+                out = [b"".join([pieces[k] for k in ids[a - bounds[0] : b - bounds[0]]]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     source = encoded.select(*keep, "ids", "offsets")
