@@ -16,6 +16,7 @@ from siftwell.operators import search as S
 from siftwell.operators import usage as G
 from siftwell.plans.fixtures import Tables
 from siftwell.plans.oracle_tables import deviation, norm, sql, tokens
+from siftwell.streaming import jobs, runs
 
 Plan = Callable[[Tables], DataFrame]
 CATALOG: dict[str, tuple[Plan, str | None]] = {}
@@ -233,6 +234,21 @@ add("random_documents", lambda t: P.random_documents(t.documents(), 10, 7))
 add("route_queries", lambda t: P.route_queries(t.queries().select("query_id", "sender"), _SCORES(t), t.nodes(), me(), 7))
 
 
+# Streams over the files of the event table
+def events_stream(t: Tables) -> DataFrame:
+    return runs.table_stream(t.spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("node_id", F.sha1(F.col("user_id").cast("string")))
+
+
+def presence_events(t: Tables) -> DataFrame:
+    rows = events_stream(t).where(F.col("event_type").isin("signup", "error"))
+    return rows.select("ts", "event_id", "node_id", F.when(F.col("event_type") == "signup", "notify").otherwise("logout").alias("action"), F.concat(F.lit("10.0.0."), F.col("user_id") % 256).alias("ip"), (F.col("user_id") % 3 + 6446).cast("int").alias("port"))
+
+
+add("dedupe_queries_stream", lambda t: runs.appended(jobs.dedupe_queries_stream(events_stream(t).where("event_type = 'view'").select(F.concat_ws(":", "node_id", F.get_json_object("props", "$.k")).alias("query_id"), "ts")), "queries"))
+add("presence_stream", lambda t: runs.appended(jobs.presence_stream(presence_events(t)), "presence"))
+add("usage_stats_stream", lambda t: r6(runs.updated(jobs.usage_stats_stream(events_stream(t).where("event_type = 'view'").select("node_id", F.array(F.get_json_object("props", "$.k"), F.col("node_id")).alias("words"))), ["word"], "usage"), "claim_count"), "SELECT word, round(sum(claim), 6) AS claim_count FROM (SELECT unnest([json_extract_string(props, '$.k'), sha1(user_id::VARCHAR)]) AS word, 0.5::DOUBLE AS claim FROM events WHERE event_type = 'view') GROUP BY 1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, (plan, _) in CATALOG.items()}
 
