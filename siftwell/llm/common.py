@@ -5,12 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of ``may_hold``'s filter.
+#: Bits of the filter in ``flagged``.
 FILTER_BITS = 1 << 23
 
 
@@ -53,24 +51,25 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(df[c] for c in cols))
 
 
-def may_hold(ids: DataFrame, id_col: str):
-    """A function from an id column to a boolean column: false only for ids not in ``ids``.
+def flagged(df: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: false only for keys that are not in ``ids`` (or null).
 
-    The bit filter has a fixed size (1 MiB), whatever the number of ids; once it is crowded it
-    lets more through, which costs work and changes no result, as an exact join follows.
+    The bit filter is a table of at most FILTER_BITS / 64 words, whatever the number of ids, so
+    it can be broadcast; once it is crowded it lets more through, which costs work and changes
+    no result, as an exact join follows.
     """
-    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).toPandas()
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    mask[words["w"].to_numpy()] = words["m"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(mask)
 
-    @F.pandas_udf("boolean")
-    def test(bits: pd.Series) -> pd.Series:
-        b = bits.to_numpy()
-        return pd.Series(((shared.value[b >> 6] >> (b & 63)) & 1).astype(bool))
+    def bit(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
 
-    return lambda column: test(F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS)))
+    def word(column: str) -> Column:
+        return F.shiftright(bit(column), 6)
+
+    one = F.expr("shiftleft(1L, cast(`filter bit` % 64 as int))")
+    words = ids.select(word(id_col).alias("filter word"), bit(id_col).alias("filter bit")).groupBy("filter word").agg(F.bit_or(one).alias("filter bits"))
+    joined = df.join(F.broadcast(words), word(key) == F.col("filter word"), "left")
+    hit = F.col("filter bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(key) % 64).cast("int"))) != 0
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)).alias(flag))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, key: str = "doc_id") -> DataFrame:
@@ -78,8 +77,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, key: str = "doc_id
 
     Only rows that the bit filter lets through are shuffled for the exact anti-join.
     """
-    held = may_hold(ids, id_col)
-    flagged = docs.withColumn("maybe out", F.coalesce(held(docs[key]), F.lit(False)))
+    rows = flagged(docs, key, ids, id_col, "maybe out")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    checked = flagged.where(F.col("maybe out")).join(ids.select(F.col(id_col).alias("id out")), F.col(key).cast("long") == F.col("id out"), "left_anti")
-    return flagged.where(~F.col("maybe out")).select(*columns).union(checked.select(*columns))
+    checked = rows.where(F.col("maybe out")).join(ids.select(F.col(id_col).alias("id out")), F.col(key).cast("long") == F.col("id out"), "left_anti")
+    return rows.where(~F.col("maybe out")).select(*columns).union(checked.select(*columns))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import may_hold, stored, without_ids
+from siftwell.llm.common import flagged, stored, without_ids
 from siftwell.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -233,8 +233,6 @@ def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, shingles: the full sets of the wanted (node, doc_id)."""
-    held = may_hold(wanted, "doc_id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in K.blocks(batches):
             values, at = text_sets(block, size)
@@ -248,7 +246,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "node", "shingles"],
             )
 
-    rebuilt = docs.where(held(docs["doc_id"])).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, shingles binary")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rebuilt = flagged(source, "doc_id", wanted, "doc_id", "wanted").where("wanted").drop("wanted").mapInArrow(run, "doc_id long, node binary, shingles binary")
     own = wanted.select(F.col("node").alias("wanted_node"), F.col("doc_id").alias("wanted_id"))
     found = rebuilt.join(own, (F.col("node") == F.col("wanted_node")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))

@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from siftwell.llm import kernels as K
 from siftwell.llm import linear
 from siftwell.llm.common import stored, without_ids
 
-LABELLED, POOL = 6000, 3000
+LABELLED, POOL = 5000, 2000
 WORD_BITS, PAIR_BITS = 17, 12
 #: Lengths in bytes of the word beginnings.
 STEMS = (4, 5)

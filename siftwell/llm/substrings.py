@@ -9,7 +9,7 @@ Plan
    gaps, and a Fenwick tree over anchor positions gives the best predecessor.
 4. Words around each chain are fetched in tiles of ``TILE`` words and aligned: along the
    diagonals of the seeds, with a best break point between two diagonals and a drop-off
-   extension at the ends. Passages of ``min_words`` words and ``identity`` or more are kept.
+   extension at the ends; a gap that costs more than the drop-off parts two passages. Passages of ``min_words`` words and ``identity`` or more are kept.
 
 Words are runs of non-space characters, A-Z lower-cased. The first document of a passage keeps
 it; repeats inside one document are left alone. Null doc_ids are neither matched nor changed;
@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import may_hold, stored
-from siftwell.llm.minhash import runs
+from siftwell.llm.common import flagged, stored
 
 SEED, WINDOW, TILE = 8, 12, 64
 REACH = SEED + WINDOW
@@ -170,9 +169,8 @@ def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     text.append(i), number.append(k), part.append(small[s : min(s + TILE, b)].tobytes())
             yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(text, pa.int64())), pa.array(number, pa.int32()), pa.array(part, pa.binary())], names=["doc_id", "tile", "words"])
 
-    held = may_hold(wanted, "doc_id")
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").where(held(F.col("doc_id")))
-    return source.mapInArrow(run, "doc_id long, tile int, words binary")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return flagged(source, "doc_id", wanted, "doc_id", "wanted").where("wanted").drop("wanted").mapInArrow(run, "doc_id long, tile int, words binary")
 
 
 def extend(equal: np.ndarray) -> int:
@@ -283,10 +281,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8)
 
     Documents without a repeat keep their text byte for byte and are not shuffled.
     """
-    spans = stored(repeats(docs, min_words, identity).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "end_word"))).alias("spans")).withColumnRenamed("doc_id", "hit_id"), "repeats-spans")
-    held = may_hold(spans, "hit_id")
-    flagged = docs.withColumn("maybe hit", F.coalesce(held(docs["doc_id"]), F.lit(False)))
-    touched = flagged.where(F.col("maybe hit")).join(spans, F.col("doc_id").cast("long") == F.col("hit_id"), "left")
+    spans = stored(repeats(docs, min_words, identity).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "end_word"))).alias("hit spans")).withColumnRenamed("doc_id", "hit id"), "repeats-spans")
+    rows = flagged(docs, "doc_id", spans, "hit id", "maybe hit")
+    touched = rows.where(F.col("maybe hit")).join(spans, F.col("doc_id").cast("long") == F.col("hit id"), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -306,6 +303,6 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8)
             out.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
         return pd.Series(out)
 
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans")))
+    text = F.when(F.col("hit spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("hit spans")))
     changed = touched.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
-    return flagged.where(~F.col("maybe hit")).select(*(F.col(f"`{c}`") for c in docs.columns)).union(changed)
+    return rows.where(~F.col("maybe hit")).select(*(F.col(f"`{c}`") for c in docs.columns)).union(changed)
