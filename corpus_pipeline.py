@@ -38,8 +38,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their byte offsets, and a digest of the decoded bytes."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -235,43 +235,56 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
 
 
+ENCODED = "id long, ids array<int>, offsets array<int>"
+
+
+def encoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """id, ids, offsets of batches of (id, text), a block of text at a time."""
+    own = Encoder.of(path)
+    for block in K.blocks(batches):
+        # a UTF-8 byte that does not continue a character begins one
+        first = np.flatnonzero((block.data & 0xC0) != 0x80)
+        points = np.frombuffer(block.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = first[token_starts(points, np.searchsorted(first, block.at))]
+        ids, count = own.encode(block.data, begin, np.append(begin[1:], len(block.data))) if len(begin) else own.encode(block.data, begin, begin)
+        ends = np.append(0, np.cumsum(count))[np.searchsorted(begin, block.at)]  # of each text's ids
+        size = own.lengths[ids]
+        offset = np.cumsum(size) - size - np.repeat(block.at[:-1], np.diff(ends))
+        bounds = pa.array(ends.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(offset.astype(np.int32)))], names=["id", "ids", "offsets"])
+
+
+def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The batches with ``decoded``: the bytes that their ids stand for."""
+    pieces = Encoder.of(path).pieces
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            column = part.column(part.schema.get_field_index("ids"))
+            bounds = column.offsets.to_numpy().tolist()
+            ids = column.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy().tolist()
+            out = [b"".join([pieces[k] for k in ids[a - bounds[0] : b - bounds[0]]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids array<int>, offsets array<int>: a row for each row of ``docs``."""
+    return texts_of(docs, id_col, text_col).mapInArrow(lambda batches: encoded_batches(batches, path), ENCODED).withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of ``encoded`` (any columns beside ``ids``) with ``decoded`` binary."""
+    return encoded.mapInArrow(lambda batches: decoded_batches(batches, path), ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder.of(path)
-        for block in K.blocks(batches):
-            # a UTF-8 byte that does not continue a character begins one
-            first = np.flatnonzero((block.data & 0xC0) != 0x80)
-            points = np.frombuffer(block.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            begin = first[token_starts(points, np.searchsorted(first, block.at))]
-            ids, count = own.encode(block.data, begin, np.append(begin[1:], len(block.data))) if len(begin) else own.encode(block.data, begin, begin)
-            ends = np.append(0, np.cumsum(count))[np.searchsorted(begin, block.at)]  # of each text's ids
-            size = own.lengths[ids]
-            offset = np.cumsum(size) - size - np.repeat(block.at[:-1], np.diff(ends))
-            bounds = pa.array(ends.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(offset.astype(np.int32)))], names=["id", "ids", "offsets"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, ids array<int>, offsets array<int>").withColumnRenamed("id", id_col)
-
-
-def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns (longs) and arrays, and ``decoded`` binary: the bytes that the ids stand for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Encoder.of(path).pieces
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                column = part.column(part.schema.get_field_index("ids"))
-                bounds = column.offsets.to_numpy().tolist()
-                ids = column.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy().tolist()
-                out = [b"".join([pieces[k] for k in ids[a - bounds[0] : b - bounds[0]]]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
-
-    source = encoded.select(*keep, "ids", "offsets")
-    return source.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in source.dtypes) + ", decoded binary")
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: a task holds the ids of one block at a time."""
+    both = texts_of(docs, id_col, text_col).mapInArrow(lambda batches: decoded_batches(encoded_batches(batches, path), path), ENCODED + ", decoded binary")
+    return both.withColumnRenamed("id", id_col)
 
 
 def digest(decoded: DataFrame) -> DataFrame:

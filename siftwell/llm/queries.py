@@ -30,8 +30,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
