@@ -143,12 +143,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """All documents; the bytes of hit spans are cut out of the texts."""
-    spans = scan(docs, benchmark, size).where("n_hit > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("hit_id"), "spans")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["hit_id"]), "left")
-    raw = F.encode("text", "UTF-8")
+    spans = scan(docs, benchmark, size).where("n_hit > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("hit id"), F.col("spans").alias("hit spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["hit id"]), "left")
+    raw = F.encode(docs["text"], "UTF-8")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.unhex(F.lit("")).alias("kept"))
-    cut = F.aggregate("spans", start, lambda acc, s: F.struct(s["end_byte"].alias("at"), F.concat(acc["kept"], F.substring(raw, (acc["at"] + 1).cast("int"), (s["byte"] - acc["at"]).cast("int"))).alias("kept")), lambda acc: F.decode(F.concat(acc["kept"], F.substring(raw, (acc["at"] + 1).cast("int"), F.octet_length("text"))), "UTF-8"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)
+    last = lambda acc: F.decode(F.concat(acc["kept"], F.substring(raw, (acc["at"] + 1).cast("int"), F.octet_length(raw))), "UTF-8")
+    cut = F.aggregate(F.col("hit spans"), start, lambda acc, s: F.struct(s["end_byte"].alias("at"), F.concat(acc["kept"], F.substring(raw, (acc["at"] + 1).cast("int"), (s["byte"] - acc["at"]).cast("int"))).alias("kept")), last)
+    text = F.when(F.col("hit spans").isNull(), docs["text"]).otherwise(cut)
     return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 

@@ -183,30 +183,51 @@ def extend(equal: np.ndarray) -> int:
     return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
 
 
-def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(begin, end, anchor begin, anchor end, equal words) of the alignment of ``a`` and ``b`` through seeds p, q."""
-    left = min(p[0], q[0])
-    back = extend((a[p[0] - left : p[0]] == b[q[0] - left : q[0]])[::-1])
-    begin, abegin = p[0] - back, q[0] - back
-    equal, x, y = 0, begin, abegin  # the alignment so far ends before a[x], b[y], on diagonal x - y
+def gap_equal(a: np.ndarray, b: np.ndarray, x: int, y: int, i: int, j: int) -> int:
+    """Equal words between (x, y) and (i, j), with at most one change of diagonal at its best place."""
+    if i - j == x - y:
+        return int((a[x:i] == b[y:j]).sum())
+    n = min(i - x, j - y)
+    before = np.append(0, np.cumsum(a[x : x + n] == b[y : y + n]))
+    after = np.append(np.cumsum((a[i - n : i] == b[j - n : j])[::-1])[::-1], 0)
+    return int((before + after).max())
+
+
+def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(begin, end, anchor begin, anchor end, equal words) of each passage that ``a`` and ``b`` share along seeds p, q.
+
+    A gap between two seeds that costs more than the drop-off ends a passage and begins another.
+    """
+    out = []
+    begin = abegin = x = y = equal = 0
+
+    def close() -> None:
+        room = min(len(a) - x, len(b) - y)
+        on = extend(a[x : x + room] == b[y : y + room])
+        out.append((begin, x + on, abegin, y + on, equal + int((a[x : x + on] == b[y : y + on]).sum())))
+
+    opened = False
     for i, j in zip(p.tolist(), q.tolist(), strict=True):
-        if i < x or j < y:
+        if opened and (i < x or j < y):
             continue
-        if i - j == x - y:
-            equal += int((a[x:i] == b[y:j]).sum())
-        else:  # one gap: go on along the old diagonal, change over where most words agree
-            n = min(i - x, j - y)
-            before = np.append(0, np.cumsum(a[x : x + n] == b[y : y + n]))
-            after = np.append(np.cumsum((a[i - n : i] == b[j - n : j])[::-1])[::-1], 0)
-            equal += int((before + after).max())
-        x, y = i, j
-        stop = min(SEED, len(a) - x, len(b) - y)
-        equal += int((a[x : x + stop] == b[y : y + stop]).sum())
-        x, y = x + stop, y + stop
-    room = min(len(a) - x, len(b) - y)
-    on = extend(a[x : x + room] == b[y : y + room])
-    equal += int((a[x : x + on] == b[y : y + on]).sum())
-    return begin, x + on, abegin, y + on, equal
+        if opened:
+            inside = gap_equal(a, b, x, y, i, j)
+            if MATCH * inside - MISMATCH * (max(i - x, j - y) - inside) < -DROP:
+                close()
+                opened = False
+            else:
+                equal += inside
+        if not opened:
+            left = min(i, j)
+            back = extend((a[i - left : i] == b[j - left : j])[::-1])
+            begin, abegin, opened = i - back, j - back, True
+            equal = int((a[begin:i] == b[abegin:j]).sum())
+        stop = min(SEED, len(a) - i, len(b) - j)
+        equal += int((a[i : i + stop] == b[j : j + stop]).sum())
+        x, y = i + stop, j + stop
+    if opened:
+        close()
+    return out
 
 
 def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
@@ -231,8 +252,9 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
             ok = (p + SEED <= len(a)) & (q + SEED <= len(b))
             if not ok.any():
                 return
-            begin, end, abegin, aend, equal = align(a, b, p[ok], q[ok])
-            if end - begin >= min_words and equal >= identity * max(end - begin, aend - abegin):
+            for begin, end, abegin, aend, equal in align(a, b, p[ok], q[ok]):
+                if end - begin < min_words or equal < identity * max(end - begin, aend - abegin):
+                    continue
                 out.append((head.doc_id, head.anchor_id, begin + a0, end + a0, abegin + b0, aend + b0, equal))
 
         names = ["doc_id", "anchor_id", "word", "end_word", "anchor_word", "anchor_end_word", "equal_words"]
