@@ -1,15 +1,22 @@
-"""Repeated passages across documents: shared seeds, collinear chains, alignment.
+"""Repeated passages across documents: shared seeds, collinear chains, alignment, exact windows.
 
 Plan
-1. Seeds are window minimisers over hashes of ``SEED`` words: every run of
+1. Seeds are runs of ``SEED`` words: one in ``RATE`` by its hash alone, so that changed words nearby
+   do not matter, and the least of each window of ``WINDOW`` runs, so that every run of
    ``SEED + WINDOW - 1`` shared words shares a seed.
 2. A seed's anchor is its first occurrence (smallest doc_id, then position). Every occurrence in
    another document is matched to the anchor, so matches grow with the text, not with its square.
+   A sketch of the ``SIDE`` words before and after a seed tells chance matches of a lone seed.
 3. The matches of a pair of documents are chained in order: a chain gains words and pays for
    gaps, and a Fenwick tree over anchor positions gives the best predecessor.
 4. Words around each chain are fetched in tiles of ``TILE`` words and aligned: along the
    diagonals of the seeds, with a best break point between two diagonals and a drop-off
-   extension at the ends; a gap that costs more than the drop-off parts two passages. Passages of ``min_words`` words and ``identity`` or more are kept.
+   extension at the ends; a gap that costs more than the drop-off parts two passages; ends move out
+   to ``min_words`` where the identity allows it. Passages of ``min_words`` words and ``identity`` or more are kept.
+5. Exact repeats do not rest on anchors: where seeds repeat, every window of ``min_words`` words is
+   matched by its hash to the first document that holds all of it (its nth occurrence to the nth
+   there), and what step 4 has not covered is returned as well. From ``SEED + WINDOW - 1`` words
+   on, every exact repeat of ``min_words`` words lies in a returned passage.
 
 Words are runs of non-space characters, A-Z lower-cased. The first document of a passage keeps
 it; repeats inside one document are left alone. Null doc_ids are neither matched nor changed;
@@ -24,15 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
 from siftwell.llm.common import flagged, stored
 
-SEED, WINDOW, TILE = 8, 12, 64
-REACH = SEED + WINDOW
-GAP_COST = 0.25
+SEED, WINDOW, RATE, TILE = 4, 12, 4, 64
+#: Words sketched on each side of a seed, how many must agree on one side, and the span from which a chain needs no sketch.
+SIDE, AGREE, SURE = 16, 10, 16
+GAP_COST = 0.1
 MATCH, MISMATCH, DROP = 1, 3, 12
 
 
@@ -52,8 +60,26 @@ def minimisers(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.unique(best[whole | begins])
 
 
+def sketches(found: K.Words, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Two bits of each of the ``SIDE`` words before and after each seed, nearest first."""
+    codes, out = found.hashes >> np.uint64(62), np.zeros(len(begin), np.uint64)
+    for k in range(SIDE):
+        for at, shift in ((begin - 1 - k, 2 * k), (begin + SEED + k, 2 * (SIDE + k))):
+            inside = (at >= found.at[text]) & (at < found.at[text + 1])
+            out |= np.where(inside, codes[np.where(inside, at, 0)], np.uint64(0)) << np.uint64(shift)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether at least ``AGREE`` words of one side agree in two sketches."""
+    other = a ^ b
+    same = ~(other | (other >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    half = np.uint64((1 << 2 * SIDE) - 1)
+    return np.maximum(np.bitwise_count(same & half), np.bitwise_count(same >> np.uint64(2 * SIDE))) >= AGREE
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, seed, pos: the chosen seeds of every document."""
+    """doc_id, seed, pos, sketch: the chosen seeds of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in K.blocks(batches):
@@ -62,14 +88,53 @@ def seeds(docs: DataFrame) -> DataFrame:
             text = np.searchsorted(found.at, begin, "right") - 1
             begin, text = (x[begin + SEED <= found.at[text + 1]] for x in (begin, text))
             hashes = K.span_hashes(found.hashes, begin, begin + SEED)
-            at = minimisers(hashes, text)
+            chosen = hashes < np.uint64((1 << 64) // RATE)
+            chosen[minimisers(hashes, text)] = True
+            at = np.flatnonzero(chosen)
             yield pa.RecordBatch.from_arrays(
-                [block.batch.column(0).take(pa.array(text[at])), pa.array(hashes[at].view(np.int64)), pa.array((begin[at] - found.at[text[at]]).astype(np.int32))],
-                names=["doc_id", "seed", "pos"],
+                [
+                    block.batch.column(0).take(pa.array(text[at])),
+                    pa.array(hashes[at].view(np.int64)),
+                    pa.array((begin[at] - found.at[text[at]]).astype(np.int32)),
+                    pa.array(sketches(found, begin[at], text[at]).view(np.int64)),
+                ],
+                names=["doc_id", "seed", "pos", "sketch"],
             )
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, seed long, pos int")
+    return source.mapInArrow(run, "doc_id long, seed long, pos int, sketch long")
+
+
+def anchored(found: DataFrame, parts: int) -> DataFrame:
+    """doc_id, anchor_id, pos, anchor_pos, near: every occurrence of the seeds of two or more documents.
+
+    Rows come sorted by seed, so a task holds a batch and one document's occurrences of one seed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # rows of the last seed while it has one document, else its anchor (done)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            doc, seed, pos, sketch = rows
+            begin = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+            end = np.append(begin[1:], len(seed))
+            several = doc[begin] != doc[end - 1]
+            first, shown = np.repeat(begin, end - begin), np.repeat(several, end - begin)
+            shown[:done] = False
+            here = np.flatnonzero(shown)
+            at = first[here]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, (doc[here], doc[at], pos[here], pos[at], alike(sketch[here].view(np.uint64), sketch[at].view(np.uint64))))],
+                names=["doc_id", "anchor_id", "pos", "anchor_pos", "near"],
+            )
+            last, done = begin[-1], int(several[-1])
+            held = [x[last : last + 1] if done else x[last:] for x in rows]
+
+    found = found.repartition(parts, "seed").sortWithinPartitions("seed", "doc_id", "pos")
+    return found.mapInArrow(run, "doc_id long, anchor_id long, pos int, anchor_pos int, near boolean")
 
 
 def chain(pos: list[int], anchor: list[int]) -> list[list[int]]:
@@ -136,16 +201,22 @@ def chains(matches: DataFrame, min_words: int) -> DataFrame:
                 yield pd.concat(kept)
 
         for frame in groups():
-            doc, other, pos, apos = (frame[c].to_numpy() for c in ("doc_id", "anchor_id", "pos", "anchor_pos"))
+            doc, other, pos, apos, near = (frame[c].to_numpy() for c in ("doc_id", "anchor_id", "pos", "anchor_pos", "near"))
+            near = near.astype(bool) | (min_words < 2 * SIDE + SEED)  # a short passage may fill neither side
             new = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]))
             begin = np.flatnonzero(new)
             out: dict[str, list] = {"doc_id": [], "anchor_id": [], "pos": [], "anchor_pos": []}
             for s, e in zip(begin, np.append(begin[1:], len(doc)), strict=True):
-                if pos[e - 1] - pos[s] + 2 * REACH + SEED < min_words:
+                if not near[s:e].any() and pos[e - 1] - pos[s] < SURE:
                     continue
-                p, q = pos[s:e].tolist(), apos[s:e].tolist()
-                for path in chain(p, q):
-                    if p[path[-1]] - p[path[0]] + 2 * REACH + SEED >= min_words:
+                p, q, good = pos[s:e].tolist(), apos[s:e].tolist(), near[s:e]
+                last: dict[int, int] = {}
+                for path in sorted(chain(p, q)):
+                    lone, at = len(path) == 1, q[path[0]]
+                    again = lone and p[path[0]] - last.get(at, -TILE) <= SIDE  # a short line over and over: step 5
+                    if lone:
+                        last[at] = p[path[0]]
+                    if not again and (good[path].any() or p[path[-1]] - p[path[0]] >= SURE):
                         out["doc_id"].append(doc[s])
                         out["anchor_id"].append(other[s])
                         out["pos"].append([p[m] for m in path])
@@ -230,6 +301,24 @@ def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tu
     return out
 
 
+def widened(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int, int], min_words: int, identity: float) -> tuple[int, int, int, int, int]:
+    """A passage that its best score ends too early for ``min_words``, with its ends moved out if it keeps the identity so."""
+    begin, end, abegin, aend, equal = span
+    need = min_words - (end - begin)
+    if need <= 0:
+        return span
+    left, right = min(begin, abegin, need + SEED), min(len(a) - end, len(b) - aend, need + SEED)
+    ahead, behind = (a[begin - left : begin] == b[abegin - left : abegin])[::-1], a[end : end + right] == b[aend : aend + right]
+    before, after = np.append(0, np.cumsum(ahead)), np.append(0, np.cumsum(behind))
+    words = np.add.outer(np.arange(left + 1), np.arange(right + 1))
+    spare = np.add.outer(before, after) - identity * words
+    spare[(words < need) | ~np.logical_and.outer(np.append(True, ahead), np.append(True, behind))] = -np.inf  # a passage ends on shared words
+    i, j = np.unravel_index(int(np.argmax(spare)), spare.shape)
+    if equal + spare[i, j] < identity * max(end - begin, aend - abegin) - 1e-9:
+        return span
+    return begin - int(i), end + int(j), abegin - int(i), aend + int(j), equal + int(before[i] + after[j])
+
+
 def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
     """Align each chain; ``parts`` holds its tiles in order of (chain, side, tile)."""
 
@@ -252,8 +341,9 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
             ok = (p + SEED <= len(a)) & (q + SEED <= len(b))
             if not ok.any():
                 return
-            for begin, end, abegin, aend, equal in align(a, b, p[ok], q[ok]):
-                if end - begin < min_words or equal < identity * max(end - begin, aend - abegin):
+            for span in align(a, b, p[ok], q[ok]):
+                begin, end, abegin, aend, equal = widened(a, b, span, min_words, identity)
+                if end - begin < min_words or equal < identity * max(end - begin, aend - abegin) - 1e-9:
                     continue
                 out.append((head.doc_id, head.anchor_id, begin + a0, end + a0, abegin + b0, aend + b0, equal))
 
@@ -274,28 +364,115 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
     return parts.mapInPandas(run, "doc_id long, anchor_id long, word long, end_word long, anchor_word long, anchor_end_word long, equal_words long")
 
 
+def candidates(known: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, low array, high array, own array: word ranges where all shared windows of ``min_words`` words lie.
+
+    A shared window holds a repeated seed in every ``WINDOW`` runs. ``own`` are the positions of
+    seeds that no earlier document has, so no window around them is a repeat.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    spots = known.groupBy("doc_id", "pos").agg(F.max(F.col("anchor_id") == F.col("doc_id")).alias("is_own"))
+    apart = spots.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(order) > WINDOW, F.lit(True)).cast("int"))
+    runs = apart.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.collect_list(F.when(F.col("is_own"), F.col("pos"))).alias("own"))
+    runs = runs.where(F.col("b") - F.col("a") >= max(0, min_words - SEED - 2 * (WINDOW - 1)))
+    low, high = F.greatest(F.lit(0), F.col("a") - (WINDOW - 1)), F.col("b") + SEED + WINDOW - 1
+    each = F.sort_array(F.collect_list(F.struct(low.alias("low"), high.alias("high"))))
+    return runs.groupBy("doc_id").agg(each.alias("r"), F.sort_array(F.flatten(F.collect_list("own"))).alias("own")).select("doc_id", "r.low", "r.high", "own")
+
+
+def windows(parts: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, pos, hash, nth, open: the windows of each document's ranges; ``parts`` holds tiles in order of (of, tile).
+
+    ``nth`` counts equal windows of a document; a window is open if it may repeat an earlier
+    document and lies in none of the ``spans`` found so far.
+    """
+
+    def of_document(rows: list) -> pd.DataFrame | None:
+        words: dict[int, bytes] = {}
+        for r in rows:  # a repeated row gives a tile twice
+            words.setdefault(r.tile, r.words)
+        head, at, hashes = rows[0], [], []
+        for low, high in zip(head.low, head.high, strict=True):
+            tile, run = low // TILE, []
+            while tile in words and tile * TILE < high:
+                run.append(words[tile])
+                tile += 1
+            values = np.frombuffer(b"".join(run), np.uint32)[low % TILE :][: high - low]
+            begin = np.arange(max(0, len(values) - min_words + 1))
+            at.append(begin + low), hashes.append(K.span_hashes(values, begin, begin + min_words))
+        at, hashes = np.concatenate(at), np.concatenate(hashes)
+        if not len(at):
+            return None
+        at, where = np.unique(at, return_index=True)  # ranges may overlap
+        hashes = hashes[where]
+        order = np.argsort(hashes, kind="stable")
+        new = np.append(True, hashes[order][1:] != hashes[order][:-1])
+        nth = np.empty(len(at), np.int32)
+        nth[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        own = np.asarray(head.own, np.int64)
+        free = np.searchsorted(own, at) == np.searchsorted(own, at + min_words - SEED, "right")
+        for span in [] if head.spans is None else head.spans:
+            free[np.searchsorted(at, span["word"]) : np.searchsorted(at, span["end_word"] - min_words, "right")] = False
+        return pd.DataFrame({"doc_id": head.of, "pos": at, "hash": hashes.view(np.int64), "nth": nth, "open": free})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if rows and rows[0].of != r.of:
+                    if (out := of_document(rows)) is not None:
+                        yield out
+                    rows = []
+                rows.append(r)
+        if rows and (out := of_document(rows)) is not None:
+            yield out
+
+    return parts.mapInPandas(run, "doc_id long, pos int, hash long, nth int, open boolean")
+
+
+def exact(ranges: DataFrame, similar: DataFrame, words: DataFrame, parts: int, min_words: int) -> DataFrame:
+    """The exact repeats of ``min_words`` words that ``similar`` leaves open, in its columns."""
+    tile = F.explode(F.sequence(F.floor(F.col("low") / TILE).cast("int"), F.floor(F.col("high") / TILE).cast("int")))
+    needed = ranges.select(F.col("doc_id").alias("of"), F.explode(F.arrays_zip("low", "high")).alias("r")).select("of", "r.low", "r.high").select("of", tile.alias("tile")).distinct()
+    spans = similar.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("word", "end_word")).alias("spans"))
+    held = ranges.withColumnRenamed("doc_id", "of").join(spans, "of", "left")
+    pieces = needed.join(words, ["of", "tile"]).join(held, "of").repartition(parts, "of").sortWithinPartitions("of", "tile")
+    found = stored(windows(pieces, min_words), "repeats-windows")
+    left = found.where("open").select("doc_id", "pos", "hash", "nth")
+    # only windows that may equal an open one are grouped; the first of each (hash, nth) is made before the join
+    first = flagged(found, "hash", left, "hash", "asked").where("asked").groupBy("hash", "nth").agg(F.min(F.struct("doc_id", "pos")).alias("a"))
+    same = left.join(first, ["hash", "nth"]).join(first.where("nth = 0").select("hash", F.col("a").alias("z")), "hash")
+    a = F.when(F.col("a.doc_id") != F.col("doc_id"), F.col("a")).otherwise(F.col("z"))
+    links = same.select("doc_id", F.col("pos").alias("word"), a.alias("a")).where("a.doc_id != doc_id").select("doc_id", F.col("a.doc_id").alias("anchor_id"), F.col("word").cast("long"), F.col("a.pos").cast("long").alias("anchor_word"))
+    order = Window.partitionBy("doc_id", "anchor_id", "diagonal").orderBy("word")
+    links = links.distinct().withColumn("diagonal", F.col("anchor_word") - F.col("word"))
+    runs = links.withColumn("run", F.col("word") - F.row_number().over(order)).groupBy("doc_id", "anchor_id", "diagonal", "run").agg(F.min("word").alias("word"), F.max("word").alias("last"))
+    end = F.col("last") + min_words
+    return runs.select("doc_id", "anchor_id", "word", end.alias("end_word"), (F.col("word") + F.col("diagonal")).alias("anchor_word"), (end + F.col("diagonal")).alias("anchor_end_word"), (end - F.col("word")).alias("equal_words"))
+
+
 def repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """doc_id, anchor_id, word, end_word, anchor_word, anchor_end_word, equal_words: repeated passages."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = seeds(docs)
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id != last")
-    anchors = first.select("seed", F.col("a.doc_id").alias("anchor_id"), F.col("a.pos").alias("anchor_pos"))
-    matches = found.join(anchors, "seed").where("doc_id != anchor_id").select("doc_id", "anchor_id", "pos", "anchor_pos")
+    known = stored(anchored(seeds(docs), parts), "repeats-seeds")
+    matches = known.where("doc_id != anchor_id")
     matches = matches.repartition(parts, "doc_id", "anchor_id").sortWithinPartitions("doc_id", "anchor_id", "pos", "anchor_pos")
     found_chains = chains(matches, min_words).withColumn("chain", F.concat_ws(":", "doc_id", "anchor_id", F.element_at("pos", 1), F.element_at("anchor_pos", 1)))
     found_chains = stored(found_chains, "repeats-chains")
 
     def span(column: str):
-        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.element_at(column, 1) - 2 * REACH) / TILE)).cast("int"), F.floor((F.element_at(column, -1) + 2 * REACH + SEED) / TILE).cast("int")))
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.element_at(column, 1) - min_words) / TILE)).cast("int"), F.floor((F.element_at(column, -1) + min_words + SEED) / TILE).cast("int")))
 
     here = found_chains.select("chain", F.lit(0).alias("side"), F.col("doc_id").alias("of"), span("pos").alias("tile"))
     there = found_chains.select("chain", F.lit(1).alias("side"), F.col("anchor_id").alias("of"), span("anchor_pos").alias("tile"))
     needed = here.union(there)
-    wanted = found_chains.select("doc_id").union(found_chains.select(F.col("anchor_id").alias("doc_id"))).distinct()
+    ranges = stored(candidates(known, min_words), "repeats-ranges")
+    wanted = found_chains.select("doc_id").union(found_chains.select(F.col("anchor_id").alias("doc_id"))).union(ranges.select("doc_id")).distinct()
     words = tiles(docs, wanted).select(F.col("doc_id").alias("of"), "tile", "words")
     pieces = needed.join(words, ["of", "tile"]).select("chain", "side", "tile", "words")
     joined = pieces.join(found_chains, "chain").repartition(parts, "chain").sortWithinPartitions("chain", "side", "tile")
-    return aligned(joined, min_words, identity)
+    similar = stored(aligned(joined, min_words, identity).distinct(), "repeats-aligned")
+    return similar.union(exact(ranges, similar, words, parts, min_words))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:

@@ -423,6 +423,21 @@ def test_exact_copies_by_brute_force(spark):
     assert sum(len(got[i] - want[i]) for i in words) < 0.05 * sum(len(g) for g in got.values())
 
 
+def covered(found, doc):
+    return {j for x in found if x["doc_id"] == doc for j in range(x["word"], x["end_word"])}
+
+
+def test_exact_copies_behind_other_anchors(spark):
+    """A passage whose seeds first occur in two earlier documents, neither of which holds all of it."""
+    r = random.Random(21)
+    w = prose(60, r).split()
+    texts = [prose(40, r), " ".join(w[:35]) + " " + prose(30, r), prose(30, r) + " " + " ".join(w[25:]), prose(20, r) + " " + " ".join(w) + " " + prose(9, r), prose(5, r) + " " + " ".join(w) + " " + prose(30, r)]
+    found = substrings.repeats(docs_of(spark, list(enumerate(texts)))).collect()
+    assert {(x["doc_id"], x["anchor_id"]) for x in found} == {(4, 3)} and covered(found, 4) >= set(range(5, 65))
+    cut = {x["doc_id"]: x["text"].split() for x in substrings.remove_repeats(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert cut[3] == texts[3].split() and cut[4] == texts[4].split()[:5] + texts[4].split()[65:]
+
+
 def test_repeats_of_empty_tables(spark):
     empty = docs_of(spark, HARD).limit(0)
     assert substrings.repeats(empty).count() == 0 and substrings.remove_repeats(empty).count() == 0
