@@ -438,6 +438,30 @@ def test_exact_copies_behind_other_anchors(spark):
     assert cut[3] == texts[3].split() and cut[4] == texts[4].split()[:5] + texts[4].split()[65:]
 
 
+def changed(words, r, share=None, every=None):
+    return [f"z{r.randrange(10**6)}" if (k % every == every - 1 if every else r.random() < share) else w for k, w in enumerate(words)]
+
+
+def test_recall_at_the_stated_identity(spark):
+    """Passages of 60 words with changed words; brute force counts those that keep the identity."""
+    r = random.Random(23)
+    kinds = [("every", 5), ("every", 8), ("every", 10), ("share", 0.1), ("share", 0.15)]
+    texts, pairs = [], []
+    for kind, much in kinds:
+        for _ in range(60):
+            w = prose(60, r).split()
+            edited = changed(w, r, **{kind: much})
+            texts.append(prose(30, r) + " " + " ".join(w) + " " + prose(30, r))
+            texts.append(prose(20, r) + " " + " ".join(edited) + " " + prose(30, r))
+            if any(sum(x == y for x, y in zip(w[k : k + n], edited[k : k + n], strict=True)) >= 0.8 * n for n in range(50, 61) for k in range(61 - n)):
+                pairs.append((kind, much, len(texts) - 1))
+    got = {(x["doc_id"], x["anchor_id"]) for x in substrings.repeats(docs_of(spark, list(enumerate(texts)))).collect()}
+    recall = {k: sum((i, i - 1) in got for a, b, i in pairs if (a, b) == k) / sum((a, b) == k for a, b, _ in pairs) for k in kinds}
+    print(recall)
+    assert got <= {(i, i - 1) for i in range(1, len(texts), 2)}
+    assert all(recall[k] >= 0.95 for k in kinds if k != ("every", 5)) and recall[("every", 5)] >= 0.8
+
+
 def test_repeats_of_empty_tables(spark):
     empty = docs_of(spark, HARD).limit(0)
     assert substrings.repeats(empty).count() == 0 and substrings.remove_repeats(empty).count() == 0
