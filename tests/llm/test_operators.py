@@ -438,6 +438,20 @@ def test_exact_copies_behind_other_anchors(spark):
     assert cut[3] == texts[3].split() and cut[4] == texts[4].split()[:5] + texts[4].split()[65:]
 
 
+def test_lines_repeated_over_and_over(spark):
+    r = random.Random(22)
+    texts, at = [], {}
+    for k, period in enumerate((1, 2, 3, 5, 6, 10, 12, 20)):
+        line = prose(period, r)
+        for times in (70 // period + 1, 140 // period + 1):
+            before = r.randint(5, 40)
+            at[len(texts)] = (before, before + times * period, times == 140 // period + 1)
+            texts.append(prose(before, r) + " " + " ".join([line] * times) + " " + prose(12, r))
+    found = substrings.repeats(docs_of(spark, list(enumerate(texts)))).collect()
+    for i, (a, b, again) in at.items():
+        assert covered(found, i) >= set(range(a, b)) if again else not covered(found, i)
+
+
 def changed(words, r, share=None, every=None):
     return [f"z{r.randrange(10**6)}" if (k % every == every - 1 if every else r.random() < share) else w for k, w in enumerate(words)]
 
