@@ -28,6 +28,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set("head script style template noscript title meta link base iframe object svg math canvas audio video datalist noembed noframes".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
+#: What leaves an open head open; other tags and text end it.
+HEAD_PARTS = set("title meta link base style script noscript template".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure article section".split())
 #: An opening tag closes these when they are open inside the given scope.
 CLOSES = {
@@ -85,14 +87,27 @@ def tree(page: str) -> Node:
                 del stack[lowest:]
                 return
 
+    def leave_head() -> None:
+        """The implied end of head, unless a template or noscript in it is open."""
+        for depth in range(1, min(len(stack), 4)):
+            if stack[depth].name == "head":
+                if stack[-1].name not in ("template", "noscript"):
+                    del stack[depth:]
+                return
+
+    def text(value: str) -> None:
+        if value.strip(" \t\n\f\r"):
+            leave_head()
+        stack[-1].children.append(html.unescape(value))
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            text(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -107,12 +122,12 @@ def tree(page: str) -> Node:
                 if stack[depth].name in SCOPE and name not in SCOPE and name not in ("tr", "tbody", "thead", "tfoot", "body"):
                     break
             continue
+        if name not in HEAD_PARTS:
+            leave_head()
         if name in CLOSES_P:
             close({"p"}, SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        elif name in BLOCK and len(stack) > 1 and stack[-1].name == "head":
-            del stack[-1:]
         node = Node(name, attributes(m["attrs"]) if m["attrs"] else {})
         stack[-1].children.append(node)
         if name in RAW:

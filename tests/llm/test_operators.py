@@ -312,6 +312,19 @@ def test_html_rendering(page, text):
     assert html_text.extract(page)[1].strip("\n") == text.strip("\n")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title>Hello <a href=x>Home</a><p>x", "Hello Home\n\nx"),
+        ("<head><title>t</title><span>Intro<p>All the page", "Intro\n\nAll the page"),
+        ("<html><head> <meta name=a> <img alt=pic><b>b</b>", "picb"),
+        ("<head><noscript>off</noscript><template>no</template><style>p{}</style> </head>b", "b"),
+    ],
+)
+def test_html_unclosed_head(page, text):
+    assert html_text.extract(page)[1].split() == text.split()
+
+
 def test_html_edges(spark):
     pages = ["<li>" * 5000 + "deep", "<div>" * 5000 + "deep", "<table>" * 300 + "<td>deep", "<", "<a", "<!--", "<script>", None, "", "x" * 300_000, "<p " + "a" * 1000 + ">deep"]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "1 AS id", "2 AS text", "3 AS title")
