@@ -108,8 +108,15 @@ add("link_edges", link_edges)
 add("decode_text", lambda t: t.given("pages").select("page_id", H.decode_text(F.encode("html", "UTF-8"), F.lit("page.html")).alias("d")).select("page_id", "d.encoding", F.sha1("d.text").alias("text_sha1"), "d.error"))
 add("make_abstract", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").where("rank <= 15").select("query_id", "db_document_id", H.make_abstract("text", "words").alias("abstract")))
 add("answer_payload", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").select("query_id", "document_id", T.untag_text(H.make_abstract("text", "words")).alias("abstract"), U.public_url(F.col("url")).alias("url")))
-add("excerpt_at", lambda t: t.postings().where("word = 'the'").join(t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("n")), "db_document_id").select("db_document_id", "word", H.excerpt_at("n", "position").alias("excerpt")))
-add("merge_excerpts", lambda t: t.postings().where(F.col("word").isin("the", "of", "that")).groupBy("db_document_id").agg(F.sort_array(F.collect_list(F.struct("position", "word"))).alias("s")).join(t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("n")), "db_document_id").select("db_document_id", H.merge_excerpts("n", "s.word", "s.position").alias("excerpt")))
+def scored_words(t: Tables) -> DataFrame:
+    """query_id, db_document_id, word, position, n: the query words of every hit and the document's text."""
+    texts = t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("n"))
+    own = t.hits().select("query_id", "db_document_id").join(S.query_words(t.queries()).select("query_id", "word"), "query_id")
+    return own.join(t.postings().select("db_document_id", "word", "position"), ["db_document_id", "word"]).join(texts, "db_document_id")
+
+
+add("excerpt_at", lambda t: scored_words(t).select("query_id", "db_document_id", "word", H.excerpt_at("n", "position").alias("excerpt")))
+add("merge_excerpts", lambda t: scored_words(t).groupBy("query_id", "db_document_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("position", "word"))).alias("s")).select("query_id", "db_document_id", H.merge_excerpts("n", "s.word", "s.position").alias("excerpt")))
 
 # Sources
 add("read_tables", lambda t: I.select_where(t.given("documents"), lang="en", source="src1").select("doc_id", "lang", "source"), "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'")

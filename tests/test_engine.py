@@ -242,3 +242,21 @@ def test_foreach_batch_jobs(spark, tmp_path):
     q = jobs.flush_spool_batch(stream_of(spark, tmp_path, hits, "h"), str(tmp_path / "sent"), 3).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["document_id"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()} == {"d8", "d7", "d6"}
+
+
+def test_excerpts_of_every_scored_word(spark):
+    from siftwell.functions import helpers
+    from siftwell.plans import catalog
+
+    texts = {1: "old red fox runs", 2: "fox and owl " * 20 + "red end"}
+
+    class Given:
+        documents = staticmethod(lambda: spark.createDataFrame([(i, t, "") for i, t in texts.items()], "db_document_id long, title string, text string"))
+        hits = staticmethod(lambda: spark.createDataFrame([(7, 1), (7, 2), (8, 2)], "query_id long, db_document_id long"))
+        queries = staticmethod(lambda: spark.createDataFrame([(7, ["red", "fox"]), (8, ["owl"])], "query_id long, words array<string>"))
+        postings = staticmethod(lambda: spark.createDataFrame([(i, w, t.index(w)) for i, t in texts.items() for w in ("red", "fox", "owl") if w in t], "db_document_id long, word string, position int"))
+
+    want = {(q, d, w): helpers.excerpt(texts[d], texts[d].index(w)).strip() for q, d, ws in ((7, 1, ("red", "fox")), (7, 2, ("red", "fox")), (8, 2, ("owl",))) for w in ws}
+    assert {(r[0], r[1], r[2]): r[3].strip() for r in catalog.CATALOG["excerpt_at"][0](Given).collect()} == want
+    got = {(r[0], r[1]): r[2] for r in catalog.CATALOG["merge_excerpts"][0](Given).collect()}
+    assert set(got) == {(7, 1), (7, 2), (8, 2)} and all(got.values())
