@@ -42,7 +42,11 @@ def presence_stream(log: DataFrame) -> DataFrame:
             if action == "notify":
                 yield pd.DataFrame({"node_id": [key[0]], "action": ["expired"], "ip": [ip], "port": [port], "last_seen": [pd.Timestamp(ms, unit="ms")]})
             return
-        last = pd.concat(list(frames)).sort_values(["ts", "event_id"]).iloc[-1]
+        last = None
+        for frame in frames:
+            if len(frame):
+                row = frame.sort_values(["ts", "event_id"]).iloc[-1]
+                last = row if last is None or (row["ts"], row["event_id"]) >= (last["ts"], last["event_id"]) else last
         ms = int(last["ts"].timestamp() * 1000)
         if state.exists and state.get[3] > ms:
             return
