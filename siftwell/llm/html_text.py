@@ -4,7 +4,7 @@ A tokenizer splits a page into tags and text; a tree builder adds implied end ta
 elements; a renderer walks the tree and emits all visible text: blocks on lines of their own,
 list items with their marks and indents, table cells aligned in columns, ``pre`` kept as it is.
 Invisible are head parts other than the title (returned apart), scripts, styles, templates,
-comments, ``hidden`` and ``aria-hidden="true"`` elements, and inline styles ``display:none`` or
+comments, ``hidden`` elements, definitions and descriptions in svg and math, and inline styles ``display:none`` or
 ``visibility:hidden``.
 
 A null page gives a null text and title; an empty one an empty text. Broken markup never fails:
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template noscript title meta link base iframe object svg math canvas audio video datalist noembed noframes".split())
+UNSEEN = set("head script style template noscript title meta link base iframe object canvas audio video datalist noembed noframes".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
+#: Parts of a drawing or formula that browsers do not show.
+UNDRAWN = {"svg": set("title desc defs metadata symbol clippath mask marker pattern".split()), "math": {"annotation", "annotation-xml"}}
 #: What leaves an open head open; other tags and text end it.
 HEAD_PARTS = set("title meta link base style script noscript template".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure article section".split())
@@ -129,6 +131,8 @@ def tree(page: str) -> Node:
         if name in CLOSES:
             close(*CLOSES[name])
         node = Node(name, attributes(m["attrs"]) if m["attrs"] else {})
+        if any(name in names and any(x.name == of for x in stack) for of, names in UNDRAWN.items()):
+            node.attrs["hidden"] = ""
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -143,7 +147,7 @@ def tree(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    if node.name in UNSEEN or "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true":
+    if node.name in UNSEEN or "hidden" in node.attrs:
         return False
     style = node.attrs.get("style")
     if style:

@@ -325,6 +325,11 @@ def test_html_unclosed_head(page, text):
     assert html_text.extract(page)[1].split() == text.split()
 
 
+def test_html_drawings_and_formulas():
+    page = '<p>a <b aria-hidden="true">b</b> <svg><title>t</title><desc>d</desc><defs><text>e</text></defs><text>drawn</text></svg> <math><mi>x</mi><annotation>y</annotation></math>'
+    assert html_text.extract(page) == ("", "a b drawn x")
+
+
 def test_html_edges(spark):
     pages = ["<li>" * 5000 + "deep", "<div>" * 5000 + "deep", "<table>" * 300 + "<td>deep", "<", "<a", "<!--", "<script>", None, "", "x" * 300_000, "<p " + "a" * 1000 + ">deep"]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "1 AS id", "2 AS text", "3 AS title")
