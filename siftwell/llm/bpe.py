@@ -1,7 +1,8 @@
 """Byte-level BPE: encode whole texts to token ids with byte offsets, and decode ids to bytes.
 
 Token slices come from ``pretokenize``. Equal slices of a block are found by hash; a slice that is
-a token is looked up, one that was met before comes from a bounded cache, and the rest are merged
+a token is looked up, one that was met before comes from a bounded cache (each time the bytes are
+compared, so equal hashes of different slices cost time and change no id), and the rest are merged
 together: rows of part ids in a matrix, each step joining every row's pair of lowest rank.
 ``offsets`` holds the byte at which each token begins, so decoding can map any id back to its
 place. A null text counts as empty; an empty text has no ids.
@@ -136,16 +137,17 @@ class Encoder:
         """What only encoding needs."""
         self.pairs = PairTable(self.ranks)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        whole = np.frombuffer(b"".join(self.pieces), np.uint8)
-        end = np.cumsum(self.lengths)
-        hashes = K.span_hashes(whole, end - self.lengths, end)
+        self.whole = np.frombuffer(b"".join(self.pieces), np.uint8)
+        end = np.cumsum(self.lengths, dtype=np.int64)
+        hashes = K.byte_hashes(self.whole, end - self.lengths, end)
         order = np.argsort(hashes)
-        self.token_hashes, self.token_ids = hashes[order], order.astype(np.int32)
+        self.token_hashes, self.token_ids, self.token_at = hashes[order], order.astype(np.int32), (end - self.lengths)[order]
         self.forget()
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.byte_at, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -207,32 +209,50 @@ class Encoder:
             self.prepare()
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        hashes, first, which = np.unique(K.span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        token = np.minimum(np.searchsorted(self.token_hashes, hashes), len(self.token_hashes) - 1)
-        is_token = self.token_hashes[token] == hashes
-        place = np.searchsorted(self.hashes, hashes)
-        is_kept = np.zeros(len(hashes), bool)
-        if len(self.hashes):
-            is_kept = self.hashes[np.minimum(place, len(self.hashes) - 1)] == hashes
+        hashes, first, which = np.unique(K.byte_hashes(data, begin, end), return_index=True, return_inverse=True)
+        at, size = begin[first], (end - begin)[first]
+        token, is_token = self.found(self.token_hashes, hashes, data, at, size, self.whole, self.token_at, self.lengths[self.token_ids])
+        place, is_kept = self.found(self.hashes, hashes, data, at, size, self.bytes, self.byte_at, self.size)
         new = np.flatnonzero(~is_token & ~is_kept)
-        flat, count_new = self.merge_all(data, begin[first[new]], end[first[new]])
+        flat, count_new = self.merge_all(data, at[new], at[new] + size[new])
         old = is_kept & ~is_token
         count, start = np.ones(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         pool = np.concatenate([self.token_ids, self.flat, flat])
         start[is_token] = token[is_token]
         start[old], count[old] = self.start[place[old]] + len(self.token_ids), self.count[place[old]]
         start[new], count[new] = np.cumsum(count_new) - count_new + len(self.token_ids) + len(self.flat), count_new
-        self.keep(hashes[new], flat, count_new)
-        return gathered(pool, start[which], count[which]), count[which]
-
-    def keep(self, hashes: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        start, count = start[which], count[which]
+        # slices that share a hash with other bytes are encoded on their own
+        odd = np.flatnonzero((end - begin != size[which]) | ~K.equal_spans(data, begin, data, at[which], np.minimum(end - begin, size[which])))
+        for i in odd.tolist():
+            piece = data[begin[i] : end[i]].tobytes()
+            own = np.array([self.ranks[piece]] if piece in self.ranks else merge_long(piece, self.ranks), np.int32)
+            start[i], count[i], pool = len(pool), len(own), np.append(pool, own)
+        self.keep(hashes[new], flat, count_new, data, at[new], size[new])
+        return gathered(pool, start, count), count
+
+    @staticmethod
+    def found(known: np.ndarray, hashes: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash in ``known`` and whether the bytes there are the slice's own."""
+        if not len(known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        same = (known[place] == hashes) & (length[place] == size)
+        hit = np.flatnonzero(same)
+        same[hit] = K.equal_spans(data, at[hit], other, start[place[hit]], size[hit])
+        return place, same
+
+    def keep(self, hashes: np.ndarray, flat: np.ndarray, count: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         if len(self.hashes) + len(hashes) > CACHE:
             self.forget()
         both = np.concatenate([self.hashes, hashes])
         order = np.argsort(both, kind="stable")
         start = np.concatenate([self.start, np.cumsum(count) - count + len(self.flat)])
         self.hashes, self.start, self.count = both[order], start[order], np.concatenate([self.count, count])[order]
+        byte_at = np.concatenate([self.byte_at, np.cumsum(size) - size + len(self.bytes)])
+        self.byte_at, self.size = byte_at[order], np.concatenate([self.size, size])[order]
         self.flat = np.concatenate([self.flat, flat])
+        self.bytes = np.concatenate([self.bytes, gathered(data, at, size)])
 
 
 ENCODED = "id long, ids array<int>, offsets array<int>"

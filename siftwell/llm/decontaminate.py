@@ -77,7 +77,7 @@ def scan_with(docs: DataFrame, windows: WindowSet) -> DataFrame:
                 begin = np.arange(max(0, len(found.begin) - length + 1))
                 text = np.searchsorted(found.at, begin, "right") - 1
                 begin, text = (x[begin + length <= found.at[text + 1]] for x in (begin, text))
-                seen = K.span_hashes(found.hashes, begin, begin + length)
+                seen = K.run_hashes(found.hashes, begin, length)
                 maybe = np.flatnonzero(sieve[seen >> np.uint64(64 - SIEVE_BITS)])
                 place = np.searchsorted(hashes, seen[maybe])
                 hit = place < len(hashes)

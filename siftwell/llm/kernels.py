@@ -6,6 +6,7 @@ a block holds ``BLOCK_BYTES`` of text, or one longer document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +15,12 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: An odd base, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words of more bytes are hashed by a cryptographic digest.
+LONG_WORD = 64
+LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: One odd factor for each place of a run of words.
+PLACES = np.random.default_rng(20240301).integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 
 SPACE_WORDS = np.ones(256, bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
@@ -55,22 +59,6 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             start = stop
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept between calls."""
-    kept = _POWERS.get(base)
-    if kept is None or len(kept) <= n:
-        size = max(n + 1, 1 << 16)
-        kept = np.full(size, base, np.uint64)
-        kept[0] = 1
-        kept = np.multiply.accumulate(kept)
-        if size <= 1 << 21:
-            _POWERS[base] = kept
-    return kept[: n + 1]
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -78,12 +66,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``values[begin:end]``, the same wherever the run lies."""
-    up = powers(BASE, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * powers(INVERSE, len(values))[begin] + (end - begin).astype(np.uint64))
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.data, 0, (1,))
+
+
+def byte_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``data[begin:end]``: eight bytes a step, scrambled after each."""
+    size = end - begin
+    out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    view = lanes(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = begin[live]
+    left = size[live]
+    while len(live):
+        lane = view[at] & LANE_MASKS[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ lane) * np.uint64(BASE))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(data: np.ndarray, begin: np.ndarray, other: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``data[begin:begin + size]`` and ``other[start:start + size]`` hold the same bytes."""
+    out = np.ones(len(size), bool)
+    one, two = lanes(data), lanes(other)
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    a, b, left = begin[live], start[live], size[live]
+    while len(live):
+        same = ((one[a] ^ two[b]) & LANE_MASKS[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        on = same & (left > 8)
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = np.array_equal(data[begin[i] : begin[i] + size[i]], other[start[i] : start[i] + size[i]])
+    return out
+
+
+def run_hashes(values: np.ndarray, begin: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[begin:begin + size]``: a sum with a random odd factor for each place."""
+    values = values if values.dtype == np.uint64 else mix(values.astype(np.uint64) + np.uint64(1))
+    out = np.full(len(begin), BASE, np.uint64) + np.asarray(size).astype(np.uint64)
+    for k in range(int(np.max(size, initial=0))):
+        part = values[np.minimum(begin + k, len(values) - 1)] * PLACES[k % len(PLACES)]
+        out += part if np.ndim(size) == 0 else np.where(k < size, part, np.uint64(0))
+        if k % len(PLACES) == len(PLACES) - 1:
+            out = mix(out)
+    return mix(out)
 
 
 @dataclass
@@ -112,7 +145,7 @@ def words(block: Block, inside: np.ndarray, lower: bool = True) -> Words:
         ahead[edges - 1] = False
         last &= ~ahead
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(begin, end, span_hashes(data, begin, end), np.searchsorted(begin, block.at))
+    return Words(begin, end, byte_hashes(data, begin, end), np.searchsorted(begin, block.at))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +154,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     runs = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     text = np.repeat(np.arange(len(count)), runs)
     begin = found.at[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
-    end = begin + np.minimum(size, count[text])
-    return span_hashes(found.hashes, begin, end), text
+    return run_hashes(found.hashes, begin, np.minimum(size, count[text])), text
 
 
 def distinct_by_text(values: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

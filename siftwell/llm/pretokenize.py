@@ -12,15 +12,13 @@ not followed by a word, white space.
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import tiktoken
 
 # Character classes.
 LETTER, NUMBER, OTHER, WHITE = 0, 1, 2, 3
-#: The code points of Unicode's White_Space property.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 # Symbols: the classes, seen with what follows.
 S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_SPACE, S_LAST, S_INNER, S_RESET = range(9)
@@ -69,15 +67,19 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 @lru_cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, by the Unicode tables of the installed tokenizer library.
+
+    The library encodes all code points with a pattern of one class and a vocabulary of single
+    bytes; what comes back are the members.
+    """
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = LETTER
-        elif kind == "N":
-            out[c] = NUMBER
-    out[WHITE_SPACE] = WHITE
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    text = points.tobytes().decode("utf-32-le")
+    single = {bytes([b]): b for b in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        probe = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        members = bytes(probe.encode_ordinary(text)).decode("utf-8").encode("utf-32-le")
+        out[np.frombuffer(members, np.uint32)] = kind
     return out
 
 

@@ -54,7 +54,7 @@ def text_rows(block: K.Block) -> tuple[list[linear.Row], np.ndarray]:
     loose = K.words(block, K.SPACE_WORDS)
     word_text = np.repeat(np.arange(n), np.diff(found.at))
     lower = K.LOWER[block.data]
-    stems = [K.span_hashes(lower, found.begin, np.minimum(found.end, found.begin + k)) for k in STEMS]
+    stems = [K.byte_hashes(lower, found.begin, np.minimum(found.end, found.begin + k)) for k in STEMS]
     seen = np.concatenate([found.hashes, *stems]) >> np.uint64(64 - WORD_BITS)
     values, bounds = K.distinct_by_text(seen, np.tile(word_text, 1 + len(STEMS)), n)
     data = block.data.astype(np.uint64)

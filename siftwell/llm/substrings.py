@@ -87,7 +87,7 @@ def seeds(docs: DataFrame) -> DataFrame:
             begin = np.arange(max(0, len(found.begin) - SEED + 1))
             text = np.searchsorted(found.at, begin, "right") - 1
             begin, text = (x[begin + SEED <= found.at[text + 1]] for x in (begin, text))
-            hashes = K.span_hashes(found.hashes, begin, begin + SEED)
+            hashes = K.run_hashes(found.hashes, begin, SEED)
             chosen = hashes < np.uint64((1 << 64) // RATE)
             chosen[minimisers(hashes, text)] = True
             at = np.flatnonzero(chosen)
@@ -399,7 +399,7 @@ def windows(parts: DataFrame, min_words: int) -> DataFrame:
                 tile += 1
             values = np.frombuffer(b"".join(run), np.uint32)[low % TILE :][: high - low]
             begin = np.arange(max(0, len(values) - min_words + 1))
-            at.append(begin + low), hashes.append(K.span_hashes(values, begin, begin + min_words))
+            at.append(begin + low), hashes.append(K.run_hashes(values, begin, min_words))
         at, hashes = np.concatenate(at), np.concatenate(hashes)
         if not len(at):
             return None
