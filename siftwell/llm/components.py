@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import stored
 
 
-def connected_components(links: DataFrame, one: str, two: str, most: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, one: str, two: str) -> DataFrame:
     """node, label (smallest node of its component) for every node that has a link.
 
     Large-star and small-star steps: a node hands its larger neighbours, then its smaller
     ones, to the smallest it knows. Each step only rewires edges, so their number never
-    grows, and a step's result is a written table. A star whose edges no longer change is
+    grows, and a step's result is a written table; the steps grow with the logarithm of the size. A star whose edges no longer change is
     done; hub nodes only enter map-side minima and an equi-join that can be split.
     """
     a, b = F.col(one), F.col(two)
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = stored(edges, "components-0")
     before = None
-    for step in range(1, most + 1):
+    for step in count(1):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,7 +33,5 @@ def connected_components(links: DataFrame, one: str, two: str, most: int = 60) -
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most} steps")
     label = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return label.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
