@@ -10,6 +10,9 @@ the parser recovers differs from the source, the next level escapes the conflict
 (percent codes), and so on until the two are identical; a conversation that no level can carry
 fails the job.
 
+Work is linear in a conversation's turns (but for the sort): places are prefix sums of byte lengths
+in two levels of ``CHUNK``, and texts are cut out of the rendered bytes by place.
+
 Turns are ordered by (turn, role, text). A null role or text is empty; repeated rows are turns of
 their own; a null conv_id is a conversation. A conversation is one output row, so its turns come
 together in one task. Extra columns are ignored; an empty table gives no rows.
@@ -17,12 +20,15 @@ together in one task. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLOSE = "</turn>\n"
 OPEN = "### "
 LEARNT = "assistant"
+CHUNK = 256
 #: Escapes of level 1, in order of application; undone in reverse.
 ESCAPES = [("%", "%25"), ("<", "%3C"), ("#", "%23"), ("\n", "%0A")]
 
@@ -48,35 +54,58 @@ def header(level: int) -> str:
 HEADER_CHARS = len(header(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of a bound array the sum of those before it."""
+    n = F.size(sizes)
+
+    def running(values: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["sum"] + value(x)).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before")))
+
+    def of_chunk(c: Column) -> Column:
+        return running(F.sequence(c * CHUNK + 1, F.least((c + 1) * CHUNK, n)), lambda i: F.element_at(sizes, i))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), of_chunk)
+    both = let(chunks, lambda cs: F.flatten(F.zip_with(cs, running(cs, lambda c: c["sum"])["before"], lambda c, b: F.transform(c["before"], lambda x: x + b))))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(both)
+
+
 def render(turns: Column, level: int) -> Column:
     one = F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape(t["role"], level, True), F.lit("\n"), escape(t["text"], level, False), F.lit(CLOSE)))
     return F.concat(F.lit(header(level)), F.array_join(one, ""))
 
 
 def parsed(formatted: Column) -> Column:
-    """array of (role, text, start, chars): start and chars place the escaped text in ``formatted``; null if it breaks the grammar."""
+    """array of (role, text, start, bytes): the escaped text is ``bytes`` bytes from ``start`` on; null if it breaks the grammar."""
     level = F.substring(formatted, HEADER_CHARS - 3, 1).cast("int")
     pieces = F.split(F.substring(formatted, HEADER_CHARS + 1, 1 << 30), CLOSE, -1)
-    turns = F.slice(pieces, 1, F.size(pieces) - 1)
-
-    def read(piece: Column) -> Column:
-        role_end = F.instr(piece, "\n")
-        return F.struct(F.substring(piece, F.lit(len(OPEN) + 1), role_end - len(OPEN) - 1).alias("role"), F.substring(piece, role_end + 1, F.length(piece)).alias("text"), role_end.alias("role_end"))
 
     def fits(piece: Column) -> Column:
         inner = F.substring(piece, len(OPEN) + 1, 1 << 30)
         return piece.startswith(OPEN) & (F.instr(piece, "\n") > 0) & ~inner.contains(OPEN) & ~inner.contains(CLOSE.strip())
 
-    kind = "struct<at: bigint, turns: array<struct<role: string, text: string, start: bigint, chars: bigint>>>"
-    first = F.struct(F.lit(HEADER_CHARS + 1).cast("long").alias("at"), F.array().cast("array<struct<role: string, text: string, start: bigint, chars: bigint>>").alias("turns")).cast(kind)
+    def read(piece: Column) -> Column:
+        role_end = F.instr(piece, "\n")
+        role = F.substring(piece, F.lit(len(OPEN) + 1), role_end - len(OPEN) - 1)
+        text = F.substring(piece, role_end + 1, F.length(piece))
+        head = F.octet_length(piece) - F.octet_length(text)
+        return F.struct(unescape(role, level).alias("role"), unescape(text, level).alias("text"), head.cast("long").alias("head"), F.octet_length(text).cast("long").alias("bytes"))
+
+    def placed(turns: Column) -> Column:
+        sizes = F.transform(turns, lambda t: t["head"] + t["bytes"] + len(CLOSE))
+        starts = let(sizes, sums_before)
+        return let(starts, lambda before: F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), (F.element_at(before, i + 1) + t["head"] + HEADER_CHARS).alias("start"), t["bytes"].alias("bytes"))))
 
-    def step(acc: Column, piece: Column) -> Column:
-        got = read(piece)
-        turn = F.struct(unescape(got["role"], level).alias("role"), unescape(got["text"], level).alias("text"), (acc["at"] + got["role_end"]).cast("long").alias("start"), F.length(got["text"]).cast("long").alias("chars"))
-        return F.struct((acc["at"] + F.length(piece) + len(CLOSE)).cast("long").alias("at"), F.concat(acc["turns"], F.array(turn)).alias("turns")).cast(kind)
+    def whole(ps: Column) -> Column:
+        turns = F.slice(ps, 1, F.size(ps) - 1)
+        return F.when((F.element_at(ps, -1) == "") & F.forall(turns, fits), let(F.transform(turns, read), placed))
 
-    whole = (F.element_at(pieces, -1) == "") & F.forall(turns, fits)
-    return F.when(whole, F.aggregate(turns, first, step, lambda acc: acc["turns"]))
+    return let(pieces, whole)
 
 
 def same(found: Column, turns: Column) -> Column:
@@ -84,7 +113,7 @@ def same(found: Column, turns: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, levels: int = 2) -> DataFrame:
-    """conv_id, formatted, level, turns (role, text, start, chars as read back), loss spans of the learnt role."""
+    """conv_id, formatted, level, turns (role, text, start, bytes as read back), loss spans (bytes of ``formatted``) of the learnt role."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
     source = chats.select("conv_id", F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -93,16 +122,17 @@ def format_chats(rows: DataFrame, levels: int = 2) -> DataFrame:
         fine = same(F.col("turns"), F.col("source"))
         tried = tried.withColumn("formatted", F.when(fine, F.col("formatted")).otherwise(render(F.col("source"), level)))
         tried = tried.withColumn("turns", F.when(fine, F.col("turns")).otherwise(parsed(F.col("formatted"))))
-    checked = F.when(same(F.col("turns"), F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no escape level carries conversation "), F.col("conv_id").cast("string"))))
+    checked = F.when(same(F.col("turns"), F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no escape level carries conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
     out = tried.select("conv_id", "formatted", F.substring("formatted", HEADER_CHARS - 3, 1).cast("int").alias("level"), checked.alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: F.struct(t["start"].alias("start"), t["chars"].alias("chars")))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: F.struct(t["start"].alias("start"), t["bytes"].alias("bytes")))
     return out.withColumn("loss", spans)
 
 
 def digest(chats: DataFrame) -> DataFrame:
     """The contract's columns, all read back from ``formatted`` and its spans."""
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["chars"].cast("int")), F.col("level"))), "")
+    cut = let(F.col("formatted").cast("binary"), lambda raw: F.transform("loss", lambda s: F.substring(raw, (s["start"] + 1).cast("int"), s["bytes"].cast("int")).cast("string")))
+    masked = F.array_join(F.transform(cut, lambda x: unescape(x, F.col("level"))), "")
     seen = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), masked.alias("masked"), F.length("formatted").cast("long").alias("formatted_chars"))
     return seen.select("conv_id", "n_turns", "turns_sha256", F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars")
 

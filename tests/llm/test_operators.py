@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -61,7 +62,7 @@ def test_chat_round_trip(spark):
         want = [(role or "", t or "") for cc, _, role, t in rows if cc == c]
         assert [(t["role"], t["text"]) for t in r["turns"]] == want
         for t in r["turns"]:
-            raw = r["formatted"][t["start"] - 1 : t["start"] - 1 + t["chars"]]
+            raw = r["formatted"].encode()[t["start"] : t["start"] + t["bytes"]].decode()
             assert "</turn>" not in raw and "### " not in raw
     assert got[1]["level"] == 0 and got[0]["level"] == 1
     assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
@@ -75,6 +76,21 @@ def test_chat_repeated_and_null_rows(spark):
     assert len(r) == 1 and r[0]["n_turns"] == 3 and r[0]["loss_chars"] == 1
 
 
+def test_chat_of_many_turns(spark):
+    """Places are right beyond one chunk, and the work grows with the turns, not with their square."""
+    n = 50_000
+    turn = "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('é ', id, CASE WHEN id = 7 THEN ' </turn> ### ' ELSE ' #<%' END) AS text"
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", *turn).union(spark.range(700).selectExpr("2L", "id", *turn))
+    began = time.perf_counter()
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(rows)).collect()}
+    assert time.perf_counter() - began < 60
+    for conv, size in ((1, n), (2, 700)):
+        texts = [f"é {i}" + (" </turn> ### " if i == 7 else " #<%") for i in range(size)]
+        turns = "".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(texts))
+        learnt = "".join(texts[1::2])
+        assert (got[conv]["turns_sha256"], got[conv]["loss_sha256"], got[conv]["loss_chars"]) == (hashlib.sha256(turns.encode()).hexdigest(), hashlib.sha256(learnt.encode()).hexdigest(), len(learnt))
+
+
 # op2
 def test_linear_learns_and_calibrates():
     r = np.random.default_rng(1)
