@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import let
+
 CLOSE = "</turn>\n"
 OPEN = "### "
 LEARNT = "assistant"
@@ -54,11 +56,6 @@ def header(level: int) -> str:
 HEADER_CHARS = len(header(0))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def sums_before(sizes: Column) -> Column:
     """For each element of a bound array the sum of those before it."""
     n = F.size(sizes)

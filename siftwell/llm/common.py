@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the filter in ``flagged``.
-FILTER_BITS = 1 << 23
+#: Bits of the filter in ``flagged`` for each id, and at most: 64 of them are one broadcast row.
+BITS_PER_ID, MOST_BITS = 16, 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on one machine, where it is unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             found = context_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="siftwell-")
             spark.sparkContext.setCheckpointDir(found)
@@ -46,6 +49,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def plain(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash."""
     return df.select(*(df[c] for c in cols))
@@ -54,13 +62,14 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
 def flagged(df: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: false only for keys that are not in ``ids`` (or null).
 
-    The bit filter is a table of at most FILTER_BITS / 64 words, whatever the number of ids, so
-    it can be broadcast; once it is crowded it lets more through, which costs work and changes
-    no result, as an exact join follows.
+    The bit filter is sized by the counted ids, up to ``MOST_BITS`` (1 MB of rows for 2 million
+    ids, 16 MB at most), so it can be broadcast. Beyond some ten million ids it lets more rows
+    through to the exact join that follows, which costs a shuffle and changes no result.
     """
+    bits = min(MOST_BITS, 1 << max(16, (BITS_PER_ID * ids.count()).bit_length()))
 
     def bit(column: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
 
     def word(column: str) -> Column:
         return F.shiftright(bit(column), 6)
