@@ -8,11 +8,14 @@ learnt by FTRL. In each round either view labels the pool rows it is surest of,
 learns from them. At last each view is calibrated on labelled rows that neither has
 learnt from, the calibrated log-odds are combined there, and every document is scored.
 
-A good document has quality 1 and, where the label is given, toxic 0. The labelled sample holds
-about ``LABELLED`` rows and the pool about ``POOL``, drawn by key hash; all documents are scored on
-their whole texts. Labels are for doc_ids; of repeated labels the worst counts. Null and
-empty texts are scored like others (no words). Without labels of both kinds every document has
-score 0.5 and is kept. Extra columns are ignored by ``score`` and kept by ``keep_good``.
+A good document has quality 1 and, where the label is given, toxic 0. The models learn from at most
+about ``LABELLED`` labelled rows, and the pool holds about ``POOL`` others, drawn by a hash of the row; at
+most ``PER_ID`` rows of one labelled doc_id, and one of equal rows, are learnt from. Features are
+made before the rows meet in the training task, so a row brings at most a few hundred kilobytes
+whatever its text. All documents are scored on their whole texts. Labels are for doc_ids; of
+repeated labels the worst counts. Null and empty texts are scored like others (no words). Without
+labels of both kinds every document has score 0.5 and is kept. Each row is judged by itself. Extra
+columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -23,14 +26,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
 from siftwell.llm import linear
-from siftwell.llm.common import stored, without_ids
 
-LABELLED, POOL = 5000, 2000
+LABELLED, POOL, PER_ID = 6000, 3000, 4
 WORD_BITS, PAIR_BITS = 17, 12
 #: Lengths in bytes of the word beginnings.
 STEMS = (4, 5)
@@ -38,6 +40,8 @@ TEXT_SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS) + 1
 BINS, NAMES = 24, 512
 ROUNDS, PER_ROUND, SURE = 3, 150, 0.97
 THRESHOLD = 0.35
+#: Columns of scores, by names that no document's own column is likely to have.
+SCORES = {"quality text_score": "double", "quality meta_score": "double", "quality score": "double", "quality kept": "boolean"}
 
 UPPER, DIGIT, SPACE = (np.zeros(256, bool) for _ in range(3))
 UPPER[0x41:0x5B] = DIGIT[0x30:0x3A] = True
@@ -47,8 +51,17 @@ FIGURES = 11
 META_SIZE = FIGURES * BINS + 2 * NAMES + 1
 
 
-def text_rows(block: K.Block) -> tuple[list[linear.Row], np.ndarray]:
-    """Text-view features of each text, and its layout figures."""
+@dataclass
+class Parts:
+    """Of a block: distinct word features (text i has ``values[bounds[i]:bounds[i + 1]]``), byte pairs, layout figures."""
+
+    values: np.ndarray
+    bounds: np.ndarray
+    pairs: np.ndarray
+    figures: np.ndarray
+
+
+def parts_of(block: K.Block) -> Parts:
     n = len(block)
     found = K.words(block, K.ITEM_WORDS)
     loose = K.words(block, K.SPACE_WORDS)
@@ -59,28 +72,49 @@ def text_rows(block: K.Block) -> tuple[list[linear.Row], np.ndarray]:
     values, bounds = K.distinct_by_text(seen, np.tile(word_text, 1 + len(STEMS)), n)
     data = block.data.astype(np.uint64)
     pairs = ((data[:-1] * np.uint64(257) + data[1:]) * np.uint64(K.BASE)) >> np.uint64(64 - PAIR_BITS)
-    pairs = pairs.astype(np.int64)
-    lines = np.concatenate([[0], np.cumsum(block.data == 0x0A)])
-    sums = [np.concatenate([[0], np.cumsum(kind[block.data])]) for kind in (UPPER, DIGIT, SPACE, MARK)]
+    size = np.maximum(1, np.diff(block.at))
+    sums = [np.append(0, np.cumsum(kind[block.data])) for kind in (UPPER, DIGIT, SPACE, MARK)]
+    shares = [np.diff(s[block.at]) / size for s in sums]
+    lines = np.diff(np.append(0, np.cumsum(block.data == 0x0A))[block.at]) + 1
     loose_text = np.repeat(np.arange(n), np.diff(loose.at))
+    words = np.maximum(1, np.diff(loose.at))
     distinct = np.diff(K.distinct_by_text(loose.hashes, loose_text, n)[1])
     follows = np.zeros(len(loose.hashes), bool)
     follows[1:] = (loose.hashes[1:] == loose.hashes[:-1]) & (loose_text[1:] == loose_text[:-1])
     stutter = np.bincount(loose_text[follows], minlength=n)
     letters = np.bincount(loose_text, weights=loose.end - loose.begin, minlength=n)
-    rows, figures = [], np.zeros((n, FIGURES))
-    for i in range(n):
-        a, b = block.at[i], block.at[i + 1]
-        count = np.bincount(pairs[a : max(a, b - 1)], minlength=1 << PAIR_BITS)
-        at = np.flatnonzero(count)
-        x = np.sqrt(count[at] / max(1, b - a))
-        own = values[bounds[i] : bounds[i + 1]].astype(np.int64)
-        rows.append((np.concatenate([own, at + (1 << WORD_BITS), [TEXT_SIZE - 1]]), np.concatenate([np.ones(len(own)), 12 * x, [1.0]])))
-        size, words = max(1, b - a), max(1, loose.at[i + 1] - loose.at[i])
-        shares = [(s[b] - s[a]) / size for s in sums]
-        n_lines = lines[b] - lines[a] + 1
-        figures[i] = [np.log1p(size) / 14, np.log1p(n_lines) / 8, np.log1p(size / n_lines) / 12, *shares, distinct[i] / words, stutter[i] / words, letters[i] / words / 20, np.log1p(words) / 12]
-    return rows, figures
+    figures = np.column_stack([np.log1p(size) / 14, np.log1p(lines) / 8, np.log1p(size / lines) / 12, *shares, distinct / words, stutter / words, letters / words / 20, np.log1p(words) / 12])
+    return Parts(values.astype(np.int64), bounds, pairs.astype(np.int64), figures)
+
+
+def pair_shares(block: K.Block, own: Parts, first: int, stop: int) -> np.ndarray:
+    """Feature values of the byte pairs of texts ``first`` to ``stop``, a row each."""
+    a, b = block.at[first], block.at[stop]
+    text = np.repeat(np.arange(stop - first), np.diff(block.at[first : stop + 1]))
+    inside = np.flatnonzero(text[1:] == text[:-1])  # a pair lies in one text
+    key = text[inside] << PAIR_BITS | own.pairs[a:b][inside]
+    count = np.bincount(key, minlength=(stop - first) << PAIR_BITS).reshape(stop - first, 1 << PAIR_BITS)
+    return 12 * np.sqrt(count / np.maximum(1, np.diff(block.at[first : stop + 1]))[:, None])
+
+
+def text_rows(block: K.Block, own: Parts) -> list[linear.Row]:
+    """Text-view features of each text."""
+    rows = []
+    for i in range(len(block)):
+        x = pair_shares(block, own, i, i + 1)[0]
+        at, words = np.flatnonzero(x), own.values[own.bounds[i] : own.bounds[i + 1]]
+        rows.append((np.concatenate([words, at + (1 << WORD_BITS), [TEXT_SIZE - 1]]), np.concatenate([np.ones(len(words)), x[at], [1.0]])))
+    return rows
+
+
+def text_margins(block: K.Block, own: Parts, weights: np.ndarray) -> np.ndarray:
+    """Log-odds of the text view of each text: the product of ``text_rows`` and the weights."""
+    total = np.append(0.0, np.cumsum(weights[own.values], dtype=np.float64))[own.bounds]
+    out = np.diff(total) + weights[TEXT_SIZE - 1]
+    for first in range(0, len(block), 64):
+        stop = min(first + 64, len(block))
+        out[first:stop] += pair_shares(block, own, first, stop) @ weights[1 << WORD_BITS : TEXT_SIZE - 1]
+    return out
 
 
 def meta_row(figures: np.ndarray, source: str | None, lang: str | None) -> linear.Row:
@@ -99,13 +133,11 @@ class Model:
     meta_line: np.ndarray
     both: np.ndarray
 
-    def log_odds(self, text: linear.Row, meta: linear.Row) -> tuple[float, float]:
-        t, m = (float(x @ w[at]) for (at, x), w in ((text, self.text), (meta, self.meta)))
-        return t * self.text_line[0] + self.text_line[1], m * self.meta_line[0] + self.meta_line[1]
-
-    def score(self, text: linear.Row, meta: linear.Row) -> float:
-        t, m = self.log_odds(text, meta)
-        return float(1 / (1 + np.exp(-np.clip(t * self.both[0] + m * self.both[1] + self.both[2], -30, 30))))
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probabilities by text, by metadata and by both, from the log-odds of the views."""
+        t, m = text * self.text_line[0] + self.text_line[1], meta * self.meta_line[0] + self.meta_line[1]
+        both = t * self.both[0] + m * self.both[1] + self.both[2]
+        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (t, m, both))
 
 
 def margin(weights: np.ndarray) -> np.ndarray:
@@ -146,69 +178,93 @@ def co_train(text: list[linear.Row], meta: list[linear.Row], label: np.ndarray,
     return Model(*weights, *lines, both)
 
 
-def features(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[pa.RecordBatch, list[linear.Row], list[linear.Row]]]:
-    for block in K.blocks(iter([table])):
-        rows, figures = text_rows(block)
+def features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[K.Block, Parts, list[linear.Row]]]:
+    """Blocks with the parts of their texts and the metadata rows."""
+    for block in K.blocks(batches):
+        own = parts_of(block)
         source, lang = (block.batch.column(block.batch.schema.get_field_index(c)).to_pylist() for c in ("source", "lang"))
-        yield block.batch, rows, [meta_row(f, s, g) for f, s, g in zip(figures, source, lang, strict=True)]
+        yield block, own, [meta_row(f, s, g) for f, s, g in zip(own.figures, source, lang, strict=True)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """The model, learnt in one task from the bounded samples; None without labels of both kinds."""
+def with_strings(docs: DataFrame) -> DataFrame:
+    """``docs`` with text, source and lang as strings."""
+    return docs.withColumns({c: F.col(c).cast("string") for c in ("text", "source", "lang")})
+
+
+def drawn(share: float, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < min(1.0, share) * float(1 << 30)
+
+
+def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
+    """text, source, lang, good (1, 0, or -1 for the pool), fold: the bounded sample."""
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("mark_id")).agg(good.alias("good"))
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("mark id")).agg(good.alias("good"))
     n_marks, n_docs = marks.count(), docs.count()
+    chosen = marks.where(drawn(labelled / max(1, n_marks), "mark id"))  # about ``labelled`` rows
+    own = with_strings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"))
+    own = own.withColumn("row", F.xxhash64("doc_id", "text", "source", "lang"))
+    met = own.join(F.broadcast(chosen), own["doc_id"] == chosen["mark id"])
+    few = met.dropDuplicates(["doc_id", "row"]).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("row"))).where(F.col("place") <= PER_ID)
+    others = own.where(drawn(pool / max(1, n_docs), "row")).dropDuplicates(["row"]).withColumn("good", F.lit(-1))
+    others = others.join(F.broadcast(chosen.select("mark id")), F.col("doc_id") == F.col("mark id"), "left_anti")
+    columns = ["text", "source", "lang", F.col("good").cast("int").alias("good"), F.pmod(F.col("row"), F.lit(1 << 30)).alias("fold")]
+    return few.select(*columns).union(others.select(*columns))
+
 
-    def drawn(column: str, most: int, n: int, salt: str):
-        return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 30)) < min(1.0, most / max(1, n)) * float(1 << 30)
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+    """The model, learnt in one task from the features of the bounded samples; None without labels of both kinds."""
 
-    chosen = marks.where(drawn("mark_id", labelled, n_marks, "labelled"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
-    joined = own.join(F.broadcast(chosen), own["doc_id"] == chosen["mark_id"], "left")  # about ``labelled`` rows
-    sample = joined.where(F.col("good").isNotNull() | drawn("doc_id", pool, n_docs, "pool")).select("doc_id", "text", "source", "lang", F.coalesce("good", F.lit(-1)).alias("good"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(1 << 30)).alias("fold"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own, metas in features(batches):
+            packed = [[np.asarray(row[k], kind).tobytes() for row in view] for view in (text_rows(block, own), metas) for k, kind in enumerate((np.int32, np.float32))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.binary()) for p in packed), *block.batch.columns[3:]], names=["a", "b", "c", "d", "good", "fold"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, meta, label, fold = [], [], [], []
+        views, y, f = ([], []), [], []
         for batch in batches:
-            for part, rows, metas in features(batch):
-                text += [(at.astype(np.int32), x.astype(np.float32)) for at, x in rows]
-                meta += metas
-                label += part.column(4).to_pylist()
-                fold += part.column(5).to_pylist()
-        y, f = np.array(label, np.int64), np.array(fold, np.int64)
-        if not {0, 1} <= set(y.tolist()):
+            for k, view in enumerate(views):
+                view += [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(batch.column(2 * k).to_pylist(), batch.column(2 * k + 1).to_pylist(), strict=True)]
+            y += batch.column(4).to_pylist()
+            f += batch.column(5).to_pylist()
+        if not {0, 1} <= set(y):
             return
-        order = np.lexsort((np.array([len(r[0]) for r in text]), f))  # whatever order rows came in
-        model = co_train([text[k] for k in order], [meta[k] for k in order], y[order], f[order] % 4)
+        order = np.lexsort((np.array([len(r[0]) for r in views[0]]), np.array(f)))  # whatever order rows came in
+        model = co_train(*([view[k] for k in order] for view in views), np.array(y, np.int64)[order], np.array(f)[order] % 4)
         parts = [np.asarray(x, np.float64).tobytes() for x in (model.text, model.meta, model.text_line, model.meta_line, model.both)]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=list("abcde"))
 
-    found = sample.repartition(1).mapInArrow(run, "a binary, b binary, c binary, d binary, e binary").collect()
+    made = sample(docs, labels, labelled, pool).mapInArrow(rows, "a binary, b binary, c binary, d binary, good int, fold long")
+    found = made.repartition(1).mapInArrow(run, "a binary, b binary, c binary, d binary, e binary").collect()
     return Model(*(np.frombuffer(bytes(x), np.float64) for x in found[0])) if found else None
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_score, meta_score (calibrated probabilities), score, kept for every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
-    if model is None:
-        return own.select("doc_id", *(F.lit(0.5).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("kept"))
+def scored(docs: DataFrame, model: Model, columns: list[str], threshold: float, rejects: bool) -> DataFrame:
+    """The given columns of ``docs`` with the scores of each row (rejects: without the rows below the threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
+    own = with_strings(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, rows, metas in features(batch):
-                odds = np.array([shared.value.log_odds(t, m) for t, m in zip(rows, metas, strict=True)]).reshape(-1, 2)
-                final = np.array([shared.value.score(t, m) for t, m in zip(rows, metas, strict=True)])
-                views = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (views[:, 0], views[:, 1], final)), pa.array(final >= threshold)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+        for block, parts, metas in features(batches):
+            meta = np.array([x @ shared.value.meta[at] for at, x in metas])
+            text, other, both = shared.value.scores(text_margins(block, parts, shared.value.text), meta)
+            kept = both >= threshold
+            arrays = [block.batch.column(block.batch.schema.get_field_index(c)) for c in columns] + [pa.array(x) for x in (text, other, both, kept)]
+            out = pa.RecordBatch.from_arrays(arrays, names=[*columns, *SCORES])
+            yield out.filter(pa.array(kept)) if rejects else out
 
-    return own.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(f"`{c}` {kind}" for c, kind in SCORES.items())]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents with all their columns, without those that the classifier rejects.
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_score, meta_score (calibrated probabilities), score, kept for every row."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    if model is None:
+        return own.select("doc_id", *(F.lit(0.5).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("kept"))
+    return scored(own, model, ["doc_id"], threshold, False).withColumnsRenamed({c: c.removeprefix("quality ") for c in SCORES})
+
 
-    Rows of one doc_id are judged together: one rejected row rejects them. A null doc_id stays.
-    """
-    bad = stored(score(docs, learn(docs, labels), threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct(), "quality-rejects")
-    return without_ids(docs, bad, "bad_id")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Documents with all their columns, without those that the classifier rejects: one pass, no shuffle."""
+    model = learn(docs, labels)
+    return docs if model is None else scored(docs, model, docs.columns, threshold, True).drop(*SCORES)

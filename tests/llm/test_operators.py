@@ -140,6 +140,48 @@ def test_quality_edges(spark):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_quality_views_agree_with_their_rows(spark):
+    """The scores of a block are the products of the rows that the model learnt from."""
+    docs, labels = quality_tables(spark, 200)
+    model = quality.learn(docs, labels)
+    texts = [t or "" for _, t in HARD] + [prose(80, random.Random(k)) + "\n#!" for k in range(70)]
+    block = next(K.blocks(iter([pa.RecordBatch.from_pydict({"text": texts})]), most=1 << 30))
+    own = quality.parts_of(block)
+    want = [float(x @ model.text[at]) for at, x in quality.text_rows(block, own)]
+    assert np.allclose(quality.text_margins(block, own, model.text), want, atol=1e-5)
+
+
+def test_quality_sample_is_bounded(spark):
+    """One doc_id with many texts, and many equal rows, bring a bounded share to the training task."""
+    texts = [(1, f"text {i % 300}") for i in range(3000)] + [(i, prose(20, random.Random(i))) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.sample(docs_of(spark, texts), labels, 10_000, 10_000).groupBy("good").count().collect()
+    assert {r["good"]: r["count"] for r in got} == {0: 19, 1: 19 + quality.PER_ID}
+
+
+def test_co_training_helps():
+    """On held-out labels a text view with few labels and a pool beats the same view without the pool."""
+    r = np.random.default_rng(5)
+    n, words = 1500, 400
+    label = r.integers(0, 2, n)
+    text, meta = [], []
+    for y in label:  # weak words; the metadata are sure for most rows
+        own = np.unique(np.concatenate([r.integers(0, words, 12), r.integers(0, words // 2, 5) + y * (words // 2)]))
+        text.append((np.append(own, quality.TEXT_SIZE - 1), np.ones(len(own) + 1)))
+        kind = y if r.random() < 0.99 else 1 - y
+        meta.append((np.array([kind * 7 + 3, quality.META_SIZE - 1]), np.ones(2)))
+    held = np.arange(n) >= 1000
+    given = np.where(np.arange(n) < 240, label, -1)
+
+    def accuracy(rows):
+        model = quality.co_train([text[i] for i in rows], [meta[i] for i in rows], given[rows], np.arange(len(rows)) % 4)
+        odds = np.array([x @ model.text[at] for at, x in (text[i] for i in np.flatnonzero(held))]) * model.text_line[0] + model.text_line[1]
+        return ((odds > 0) == label[held]).mean()
+
+    alone, together = accuracy(np.arange(240)), accuracy(np.arange(1000))
+    assert together > alone + 0.02
+
+
 # op3
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
 
