@@ -4,8 +4,9 @@ The text view sees which words and word beginnings a document holds (hashed, by
 its byte pairs. The
 metadata view sees what is known of the page: source, language and layout figures (size, lines,
 shares of character kinds, repetition), each cut into bins. Both are logistic regressions
-learnt by FTRL. In each round either view labels the pool rows it is surest of, and the other
-learns from them. At last each view is calibrated on labelled rows that neither has
+learnt by FTRL. In each round either view labels the pool rows it is surest of, by probabilities
+calibrated on labelled rows that it has not learnt from (a view that cannot tell a kind of bad
+page is then never sure of a good one), and the other learns from them. At last each view is calibrated on labelled rows that neither has
 learnt from, the calibrated log-odds are combined there, and every document is scored.
 
 A good document has quality 1 and, where the label is given, toxic 0. The models learn from at most
@@ -39,7 +40,7 @@ STEMS = (4, 5)
 TEXT_SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS) + 1
 BINS, NAMES = 24, 512
 ROUNDS, PER_ROUND, SURE = 3, 150, 0.97
-THRESHOLD = 0.35
+THRESHOLD = 0.6
 #: Columns of scores, by names that no document's own column is likely to have.
 SCORES = {"quality text_score": "double", "quality meta_score": "double", "quality score": "double", "quality kept": "boolean"}
 
@@ -147,7 +148,7 @@ def margin(weights: np.ndarray) -> np.ndarray:
 
 def co_train(text: list[linear.Row], meta: list[linear.Row], label: np.ndarray, fold: np.ndarray) -> Model:
     """``label``: 1 good, 0 bad, -1 unknown (the pool). ``fold`` 0 of the labelled rows calibrates."""
-    views = [(text, TEXT_SIZE, {"alpha": 0.5, "l1": 2.0, "l2": 0.1}), (meta, META_SIZE, {"alpha": 0.5, "l1": 0.02, "l2": 0.1})]
+    views = [(text, TEXT_SIZE, {"alpha": 2.0, "l1": 4.0, "l2": 0.1}), (meta, META_SIZE, {"alpha": 0.5, "l1": 0.02, "l2": 0.1})]
     learnt = np.flatnonzero((label >= 0) & (fold != 0))
     held = np.flatnonzero((label >= 0) & (fold == 0))
     pool = np.flatnonzero(label < 0)
@@ -158,12 +159,19 @@ def co_train(text: list[linear.Row], meta: list[linear.Row], label: np.ndarray,
         own = sorted(known[k])
         return margin(linear.fit([rows[i] for i in own], np.array([known[k][i] for i in own]), size, 2, epochs=epochs, **params))
 
+    def calibrated(rows: list[linear.Row], w: np.ndarray) -> np.ndarray:
+        """Slope and intercept of a view's log-odds on the rows that it has not learnt from."""
+        if len(set(label[held].tolist())) < 2:
+            return np.array([1.0, 0.0])
+        return linear.logistic(np.array([[rows[i][1] @ w[rows[i][0]]] for i in held]), label[held])
+
     for _ in range(ROUNDS if len(pool) else 0):
         sure = []
         for k, (rows, _, _) in enumerate(views):
             w = fitted(k, 1)
             left = np.array([i for i in pool if i not in known[1 - k]], np.int64)
-            p = 1 / (1 + np.exp(-np.clip([rows[i][1] @ w[rows[i][0]] for i in left], -30, 30))) if len(left) else np.zeros(0)
+            line = calibrated(rows, w)
+            p = 1 / (1 + np.exp(-np.clip([rows[i][1] @ w[rows[i][0]] * line[0] + line[1] for i in left], -30, 30))) if len(left) else np.zeros(0)
             order = np.argsort(-np.maximum(p, 1 - p), kind="stable")[:PER_ROUND]
             sure.append([(int(left[j]), int(p[j] > 0.5)) for j in order if max(p[j], 1 - p[j]) >= SURE])
         for k in (0, 1):  # each learns from what the other is sure of
