@@ -2,9 +2,11 @@
 
 Texts are lower-cased, runs of non-letters become one blank, and n-grams of 1 to 3 characters
 are hashed into ``SIZE`` buckets. Document frequencies are counted over every training document.
-The weights are learnt by FTRL with elastic net on a bounded sample, about ``PER_LANGUAGE`` rows of
-each language drawn by key hash, and a fifth of the sample sets the softmax temperature. Every
-whole text is scored.
+The weights are learnt by FTRL with elastic net on a bounded sample: at most ``PER_LANGUAGE`` rows of
+each language and ``SAMPLE`` in all, drawn by a hash of the row, equal rows once, from the
+``LANGUAGES`` languages of the most rows (rarer ones are not learnt). Features are made before the
+rows meet in the training task, so a row brings a bounded share whatever its text. A fifth of
+the sample sets the softmax temperature. Every whole text is scored.
 
 Only text and non-null lang of rows outside the held-out fold are learnt from; predictions use
 the text alone. A null text, or one without a letter, is ``und`` with score 0. Without any
@@ -19,15 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import linear
 from siftwell.llm.pretokenize import LETTER, classes
 
 SIZE = 1 << 14
-PER_LANGUAGE = 1500
-MOST_LANGUAGES = 1000
+PER_LANGUAGE, SAMPLE, LANGUAGES = 1500, 24_000, 1000
 BLOCK_CHARS = 1 << 20
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -105,16 +106,22 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> linear.Row:
 
 
 def train(sample: DataFrame, languages: list[str], idf: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and temperature, learnt in one task from the bounded sample."""
+    """Weights and temperature, learnt in one task from the features of the bounded sample (text, label, fold)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                made = [weighted(c, idf) for block in text_blocks(part.column(0)) for c, _ in counted(block)]
+                packed = [pa.array([np.asarray(row[k], kind).tobytes() for row in made], pa.binary()) for k, kind in ((0, np.int32), (1, np.float32))]
+                yield pa.RecordBatch.from_arrays([*packed, part.column(1), part.column(2)], names=["at", "x", "label", "fold"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, labels, folds = [], [], []
         for frame in frames:
-            for start in range(0, len(frame), 64):
-                part = frame.iloc[start : start + 64]
-                rows += [weighted(c, idf) for c, _ in counted(part["text"].fillna("").tolist())]
-                labels += [languages.index(x) for x in part["lang"]]
-                folds += part["fold"].tolist()
+            rows += [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(frame["at"], frame["x"], strict=True)]
+            labels += frame["label"].tolist()
+            folds += frame["fold"].tolist()
         if not rows:
             return
         order = np.lexsort((np.array([len(at) for at, _ in rows]), np.array(folds)))  # whatever order rows came in
@@ -124,7 +131,8 @@ def train(sample: DataFrame, languages: list[str], idf: np.ndarray) -> tuple[np.
         heat = linear.temperature(linear.scores([r for r, h in zip(rows, held, strict=True) if h], fitted), y[held]) if held.any() else 1.0
         yield pd.DataFrame({"weights": [fitted.astype(np.float32).tobytes()], "temperature": [heat]})
 
-    found = sample.repartition(1).mapInPandas(run, "weights binary, temperature double").collect()
+    made = sample.mapInArrow(rows, "at binary, x binary, label int, fold long")
+    found = made.repartition(1).mapInPandas(run, "weights binary, temperature double").collect()
     if not found:
         return np.zeros((SIZE, len(languages)), np.float32), 1.0
     return np.frombuffer(bytes(found[0]["weights"]), np.float32).reshape(SIZE, -1), found[0]["temperature"]
@@ -135,19 +143,22 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(fold == held, F.lit(False)).alias("held_out"))
     known = texts.where("doc_id is not null and text is not null and lang is not null and not held_out")
-    per = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    per = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not per:
         return texts.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    languages = [r["lang"] for r in per]
+    languages = sorted(r["lang"] for r in per)
+    most = min(per_language, SAMPLE // len(per))
     total, n = frequencies(known)
     idf = np.log((1 + n) / (1 + total)) + 1
-    share = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
-    sample = known.where(draw < share[F.col("lang")] * float(1 << 30)).select("text", "lang", draw.alias("fold"))
+    # twice the share by hash, then exactly the first of each language
+    label = F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)))
+    share = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], min(1.0, 2 * most / r["count"]))))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    some = known.where(draw < share[F.col("lang")] * float(1 << 30)).select("text", label[F.col("lang")].alias("label"), draw.alias("fold")).dropDuplicates(["label", "fold"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy("fold"))
+    sample = some.withColumn("place", place).where(F.col("place") <= most).select("text", "label", "fold")
     weights, heat = train(sample, languages, idf)
-    model = docs.sparkSession.sparkContext.broadcast((weights, heat, idf, languages))  # SIZE numbers a language
+    model = docs.sparkSession.sparkContext.broadcast((weights, heat, idf, languages))  # SIZE numbers a language, LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, heat, idf, languages = model.value

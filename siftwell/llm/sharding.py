@@ -6,8 +6,9 @@ share, and a new shard takes records only into itself. Key and shards decide alo
 no order of rows, no state.
 
 Slots number the rows of a shard from 0 without gaps: rows are dealt to ``PARTS`` parts of each
-shard by key hash, counted, and numbered inside their part from the part's offset, so no task
-holds a shard. Equal rows get slots of their own. A null text has no bytes; a null key hashes as
+shard by a hash of key, text and the partition they were read in, counted, and numbered inside
+their part from the part's offset, so no task holds a shard, or all rows of one key. The parts are
+written before they are counted, so slots hold. Equal rows get slots of their own. A null text has no bytes; a null key hashes as
 a string of its own. Extra columns are ignored.
 """
 
@@ -44,7 +45,7 @@ def shard(docs: DataFrame, weights: dict[int, float], extra: dict[int, float], k
         F.crc32(raw).alias("text_crc32"),
         rendezvous(key, weights).alias("now"),
         rendezvous(key, extra).alias("new"),
-        F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(key, raw, F.spark_partition_id()), F.lit(PARTS)).cast("int").alias("part"),
     ).select("doc_id", "size", "text_crc32", F.col("now.shard").alias("shard"), F.least("now", "new")["shard"].alias("grown_shard"), "part")
     rows = stored(rows, "shards")
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))

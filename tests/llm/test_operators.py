@@ -238,6 +238,17 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """More languages, rows and equal rows than the sample holds: the most frequent languages are learnt."""
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    words = {"a": ["the", "of", "and"], "b": ["der", "und", "das"], "c": ["que", "los", "una"]}
+    texts = [(i, " ".join(words["abc"[k]] * 4) + (f" w{i}" if i % 3 else "")) for k, n in enumerate((300, 200, 20)) for i in range(1000 * k, 1000 * k + n)]
+    docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 1000, "a").when(F.col("doc_id") < 2000, "b").otherwise("c"))
+    got = langid.identify(docs.union(docs), per_language=40).collect()
+    assert len(got) == 1040 and {x["lang_pred"] for x in got} == {"a", "b"}
+    assert all(x["lang_pred"] == "ab"[x["doc_id"] // 1000] for x in got if x["doc_id"] < 2000)
+
+
 # op5
 def near_brute(texts, size, percent=80):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -348,6 +359,13 @@ def test_sharding_edges(spark):
     assert sharding.shard(docs_of(spark, HARD).limit(0), {0: 1.0}, {1: 1.0}).count() == 0
 
 
+def test_sharding_of_one_key(spark):
+    """A key that holds most rows is numbered in several parts."""
+    df = spark.range(0, 4000, 1, 16).selectExpr("1L AS doc_id", "concat('t', id % 5) AS text")
+    rows = sharding.shard(df, {0: 1.0, 1: 1.0}, {2: 1.0}).collect()
+    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(4000))
+
+
 # op7
 @pytest.mark.parametrize(
     ("page", "text"),
