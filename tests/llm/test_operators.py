@@ -634,11 +634,44 @@ def test_top_k_by_brute_force(spark):
     for x in topk.top_k(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     whole = np.floor(64 * vectors.astype(np.float64)).astype(np.int64)
+    whole = np.concatenate([whole, whole[40:41]])  # the repeated row is a query and a candidate
+    ids = [*range(700), 40]
     score = whole @ whole.T
     assert set(got) == set(range(0, 700, 20))
-    for q in got:
-        want = sorted(((-score[q, v], v) for v in range(700) if v != q))[:20]
-        assert sorted(got[q]) == [(k + 1, v, -s) for k, (s, v) in enumerate(want)]
+    want = {}
+    for q, i in enumerate(ids):
+        if i % 20 == 0:
+            want.setdefault(i, []).extend((k + 1, v, -s) for k, (s, v) in enumerate(sorted((-score[q, c], ids[c]) for c in range(701) if c != q)[:20]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
+@pytest.mark.parametrize(("cells", "scale"), [(256, 64), (4, 64), (16, 10**7), (256, 10**15)])
+def test_top_k_over_many_blocks(spark, monkeypatch, cells, scale):
+    """Many blocks of queries and vectors, coarse cells, and sums beyond exact doubles or a long."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "CELLS", cells)
+    vectors = np.random.default_rng(7).normal(0, 30 if scale > 10**10 else 0.3, (500, 12))
+    vectors[::9] = np.round(vectors[::9], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in topk.top_k(df, F.col("vec_id") % 20 == 0, scale=scale).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = [[math.floor(x * float(scale)) for x in v] for v in vectors.tolist()]
+    for q in range(0, 500, 20):
+        scores = [(-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q]
+        assert sorted(got[q]) == [(k + 1, i, min(-s, 2**63 - 1)) for k, (s, i) in enumerate(sorted(scores)[:20])]
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(3)
+    for size in (3, 1000, 10**12):
+        v = r.integers(-size, size, (200, 9))
+        low, width = v.min(0).astype(float), np.maximum(1, np.ceil((v.max(0) - v.min(0) + 1) / topk.CELLS)).astype(float)
+        cells = np.clip(np.floor((v - low) / width), 0, topk.CELLS - 1).astype(np.uint8)
+        upper, lower = topk.bounds(v[:20].astype(float), cells, low, width)
+        exact = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in v[:20]]
+        assert all(lower[i, j] <= exact[i][j] <= upper[i, j] for i in range(20) for j in range(200))
 
 
 def test_top_k_edges(spark):
