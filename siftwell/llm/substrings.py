@@ -18,15 +18,23 @@ Plan
    there), and what step 4 has not covered is returned as well. From ``SEED + WINDOW - 1`` words
    on, every exact repeat of ``min_words`` words lies in a returned passage.
 
-Words are runs of non-space characters, A-Z lower-cased. The first document of a passage keeps
-it; repeats inside one document are left alone. Null doc_ids are neither matched nor changed;
-null, empty and short texts have no passage; rows of one doc_id are never matched with each
-other. Extra columns are ignored by ``repeats`` and kept by ``remove_repeats``.
+A seed that holds more than its share of a task (a very common line) does not meet in one task: the
+seeds that a sample of documents shows to be that heavy, at most ``HEAVY`` for each task, get their
+exact anchors from a pass of their own, and their occurrences are matched where they are read. The
+sample decides where work is done, never what is found.
+
+Words are runs of non-space characters, A-Z lower-cased; alignment compares 32-bit hashes of them.
+The first document of a passage keeps it; repeats inside one document are left alone. Null doc_ids
+are neither matched nor changed; null, empty and short texts have no passage. Rows that share a
+doc_id but not a text are documents of their own, matched and cut by their own text: the one
+of the least text hash stands where its doc_id says, the others after all documents. Equal rows are
+one document. Extra columns are ignored by ``repeats`` and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,6 +49,8 @@ SEED, WINDOW, RATE, TILE = 4, 12, 4, 64
 #: Words sketched on each side of a seed, how many must agree on one side, and the span from which a chain needs no sketch.
 SIDE, AGREE, SURE = 16, 10, 16
 GAP_COST = 0.1
+#: Documents sampled for heavy seeds (and for each task), and heavy seeds for each task.
+SAMPLED, PER_TASK, HEAVY = 4000, 20, 4
 MATCH, MISMATCH, DROP = 1, 3, 12
 
 
@@ -78,37 +88,134 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.bitwise_count(same & half), np.bitwise_count(same >> np.uint64(2 * SIDE))) >= AGREE
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, seed, pos, sketch: the chosen seeds of every document."""
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``docs`` with a long ``row id`` that tells texts apart; (doc_id, text) by row id, each once; (row id, doc_id) where the two differ.
+
+    The row id is the doc_id, but for rows whose doc_id has other texts as well: all texts but one of
+    such an id get numbers beyond all doc_ids. Only rows of repeated doc_ids are shuffled.
+    """
+    key = F.col("doc_id").cast("long")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marks = {"mark one": F.xxhash64("text"), "mark two": F.hash("text").cast("long")}
+    known = docs.select(key.alias("id"), *(x.alias(c) for c, x in marks.items())).where("id is not null")
+    differ = F.lit(False)
+    for c in marks:
+        differ = differ | (F.min(c) != F.max(c))
+    repeated = stored(known.groupBy("id").agg(F.count(F.lit(1)).alias("n"), differ.alias("several")).where("n > 1").select("id", "several"), "repeats-ids")
+    whole = [F.col("row id").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if repeated.isEmpty():
+        rows = docs.withColumn("row id", key)
+        return rows, rows.where("`row id` is not null").select(*whole), None
+    rows = flagged(docs, "doc_id", repeated, "id", "maybe repeated")
+    once, more = rows.where(~F.col("maybe repeated")).select(*columns, key.alias("row id")), rows.where(F.col("maybe repeated"))
+    several = repeated.where("several").select("id")
+    others = None
+    if several.isEmpty():
+        more = more.select(*columns, key.alias("row id"))
+    else:
+        low, high = docs.agg(F.min(key), F.max(key)).first()
+        number = F.monotonically_increasing_id()
+        if high < 1 << 61:
+            number = number + F.lit(max(high, 0) + 1)
+        elif low > -(1 << 61):
+            number = F.lit(min(low, 0) - 1) - number
+        else:
+            raise ValueError("doc_ids leave no room for numbers beyond them")
+        place = F.row_number().over(Window.partitionBy("id").orderBy(*marks))
+        texts = known.join(several, "id", "left_semi").distinct().withColumn("place", place).where("place > 1")
+        others = stored(texts.select(F.col("id").alias("other id"), *(F.col(c).alias(f"other {c}") for c in marks), number.alias("other row")), "repeats-others")
+        same = key == F.col("other id")
+        for c, x in marks.items():
+            same = same & (x == F.col(f"other {c}"))
+        more = more.join(others, same, "left").select(*columns, F.coalesce("other row", key).alias("row id"))
+        others = others.select(F.col("other row").alias("row id"), F.col("other id").alias("doc_id"))
+    each = more.groupBy("row id").agg(F.first("text").alias("text"))
+    return once.union(more), once.where("`row id` is not null").select(*whole).union(each.select(*whole)), others
+
+
+def chosen_seeds(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash, position and sketch of the chosen seeds of a block."""
+    found = K.words(block, K.SPACE_WORDS)
+    begin = np.arange(max(0, len(found.begin) - SEED + 1))
+    text = np.searchsorted(found.at, begin, "right") - 1
+    begin, text = (x[begin + SEED <= found.at[text + 1]] for x in (begin, text))
+    hashes = K.run_hashes(found.hashes, begin, SEED)
+    chosen = hashes < np.uint64((1 << 64) // RATE)
+    chosen[minimisers(hashes, text)] = True
+    at = np.flatnonzero(chosen)
+    return text[at], hashes[at].view(np.int64), (begin[at] - found.at[text[at]]).astype(np.int32), sketches(found, begin[at], text[at]).view(np.int64)
+
+
+@dataclass
+class Anchors:
+    """First occurrences of the heavy seeds, sorted by seed."""
+
+    seed: np.ndarray
+    doc: np.ndarray
+    pos: np.ndarray
+    sketch: np.ndarray
+
+    def find(self, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each seed, and whether it is there."""
+        if not len(self.seed):
+            return np.zeros(len(seed), np.int64), np.zeros(len(seed), bool)
+        at = np.minimum(np.searchsorted(self.seed, seed), len(self.seed) - 1)
+        return at, self.seed[at] == seed
+
+
+def heavy_anchors(texts: DataFrame, parts: int) -> Anchors:
+    """Exact anchors of the seeds that hold more than a share of 1 / (``HEAVY`` * parts) of a sample's seeds."""
+    n = texts.count()
+    share = min(1.0, max(SAMPLED, PER_TASK * parts) / max(1, n))
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("heavy seeds")), F.lit(1 << 30)) < share * float(1 << 30))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in K.blocks(batches):
+            seed, count = np.unique(chosen_seeds(block)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(count)], names=["seed", "n"])
+
+    counts = stored(some.mapInArrow(listed, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "repeats-sample")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where((F.col("n") > total / (HEAVY * parts)) & (F.col("n") > 16)).select("seed").toPandas()  # HEAVY * parts at most
+    if heavy.empty:
+        return Anchors(*(np.zeros(0, np.int64) for _ in range(4)))
+    wanted = np.sort(heavy["seed"].to_numpy(np.int64))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in K.blocks(batches):
+            text, seed, pos, sketch = chosen_seeds(block)
+            mine = np.flatnonzero(np.isin(seed, wanted))
+            doc = block.batch.column(0).to_numpy(zero_copy_only=False)[text[mine]]
+            order = np.lexsort((pos[mine], doc, seed[mine]))
+            first = order[np.append(True, seed[mine][order][1:] != seed[mine][order][:-1])] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[mine][first], doc[first], pos[mine][first], sketch[mine][first])], names=["seed", "doc", "pos", "sketch"])
+
+    found = texts.mapInArrow(firsts, "seed long, doc long, pos int, sketch long").groupBy("seed").agg(F.min(F.struct("doc", "pos", "sketch")).alias("a")).select("seed", "a.*").toPandas().sort_values("seed")
+    return Anchors(*(found[c].to_numpy(np.int64) for c in ("seed", "doc", "pos", "sketch")))
+
+
+def seeds(texts: DataFrame, anchors: Anchors) -> DataFrame:
+    """doc_id, seed, pos, sketch, and of heavy seeds the anchor: the chosen seeds of every document."""
+    shared = texts.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in K.blocks(batches):
-            found = K.words(block, K.SPACE_WORDS)
-            begin = np.arange(max(0, len(found.begin) - SEED + 1))
-            text = np.searchsorted(found.at, begin, "right") - 1
-            begin, text = (x[begin + SEED <= found.at[text + 1]] for x in (begin, text))
-            hashes = K.run_hashes(found.hashes, begin, SEED)
-            chosen = hashes < np.uint64((1 << 64) // RATE)
-            chosen[minimisers(hashes, text)] = True
-            at = np.flatnonzero(chosen)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.batch.column(0).take(pa.array(text[at])),
-                    pa.array(hashes[at].view(np.int64)),
-                    pa.array((begin[at] - found.at[text[at]]).astype(np.int32)),
-                    pa.array(sketches(found, begin[at], text[at]).view(np.int64)),
-                ],
-                names=["doc_id", "seed", "pos", "sketch"],
-            )
+            text, seed, pos, sketch = chosen_seeds(block)
+            at, heavy = shared.value.find(seed)
+            given = [np.where(heavy, x[at] if len(x) else 0, 0) for x in (shared.value.doc, shared.value.pos, shared.value.sketch)]
+            yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(text)), *map(pa.array, (seed, pos, sketch, heavy, given[0], given[1].astype(np.int32), given[2]))], names=list(SEED_ROW))
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, seed long, pos int, sketch long")
+    return texts.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in SEED_ROW.items()))
+
+
+SEED_ROW = {"doc_id": "long", "seed": "long", "pos": "int", "sketch": "long", "heavy": "boolean", "anchor_id": "long", "anchor_pos": "int", "anchor_sketch": "long"}
 
 
 def anchored(found: DataFrame, parts: int) -> DataFrame:
     """doc_id, anchor_id, pos, anchor_pos, near: every occurrence of the seeds of two or more documents.
 
     Rows come sorted by seed, so a task holds a batch and one document's occurrences of one seed.
+    Heavy seeds are dealt by document and keep the anchor they bring.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,22 +225,24 @@ def anchored(found: DataFrame, parts: int) -> DataFrame:
                 continue
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            doc, seed, pos, sketch = rows
+            doc, seed, pos, sketch, heavy, given_id, given_pos, given_sketch = rows
             begin = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
             end = np.append(begin[1:], len(seed))
-            several = doc[begin] != doc[end - 1]
+            several = (doc[begin] != doc[end - 1]) | heavy[begin]
             first, shown = np.repeat(begin, end - begin), np.repeat(several, end - begin)
             shown[:done] = False
             here = np.flatnonzero(shown)
-            at = first[here]
+            at, own = first[here], heavy[here]
+            anchor, place, near = (np.where(own, x[here], y[at]) for x, y in ((given_id, doc), (given_pos, pos), (given_sketch, sketch)))
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (doc[here], doc[at], pos[here], pos[at], alike(sketch[here].view(np.uint64), sketch[at].view(np.uint64))))],
+                [*map(pa.array, (doc[here], anchor, pos[here], place.astype(np.int32), alike(sketch[here].view(np.uint64), near.view(np.uint64))))],
                 names=["doc_id", "anchor_id", "pos", "anchor_pos", "near"],
             )
             last, done = begin[-1], int(several[-1])
             held = [x[last : last + 1] if done else x[last:] for x in rows]
 
-    found = found.repartition(parts, "seed").sortWithinPartitions("seed", "doc_id", "pos")
+    dealt = F.when(F.col("heavy"), F.xxhash64("doc_id")).otherwise(F.col("seed"))
+    found = found.withColumn("dealt", dealt).repartition(parts, "dealt").sortWithinPartitions("seed", "doc_id", "pos").drop("dealt")
     return found.mapInArrow(run, "doc_id long, anchor_id long, pos int, anchor_pos int, near boolean")
 
 
@@ -227,7 +336,7 @@ def chains(matches: DataFrame, min_words: int) -> DataFrame:
     return matches.mapInPandas(run, "doc_id long, anchor_id long, pos array<int>, anchor_pos array<int>")
 
 
-def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def tiles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, tile, words: 32-bit word hashes of the documents in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +349,7 @@ def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     text.append(i), number.append(k), part.append(small[s : min(s + TILE, b)].tobytes())
             yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(text, pa.int64())), pa.array(number, pa.int32()), pa.array(part, pa.binary())], names=["doc_id", "tile", "words"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return flagged(source, "doc_id", wanted, "doc_id", "wanted").where("wanted").drop("wanted").mapInArrow(run, "doc_id long, tile int, words binary")
+    return flagged(texts, "doc_id", wanted, "doc_id", "wanted").where("wanted").drop("wanted").mapInArrow(run, "doc_id long, tile int, words binary")
 
 
 def extend(equal: np.ndarray) -> int:
@@ -320,7 +428,7 @@ def widened(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int, int],
 
 
 def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
-    """Align each chain; ``parts`` holds its tiles in order of (chain, side, tile)."""
+    """Align each chain; ``parts`` holds the chain and then its tiles in order of (chain, side, tile)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
@@ -331,9 +439,9 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
                 return
             head = rows[0]
             sides = {}
-            for r in rows:  # a repeated row gives a tile twice
+            for r in rows[1:]:  # a repeated row gives a tile twice
                 sides.setdefault(r.side, {}).setdefault(r.tile, r.words)
-            if len(sides) < 2:
+            if head.side >= 0 or len(sides) < 2:
                 return
             a, b = (np.frombuffer(b"".join(w for _, w in sorted(sides[s].items())), np.uint32) for s in (0, 1))
             a0, b0 = (min(sides[s]) * TILE for s in (0, 1))
@@ -345,7 +453,7 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
                 begin, end, abegin, aend, equal = widened(a, b, span, min_words, identity)
                 if end - begin < min_words or equal < identity * max(end - begin, aend - abegin) - 1e-9:
                     continue
-                out.append((head.doc_id, head.anchor_id, begin + a0, end + a0, abegin + b0, aend + b0, equal))
+                out.append((int(head.doc_id), int(head.anchor_id), begin + a0, end + a0, abegin + b0, aend + b0, equal))
 
         names = ["doc_id", "anchor_id", "word", "end_word", "anchor_word", "anchor_end_word", "equal_words"]
         for frame in frames:
@@ -381,7 +489,7 @@ def candidates(known: DataFrame, min_words: int) -> DataFrame:
 
 
 def windows(parts: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, pos, hash, nth, open: the windows of each document's ranges; ``parts`` holds tiles in order of (of, tile).
+    """doc_id, pos, hash, nth, open: the windows of each document's ranges; ``parts`` holds them and then tiles in order of (of, tile).
 
     ``nth`` counts equal windows of a document; a window is open if it may repeat an earlier
     document and lies in none of the ``spans`` found so far.
@@ -389,9 +497,11 @@ def windows(parts: DataFrame, min_words: int) -> DataFrame:
 
     def of_document(rows: list) -> pd.DataFrame | None:
         words: dict[int, bytes] = {}
-        for r in rows:  # a repeated row gives a tile twice
+        for r in rows[1:]:  # a repeated row gives a tile twice
             words.setdefault(r.tile, r.words)
         head, at, hashes = rows[0], [], []
+        if head.tile >= 0:
+            return None
         for low, high in zip(head.low, head.high, strict=True):
             tile, run = low // TILE, []
             while tile in words and tile * TILE < high:
@@ -436,7 +546,7 @@ def exact(ranges: DataFrame, similar: DataFrame, words: DataFrame, parts: int, m
     needed = ranges.select(F.col("doc_id").alias("of"), F.explode(F.arrays_zip("low", "high")).alias("r")).select("of", "r.low", "r.high").select("of", tile.alias("tile")).distinct()
     spans = similar.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("word", "end_word")).alias("spans"))
     held = ranges.withColumnRenamed("doc_id", "of").join(spans, "of", "left")
-    pieces = needed.join(words, ["of", "tile"]).join(held, "of").repartition(parts, "of").sortWithinPartitions("of", "tile")
+    pieces = headed(held.withColumn("tile", F.lit(-1)), needed.join(words, ["of", "tile"])).repartition(parts, "of").sortWithinPartitions("of", "tile")
     found = stored(windows(pieces, min_words), "repeats-windows")
     left = found.where("open").select("doc_id", "pos", "hash", "nth")
     # only windows that may equal an open one are grouped; the first of each (hash, nth) is made before the join
@@ -451,10 +561,15 @@ def exact(ranges: DataFrame, similar: DataFrame, words: DataFrame, parts: int, m
     return runs.select("doc_id", "anchor_id", "word", end.alias("end_word"), (F.col("word") + F.col("diagonal")).alias("anchor_word"), (end + F.col("diagonal")).alias("anchor_end_word"), (end - F.col("word")).alias("equal_words"))
 
 
-def repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
-    """doc_id, anchor_id, word, end_word, anchor_word, anchor_end_word, equal_words: repeated passages."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = stored(anchored(seeds(docs), parts), "repeats-seeds")
+def headed(heads: DataFrame, tiles: DataFrame) -> DataFrame:
+    """One table of heads and of tiles that follow them: what a head holds is not repeated on its tiles."""
+    return heads.unionByName(tiles, allowMissingColumns=True)
+
+
+def found_in(texts: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """``repeats`` of (doc_id, text) whose ids tell texts apart."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stored(anchored(seeds(texts, heavy_anchors(texts, parts)), parts), "repeats-seeds")
     matches = known.where("doc_id != anchor_id")
     matches = matches.repartition(parts, "doc_id", "anchor_id").sortWithinPartitions("doc_id", "anchor_id", "pos", "anchor_pos")
     found_chains = chains(matches, min_words).withColumn("chain", F.concat_ws(":", "doc_id", "anchor_id", F.element_at("pos", 1), F.element_at("anchor_pos", 1)))
@@ -468,21 +583,36 @@ def repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Data
     needed = here.union(there)
     ranges = stored(candidates(known, min_words), "repeats-ranges")
     wanted = found_chains.select("doc_id").union(found_chains.select(F.col("anchor_id").alias("doc_id"))).union(ranges.select("doc_id")).distinct()
-    words = tiles(docs, wanted).select(F.col("doc_id").alias("of"), "tile", "words")
-    pieces = needed.join(words, ["of", "tile"]).select("chain", "side", "tile", "words")
-    joined = pieces.join(found_chains, "chain").repartition(parts, "chain").sortWithinPartitions("chain", "side", "tile")
+    words = tiles(texts, stored(wanted, "repeats-wanted")).select(F.col("doc_id").alias("of"), "tile", "words")
+    heads = found_chains.select("chain", F.lit(-1).alias("side"), F.lit(-1).alias("tile"), "doc_id", "anchor_id", "pos", "anchor_pos")
+    none = F.lit(0).cast("long")  # no nulls, so that ids stay whole numbers in pandas
+    pieces = headed(heads, needed.join(words, ["of", "tile"]).select("chain", "side", "tile", "words", none.alias("doc_id"), none.alias("anchor_id")))
+    joined = pieces.repartition(parts, "chain").sortWithinPartitions("chain", "side", "tile")
     similar = stored(aligned(joined, min_words, identity).distinct(), "repeats-aligned")
     return similar.union(exact(ranges, similar, words, parts, min_words))
 
 
+def repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
+    """doc_id, anchor_id, word, end_word, anchor_word, anchor_end_word, equal_words: repeated passages."""
+    _, texts, others = apart(docs.select("doc_id", "text"))
+    found = found_in(texts, min_words, identity)
+    columns = found.columns
+    for column in ("doc_id", "anchor_id") if others is not None else ():
+        own = others.select(F.col("row id").alias("other row"), F.col("doc_id").alias("other id"))
+        found = found.join(own, F.col(column) == F.col("other row"), "left").withColumn(column, F.coalesce("other id", column)).select(*columns)
+    return found
+
+
 def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """All documents with their columns; repeated passages are cut out of all but their first document.
 
     Documents without a repeat keep their text byte for byte and are not shuffled.
     """
-    spans = stored(repeats(docs, min_words, identity).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "end_word"))).alias("hit spans")).withColumnRenamed("doc_id", "hit id"), "repeats-spans")
-    rows = flagged(docs, "doc_id", spans, "hit id", "maybe hit")
-    touched = rows.where(F.col("maybe hit")).join(spans, F.col("doc_id").cast("long") == F.col("hit id"), "left")
+    own, texts, _ = apart(docs)
+    spans = found_in(texts, min_words, identity).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "end_word"))).alias("hit spans"))
+    spans = stored(spans.withColumnRenamed("doc_id", "hit id"), "repeats-spans")
+    rows = flagged(own, "row id", spans, "hit id", "maybe hit")
+    touched = rows.where(F.col("maybe hit")).join(spans, F.col("row id") == F.col("hit id"), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

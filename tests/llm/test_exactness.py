@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from test_operators import PATH, VOCAB, docs_of, near_brute, prose
 
-from siftwell.llm import bpe, minhash
+from siftwell.llm import bpe, decontaminate, minhash, substrings
 from siftwell.llm import kernels as K
 
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
@@ -99,3 +100,53 @@ def test_near_duplicates_of_long_chains(spark, monkeypatch, stars):
     want = {i: c for i, (_, c) in near_brute(texts[:-1], 4).items()}
     assert {i: c for i, c in got.items() if i is not None} == want
     assert got[None] == want[texts[30][0]]
+
+
+# op9
+def test_heavy_seeds_change_nothing(spark, monkeypatch):
+    """A passage that most documents share: its seeds keep their anchors where they are read."""
+    r = random.Random(31)
+    line, passage = prose(9, r), prose(70, r)
+    texts = [(i, " ".join([prose(r.randint(5, 90), r), passage if i % 3 else line, prose(r.randint(5, 90), r), line])) for i in range(120)]
+    docs = docs_of(spark, texts)
+    monkeypatch.setattr(substrings, "HEAVY", 400)
+    heavy = substrings.heavy_anchors(docs.select("doc_id", "text"), 4)
+    assert len(heavy.seed) > 3
+    one = substrings.repeats(docs).collect()
+    monkeypatch.setattr(substrings, "HEAVY", 1e-9)
+    assert len(substrings.heavy_anchors(docs.select("doc_id", "text"), 4).seed) == 0
+    assert Counter(substrings.repeats(docs).collect()) == Counter(one)
+    assert {x["doc_id"] for x in one} == {i for i, _ in texts if i % 3 and i != 1}
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    """Each row is matched and cut by its own text; equal rows are one document; null ids are left alone."""
+    r = random.Random(41)
+    passage, clean = prose(80, r), prose(120, r)
+    source, hit = prose(30, r) + " " + passage, passage + " " + prose(40, r)
+    big = 1 << 60
+    texts = [(1, source), (7, hit), (7, clean), (7, clean), (8, prose(30, r)), (None, hit), (big + 1, clean + " tail"), (big + 1, hit + " end"), (big + 2, "")]
+    for rows in (texts, [(None if i is None else -i, t) for i, t in texts]):
+        docs = docs_of(spark, rows)
+        out = substrings.remove_repeats(docs)
+        assert out.columns == docs.columns
+        left = Counter((x["doc_id"], x["text"]) for x in out.collect())
+        assert sum(left.values()) == len(rows)
+        assert all(left[i, t] == 1 for i, t in rows if i is None or t == "" or abs(i) == 8)
+        # one row of each repeated passage keeps it, and nothing else is lost
+        held = [t for (i, t), n in left.items() for _ in range(n) if i is not None and passage in (t or "")]
+        assert len(held) == 1
+        whole = [t for (i, t), n in left.items() for _ in range(n) if clean in (t or "")]
+        assert len(whole) in (1, 2)
+    plain = docs_of(spark, [(7, hit), (7, clean), (1, source)])
+    assert Counter((x["doc_id"], x["text"].strip()) for x in substrings.remove_repeats(plain).collect()) == Counter([(7, hit.removeprefix(passage).strip()), (7, clean), (1, source)])
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    r = random.Random(42)
+    item, clean = prose(12, r), prose(60, r)
+    docs = docs_of(spark, [(7, f"a {item} b"), (7, clean), (None, f"{item} c"), (None, clean)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (100, 0):
+        assert Counter((x["doc_id"], x["text"]) for x in decontaminate.remove_spans(docs, bench, most=most).collect()) == Counter([(7, "a  b"), (7, clean), (None, " c"), (None, clean)])
+        assert Counter((x["doc_id"], x["text"]) for x in decontaminate.drop_contaminated(docs, bench, most=most).collect()) == Counter([(7, clean), (None, clean)])
