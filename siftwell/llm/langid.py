@@ -2,7 +2,7 @@
 
 Texts are lower-cased, runs of non-letters become one blank, and n-grams of 1 to 3 characters
 are hashed into ``SIZE`` buckets. Document frequencies are counted over every training document.
-The weights are learnt by FTRL with elastic net on a bounded sample: at most ``PER_LANGUAGE`` rows of
+The weights are learnt by FTRL with elastic net on a bounded sample: about ``PER_LANGUAGE`` rows of
 each language and ``SAMPLE`` in all, drawn by a hash of the row, equal rows once, from the
 ``LANGUAGES`` languages of the most rows (rarer ones are not learnt). Features are made before the
 rows meet in the training task, so a row brings a bounded share whatever its text. A fifth of
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import linear
@@ -150,13 +150,10 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
     most = min(per_language, SAMPLE // len(per))
     total, n = frequencies(known)
     idf = np.log((1 + n) / (1 + total)) + 1
-    # twice the share by hash, then exactly the first of each language
     label = F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)))
-    share = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], min(1.0, 2 * most / r["count"]))))
+    share = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], min(1.0, most / r["count"]))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = known.where(draw < share[F.col("lang")] * float(1 << 30)).select("text", label[F.col("lang")].alias("label"), draw.alias("fold")).dropDuplicates(["label", "fold"])
-    place = F.row_number().over(Window.partitionBy("label").orderBy("fold"))
-    sample = some.withColumn("place", place).where(F.col("place") <= most).select("text", "label", "fold")
+    sample = known.where(draw < share[F.col("lang")] * float(1 << 30)).select("text", label[F.col("lang")].alias("label"), draw.alias("fold")).dropDuplicates(["label", "fold"])
     weights, heat = train(sample, languages, idf)
     model = docs.sparkSession.sparkContext.broadcast((weights, heat, idf, languages))  # SIZE numbers a language, LANGUAGES at most
 
