@@ -1,272 +1,80 @@
-"""Vectorised helpers where text must be decoded, parsed or excerpted."""
+"""Decoding of file contents: unpacking and a table of encoding detectors."""
 
 from __future__ import annotations
 
 import bz2
 import codecs
 import gzip
-import html
 import re
-from collections.abc import Callable
-from html.parser import HTMLParser
-from urllib.parse import urldefrag
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-CHARSET = re.compile(rb'charset=[\s"]*([^\s"]+)', re.I)
-DECLARED = re.compile(rb"^<\?xml version=\S*\s*encoding=(\S*)\s*\?>", re.I)
-LATIN1 = {"iso8859-1", "iso-latin1", "iso-latin-1", "latin-1", "latin1"}
-MOST_EXCERPTS, EXCERPT_CHARS = 5, 70
-#: Where pages hold links.
-LINK_PLACES = {("img", "src"), ("a", "href"), ("frame", "src"), ("link", "href"), ("script", "src"), ("table", "background"), ("body", "background"), ("area", "href")}
+#: Byte order marks, longer ones before those they begin with.
+MARKS = [(codecs.BOM_UTF32_LE, "UTF-32"), (codecs.BOM_UTF32_BE, "UTF-32"), (codecs.BOM_UTF8, "UTF-8"), (codecs.BOM_UTF16_LE, "UTF-16"), (codecs.BOM_UTF16_BE, "UTF-16")]
+META = re.compile(rb"""\bcharset\s*=\s*["']?\s*([-\w.:+]+)""", re.I)
+XML_HEAD = re.compile(rb"""\s*<\?xml\b([^>]*)""", re.I)
+XML_ENCODING = re.compile(rb"""\bencoding\s*=\s*["']([-\w.:+]+)""", re.I)
+LATIN1 = "ISO-8859-1"
+UNPACKERS = {".gz": gzip.decompress, ".bz2": bz2.decompress}
 
 
-def guess_encoding(content: bytes, is_html: bool) -> str:
-    """By byte order mark, HTML charset, XML declaration, then UTF-8 if it decodes, else Latin-1."""
-    if content[:4] in (codecs.BOM_UTF32_BE, codecs.BOM_UTF32_LE):
-        return "UTF-32"
-    if content[:2] in (codecs.BOM_UTF16_BE, codecs.BOM_UTF16_LE):
-        return "UTF-16"
-    if content[:3] == codecs.BOM_UTF8:
-        return "UTF-8"
-    if is_html and (m := CHARSET.search(content)):
-        name = m[1].decode("ascii", "ignore")
-        return "ISO-8859-1" if name.lower() in LATIN1 else name
-    if content.lstrip().startswith(b"<?xml"):
-        m = DECLARED.match(content)
-        return m[1][1:-1].decode("ascii", "ignore").upper() if m else "UTF-8"
-    try:
-        content.decode("utf-8")
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
-    return "UTF-8"
-
-
-def unpacked(content: bytes, path: str) -> bytes:
-    if path.endswith(".gz"):
-        return gzip.decompress(content)
-    return bz2.decompress(content) if path.endswith(".bz2") else content
-
-
-def strings(*names: str) -> Y.StructType:
-    """A struct of strings; types as objects, so that no session is needed on import."""
-    return Y.StructType([Y.StructField(n, Y.StringType()) for n in names])
-
-
-@F.pandas_udf(strings("encoding", "text", "error"))
-def decode_text(content: pd.Series, path: pd.Series) -> pd.DataFrame:
-    """Encoding and text of file contents; a broken file gives an error and no text."""
-    out = []
-    for raw, name in zip(content, path, strict=True):
-        if raw is None:
-            out.append((None, None, None))
-            continue
-        try:
-            data = unpacked(bytes(raw), name or "")
-            bare = re.sub(r"\.(gz|bz2)$", "", name or "")
-            encoding = guess_encoding(data, bare.endswith((".html", ".htm")))
-            text = data.decode(encoding, "ignore")
-            out.append((encoding, text.removeprefix("﻿"), None))
-        except (OSError, EOFError, LookupError, ValueError) as e:
-            out.append((None, None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(out, columns=["encoding", "text", "error"])
-
-
-class PageParser(HTMLParser):
-    """Title, body text and links; entities are dropped. An end tag leaves a blank piece."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.title, self.pieces, self.links = "", [], []
-        self.in_title = self.in_body = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title":
-            self.in_title = True
-        elif tag == "a":
-            if href := dict(attrs).get("href"):
-                self.links.append(href)
-        elif tag == "body":
-            self.in_body = True
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        self.pieces.append(" ")
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data
-        elif self.in_body:
-            self.pieces.append(data)
-
-
-class CleanParser(HTMLParser):
-    """Clean text without scripts and styles, title or first 60 characters, distinct links without fragments."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.open, self.title, self.pieces, self.links = [], None, [], {}
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.open.insert(0, tag)
-        for name, value in attrs:
-            if (tag, name) in LINK_PLACES:
-                try:
-                    self.links.setdefault(urldefrag(value or "")[0])
-                except ValueError:
-                    self.links.setdefault(value)
+def by_mark(content: bytes, is_html: bool) -> str | None:
+    return next((name for mark, name in MARKS if content.startswith(mark)), None)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        pass
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.open:
-            del self.open[: self.open.index(tag) + 1]
+def by_meta(content: bytes, is_html: bool) -> str | None:
+    named = META.search(content) if is_html else None
+    if not named:
+        return None
+    name = named[1].decode("ascii", "ignore")
+    bare = "".join(c for c in name.lower() if c.isalnum())
+    return LATIN1 if bare in ("latin1", "isolatin1", "iso88591") else name
 
-    def handle_data(self, data: str) -> None:
-        if not self.open:
-            return
-        if self.open[0] == "title":
-            self.title = html.unescape(data)
-        elif self.open[0] not in ("style", "script"):
-            self.pieces.append(html.unescape(" ".join(data.split())))
 
+def by_declaration(content: bytes, is_html: bool) -> str | None:
+    head = XML_HEAD.match(content)
+    if not head:
+        return None
+    named = XML_ENCODING.search(head[1])
+    return named[1].decode("ascii", "ignore").upper() if named else "UTF-8"
 
-def parse_page(page: str) -> tuple[str, str, list[str]]:
-    parser = PageParser()
-    parser.feed(page)
-    parser.close()
-    return parser.title, "\n".join(parser.pieces), parser.links
 
-
-def parse_clean(page: str) -> tuple[str, str, list[str]]:
-    parser = CleanParser()
-    parser.feed(page)
-    parser.close()
-    text = " ".join(" ".join(parser.pieces).split())
-    return parser.title or (text if len(text) < 60 else text[:60] + "..."), text, list(parser.links)
-
-
-def page_udf(parse: Callable[[str], tuple]):
-    @F.pandas_udf(strings("title", "text").add("links", Y.ArrayType(Y.StringType())))
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None, None) if p is None else parse(p) for p in pages], columns=["title", "text", "links"])
-
-    return run
-
-
-extract_html = page_udf(parse_page)
-extract_html_clean = page_udf(parse_clean)
-
-
-def bold(text: str, words: list[str]) -> str:
-    return re.sub("|".join(words), lambda m: f"<b>{m[0]}</b>", text, flags=re.I) if words else text
-
-
-def backed(text: str, end: int) -> int:
-    while end > 0 and text[end].isalpha():
-        end -= 1
-    return end
-
-
-def excerpt_places(text: str, words: list[str]) -> list[tuple[str, int]]:
-    """At most five word occurrences, dropping the most frequent word's ones for new words."""
-    kept: list[tuple[str, int]] = []
-    seen: dict[str, int] = {}
-    for m in re.finditer("|".join(rf"\W{w}\W" for w in words), text, re.I | re.A):
-        found = m[0]
-        if len(kept) >= MOST_EXCERPTS:
-            most = max(seen.values(), default=0)
-            if seen.get(found) == most:
-                continue
-            for i in range(len(kept) - 1, 0, -1):
-                word = kept[i][0]
-                if seen.get(word) == most:
-                    seen[word] -= 1
-                    if not seen[word]:
-                        del seen[word]
-                    del kept[i]
-        seen[found] = seen.get(found, 0) + 1
-        kept.append((found, m.start()))
-        if len(seen) >= MOST_EXCERPTS or (len(seen) == len(words) and len(kept) == MOST_EXCERPTS):
-            break
-    return kept
-
-
-def abstract(text: str, words: list[str]) -> str:
-    """Snippets around word occurrences, near ones merged, words in bold."""
-    text = re.sub("<.*?>", "", text)
-    places, half = excerpt_places(text, words) if words else [], EXCERPT_CHARS // 2
-    if not places:
-        return text[: backed(text, 200)] + " <b>...</b>" if len(text) > 200 else text
-    groups: list[list[tuple[str, int]]] = []
-    for word, at in places:
-        if groups and at - groups[-1][-1][1] < half:
-            groups[-1].append((word, at))
-        else:
-            groups.append([(word, at)])
-    out = []
-    for k, group in enumerate(groups):
-        start = max(0, group[0][1] - half)
-        while start and start < len(text) and text[start].isalpha():
-            start += 1
-        last_word, last = group[-1]
-        end = last + len(last_word) + (half if k == len(groups) - 1 else EXCERPT_CHARS)
-        end = len(text) if end >= len(text) else backed(text, end)
-        out.append((" <b>...</b> " if start > 0 else "") + bold(text[start:end], words))
-    return "".join(out) + (" <b>...</b>" if end < len(text) else "")
+def by_trial(content: bytes, is_html: bool) -> str | None:
+    try:
+        codecs.utf_8_decode(content, "strict", True)
+    except UnicodeDecodeError:
+        return None
+    return "UTF-8"
 
 
-@F.pandas_udf(Y.StringType())
-def make_abstract(text: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else abstract(t, [re.escape(w) for w in ([] if ws is None else ws)]) for t, ws in zip(text, words, strict=True)], dtype=object)
+DETECTORS = [by_mark, by_meta, by_declaration, by_trial]
 
 
-def excerpt(text: str, at: int, half: int = 40, dots: bool = False) -> str:
-    """A window around a position, cut at blanks."""
-    at = 0 if at >= 65535 else at
-    start = max(0, at - half)
-    if start > 0:
-        while start < at and start < len(text) and text[start] != " ":
-            start += 1
-        start += 1
-    end = min(len(text), start + 2 * half)
-    if end < len(text):
-        while end > at and text[end] != " ":
-            end -= 1
-    out = text[start : end + 1]
-    return ("..." if dots and start > 0 else "") + out + ("..." if dots and end < len(text) else "")
+def guess_encoding(content: bytes, is_html: bool) -> str:
+    """The first detector's answer, else Latin-1, which decodes anything."""
+    return next((name for detect in DETECTORS if (name := detect(content, is_html))), LATIN1)
 
 
-@F.pandas_udf(Y.StringType())
-def excerpt_at(text: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or pd.isna(p) else excerpt(t, int(p)) for t, p in zip(text, position, strict=True)], dtype=object)
+def unpacked(content: bytes, path: str) -> bytes:
+    """Contents of a packed file by its last extension; others as they are."""
+    return next((unpack(content) for end, unpack in UNPACKERS.items() if path.endswith(end)), content)
 
 
-def merged(text: str, scores: list[tuple[str, int]], half: int = 40) -> str | None:
-    """Excerpts of all scored words in order of position, overlaps joined."""
-    escape = lambda x: x.replace("<", "&lt;").replace(">", "&gt;")
-    out, last = "", 0
-    for word, at in sorted(scores, key=lambda s: s[1]):
-        piece = excerpt(text, at, half)
-        if not piece:
-            continue
-        m = re.search(rf"(^|\W+)({re.escape(word)})(\W+|$|:)", piece, re.I)
-        if not m or at == -1:
-            out, last = out + piece, len(piece)
-            continue
-        pos = m.start()
-        if at - pos <= last:
-            out += escape(piece[max(0, pos - (at - last)) :])
-        else:
-            out += ("<b>...</b>" if at - half > 0 else "") + escape(piece)
-        last = len(piece) - pos + at
-    return out + " <b>...</b>" if out else None
+def decoded(content: bytes, path: str) -> tuple[str | None, str | None, str | None]:
+    """(encoding, text, error) of one file."""
+    try:
+        data = unpacked(content, path)
+        name = path.removesuffix(".gz").removesuffix(".bz2")
+        encoding = guess_encoding(data, name.endswith((".html", ".htm")))
+        return encoding, data.decode(encoding, "ignore").removeprefix("﻿"), None
+    except (OSError, EOFError, LookupError, ValueError) as e:
+        return None, None, f"{type(e).__name__}: {e}"
 
 
-@F.pandas_udf(Y.StringType())
-def merge_excerpts(text: pd.Series, words: pd.Series, positions: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else merged(t, list(zip(w, p, strict=True))) for t, w, p in zip(text, words, positions, strict=True)], dtype=object)
+@F.pandas_udf(Y.StructType([Y.StructField(n, Y.StringType()) for n in ("encoding", "text", "error")]))
+def decode_text(content: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """Encoding and text of file contents; a broken file gives an error and no text, null contents give nulls."""
+    rows = [(None, None, None) if raw is None else decoded(bytes(raw), name or "") for raw, name in zip(content, path, strict=True)]
+    return pd.DataFrame(rows, columns=["encoding", "text", "error"])

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from siftwell.functions.text import base_name
 
@@ -44,19 +40,33 @@ def published_url(path: Column, root: str, ip: Column, port: Column) -> Column:
     return F.when(path.startswith(root), F.concat(F.lit("http://"), ip, F.lit(":"), port.cast("string"), F.lit("/pub"), below))
 
 
-@F.pandas_udf(StringType())
-def resolve_link(page: pd.Series, link: pd.Series) -> pd.Series:
-    """Absolute target of a link on a page."""
+#: scheme, authority, path, query and fragment of a reference (RFC 3986, appendix B), with their marks.
+REFERENCE = r"(?s)^([A-Za-z][-A-Za-z0-9+.]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
 
-    def one(base: str | None, target: str | None) -> str | None:
-        if base is None or target is None:
-            return None
-        try:
-            return urljoin(base, target)
-        except ValueError:
-            return None
+    def step(kept: Column, part: Column) -> Column:
+        shorter = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", shorter).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
 
-    return pd.Series([one(b, t) for b, t in zip(page, link, strict=True)], dtype=object)
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolve_link(page: Column, link: Column) -> Column:
+    """Absolute target of a link on a page."""
+    base, own = ([F.regexp_extract(x, REFERENCE, k) for k in range(1, 6)] for x in (page, link))
+    scheme, authority, path, query, _ = base
+    _, _, own_path, own_query, own_fragment = own
+    folder = F.when((path == "") & (authority != ""), "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)?", 1))
+    new_path = F.when(own_path == "", path).when(own_path.startswith("/"), without_dots(own_path)).otherwise(without_dots(F.concat(folder, own_path)))
+    new_query = F.when((own_path == "") & (own_query == ""), query).otherwise(own_query)
+    inside = F.concat(scheme, authority, new_path, new_query, own_fragment)
+    return F.when(link == "", page).when(own[0] != "", link).when(own[1] != "", F.concat(scheme, link)).otherwise(inside)
 
 
 def strip_fragment(url: Column) -> Column:

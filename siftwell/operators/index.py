@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
+from siftwell.functions.arrays import let, sums_before
 
 REMOVED, CREATED, MODIFIED, UNMODIFIED, NOT_INDEXED = range(5)
 LOCAL_STATES = [U.PUBLISHED, U.CACHED, U.PRIVATE]
@@ -69,9 +70,12 @@ def existing_files(private: DataFrame, public: DataFrame) -> DataFrame:
 
 
 def dedupe_content(extracted: DataFrame) -> DataFrame:
-    """One document for each content. Only metadata is grouped; the chosen path's text is joined back."""
+    """One document for each content, in the state of its last file (the greatest id of equal times).
+
+    Only metadata is grouped; the chosen path's text is joined back.
+    """
     with_id = extracted.withColumn("document_id", T.content_id(F.col("text")))
-    chosen = with_id.groupBy("document_id").agg(F.min("file_id").alias("db_document_id"), F.max("file_time").alias("publication_time"), F.max_by("state", "file_time").alias("state"))
+    chosen = with_id.groupBy("document_id").agg(F.min("file_id").alias("db_document_id"), F.max("file_time").alias("publication_time"), F.max_by("state", F.struct("file_time", "file_id")).alias("state"))
     body = extracted.select(F.col("file_id").alias("db_document_id"), "mime_type", "title", "text", F.octet_length("text").cast("long").alias("size"), U.encode_url(F.col("file_name")).alias("url"))
     out = chosen.join(body, "db_document_id")
     return out.select("db_document_id", "document_id", "mime_type", "title", "size", "text", "publication_time", "state", F.lit(0.0).alias("download_count"), "url", F.lit(0.0).alias("matching"))
@@ -107,20 +111,33 @@ def relink_changed_file(extracted: DataFrame, files: DataFrame, documents: DataF
     return found.select("file_name", "document_id", "state", action.alias("action"))
 
 
+def placed_tokens(text: Column) -> Column:
+    """array of (word, position): every token of a normalized text with its offset, in order."""
+
+    def placed(words: Column, gaps: Column) -> Column:
+        sizes = F.zip_with(words, gaps, lambda word, gap: F.length(word) + F.length(gap))
+        return let(let(sizes, sums_before), lambda before: F.transform(words, lambda word, i: F.struct(word.alias("word"), (F.get(before, i) + F.length(F.get(gaps, i))).cast("int").alias("position"))))
+
+    words = F.struct(T.tokenize(text).alias("words"), T.token_gaps(text).alias("gaps"))
+    return let(words, lambda x: let(x["words"], lambda ws: let(F.slice(x["gaps"], 1, F.size(ws)), lambda gaps: placed(ws, gaps))))
+
+
 def token_positions(documents: DataFrame, text: Column) -> DataFrame:
-    """db_document_id, n, word, position: every token with its offset in the normalized text."""
+    """db_document_id, n, word, position: every token with its offset in the normalized text; no shuffle."""
     normal = documents.select("db_document_id", T.normalize_text(text).alias("normal"))
-    pieces = normal.select("db_document_id", T.tokenize(F.col("normal")).alias("words"), T.token_gaps(F.col("normal")).alias("gaps"))
-    each = pieces.select("db_document_id", F.posexplode(F.arrays_zip(F.col("words"), F.slice("gaps", 1, F.size("words")).alias("gaps"))).alias("n", "piece"))
-    running = F.sum(F.length("piece.gaps") + F.length("piece.words")).over(Window.partitionBy("db_document_id").orderBy("n"))
-    return each.select("db_document_id", "n", F.col("piece.words").alias("word"), (running - F.length("piece.words")).cast("int").alias("position"))
+    return normal.select("db_document_id", F.posexplode(placed_tokens(F.col("normal"))).alias("n", "t")).select("db_document_id", "n", "t.word", "t.position")
 
 
 def build_postings(documents: DataFrame) -> DataFrame:
-    """(document, word) with its first position and zero scores; title and text are indexed together."""
-    tokens = token_positions(documents, T.index_text(F.col("title"), F.col("text")))
+    """(document, word) with its first position and zero scores; title and text are indexed together.
+
+    First positions are found inside the document's row, so nothing is shuffled.
+    """
+    normal = documents.select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("normal"))
+    sorted_tokens = F.array_sort(placed_tokens(F.col("normal")))
+    first = let(sorted_tokens, lambda ts: F.filter(ts, lambda t, i: (i == 0) | (F.get(ts, i - 1)["word"] != t["word"])))
     zero = F.lit(0.0)
-    return tokens.groupBy("db_document_id", "word").agg(F.min("position").alias("position")).select("db_document_id", "word", "position", zero.alias("download_count"), zero.alias("relevance"), zero.alias("popularity"))
+    return normal.select("db_document_id", F.explode(first).alias("t")).select("db_document_id", "t.word", "t.position", zero.alias("download_count"), zero.alias("relevance"), zero.alias("popularity"))
 
 
 SCORES = ["download_count", "relevance", "popularity"]
@@ -152,6 +169,11 @@ def remove_document(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("db_document_id").distinct(), "db_document_id", "left_anti")
 
 
+def remove_document_everywhere(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The cascade: documents, files, postings and providers without the given documents."""
+    return {name: remove_document(table, ids) for name, table in tables.items()}
+
+
 def drop_orphan_scores(postings: DataFrame, documents: DataFrame) -> DataFrame:
     return postings.join(documents.select("db_document_id"), "db_document_id", "left_semi")
 
@@ -194,14 +216,15 @@ def merge_known_scores(postings: DataFrame, incoming: DataFrame, documents: Data
     return both.select("db_document_id", "word", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("download_count", F.lit(0.0)).alias("download_count"), F.coalesce("new_relevance", "relevance").alias("relevance"), F.coalesce("new_popularity", "popularity").alias("popularity"))
 
 
-def patch_sparse_text(excerpts: DataFrame) -> DataFrame:
-    """db_document_id, text: excerpts laid at their offsets, later offsets over earlier ones, blanks elsewhere."""
+def patch_sparse_text(excerpts: DataFrame, known: DataFrame) -> DataFrame:
+    """db_document_id, text: excerpts laid at their offsets over the known text (null: none), later offsets over earlier ones, blanks where nothing is known."""
     parts = F.sort_array(F.collect_list(F.struct("position", "excerpt")))
 
     def lay(acc: Column, part: Column) -> Column:
         return F.overlay(F.rpad(acc, F.greatest(F.length(acc), part["position"] + F.length(part["excerpt"])), F.lit(" ")), part["excerpt"], part["position"] + 1)
 
-    return excerpts.groupBy("db_document_id").agg(parts.alias("parts")).select("db_document_id", F.aggregate("parts", F.lit(""), lay).alias("text"))
+    laid = excerpts.groupBy("db_document_id").agg(parts.alias("parts")).join(known.select("db_document_id", F.col("text").alias("known")), "db_document_id", "left")
+    return laid.select("db_document_id", F.aggregate("parts", F.coalesce("known", F.lit("")), lay).alias("text"))
 
 
 def merge_providers(providers: DataFrame, incoming: DataFrame) -> DataFrame:

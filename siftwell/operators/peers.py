@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.urls import is_loopback
-from siftwell.operators.index import latest_per_key
+from siftwell.operators.index import assign_document_ids, latest_per_key
 
 FANOUT, BEST_NODES, PRESENCE_HOURS = 8, 100, 24
+#: Words of a block of ``route_scores``, and random draws of a query.
+WORDS, DRAWS = 2048, 64
 
 
 def register_nodes(nodes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -47,13 +49,21 @@ def registered_neighbors(nodes: DataFrame, me: str, count: int) -> DataFrame:
 def route_scores(queries: DataFrame, nodes: DataFrame, interests: DataFrame, best: int = BEST_NODES) -> DataFrame:
     """Of the nodes of best affinity: interest in the query's words, halved for each edit between the words.
 
-    The distance of each distinct pair of words is computed once; interest words come from at
-    most ``best`` nodes.
+    Every query word weighs every interest word of the chosen nodes, so the distinct query words, in
+    blocks, run over the distinct interest words, in blocks: each pair of blocks is a task's share,
+    and the distance of each pair of words is computed once.
     """
     chosen = nodes.orderBy(F.desc("affinity"), "node_id").limit(best).select("node_id", "affinity")
     own = interests.join(F.broadcast(chosen), "node_id").select("node_id", F.col("word").alias("interest"), (F.col("specialisation") * F.col("expertise") * F.col("affinity")).alias("weight"))
     asked = queries.select("query_id", F.explode("words").alias("word"))
-    near = asked.select("word").distinct().join(own.select("interest").distinct()).withColumn("factor", 1 / F.pow(F.lit(2.0), F.levenshtein("word", "interest")))
+    left, right = asked.select("word").distinct(), own.select("interest").distinct()
+    n_left, n_right = (max(1, -(-x.count() // WORDS)) for x in (left, right))
+
+    def dealt(words: DataFrame, column: str, own_block: str, n: int, other_block: str, others: int) -> DataFrame:
+        return words.select(column, F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other_block))
+
+    met = dealt(left, "word", "asked block", n_left, "own block", n_right).join(dealt(right, "interest", "own block", n_right, "asked block", n_left), ["asked block", "own block"])
+    near = met.select("word", "interest", (1 / F.pow(F.lit(2.0), F.levenshtein("word", "interest"))).alias("factor"))
     scored = near.join(own, "interest").groupBy("word", "node_id").agg(F.sum(F.col("weight") * F.col("factor")).alias("part"))
     return asked.join(scored, "word").groupBy("query_id", "node_id").agg(F.sum("part").alias("score"))
 
@@ -78,15 +88,32 @@ def random_documents(documents: DataFrame, k: int, seed: int) -> DataFrame:
     return documents.select("db_document_id", "document_id").orderBy(F.xxhash64(F.lit(seed), "db_document_id"), "db_document_id").limit(k)
 
 
+def random_draws(queries: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """query_id, node_id, draw: for each query different nodes in random order, each node being as likely.
+
+    Nodes are numbered; a query draws numbers by hash, so it meets only the nodes that it draws. With
+    no more nodes than ``DRAWS``, all come in hashed order; beyond, ``DRAWS`` numbers are drawn.
+    """
+    none = nodes.sparkSession.createDataFrame([], "db_document_id long")
+    numbered = assign_document_ids(none, nodes.select("node_id").distinct(), "node_id").withColumnRenamed("db_document_id", "number")
+    n = numbered.count()
+    if not n:
+        return queries.select("query_id").limit(0).select("query_id", F.lit("").alias("node_id"), F.lit(0).cast("long").alias("draw"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(min(n, DRAWS) - 1))).alias("k")
+    drawn = queries.select("query_id", k)
+    mixed = F.xxhash64(F.lit(seed), "query_id", "k")
+    drawn = drawn.select("query_id", F.col("k").cast("long").alias("number"), mixed.alias("draw")) if n <= DRAWS else drawn.select("query_id", F.pmod(mixed, F.lit(n)).alias("number"), F.col("k").cast("long").alias("draw"))
+    return drawn.join(numbered, "number").groupBy("query_id", "node_id").agg(F.min("draw").alias("draw"))
+
+
 def route_queries(queries: DataFrame, scores: DataFrame, nodes: DataFrame, me: str, seed: int, fanout: int = FANOUT) -> DataFrame:
-    """Targets of each query (query_id, sender): half drawn by score, the rest at random, never me or the sender."""
+    """Targets of each query (query_id, sender): half drawn by score, the rest at random from all nodes, never me or the sender."""
     allowed = scores.where(F.col("node_id") != me).join(queries.select("query_id", F.col("sender").alias("node_id")), ["query_id", "node_id"], "left_anti")
     drawn = weighted_pick(allowed, -(-fanout // 2), seed).select("query_id", "node_id", F.lit("weighted").alias("kind"))
     counts = drawn.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    # enough random nodes for every query: the fan-out, what may be drawn, the sender
-    pool = nodes.where(F.col("node_id") != me).select("node_id").orderBy(F.xxhash64(F.lit(seed + 1), "node_id"), "node_id").limit(2 * fanout + 2)
-    rest = queries.select("query_id", "sender").crossJoin(F.broadcast(pool)).where("node_id != sender").join(drawn.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(counts, "query_id", "left")
-    placed = rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "node_id"), "node_id")))
+    rest = random_draws(queries, nodes.where(F.col("node_id") != me), seed + 1).join(queries.select("query_id", "sender"), "query_id").where("node_id != sender")
+    rest = rest.join(drawn.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(counts, "query_id", "left")
+    placed = rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("draw", "node_id")))
     return drawn.unionByName(placed.where(F.col("place") <= fanout - F.coalesce("n", F.lit(0))).select("query_id", "node_id", F.lit("random").alias("kind")))
 
 

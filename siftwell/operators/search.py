@@ -177,7 +177,10 @@ def hit_profile(hits: DataFrame, queries: DataFrame, postings: DataFrame, k: int
     words = query_words(queries)
     own = hits.select("query_id", "db_document_id").join(words, "query_id").join(postings, ["db_document_id", "word"]).select("query_id", "db_document_id", "word", "relevance", F.lit(True).alias("in_query"))
     counts = words.groupBy("query_id").agg(F.max("n_words").alias("n_words"))
-    other = hits.select("query_id", "db_document_id").join(postings.where("relevance > 0"), "db_document_id").join(words.select("query_id", "word"), ["query_id", "word"], "left_anti").join(counts, "query_id")
+    # of a document's words only the best k + 2 n can be among a hit's k + n others, as n at most are query words
+    most = counts.agg(F.coalesce(F.max("n_words"), F.lit(0))).first()[0]
+    best = top_k(postings.where("relevance > 0"), ["db_document_id"], k + 2 * most, F.desc("relevance"), F.asc("word")).select("db_document_id", "word", "relevance")
+    other = hits.select("query_id", "db_document_id").join(best, "db_document_id").join(words.select("query_id", "word"), ["query_id", "word"], "left_anti").join(counts, "query_id")
     ranked = other.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "db_document_id").orderBy(F.desc("relevance"), "word")))
     return own.unionByName(ranked.where(F.col("rank") <= F.col("n_words") + k).select("query_id", "db_document_id", "word", "relevance", F.lit(False).alias("in_query")))
 

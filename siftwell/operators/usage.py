@@ -28,9 +28,26 @@ def node_claims(query_log: DataFrame) -> DataFrame:
 def node_interests(query_log: DataFrame) -> DataFrame:
     """Claims of each (node, word), as shares of the node (specialisation) and of the word (expertise)."""
     pairs = claims(query_log).groupBy("node_id", "word").agg(F.sum("claim").alias("claim_count"))
-    of_node = F.sum("claim_count").over(Window.partitionBy("node_id"))
-    of_word = F.sum("claim_count").over(Window.partitionBy("word"))
-    return pairs.select("node_id", "word", "claim_count", (F.col("claim_count") / of_node).alias("specialisation"), (F.col("claim_count") / of_word).alias("expertise"))
+    # totals are aggregated and joined back, so that a common word is not one window
+    of_node = pairs.groupBy("node_id").agg(F.sum("claim_count").alias("of_node"))
+    of_word = pairs.groupBy("word").agg(F.sum("claim_count").alias("of_word"))
+    joined = pairs.join(of_word, "word").join(of_node, "node_id")
+    return joined.select("node_id", "word", "claim_count", (F.col("claim_count") / F.col("of_node")).alias("specialisation"), (F.col("claim_count") / F.col("of_word")).alias("expertise"))
+
+
+def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str, order: list[str]) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the key's rows up to each, in order of ts and ``order``.
+
+    A key's rows are cut by the hour: hours are summed and summed up over the key, and each row adds
+    its hour's rows before it. No task sorts more than one key's hour.
+    """
+    hour = F.coalesce(F.floor(F.unix_timestamp("ts") / 3600), F.lit(-(1 << 40)))
+    cut = rows.withColumns({"hour": hour, "own value": value})
+    hours = cut.groupBy(*keys, "hour").agg(F.sum("own value").alias("of hour"))
+    upto = F.sum("of hour").over(Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    before = hours.select(*keys, "hour", F.coalesce(upto, F.lit(0.0)).alias("before hour"))
+    inside = F.sum("own value").over(Window.partitionBy(*keys, "hour").orderBy("ts", *order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(before, [*keys, "hour"]).withColumn(name, F.col("before hour") + inside).select(*rows.columns, name)
 
 
 def shares(download_log: DataFrame, weighted: bool = True) -> DataFrame:
@@ -57,19 +74,14 @@ def popularity_relevance(download_log: DataFrame, floor: float = FLOOR) -> DataF
     Counters run in order of (ts, event_id); a document's counter counts events, the word's and
     the pair's count shares.
     """
-    rows = shares(download_log, weighted=False)
-
-    def upto(value: Column, *keys: str) -> Column:
-        return F.sum(value).over(Window.partitionBy(*keys).orderBy("ts", "event_id", "word").rowsBetween(Window.unboundedPreceding, 0))
-
-    by_word = rows.withColumn("of_word", upto(F.col("share"), "word"))
-    by_pair = by_word.withColumn("of_pair", upto(F.col("share"), "db_document_id", "word"))
+    events = download_log.where(F.size("words") > 0)
     # words of one event share the document's count, which grows once an event
-    events = download_log.where(F.size("words") > 0).select("ts", "event_id", "db_document_id")
-    of_document = events.withColumn("of_document", F.count(F.lit(1)).over(Window.partitionBy("db_document_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
-    joined = by_pair.join(of_document.select("event_id", "of_document"), "event_id")
-    place = F.row_number().over(Window.partitionBy("db_document_id", "word").orderBy(F.desc("ts"), F.desc("event_id")))
-    last = joined.withColumn("place", place).where("place = 1")
+    counted = running_sum(events.select("ts", "event_id", "db_document_id", "words"), ["db_document_id"], F.lit(1.0), "of_document", ["event_id"])
+    rows = counted.select("ts", "event_id", "db_document_id", "of_document", F.explode("words").alias("word"), (F.lit(1.0) / F.size("words")).alias("share"))
+    by_word = running_sum(rows, ["word"], F.col("share"), "of_word", ["event_id", "word"])
+    by_pair = running_sum(by_word, ["db_document_id", "word"], F.col("share"), "of_pair", ["event_id", "word"])
+    newest = F.max_by(F.struct("of_document", "of_word", "of_pair"), F.struct("ts", "event_id"))
+    last = by_pair.groupBy("db_document_id", "word").agg(newest.alias("last")).select("db_document_id", "word", "last.*")
     return scored(last, floor)
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions import excerpts as E
 from siftwell.functions import helpers as H
+from siftwell.functions import pages as X
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
 from siftwell.operators import index as I
@@ -16,6 +18,8 @@ from siftwell.operators import search as S
 from siftwell.operators import usage as G
 from siftwell.plans.fixtures import Tables
 from siftwell.plans.oracle_tables import deviation, norm, sql, tokens
+from siftwell.sources import files
+from siftwell.sources.shared import fresh_path
 from siftwell.streaming import jobs, runs
 
 Plan = Callable[[Tables], DataFrame]
@@ -73,7 +77,7 @@ add("http_date", lambda t: t.extracted().select("file_id", U.http_date(F.date_fo
 add("state_label", lambda t: t.documents().select("db_document_id", U.state_label(F.col("state")).alias("label")), "SELECT db_document_id, CASE state WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'PUBLISHED' WHEN 2 THEN 'CACHED' WHEN 4 THEN 'KNOWN' ELSE 'UNKNOWN' END AS label FROM docs")
 add("state_mask", lambda t: t.documents().where(U.in_mask(F.col("state"), 11)).select("db_document_id", "state"), "SELECT db_document_id, state FROM docs WHERE state IN (0, 1, 2)")
 add("hoeffding_deviation", lambda t: t.given("documents").select("doc_id", F.round(T.hoeffding_deviation(F.col("doc_id") + 1), 6).alias("deviation")), f"SELECT doc_id, round({deviation('doc_id + 1')}, 6) AS deviation FROM documents")
-add("levenshtein", lambda t: t.extracted().select("file_id", F.levenshtein(F.substring(T.content_id(F.col("text")), 1, 12), F.col("file_name")).alias("distance")), "SELECT file_id, levenshtein(substr(document_id, 1, 12), file_name)::INTEGER AS distance FROM ext")
+add("levenshtein", lambda t: t.extracted().select("file_id", F.levenshtein(T.content_id(F.col("text")), F.col("file_name")).alias("distance")), "SELECT file_id, levenshtein(document_id, file_name)::INTEGER AS distance FROM ext")
 add("is_private_ip", lambda t: t.nodes().select("node_id", U.is_private_ip(F.col("ip")).alias("private"), U.is_private_ip(F.concat(F.lit("172."), F.col("bandwidth") + 12, F.lit(".0.1"))).alias("other")), "SELECT node_id, true AS private, bandwidth + 12 BETWEEN 16 AND 31 AS other FROM nodes")
 _raw = lambda: F.concat_ws(" ", F.element_at("words", 1), F.when(F.col("query_id") % 3 == 0, "filetype:pdf"), F.when(F.col("query_id") % 4 == 0, "a:b:c"), F.when(F.col("query_id") % 5 == 0, "x:y"), F.when(F.col("query_id") % 7 == 0, "filename:n.txt"), F.element_at("words", -1))
 
@@ -95,19 +99,19 @@ def prefixed(t: Tables) -> DataFrame:
 add("split_prefixed", prefixed, "SELECT query_id, array_to_string(words, ' ') AS words, '/f/' || query_id AS url, 'abc' AS document_id FROM qs")
 
 # Helpers: no SQL form
-add("extract_html", lambda t: t.given("pages").select("page_id", H.extract_html("html").alias("p")).select("page_id", "p.title", F.sha1("p.text").alias("text_sha1"), F.size("p.links").alias("n_links")))
-add("extract_html_clean", lambda t: t.given("pages").select("page_id", H.extract_html_clean("html").alias("p")).select("page_id", "p.title", F.sha1("p.text").alias("text_sha1"), F.size("p.links").alias("n_links")))
+add("extract_html", lambda t: t.given("pages").select("page_id", X.extract_html("html").alias("p")).select("page_id", "p.title", F.sha1("p.text").alias("text_sha1"), F.size("p.links").alias("n_links")))
+add("extract_html_clean", lambda t: t.given("pages").select("page_id", X.extract_html_clean("html").alias("p")).select("page_id", "p.title", F.sha1("p.text").alias("text_sha1"), F.size("p.links").alias("n_links")))
 
 
 def link_edges(t: Tables) -> DataFrame:
-    pages = t.given("pages").select("url", H.extract_html("html").alias("p")).select("url", F.explode("p.links").alias("link"))
-    return pages.select("url", U.resolve_link("url", "link").alias("target")).where("target is not null").dropDuplicates()
+    pages = t.given("pages").select("url", X.extract_html("html").alias("p")).select("url", F.explode("p.links").alias("link"))
+    return pages.select("url", U.resolve_link(F.col("url"), F.col("link")).alias("target")).where("target is not null").dropDuplicates()
 
 
 add("link_edges", link_edges)
 add("decode_text", lambda t: t.given("pages").select("page_id", H.decode_text(F.encode("html", "UTF-8"), F.lit("page.html")).alias("d")).select("page_id", "d.encoding", F.sha1("d.text").alias("text_sha1"), "d.error"))
-add("make_abstract", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").where("rank <= 15").select("query_id", "db_document_id", H.make_abstract("text", "words").alias("abstract")))
-add("answer_payload", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").select("query_id", "document_id", T.untag_text(H.make_abstract("text", "words")).alias("abstract"), U.public_url(F.col("url")).alias("url")))
+add("make_abstract", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").where("rank <= 15").select("query_id", "db_document_id", E.make_abstract("text", "words").alias("abstract")))
+add("answer_payload", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").select("query_id", "document_id", T.untag_text(E.make_abstract("text", "words")).alias("abstract"), U.public_url(F.col("url")).alias("url")))
 def scored_words(t: Tables) -> DataFrame:
     """query_id, db_document_id, word, position, n: the query words of every hit and the document's text."""
     texts = t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("n"))
@@ -115,15 +119,20 @@ def scored_words(t: Tables) -> DataFrame:
     return own.join(t.postings().select("db_document_id", "word", "position"), ["db_document_id", "word"]).join(texts, "db_document_id")
 
 
-add("excerpt_at", lambda t: scored_words(t).select("query_id", "db_document_id", "word", H.excerpt_at("n", "position").alias("excerpt")))
-add("merge_excerpts", lambda t: scored_words(t).groupBy("query_id", "db_document_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("position", "word"))).alias("s")).select("query_id", "db_document_id", H.merge_excerpts("n", "s.word", "s.position").alias("excerpt")))
+_AT = "(CASE WHEN position >= 65535 THEN 0 ELSE position END)"
+_EXCERPT = f"""SELECT query_id, db_document_id, word, substr(n, b + 1, greatest(0, e - b)) AS excerpt FROM (
+ SELECT *, CASE WHEN b + 80 >= length(n) THEN length(n) WHEN strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') > 0 THEN p0 + 2 + greatest(0, b + 80 - p0) - strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') ELSE p0 + 1 END AS e FROM (
+ SELECT *, CASE WHEN p0 <= 40 THEN 0 WHEN strpos(substr(n, p0 - 39, 40), ' ') > 0 THEN p0 - 40 + strpos(substr(n, p0 - 39, 40), ' ') ELSE p0 + 1 END AS b FROM (
+ SELECT hits.query_id, hits.db_document_id, qw.word, {_AT} AS p0, n FROM hits JOIN qw ON qw.query_id = hits.query_id JOIN postings p ON p.db_document_id = hits.db_document_id AND p.word = qw.word JOIN normed ON normed.db_document_id = hits.db_document_id)))"""
+add("excerpt_at", lambda t: scored_words(t).select("query_id", "db_document_id", "word", E.excerpt_at(F.col("n"), F.col("position")).alias("excerpt")), _EXCERPT)
+add("merge_excerpts", lambda t: scored_words(t).groupBy("query_id", "db_document_id").agg(F.first("n").alias("n"), F.collect_list("position").alias("places")).select("query_id", "db_document_id", E.merge_excerpts(F.col("n"), F.col("places")).alias("excerpt")))
 
 # Sources
 add("read_tables", lambda t: I.select_where(t.given("documents"), lang="en", source="src1").select("doc_id", "lang", "source"), "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'")
 add("path_scope", lambda t: I.path_scope(t.extracted().select("file_id", "file_name"), ["/src1", "/src2", "/src3"], ["/src2"], ["/src3"]).select("file_id", "scope"), "SELECT file_id, CASE WHEN starts_with(file_name, '/src2/') THEN 'public' ELSE 'private' END AS scope FROM ext WHERE (starts_with(file_name, '/src1/') OR starts_with(file_name, '/src2/')) AND NOT starts_with(file_name, '/src3/')")
 _ext = lambda: F.element_at(F.array(*(F.lit(x) for x in (".txt", ".HTML", ".jpg", "", ".py"))), (F.col("file_id") % 5 + 1).cast("int"))
 add("filter_known_types", lambda t: I.filter_known_types(t.extracted().select("file_id", F.concat(F.lit("/d.x/"), F.col("file_id").cast("string"), _ext()).alias("file_name"))).select("file_id", "mime_type"), "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/html' ELSE 'text/x-python' END AS mime_type FROM ext WHERE file_id % 5 IN (0, 1, 4)")
-add("upsert", lambda t: I.upsert(t.files().select("file_name", "file_time"), t.crawl().where("file_time % 7200 = 0").select("file_name", "file_time"), ["file_name"]), "WITH ch AS (SELECT file_name, file_time FROM crawl WHERE file_time % 7200 = 0) SELECT file_name, file_time FROM files WHERE file_name NOT IN (SELECT file_name FROM ch) UNION ALL SELECT * FROM ch")
+add("upsert", lambda t: I.upsert(t.files().select("file_name", "file_time"), t.crawl().select("file_name", "file_time"), ["file_name"]), "SELECT file_name, file_time FROM files WHERE file_name NOT IN (SELECT file_name FROM crawl) UNION ALL SELECT file_name, file_time FROM crawl")
 add("load_presence_lines", lambda t: P.load_presence_lines(t.presence_lines()).select("event_id", "action", F.array_join("args", " ").alias("args")), "SELECT event_id, action, CASE WHEN action = 'notify' THEN node_id || ' ' || ip || ' ' || port || ' ' || bandwidth ELSE node_id END AS args FROM plog")
 add("read_neighbors", lambda t: P.read_neighbors(t.nodes().select(F.concat_ws(" ", "ip", F.lit(6447).cast("string")).alias("line")), t.nodes()), "SELECT DISTINCT ip, 6447::INTEGER AS port FROM nodes WHERE (ip, 6447) NOT IN (SELECT (ip, port) FROM nodes)")
 
@@ -134,7 +143,7 @@ add("detect_changes", lambda t: I.detect_changes(t.crawl(), t.files()), _CHANGES
 add("index_progress", lambda t: I.index_progress(I.detect_changes(t.crawl(), t.files())), f"SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'untouched') AS untouched, count(*) FILTER (state = 0) AS private, count(*) FILTER (state = 1) AS public FROM ({_CHANGES})")
 add("vanished_files", lambda t: I.vanished_files(t.files(), t.crawl()).select("file_name"), "SELECT file_name FROM files WHERE file_name NOT IN (SELECT file_name FROM crawl)")
 add("existing_files", lambda t: I.existing_files(t.files().where("state = 0"), t.crawl()), "SELECT file_name FROM files WHERE state = 0 UNION SELECT file_name FROM crawl")
-add("dedupe_content", lambda t: t.documents(), "SELECT db_document_id, document_id, mime_type, title, size, text, publication_time, state, download_count, url, matching FROM docs")
+add("dedupe_content", lambda t: I.dedupe_content(t.extracted()), "SELECT db_document_id, document_id, mime_type, title, size, text, publication_time, state, download_count, url, matching FROM docs")
 add("link_files", lambda t: t.files(), "SELECT file_name, file_time, db_document_id, state, file_state FROM files")
 add("assign_document_ids", lambda t: I.assign_document_ids(t.documents().where("db_document_id % 3 != 0"), t.documents().where("db_document_id % 3 = 0").select("document_id"), "document_id"), "SELECT document_id, row_number() OVER (ORDER BY document_id) + (SELECT max(db_document_id) FROM docs WHERE db_document_id % 3 <> 0) AS db_document_id FROM docs WHERE db_document_id % 3 = 0")
 
@@ -145,16 +154,35 @@ def changed(t: Tables) -> DataFrame:
     return e.select(F.when(F.col("file_id") % 10 == 3, F.concat(F.lit("/new"), "file_name")).otherwise(F.col("file_name")).alias("file_name"), F.when(F.col("file_id") % 9 == 0, 1).otherwise(F.col("state")).alias("state"), text.alias("text"))
 
 
-add("relink_changed_file", lambda t: I.relink_changed_file(changed(t), t.files(), t.documents()).groupBy("action").agg(F.count(F.lit(1)).alias("n")), """SELECT CASE WHEN file_id % 10 = 3 THEN 'new_file' WHEN file_id % 4 = 0 THEN 'relink' WHEN file_id % 9 = 0 AND state <> 1 THEN 'update_state' ELSE 'keep' END AS action, count(*) AS n FROM ext GROUP BY 1""")
+add("relink_changed_file", lambda t: I.relink_changed_file(changed(t), t.files(), t.documents()), """SELECT CASE WHEN file_id % 10 = 3 THEN '/new' || file_name ELSE file_name END AS file_name, CASE WHEN file_id % 4 = 0 THEN sha1(regexp_replace(text || ' more', '\\r\\n?', chr(10), 'g')) ELSE document_id END AS document_id, CASE WHEN file_id % 9 = 0 THEN 1 ELSE state END AS state,
+ CASE WHEN file_id % 10 = 3 THEN 'new_file' WHEN file_id % 4 = 0 THEN 'relink' WHEN file_id % 9 = 0 AND state <> 1 THEN 'update_state' ELSE 'keep' END AS action FROM ext""")
 add("index_text", lambda t: t.documents().select("db_document_id", F.sha1(T.index_text(F.col("title"), F.col("text"))).alias("digest")), "SELECT db_document_id, sha1(title || ' ' || text) AS digest FROM docs")
-add("build_postings", lambda t: t.postings(), "SELECT * FROM postings")
-add("merge_postings", lambda t: r6(I.merge_postings(t.scored_postings().where("db_document_id % 2 = 0"), t.postings().where("db_document_id % 3 = 0").withColumn("position", F.col("position") + 1)), "relevance", "popularity"), """SELECT db_document_id, word, coalesce(f.position, p.position) AS position, 0.0::DOUBLE AS download_count, round(coalesce(p.relevance, 0), 6) AS relevance, round(coalesce(p.popularity, 0), 6) AS popularity
- FROM (SELECT * FROM spost WHERE db_document_id % 2 = 0) p FULL JOIN (SELECT db_document_id, word, position + 1 AS position FROM postings WHERE db_document_id % 3 = 0) f USING (db_document_id, word)""")
+add("build_postings", lambda t: I.build_postings(t.documents()), "SELECT * FROM postings")
+_fresh = lambda t: t.postings().withColumn("position", F.col("position") + 1).unionByName(t.postings().withColumn("word", F.concat(F.lit("new"), "word")))
+add("merge_postings", lambda t: r6(I.merge_postings(t.scored_postings(), _fresh(t)), "relevance", "popularity"), """SELECT db_document_id, word, position + 1 AS position, 0.0::DOUBLE AS download_count, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity FROM spost WHERE (db_document_id, word) NOT IN (SELECT (db_document_id, 'new' || word) FROM postings)
+ UNION ALL SELECT db_document_id, 'new' || word, position, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM postings WHERE (db_document_id, 'new' || word) NOT IN (SELECT (db_document_id, word) FROM postings)""")
 add("extend_vocabulary", lambda t: t.words(), "SELECT word, claim_count, download_count FROM words")
 _kept_files = "SELECT db_document_id FROM files WHERE db_document_id % 4 <> 1"
-add("remove_unreferenced_documents", lambda t: I.remove_unreferenced_documents(t.documents(), t.files().where("db_document_id % 4 != 1"), t.postings())[2], f"SELECT (SELECT count(*) FROM docs WHERE db_document_id NOT IN ({_kept_files})) AS documents, (SELECT count(*) FROM postings WHERE db_document_id NOT IN ({_kept_files})) AS postings")
-add("remove_document", lambda t: I.remove_document(t.files(), t.documents().where("state = 2")), "SELECT file_name, file_time, db_document_id, state, file_state FROM files WHERE db_document_id NOT IN (SELECT db_document_id FROM docs WHERE state = 2)")
-add("drop_orphan_scores", lambda t: I.drop_orphan_scores(t.postings(), t.documents().where("state = 1")).groupBy("db_document_id").agg(F.count(F.lit(1)).alias("n")), "SELECT db_document_id, count(*) AS n FROM postings WHERE db_document_id IN (SELECT db_document_id FROM docs WHERE state = 1) GROUP BY 1")
+def unreferenced(t: Tables) -> DataFrame:
+    """What is left of documents (word null) and postings, and the counts of what is gone on every row."""
+    documents, postings, gone = I.remove_unreferenced_documents(t.documents(), t.files().where("db_document_id % 4 != 1"), t.postings())
+    rows = documents.select("db_document_id", F.lit(None).cast("string").alias("word")).union(postings.select("db_document_id", "word"))
+    return rows.crossJoin(F.broadcast(gone))  # one row
+
+
+add("remove_unreferenced_documents", unreferenced, f"""WITH gone AS (SELECT (SELECT count(*) FROM docs WHERE db_document_id NOT IN ({_kept_files})) AS documents, (SELECT count(*) FROM postings WHERE db_document_id NOT IN ({_kept_files})) AS postings)
+ SELECT db_document_id, word, documents, postings FROM (SELECT db_document_id, NULL AS word FROM docs WHERE db_document_id IN ({_kept_files}) UNION ALL SELECT db_document_id, word FROM postings p WHERE db_document_id IN ({_kept_files})), gone""")
+def removed(t: Tables) -> DataFrame:
+    """The four tables without the documents of one state, a row naming its table and key."""
+    left = I.remove_document_everywhere(t.documents().where("state = 2"), documents=t.documents(), files=t.files(), postings=t.postings(), providers=t.providers())
+    keys = {"documents": "document_id", "files": "file_name", "postings": "word", "providers": "node_id"}
+    out = [left[name].select(F.lit(name).alias("table_name"), "db_document_id", F.col(key).alias("key")) for name, key in keys.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+add("remove_document", removed, """SELECT table_name, db_document_id, key FROM (SELECT 'documents' AS table_name, db_document_id, document_id AS key FROM docs UNION ALL SELECT 'files', db_document_id, file_name FROM files UNION ALL SELECT 'postings', db_document_id, word FROM postings UNION ALL SELECT 'providers', db_document_id, node_id FROM providers)
+ WHERE db_document_id NOT IN (SELECT db_document_id FROM docs WHERE state = 2)""")
+add("drop_orphan_scores", lambda t: I.drop_orphan_scores(t.postings(), t.documents().where("state = 1")).select("db_document_id", "word", "position"), "SELECT db_document_id, word, position FROM postings WHERE db_document_id IN (SELECT db_document_id FROM docs WHERE state = 1)")
 add("mark_and_sweep_files", lambda t: I.mark_and_sweep_files(t.files(), t.crawl(), 1), "SELECT file_name, file_time, db_document_id, state, CASE WHEN state = 1 THEN 3 ELSE file_state END AS file_state FROM files WHERE state <> 1 OR file_name IN (SELECT file_name FROM crawl)")
 add("list_files", lambda t: I.list_files(t.files(), 20, 5, after="/src1", state=1), "SELECT file_name, file_time, db_document_id, state, file_state FROM files WHERE file_name > '/src1' AND state = 1 ORDER BY file_name LIMIT 20 OFFSET 5")
 _incoming = lambda t: t.documents().select(F.when(F.col("db_document_id") % 6 == 0, F.sha1("document_id")).otherwise(F.col("document_id")).alias("document_id"), F.lit("text/rtf").alias("mime_type"), F.concat(F.lit("peer "), "title").alias("title"), F.col("size"), F.col("publication_time") + 5, F.concat(F.lit("u"), "url").alias("url")).withColumnRenamed("(publication_time + 5)", "publication_time")
@@ -162,24 +190,36 @@ add("merge_known_document", lambda t: I.merge_known_document(t.documents().withC
  own AS (SELECT *, CASE WHEN db_document_id % 5 = 0 THEN '' ELSE url END AS u, state IN (0, 1, 2) AS loc FROM docs)
  SELECT document_id, CASE WHEN loc OR i.mime_type IS NULL THEN o.mime_type ELSE i.mime_type END AS mime_type, CASE WHEN loc OR i.title IS NULL THEN o.title ELSE i.title END AS title, CASE WHEN loc OR i.size IS NULL THEN o.size ELSE i.size END AS size,
  CASE WHEN loc OR i.publication_time IS NULL THEN o.publication_time ELSE i.publication_time END AS publication_time, coalesce(state, 4) AS state, CASE WHEN loc THEN coalesce(nullif(o.u, ''), i.url) ELSE coalesce(i.url, o.u) END AS url FROM own o FULL JOIN inc i USING (document_id)""")
-add("merge_known_scores", lambda t: r6(I.merge_known_scores(t.postings(), t.scored_postings().where("position < 60").select("db_document_id", "word", "relevance", "popularity"), t.documents()), "relevance", "popularity"), """SELECT p.db_document_id, p.word, p.position, p.download_count, round(CASE WHEN d.state = 4 AND s.position < 60 THEN s.relevance ELSE 0 END, 6) AS relevance, round(CASE WHEN d.state = 4 AND s.position < 60 THEN s.popularity ELSE 0 END, 6) AS popularity
+add("merge_known_scores", lambda t: r6(I.merge_known_scores(t.postings(), t.scored_postings().select("db_document_id", "word", "relevance", "popularity"), t.documents()), "relevance", "popularity"), """SELECT p.db_document_id, p.word, p.position, p.download_count, round(CASE WHEN d.state = 4 THEN s.relevance ELSE 0 END, 6) AS relevance, round(CASE WHEN d.state = 4 THEN s.popularity ELSE 0 END, 6) AS popularity
  FROM postings p JOIN docs d USING (db_document_id) JOIN spost s ON s.db_document_id = p.db_document_id AND s.word = p.word""")
-add("patch_sparse_text", lambda t: I.patch_sparse_text(t.postings().where("position % 100 = 7").select("db_document_id", "position", F.col("word").alias("excerpt"))).select("db_document_id", F.rtrim("text").alias("text")), """SELECT db_document_id, rtrim(rpad('', min(position), ' ') || string_agg(rpad(word, (nxt - position)::INTEGER, ' '), '' ORDER BY position)) AS text
- FROM (SELECT *, coalesce(lead(position) OVER (PARTITION BY db_document_id ORDER BY position), position + length(word)) AS nxt FROM postings WHERE position % 100 = 7) GROUP BY db_document_id""")
+def patched(t: Tables) -> DataFrame:
+    """Every document's known text with the first occurrence of each word as an excerpt in capitals."""
+    known = t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("text"))
+    return I.patch_sparse_text(t.postings().select("db_document_id", "position", F.translate("word", _LOWER, _UPPER).alias("excerpt")), known)
+
+
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+add("patch_sparse_text", patched, f"""SELECT db_document_id, substr(min(n), 1, min(position)) || string_agg(translate(word, '{_LOWER}', '{_UPPER}') || substr(n, position + length(word) + 1, greatest(0, nxt - position - length(word))), '' ORDER BY position) AS text
+ FROM (SELECT *, coalesce(lead(position) OVER (PARTITION BY db_document_id ORDER BY position), length(n)) AS nxt FROM postings JOIN normed USING (db_document_id)) GROUP BY db_document_id""")
 add("merge_providers", lambda t: I.merge_providers(t.providers().where("last_providing_time % 2 = 0"), t.providers().withColumn("last_providing_time", F.col("last_providing_time") - F.lit(1))), "SELECT db_document_id, node_id, last_providing_time - last_providing_time % 2 AS last_providing_time FROM providers")
-add("provider_must_exist", lambda t: I.provider_must_exist(t.providers(), t.nodes().where("port = 6446"))[0], "SELECT * FROM providers WHERE node_id IN (SELECT node_id FROM nodes WHERE port = 6446)")
+def known_or_refused(t: Tables) -> DataFrame:
+    accepted, refused = I.provider_must_exist(t.providers(), t.nodes().where("port = 6446"))
+    return accepted.withColumn("accepted", F.lit(True)).union(refused.withColumn("accepted", F.lit(False)))
+
+
+add("provider_must_exist", known_or_refused, "SELECT *, node_id IN (SELECT node_id FROM nodes WHERE port = 6446) AS accepted FROM providers")
 add("url_versions", lambda t: I.url_versions(t.documents().withColumn("url", F.concat(F.lit("v"), F.col("db_document_id") % 50))), "SELECT url, db_document_id, row_number() OVER (PARTITION BY url ORDER BY publication_time, db_document_id)::INTEGER AS version, strftime(to_timestamp(publication_time)::TIMESTAMP, '%d %b %Y') AS published, substr(text, 1, 80) AS excerpt FROM (SELECT * REPLACE ('v' || (db_document_id % 50) AS url) FROM docs)")
 
 # Search
 _HIT = ["query_id", "db_document_id", "document_id", "relevance", "popularity", "rank"]
-add("search_all_words", lambda t: r6(t.hits().select(_HIT), "relevance", "popularity"), "SELECT query_id, db_document_id, document_id, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity, rank::INTEGER AS rank FROM hits")
+add("search_all_words", lambda t: r6(S.search_all_words(t.queries(), t.scored_postings(), t.documents()).select(_HIT), "relevance", "popularity"), "SELECT query_id, db_document_id, document_id, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity, rank::INTEGER AS rank FROM hits")
 add("search_private_filter", lambda t: S.search_all_words(t.queries(), t.scored_postings(), t.documents(), mime_type="text/plain", private=False).select("query_id", "db_document_id", "rank"), "SELECT query_id, db_document_id, rank::INTEGER AS rank FROM (SELECT query_id, db_document_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, db_document_id) AS rank FROM hits1 WHERE state <> 0 AND mime_type = 'text/plain') WHERE rank <= 50")
 _match = lambda t: t.documents().withColumn("matching", (F.col("db_document_id") % 10) / F.lit(10.0))
 add("search_ranked", lambda t: r6(S.search_ranked(t.queries(), t.scored_postings(), _match(t), 11), "score"), """SELECT query_id, db_document_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, db_document_id) AS rank FROM (
  SELECT query_id, p.db_document_id, sum((relevance + 0.001) * (popularity + 0.001)) * (min(p.db_document_id % 10) / 10.0::DOUBLE + 0.001) AS score FROM qw JOIN spost p USING (word) JOIN docs d ON d.db_document_id = p.db_document_id WHERE d.state IN (0, 1, 2) GROUP BY ALL HAVING count(*) = min(n_words))) WHERE rank <= 50""")
 add("search_by_url", lambda t: S.search_by_url(_match(t), 3, 40), "SELECT db_document_id, url, (db_document_id % 10) / 10.0::DOUBLE AS score FROM docs WHERE state IN (1, 2) ORDER BY score DESC, db_document_id LIMIT 40")
 add("search_by_words_count", lambda t: S.search_by_words_count(t.queries(), t.scored_postings(), t.documents()), "SELECT query_id, count(*) AS documents FROM hits0 GROUP BY 1")
-add("rank_document", lambda t: r6(S.rank_document(t.queries(), t.scored_postings(), _match(t)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")), "score"), "SELECT query_id, count(*) AS n, round(sum(score), 6) AS score FROM (SELECT query_id, db_document_id, sum((relevance + 0.0001) * (popularity + 0.0001)) * (min(db_document_id % 10) / 10.0::DOUBLE + 0.0001) AS score FROM qw JOIN spost USING (word) GROUP BY ALL) GROUP BY 1")
+add("rank_document", lambda t: r6(S.rank_document(t.queries(), t.scored_postings(), _match(t)), "score"), "SELECT query_id, db_document_id, round(sum((relevance + 0.0001) * (popularity + 0.0001)) * (min(db_document_id % 10) / 10.0::DOUBLE + 0.0001), 6) AS score FROM qw JOIN spost USING (word) GROUP BY ALL")
 add("query_order", lambda t: S.query_order(t.hits(), "publication_time", descending=False).select("query_id", "db_document_id", "place"), "SELECT query_id, db_document_id, row_number() OVER (PARTITION BY query_id ORDER BY publication_time, db_document_id)::INTEGER AS place FROM hits")
 add("page", lambda t: S.page(S.query_order(t.hits(), "publication_time"), 15).select("query_id", "db_document_id", "place", "count", "first", "last", "has_previous", "has_next"), "SELECT query_id, db_document_id, place::INTEGER AS place, n AS count, 16::INTEGER AS first, least(30, n) AS last, true AS has_previous, n > 30 AS has_next FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY publication_time DESC, db_document_id) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM hits) WHERE place BETWEEN 16 AND 30")
 _RES = "document_id, query_id, node_id, relevance, host, port"
@@ -195,9 +235,10 @@ add("spool_counts", lambda t: S.spool_counts(S.first_arrival(t.results())).withC
 add("best_unsent", lambda t: S.best_unsent(S.first_arrival(t.results()), S.first_arrival(t.results()).where("state = 1"), 8).select("query_id", "document_id", "rank"), "WITH sent AS (SELECT query_id, document_id FROM arrival WHERE state = 1), lft AS (SELECT a.*, coalesce(n, 0) AS n FROM arrival a LEFT JOIN (SELECT query_id, count(*) AS n FROM sent GROUP BY 1) USING (query_id) WHERE state <> 1) SELECT query_id, document_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, document_id) AS rank FROM lft) WHERE rank <= 8 - n")
 add("known_answers", lambda t: S.known_answers(t.results(), t.results().where("state = 2")).select("query_id", "document_id"), "SELECT DISTINCT query_id, document_id FROM results WHERE state <> 2")
 add("top_relevant_words", lambda t: r6(S.top_relevant_words(t.scored_postings()).select("db_document_id", "word", "relevance", "rank"), "relevance"), "SELECT db_document_id, word, round(relevance, 6) AS relevance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY db_document_id ORDER BY relevance DESC, word) AS rank FROM spost WHERE relevance > 0) WHERE rank <= 5")
-add("hit_profile", lambda t: r6(S.hit_profile(t.hits().where("rank <= 3"), t.queries(), t.scored_postings()), "relevance"), """WITH h3 AS (SELECT query_id, db_document_id FROM hits WHERE rank <= 3), o AS (SELECT h3.query_id, h3.db_document_id, s.word, s.relevance, n.n_words, row_number() OVER (PARTITION BY h3.query_id, h3.db_document_id ORDER BY s.relevance DESC, s.word) AS r
- FROM h3 JOIN spost s USING (db_document_id) JOIN (SELECT query_id, max(n_words) AS n_words FROM qw GROUP BY 1) n ON n.query_id = h3.query_id LEFT JOIN qw ON qw.query_id = h3.query_id AND qw.word = s.word WHERE qw.word IS NULL AND s.relevance > 0)
- SELECT h3.query_id, h3.db_document_id, s.word, round(s.relevance, 6) AS relevance, true AS in_query FROM h3 JOIN qw ON qw.query_id = h3.query_id JOIN spost s ON s.db_document_id = h3.db_document_id AND s.word = qw.word
+add("hit_profile", lambda t: r6(S.hit_profile(t.hits(), t.queries(), t.scored_postings()), "relevance"), """WITH most AS (SELECT max(n_words) AS m FROM qw), best AS (SELECT * FROM (SELECT db_document_id, word, relevance, row_number() OVER (PARTITION BY db_document_id ORDER BY relevance DESC, word) AS place FROM spost WHERE relevance > 0) WHERE place <= 5 + 2 * (SELECT m FROM most)),
+ per AS (SELECT query_id, max(n_words) AS n_words, list(word) AS own FROM qw GROUP BY 1),
+ o AS (SELECT h.query_id, h.db_document_id, b.word, b.relevance, n_words, row_number() OVER (PARTITION BY h.query_id, h.db_document_id ORDER BY b.relevance DESC, b.word) AS r FROM hits h JOIN per USING (query_id) JOIN best b ON b.db_document_id = h.db_document_id WHERE NOT list_contains(own, b.word))
+ SELECT h.query_id, h.db_document_id, s.word, round(s.relevance, 6) AS relevance, true AS in_query FROM hits h JOIN qw ON qw.query_id = h.query_id JOIN spost s ON s.db_document_id = h.db_document_id AND s.word = qw.word
  UNION ALL SELECT query_id, db_document_id, word, round(relevance, 6), false FROM o WHERE r <= n_words + 5""")
 add("document_scores_listing", lambda t: r6(S.document_scores_listing(t.scored_postings(), ["the", "und", "que"], 100).select("db_document_id", "word", "relevance"), "relevance"), "SELECT db_document_id, word, round(relevance, 6) AS relevance FROM (SELECT * FROM spost WHERE word IN ('the', 'und', 'que') ORDER BY word, relevance DESC, db_document_id LIMIT 100)")
 add("best_providers", lambda t: S.best_providers(t.providers(), t.nodes(), 3), "SELECT * FROM (SELECT node_id, db_document_id, last_providing_time, ip, port, row_number() OVER (PARTITION BY db_document_id ORDER BY last_providing_time DESC, node_id)::INTEGER AS rank FROM providers JOIN nodes USING (node_id)) WHERE rank <= 3")
@@ -206,8 +247,8 @@ add("provider_candidates", lambda t: S.provider_candidates(t.providers(), t.node
 # Usage
 add("word_claims", lambda t: r6(G.word_claims(t.query_log()), "claim_count"), "SELECT word, round(sum(claim), 6) AS claim_count FROM claims GROUP BY 1")
 add("node_claims", lambda t: r6(G.node_claims(t.query_log()), "claim_count"), "SELECT node_id, round(sum(claim), 6) AS claim_count FROM claims GROUP BY 1")
-add("node_interests", lambda t: r6(t.interests(), "claim_count", "specialisation", "expertise"), "SELECT node_id, word, round(claim_count, 6) AS claim_count, round(specialisation, 6) AS specialisation, round(expertise, 6) AS expertise FROM interests")
-add("download_counts", lambda t: r6(G.pair_downloads(t.download_log()).groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("download_count").alias("download_count")), "download_count"), "SELECT word, count(DISTINCT db_document_id) AS documents, round(sum(share), 6) AS download_count FROM dshare GROUP BY 1")
+add("node_interests", lambda t: r6(G.node_interests(t.query_log()), "claim_count", "specialisation", "expertise"), "SELECT node_id, word, round(claim_count, 6) AS claim_count, round(specialisation, 6) AS specialisation, round(expertise, 6) AS expertise FROM interests")
+add("download_counts", lambda t: r6(G.pair_downloads(t.download_log()), "download_count"), "SELECT db_document_id, word, round(sum(share), 6) AS download_count FROM dshare GROUP BY ALL")
 add("weighted_feedback", lambda t: G.document_downloads(t.download_log()), "SELECT db_document_id, sum(weight)::DOUBLE AS download_count FROM dlog GROUP BY 1")
 add("popularity_relevance", lambda t: r6(G.popularity_relevance(t.download_log()), "popularity", "relevance"), "SELECT db_document_id, word, round(popularity, 6) AS popularity, round(relevance, 6) AS relevance FROM learnt")
 add("popularity_relevance_snapshot", lambda t: r6(G.popularity_relevance_snapshot(t.download_log()), "popularity", "relevance"), f"""SELECT p.db_document_id, p.word, round(greatest(p.c / w.c - {deviation('w.c')}, 0), 6) AS popularity, round(greatest(p.c / d.c - {deviation('d.c')}, 0), 6) AS relevance
@@ -217,7 +258,7 @@ add("affinity_pairs", lambda t: r6(G.affinity(t.interests(), t.nodes()), "affini
 add("matching", lambda t: r6(G.matching(t.interests(), t.scored_postings(), t.documents(), me()), "matching"), f"SELECT d.db_document_id, round(coalesce(sum((i.specialisation + 0.01) * (s.relevance + 0.01)), 0), 6) AS matching FROM docs d LEFT JOIN (spost s JOIN interests i ON i.word = s.word AND i.node_id = {ME}) ON s.db_document_id = d.db_document_id GROUP BY 1")
 add("aging", lambda t: r6(G.aging(G.word_claims(t.query_log()), "claim_count", G.word_claims(t.query_log()).agg(F.sum("claim_count").alias("c")), "c"), "claim_count"), "WITH c AS (SELECT word, sum(claim) AS s FROM claims GROUP BY 1) SELECT word, round(s * (SELECT CASE WHEN sum(s) > 1000 THEN 0.75 ELSE 1 END FROM c), 6) AS claim_count FROM c")
 add("word_totals", lambda t: r6(G.word_totals(G.word_claims(t.query_log()).join(G.word_downloads(t.download_log()), "word", "full")), "claim_count", "download_count"), "SELECT round((SELECT sum(claim) FROM claims), 6) AS claim_count, round((SELECT sum(share) FROM dshare), 6) AS download_count")
-add("documents_by_state", lambda t: G.documents_by_state(t.documents().where("state != 2")), "SELECT s.state::INTEGER AS state, count(d.state) AS n FROM (SELECT unnest([0, 1, 2, 4]) AS state) s LEFT JOIN (SELECT * FROM docs WHERE state <> 2) d ON d.state = s.state GROUP BY 1")
+add("documents_by_state", lambda t: G.documents_by_state(t.documents()), "SELECT s.state::INTEGER AS state, count(d.state) AS n FROM (SELECT unnest([0, 1, 2, 4]) AS state) s LEFT JOIN docs d ON d.state = s.state GROUP BY 1")
 add("size_by_state", lambda t: G.size_by_state(t.documents()), "SELECT state, sum(size)::BIGINT AS size FROM docs GROUP BY 1")
 add("table_sizes", lambda t: G.table_sizes({"documents": t.documents(), "files": t.files(), "postings": t.postings()}), "SELECT 'documents' AS table_name, count(*) AS n FROM docs UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'postings', count(*) FROM postings")
 add("document_frequency", lambda t: G.document_frequency(t.postings()), "SELECT word, count(*) AS documents FROM postings GROUP BY 1 HAVING count(*) <> 1")
@@ -234,7 +275,12 @@ add("registered_neighbors", lambda t: P.registered_neighbors(t.nodes(), me(), 50
 add("presence_registry", lambda t: t.registry(F.lit("2024-01-20").cast("timestamp")), """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM plog) WHERE r = 1 AND action = 'notify'), o AS (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM l)
  SELECT node_id, ip, port, bandwidth, floor(epoch(ts))::BIGINT AS last_seen FROM o WHERE q = 1 AND ts > TIMESTAMP '2024-01-19'""")
 _SCORES = lambda t: P.route_scores(t.queries(), t.nodes_with_affinity(me()), t.interests())
-add("route_scores", lambda t: r6(_SCORES(t).groupBy("node_id").agg(F.sum("score").alias("score")), "score"))
+_ROUTES = """WITH best AS (SELECT other AS node_id, affinity FROM aff ORDER BY round(affinity, 12) DESC, node_id LIMIT 100),
+ own AS (SELECT node_id, i.word AS interest, specialisation * expertise * affinity AS weight FROM interests i JOIN best USING (node_id)),
+ near AS (SELECT w.word, o.interest, 1 / pow(2.0::DOUBLE, levenshtein(w.word, o.interest)) AS factor FROM (SELECT DISTINCT word FROM qw) w, (SELECT DISTINCT interest FROM own) o),
+ part AS (SELECT near.word, node_id, sum(weight * factor) AS part FROM near JOIN own USING (interest) GROUP BY ALL)
+ SELECT query_id, node_id, round(sum(part), 6) AS score FROM qw JOIN part USING (word) GROUP BY ALL"""
+add("route_scores", lambda t: r6(_SCORES(t), "score"), _ROUTES)
 add("weighted_pick", lambda t: P.weighted_pick(_SCORES(t), 4, 7).select("query_id", "node_id", "place"))
 add("random_nodes", lambda t: P.random_nodes(t.nodes(), t.nodes().where("port = 6446"), 10, 7).select("node_id"))
 add("random_documents", lambda t: P.random_documents(t.documents(), 10, 7))
@@ -256,6 +302,73 @@ add("presence_stream", lambda t: runs.appended(jobs.presence_stream(presence_eve
 add("usage_stats_stream", lambda t: r6(runs.updated(jobs.usage_stats_stream(events_stream(t).where("event_type = 'view'").select("node_id", F.array(F.get_json_object("props", "$.k"), F.col("node_id")).alias("words"))), ["word"], "usage"), "claim_count"), "SELECT word, round(sum(claim), 6) AS claim_count FROM (SELECT unnest([json_extract_string(props, '$.k'), sha1(user_id::VARCHAR)]) AS word, 0.5::DOUBLE AS claim FROM events WHERE event_type = 'view') GROUP BY 1")
 
 
+# Streams into tables of micro-batches
+def spooled(t: Tables) -> DataFrame:
+    """The three best results of each query of the event stream, sent in batches."""
+    k = F.get_json_object("props", "$.k")
+    results = events_stream(t).where("event_type in ('click', 'purchase') and value is not null").select(k.alias("query_id"), F.col("event_id").cast("string").alias("document_id"), F.col("value").alias("relevance"), F.col("ts").alias("record_ts")).where("query_id is not null")
+    place = fresh_path(t.spark, "spool")
+    runs.drained(jobs.flush_spool_stream(results, place, 3, "36500 days"), place)
+    return jobs.BatchTable(f"{place}/sent", jobs.SPOOL).read(t.spark).select("query_id", "document_id", "relevance")
+
+
+def present(t: Tables) -> DataFrame:
+    place = fresh_path(t.spark, "present")
+    runs.drained(jobs.presence_owner_stream(presence_events(t), f"{place}/nodes"), place)
+    return jobs.present_nodes(t.spark, f"{place}/nodes").select("node_id", "ip", "port")
+
+
+def indexed(t: Tables) -> DataFrame:
+    """Postings of every file of the document stream."""
+    d = F.col("doc_id")
+    crawl = runs.table_stream(t.spark, t.sf_dir, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), d.cast("string"), F.lit(".txt")).alias("file_name"), (d * 3600).alias("file_time"), F.lit(U.PUBLISHED).alias("state"), d.alias("db_document_id"), T.first_chars_title(F.col("text")).alias("title"), "text")
+    place = fresh_path(t.spark, "index")
+    runs.drained(jobs.incremental_index_stream(crawl, place), place)
+    return jobs.current_postings(t.spark, place).select("db_document_id", "word", "position")
+
+
+def answered(t: Tables) -> DataFrame:
+    """Clicks as answers to the views of the same key in the 30 days before."""
+    k = F.get_json_object("props", "$.k").alias("query_id")
+    asked = events_stream(t).where("event_type = 'view'").select(k, "ts")
+    answers = events_stream(t).where("event_type = 'click'").select(k, F.concat(F.lit("d"), F.col("event_id") % 50).alias("document_id"), F.col("ts").alias("record_ts"))
+    return runs.appended(jobs.merge_results_stream(answers, asked, "30 days"), "answers")
+
+
+add("flush_spool_stream", spooled, """WITH r AS (SELECT json_extract_string(props, '$.k') AS query_id, event_id::VARCHAR AS document_id, value AS relevance FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL)
+ SELECT query_id, document_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, document_id) AS place FROM r WHERE query_id IS NOT NULL) WHERE place <= 3""")
+add("presence_owner_stream", present, """WITH e AS (SELECT sha1(user_id::VARCHAR) AS node_id, ts, event_id, event_type, '10.0.0.' || (user_id % 256) AS ip, (user_id % 3 + 6446)::INTEGER AS port FROM events WHERE event_type IN ('signup', 'error')),
+ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1 AND event_type = 'signup')
+ SELECT node_id, ip, port FROM (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM l) WHERE q = 1""")
+add("incremental_index_stream", indexed, f"""WITH t AS (SELECT file_id, {tokens('n')} AS ws, string_split_regex(n, '\\w{{2,50}}') AS gs FROM (SELECT file_id, {norm("title || ' ' || text")} AS n FROM ext))
+ SELECT file_id AS db_document_id, word, min(position) AS position FROM (SELECT file_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY file_id ORDER BY i) - length(word))::INTEGER AS position
+ FROM (SELECT file_id, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap, unnest(range(1, len(ws) + 1)) AS i FROM t)) GROUP BY ALL""")
+add("merge_results_stream", answered)
+
+# Files and extractors
+add("read_files", lambda t: files.read_files(t.spark, [t.sf_dir], content=False).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length"))
+_page_files = lambda t: t.given("pages").select(F.col("url").alias("path"), F.when(F.col("page_id") % 5 == 0, "image/png").when(F.col("page_id") % 5 == 1, "text/plain").otherwise("text/html").alias("mime_type"), F.encode("html", "UTF-8").alias("content"))
+add("extract", lambda t: files.split_failures(files.Registry().extract(_page_files(t)))[0].select("path", "mime_type", "title", F.sha1("text").alias("text_sha1"), F.size("links").alias("n_links")))
+add("indexing_failures", lambda t: files.split_failures(files.Registry().extract(_page_files(t)))[1], "SELECT url AS path, 'image/png' AS mime_type, 'no extractor for image/png' AS error FROM pages WHERE page_id % 5 = 0")
+
+
+def shouting(content: bytes, path: str) -> tuple[str, str, list[str]]:
+    """A user's extractor: pages by their path; others are left to the next extractor."""
+    if b"<title" not in content:
+        raise ValueError("no page")
+    return path.upper(), "", []
+
+
+def registered(t: Tables) -> DataFrame:
+    registry = files.Registry()
+    registry.register("text/html", shouting)
+    return registry.extract(_page_files(t)).where("mime_type = 'text/html'").select("path", "title", "error")
+
+
+add("register_extractor", registered)
+add("resolve_link", lambda t: t.given("pages").select("page_id", U.resolve_link(F.col("url"), F.concat(F.lit("../a/./b"), F.col("page_id").cast("string"), F.lit("?q=1#f"))).alias("target")), """SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '[^/]+/$', '') || CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE '' END || 'a/b' || page_id || '?q=1#f' AS target FROM pages""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, (plan, _) in CATALOG.items()}
 

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
 from siftwell.operators import index, peers, search, usage
+from siftwell.sources.shared import written
 
 EPOCH = 1_600_000_000
 
 
+#: Stored tables by application, folder, state of its files and name: indexed once, searched often.
+KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """Derived tables of one data folder; each is a lazy plan over the given tables."""
+    """Derived tables of one data folder.
+
+    Those that many queries need (documents, postings, logs, hits) are written once to the shared
+    folder and read from there as long as the given files stay as they are; the others are lazy plans.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.seen: str | None = None
+
+    def kept(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        if self.seen is None:
+            places = [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "events")]
+            found = self.spark.read.format("binaryFile").load(places).select("path", "length", "modificationTime").orderBy("path").collect()
+            self.seen = repr(found)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.seen, name)
+        if key not in KEPT:
+            KEPT[key] = written(plan(), f"engine-{name}")
+        return KEPT[key]
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -37,7 +59,7 @@ class Tables:
         )
 
     def documents(self) -> DataFrame:
-        return index.dedupe_content(self.extracted())
+        return self.kept("documents", lambda: index.dedupe_content(self.extracted()))
 
     def files(self) -> DataFrame:
         return index.link_files(self.extracted(), self.documents())
@@ -52,10 +74,16 @@ class Tables:
         return old.unionByName(new)
 
     def postings(self) -> DataFrame:
-        return index.build_postings(self.documents())
+        return self.kept("postings", lambda: index.build_postings(self.documents()))
 
     def scored_postings(self) -> DataFrame:
-        """Postings with the scores of the download log laid over them; other pairs have scores from their position."""
+        """Postings with the scores of the download log laid over them; other pairs have scores from their position.
+
+        Stored in order of words, so that a search of few words skips most of the files.
+        """
+        return self.kept("scored-postings", lambda: self.new_scored_postings().repartitionByRange("word").sortWithinPartitions("word", "db_document_id"))
+
+    def new_scored_postings(self) -> DataFrame:
         learnt = usage.popularity_relevance(self.download_log()).withColumnsRenamed({"popularity": "new_popularity", "relevance": "new_relevance"})
         both = self.postings().join(learnt, ["db_document_id", "word"], "left")
         place = F.lit(1.0) / (F.col("position") + 10.37)
@@ -82,6 +110,9 @@ class Tables:
 
     def event_words(self, kinds: list[str]) -> DataFrame:
         """Events with the document they are on and two of its words."""
+        return self.kept("event-words", lambda: self.new_event_words(["view", "click", "purchase"])).where(F.col("event_type").isin(kinds))
+
+    def new_event_words(self, kinds: list[str]) -> DataFrame:
         docs = self.given("documents").select(F.col("doc_id").alias("on_doc"), "text")
         n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         events = self.given("events").where(F.col("event_type").isin(kinds)).crossJoin(F.broadcast(n))
@@ -114,7 +145,7 @@ class Tables:
         return log.select("ts", "event_id", F.when(F.col("action") == "notify", notify).otherwise(F.concat_ws(":", "action", "node_id")).alias("line"))
 
     def hits(self) -> DataFrame:
-        return search.search_all_words(self.queries(), self.scored_postings(), self.documents())
+        return self.kept("hits", lambda: search.search_all_words(self.queries(), self.scored_postings(), self.documents()))
 
     def results(self) -> DataFrame:
         """Hits as they came from one to three nodes; the first copy is local."""
@@ -133,7 +164,7 @@ class Tables:
         return self.download_log().groupBy("db_document_id", "node_id").agg(F.unix_timestamp(F.max("ts")).alias("last_providing_time"))
 
     def interests(self) -> DataFrame:
-        return usage.node_interests(self.query_log())
+        return self.kept("interests", lambda: usage.node_interests(self.query_log()))
 
     def nodes_with_affinity(self, me: str) -> DataFrame:
         found = usage.affinity(self.interests(), self.nodes(), me).select(F.col("other").alias("node_id"), F.col("affinity").alias("new"))

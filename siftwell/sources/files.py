@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import helpers as H
+from siftwell.functions.pages import parse_page
 from siftwell.functions.urls import EXTENSIONS
 
 Extractor = Callable[[bytes, str], tuple[str, str, list[str]]]
@@ -51,7 +52,7 @@ def plain_text(content: bytes, path: str) -> tuple[str, str, list[str]]:
 
 
 def page_text(content: bytes, path: str) -> tuple[str, str, list[str]]:
-    return H.parse_page(content.decode(H.guess_encoding(content, True), "ignore"))
+    return parse_page(content.decode(H.guess_encoding(content, True), "ignore"))
 
 
 class Registry:

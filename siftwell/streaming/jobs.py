@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell.operators import index, usage
+from siftwell.operators.index import latest_per_key
 from siftwell.operators.search import best_unsent
 
-QUERY_LIFE, RESULT_LIFE, PRESENCE_MS = "60 seconds", "1 hour", 24 * 3600 * 1000
+QUERY_LIFE, RESULT_LIFE, SPOOL_LIFE, PRESENCE_MS = "60 seconds", "1 hour", "40 seconds", 24 * 3600 * 1000
 
 
 def dedupe_queries_stream(queries: DataFrame, life: str = QUERY_LIFE) -> DataFrame:
@@ -63,28 +65,122 @@ def usage_stats_stream(query_log: DataFrame) -> DataFrame:
     return usage.word_claims(query_log)
 
 
-def flush_spool_batch(results: DataFrame, sent_path: str, expected: int):
-    """A ``foreachBatch`` body: send the best unsent hits of each query, append them to ``sent_path``."""
+class BatchTable:
+    """A table of micro-batches: each batch writes a part of its own, which a retried batch replaces."""
+
+    def __init__(self, path: str, schema: str) -> None:
+        self.path, self.schema = path, f"{schema}, batch_id long"
+
+    def prepare(self, spark: SparkSession) -> None:
+        """An empty table where there is none."""
+        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("batch_id").parquet(self.path)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Rows of earlier batches."""
+        return spark.read.schema(self.schema).parquet(self.path).where(F.col("batch_id") < batch_id)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
+
+
+SPOOL = "query_id string, document_id string, relevance double, record_ts timestamp"
+
+
+def flush_spool_stream(results: DataFrame, path: str, expected: int, life: str = SPOOL_LIFE) -> DataStreamWriter:
+    """Send the best unsent hits of each query, ``expected`` in all, as batches come (a trigger of 2 seconds).
+
+    Hits that a batch leaves unsent wait in the spool for later ones until they are ``life`` older than
+    the newest hit. ``path``/sent holds what was sent, ``path``/spool what waits after each batch.
+    """
+    sent, spool = BatchTable(f"{path}/sent", SPOOL), BatchTable(f"{path}/spool", SPOOL)
+    for table in (sent, spool):
+        table.prepare(results.sparkSession)
+    columns = ["query_id", "document_id", "relevance", "record_ts"]
 
     def send(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sent = spark.createDataFrame([], batch.select("query_id", "document_id").schema)
-        try:
-            sent = spark.read.parquet(sent_path).where(F.col("batch_id") < batch_id).select("query_id", "document_id")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new = best_unsent(batch.dropDuplicates(["query_id", "document_id"]), sent, expected)
-        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(sent_path)
+        rows = batch.select(F.col("query_id").cast("string"), F.col("document_id").cast("string"), F.col("relevance").cast("double"), "record_ts")
+        waiting = rows.unionByName(spool.before(spark, batch_id).where(F.col("batch_id") == batch_id - 1).select(columns))
+        newest = waiting.agg((F.max("record_ts") - F.expr(f"INTERVAL {life}")).alias("oldest"))
+        alive = waiting.crossJoin(F.broadcast(newest)).where(F.col("record_ts") >= F.col("oldest")).drop("oldest")  # one row
+        done = sent.before(spark, batch_id).select("query_id", "document_id", "record_ts")
+        once = latest_per_key(alive, ["query_id", "document_id"], F.asc("record_ts"))
+        new = best_unsent(once, done, expected).select(columns)
+        sent.write(new, batch_id)
+        now = sent.read(spark).select("query_id", "document_id")
+        spool.write(once.join(now, ["query_id", "document_id"], "left_anti").select(columns), batch_id)
 
     return results.writeStream.foreachBatch(send)
 
 
-def incremental_index_batch(files: DataFrame, postings_path: str):
-    """A ``foreachBatch`` body: new documents become postings, one folder a batch, so a retried batch replaces itself."""
+PRESENT = "node_id string, action string, ip string, port int, ts timestamp, event_id long"
+
+
+def presence_owner_stream(log: DataFrame, path: str) -> DataStreamWriter:
+    """Keep the newest word of each node in ``path``, a batch writing only the nodes that it changes.
+
+    An older row than a node's own is ignored. ``present_nodes`` reads who is there.
+    """
+    table = BatchTable(path, PRESENT)
+    table.prepare(log.sparkSession)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        columns = ["node_id", "action", "ip", "port", "ts", "event_id"]
+        new = batch.select(columns)
+        known = table.before(batch.sparkSession, batch_id).join(new.select("node_id").distinct(), "node_id", "left_semi").select(columns)
+        table.write(latest_per_key(new.unionByName(known), ["node_id"], F.desc("ts"), F.desc("event_id")), batch_id)
+
+    return log.writeStream.foreachBatch(merge)
+
+
+def present_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, ip, port, ts of the nodes whose last word is no logout; of nodes at one address the newest owns it."""
+    last = latest_per_key(BatchTable(path, PRESENT).read(spark), ["node_id"], F.desc("batch_id")).where("action = 'notify'")
+    return latest_per_key(last, ["ip", "port"], F.desc("ts"), F.desc("event_id")).select("node_id", "ip", "port", "ts")
+
+
+FILES = "file_name string, file_time long, state int, db_document_id long"
+POSTINGS = "db_document_id long, word string, position int, download_count double, relevance double, popularity double"
+
+
+def incremental_index_stream(crawl: DataFrame, path: str) -> DataStreamWriter:
+    """Index files as they come: file_name, file_time, state, db_document_id, title, text.
+
+    A file is indexed if it is new, newer than the indexed one or of another state; its postings
+    take new positions, keep the scores of words that it still has, and lose the others. A batch
+    writes only the files that it changes; ``current_postings`` reads each document's last ones.
+    """
+    files, postings = BatchTable(f"{path}/files", FILES), BatchTable(f"{path}/postings", POSTINGS)
+    for table in (files, postings):
+        table.prepare(crawl.sparkSession)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = latest_per_key(batch, ["file_name"], F.desc("file_time"), F.desc("db_document_id"))
+        changed = index.detect_changes(newest, latest_files(files.before(spark, batch_id))).where("change != 'untouched'").drop("change")
+        files.write(changed.select("file_name", "file_time", "state", "db_document_id"), batch_id)
+        own = files.read(spark).where(F.col("batch_id") == batch_id).select("db_document_id").distinct()
+        documents = changed.dropDuplicates(["db_document_id"]).join(own, "db_document_id", "left_semi")
+        old = latest_postings(postings.before(spark, batch_id), files.before(spark, batch_id)).join(own, "db_document_id", "left_semi")
+        fresh = index.build_postings(documents)
+        merged = index.merge_postings(old, fresh).join(fresh.select("db_document_id", "word"), ["db_document_id", "word"], "left_semi")
+        postings.write(merged, batch_id)
+
+    return crawl.writeStream.foreachBatch(merge)
+
+
+def latest_files(files: DataFrame) -> DataFrame:
+    return latest_per_key(files, ["file_name"], F.desc("batch_id")).drop("batch_id")
+
+
+def latest_postings(postings: DataFrame, files: DataFrame) -> DataFrame:
+    """Each document's postings of the last batch that indexed it."""
+    last = files.groupBy("db_document_id").agg(F.max("batch_id").alias("batch_id"))
+    return postings.join(last, ["db_document_id", "batch_id"], "left_semi").drop("batch_id")
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        fresh = index.build_postings(batch.dropDuplicates(["db_document_id"]))
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(postings_path)
 
-    return files.writeStream.foreachBatch(add)
+def current_postings(spark: SparkSession, path: str) -> DataFrame:
+    return latest_postings(BatchTable(f"{path}/postings", POSTINGS).read(spark), BatchTable(f"{path}/files", FILES).read(spark))

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from siftwell.operators.index import latest_per_key
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftwell-")).rstrip("/")
+from siftwell.sources.shared import fresh_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +16,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def drained(writer: DataStreamWriter, place: str) -> None:
+    """Run a stream over all that is there."""
+    writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def appended(stream: DataFrame, name: str) -> DataFrame:
     """All rows that the stream appends, through a Parquet sink in the shared folder."""
-    place = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).format("parquet").start(f"{place}/rows")
-    query.awaitTermination()
+    place = fresh_path(stream.sparkSession, name)
+    drained(stream.writeStream.outputMode("append").format("parquet").option("path", f"{place}/rows"), place)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 def updated(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The last row of each key that the stream updates; a retried batch replaces its own folder."""
-    place = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    place = fresh_path(stream.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={batch_id}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    drained(stream.writeStream.outputMode("update").foreachBatch(write), place)
     rows = stream.sparkSession.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows")
     return latest_per_key(rows, keys, F.desc("batch")).drop("batch")

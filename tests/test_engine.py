@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import math
+import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import excerpts as E
 from siftwell.functions import helpers as H
+from siftwell.functions import pages as X
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
+from siftwell.functions.arrays import sums_before
 from siftwell.operators import index, peers, search, usage
 from siftwell.plans.fixtures import Tables
 from siftwell.sources import files
-from siftwell.streaming import jobs
+from siftwell.streaming import jobs, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,21 +71,72 @@ def test_encodings():
 
 
 def test_pages():
-    title, text, links = H.parse_page("<html><head><title>T &amp; U</title></head><body><b>titi</b><i>tutu</i><a href='x.html'>l</a></body>")
+    title, text, links = X.parse_page("<html><head><title>T &amp; U</title></head><body><b>titi</b><i>tutu</i><a href='x.html'>l</a></body>")
     assert title == "T  U"
     assert text.split() == ["titi", "tutu", "l"] and links == ["x.html"]
-    title, text, links = H.parse_clean("<html><body><script>no</script><p>one &lt; two</p><a href='p#f'>a</a><a href='p'>b</a><img src='i.png'></body></html>")
+    title, text, links = X.parse_clean("<html><body><script>no</script><p>one &lt; two</p><a href='p#f'>a</a><a href='p'>b</a><img src='i.png'></body></html>")
     assert "no" not in text.split() and links == ["p", "i.png"]
 
 
 def test_abstract_and_excerpts():
     text = "start " + "filler word " * 30 + "needle in here " + "tail words " * 30
-    got = H.abstract(text, ["needle"])
+    got = E.abstract(text, ["needle"])
     assert "<b>needle</b>" in got and got.startswith(" <b>...</b> ") and got.endswith(" <b>...</b>") and len(got) < 140
-    assert H.abstract("short text", ["absent"]) == "short text"
-    assert H.excerpt("a" * 10, 3) == "a" * 10
-    assert "needle" in H.excerpt(text, text.index("needle"))
-    assert H.merged(text, [("needle", text.index("needle"))]).endswith(" <b>...</b>")
+    assert E.abstract("short text", ["absent"]) == "short text"
+    assert E.abstract("x" * 300, []) == " <b>...</b>" and E.abstract("ab " * 100, []).startswith("ab ab")
+    many = E.abstract(" ".join(f"alpha{' pad' * 40} beta{' pad' * 40}" for _ in range(20)), ["alpha", "beta"])
+    assert many.count("<b>alpha</b>") + many.count("<b>beta</b>") == 5 and many.count("<b>beta</b>") >= 2
+
+
+def window_of(text, at, half=40):
+    """The window by its rule, a character at a time."""
+    at = 0 if at >= 65535 else at
+    begin = max(0, at - half)
+    if begin:
+        while begin < at and text[begin] != " ":
+            begin += 1
+        begin += 1
+    end = min(len(text), begin + 2 * half)
+    if end < len(text):
+        while end > at and text[end] != " ":
+            end -= 1
+        end += 1
+    return begin, max(begin, end)
+
+
+def test_excerpts_by_brute_force(spark):
+    r = random.Random(6)
+    texts = ["a" * 10, "", "needle", "x" * 300, "one two " * 40] + [" ".join("".join(r.choice("abé<>") for _ in range(r.choice([1, 3, 9, 60]))) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    rows = [(i, t, sorted(r.sample(range(max(1, len(t))), min(4, max(1, len(t)))))) for i, t in enumerate(texts)] + [(900, "w " * 40_000, [10, 65535, 70_000])]
+    df = spark.createDataFrame(rows, "id long, text string, places array<int>")
+    at = df.select("id", "text", F.explode("places").alias("at"))
+    for x in at.select("text", "at", E.excerpt_at(F.col("text"), F.col("at")).alias("e")).collect():
+        begin, end = window_of(x["text"], x["at"])
+        assert x["e"] == x["text"][begin:end]
+    for x in df.select("text", "places", E.merge_excerpts(F.col("text"), F.col("places")).alias("e")).collect():
+        out, last = "", 0
+        for begin, end in sorted(window_of(x["text"], p) for p in x["places"]):
+            if end > last:
+                out += ("<b>...</b>" if begin > last else "") + x["text"][max(begin, last) : end].replace("<", "&lt;").replace(">", "&gt;")
+                last = end
+        assert x["e"] == (out + " <b>...</b>" if out else None)
+
+
+def test_links_as_the_standard_says(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.b/c/d/e.html?q#f", "http://a.b", "http://a.b/", "https://h:80/x/", "http://a/b/../c/d"]
+    links = ["g", "./g", "g/", "/g", "//h/x", "?y", "g?y#z", "#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../../g", "/./g", "/../g", "g.", "..g", "./g/.", "g/./h", "g/../h", "mailto:x@y", "javascript:void(0)", "http://z/../q", "a b/é"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "page string, link string")
+    for r in df.select("page", "link", U.resolve_link(F.col("page"), F.col("link")).alias("t")).collect():
+        assert r["t"] == urljoin(r["page"], r["link"]), (r["page"], r["link"])
+
+
+def test_prefix_sums(spark):
+    r = random.Random(1)
+    rows = [(i, [r.randrange(50) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 255, 256, 257, 1000, 20_000])]
+    for x in spark.createDataFrame(rows, "i long, a array<int>").select("a", sums_before(F.col("a")).alias("s")).collect():
+        assert list(x["s"]) == [0, *itertools.accumulate(x["a"])][: len(x["a"])]
 
 
 def test_files_and_extractors(spark, tmp_path):
@@ -185,6 +242,29 @@ def test_routing_leaves_out(spark):
     assert routes.groupBy("query_id", "node_id").count().where("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("n", [5, 40, 1000])
+def test_routing_reaches_every_node(spark, n):
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node_id"))
+    queries = spark.range(3000).select(F.col("id").alias("query_id"), F.lit("n1").alias("sender"))
+    scores = queries.select("query_id", F.explode(F.array(F.lit("n2"), F.lit("n3"), F.lit("n1"))).alias("node_id"), F.lit(1.0).alias("score"))
+    routes = peers.route_queries(queries, scores, nodes, "n0", 3)
+    per = routes.groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("d"), F.count_if(F.col("kind") == "weighted").alias("w")).collect()
+    assert {(r["n"], r["d"], r["w"]) for r in per} == {(min(8, n - 2), min(8, n - 2), 2)}
+    seen = Counter(r["node_id"] for r in routes.where("kind = 'random'").collect())
+    assert set(seen) == {f"n{k}" for k in range(4, n)}
+    if n == 1000:  # as likely each
+        assert min(seen.values()) > 2 and max(seen.values()) < 50
+
+
+def test_route_scores_in_blocks(spark, monkeypatch):
+    t = Tables(spark, SF)
+    args = t.queries().limit(60), t.nodes_with_affinity("x"), t.interests()
+    one = {(r[0], r[1]): r[2] for r in peers.route_scores(*args).collect()}
+    monkeypatch.setattr(peers, "WORDS", 7)
+    two = {(r[0], r[1]): r[2] for r in peers.route_scores(*args).collect()}
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(one[k]) for k in one)
+
+
 def test_assigned_ids_have_no_gap(spark):
     known = spark.createDataFrame([(7,), (3,)], "db_document_id long")
     new = spark.createDataFrame([(f"k{i:03d}",) for i in range(300)], "document_id string")
@@ -232,20 +312,53 @@ def test_presence_stream(spark, tmp_path):
     assert {(r["node_id"], r["action"]) for r in got.collect()} == {("A", "logout"), ("B", "notify")}
 
 
-def test_foreach_batch_jobs(spark, tmp_path):
-    t = Tables(spark, SF)
-    docs = t.documents().where("db_document_id < 10").select("db_document_id", "title", "text")
-    q = jobs.incremental_index_batch(stream_of(spark, tmp_path, docs, "i"), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == index.build_postings(docs).count()
-    hits = spark.createDataFrame([(1, f"d{k}", float(k)) for k in range(9)], "query_id long, document_id string, relevance double")
-    q = jobs.flush_spool_batch(stream_of(spark, tmp_path, hits, "h"), str(tmp_path / "sent"), 3).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["document_id"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()} == {"d8", "d7", "d6"}
+def in_batches(spark, tmp_path, tables, name):
+    """A stream that meets one table after the other, a batch each."""
+    path = tmp_path / name
+    for k, df in enumerate(tables):
+        df.coalesce(1).write.mode("append").parquet(str(path))
+        for f in path.glob("part-*"):
+            if not f.name.startswith("part-0000-batch"):
+                f.rename(path / f"part-0000-batch{k}.parquet")
+                os.utime(path / f"part-0000-batch{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_spool_keeps_what_is_unsent(spark, tmp_path):
+    schema = "query_id long, document_id string, relevance double, record_ts string"
+    at = "2024-01-01 00:{}".format
+    batches = [[(1, "a", 1.0, at("00:00")), (1, "b", 5.0, at("00:01")), (1, "c", 4.0, at("00:02")), (2, "z", 1.0, at("00:00"))], [(1, "d", 9.0, at("00:10")), (1, "b", 7.0, at("00:11"))], [(2, "y", 1.0, at("02:00"))], [(3, "x", 1.0, at("02:01"))]]
+    tables = [spark.createDataFrame(b, schema).withColumn("record_ts", F.to_timestamp("record_ts")) for b in batches]
+    place = str(tmp_path / "spool")
+    runs.drained(jobs.flush_spool_stream(in_batches(spark, tmp_path, tables, "h"), place, 3), place)
+    sent = jobs.BatchTable(f"{place}/sent", jobs.SPOOL).read(spark).collect()
+    # c waits no longer once three are sent; of query 1 b, c and a go first, d comes too late
+    assert {(r["query_id"], r["document_id"], r["batch_id"]) for r in sent} == {("1", "b", 0), ("1", "c", 0), ("1", "a", 0), ("2", "z", 0), ("2", "y", 2), ("3", "x", 3)}
+    spool = jobs.BatchTable(f"{place}/spool", jobs.SPOOL).read(spark).collect()
+    assert {(r["document_id"], r["batch_id"]) for r in spool} == {("d", 1)}  # dropped when 40 seconds are over
+
+
+def test_presence_owners(spark, tmp_path):
+    schema = "node_id string, action string, ip string, port int, ts string, event_id long"
+    batches = [[("A", "notify", "1.1.1.1", 5, "2024-01-01 00:00:00", 1), ("B", "notify", "1.1.1.2", 5, "2024-01-01 00:00:01", 2)], [("C", "notify", "1.1.1.1", 5, "2024-01-01 00:00:05", 3), ("B", "notify", "9.9.9.9", 5, "2023-01-01 00:00:00", 4)], [("A", "notify", "1.1.1.3", 5, "2024-01-01 00:00:09", 5), ("B", "logout", "1.1.1.2", 5, "2024-01-01 00:00:10", 6)]]
+    tables = [spark.createDataFrame(b, schema).withColumn("ts", F.to_timestamp("ts")) for b in batches]
+    for n, want in ((2, {("C", "1.1.1.1"), ("B", "1.1.1.2")}), (3, {("C", "1.1.1.1"), ("A", "1.1.1.3")})):
+        place = str(tmp_path / f"present{n}")
+        runs.drained(jobs.presence_owner_stream(in_batches(spark, tmp_path, tables[:n], f"p{n}"), f"{place}/nodes"), place)
+        assert {(r["node_id"], r["ip"]) for r in jobs.present_nodes(spark, f"{place}/nodes").collect()} == want
+
+
+def test_incremental_index(spark, tmp_path):
+    schema = "file_name string, file_time long, state int, db_document_id long, title string, text string"
+    batches = [[("/a", 10, 1, 1, "t", "red fox"), ("/b", 10, 1, 2, "t", "owl")], [("/a", 20, 1, 1, "t", "fox den"), ("/b", 5, 1, 2, "t", "changed but older"), ("/c", 1, 1, 3, "t", "new file")]]
+    tables = [spark.createDataFrame(b, schema) for b in batches]
+    place = str(tmp_path / "index")
+    runs.drained(jobs.incremental_index_stream(in_batches(spark, tmp_path, tables, "f"), place), place)
+    got = {(r["db_document_id"], r["word"], r["position"]) for r in jobs.current_postings(spark, place).collect()}
+    assert got == {(1, "fox", 2), (1, "den", 6), (2, "owl", 2), (3, "new", 2), (3, "file", 6)}
 
 
 def test_excerpts_of_every_scored_word(spark):
-    from siftwell.functions import helpers
     from siftwell.plans import catalog
 
     texts = {1: "old red fox runs", 2: "fox and owl " * 20 + "red end"}
@@ -256,7 +369,11 @@ def test_excerpts_of_every_scored_word(spark):
         queries = staticmethod(lambda: spark.createDataFrame([(7, ["red", "fox"]), (8, ["owl"])], "query_id long, words array<string>"))
         postings = staticmethod(lambda: spark.createDataFrame([(i, w, t.index(w)) for i, t in texts.items() for w in ("red", "fox", "owl") if w in t], "db_document_id long, word string, position int"))
 
-    want = {(q, d, w): helpers.excerpt(texts[d], texts[d].index(w)).strip() for q, d, ws in ((7, 1, ("red", "fox")), (7, 2, ("red", "fox")), (8, 2, ("owl",))) for w in ws}
+    def window(text, at):
+        begin, end = window_of(text, at)
+        return text[begin:end]
+
+    want = {(q, d, w): window(texts[d], texts[d].index(w)).strip() for q, d, ws in ((7, 1, ("red", "fox")), (7, 2, ("red", "fox")), (8, 2, ("owl",))) for w in ws}
     assert {(r[0], r[1], r[2]): r[3].strip() for r in catalog.CATALOG["excerpt_at"][0](Given).collect()} == want
     got = {(r[0], r[1]): r[2] for r in catalog.CATALOG["merge_excerpts"][0](Given).collect()}
     assert set(got) == {(7, 1), (7, 2), (8, 2)} and all(got.values())
