@@ -119,6 +119,21 @@ def run_hashes(values: np.ndarray, begin: np.ndarray, size: int | np.ndarray) ->
     return mix(out)
 
 
+def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` values from each place on, joined from runs of 1, 2, 4 .. values."""
+    whole, length, at = mix(values.astype(np.uint64) + np.uint64(1)), 1, 0  # whole[i]: the ``length`` values from i on
+    out = np.full(max(0, len(values) - size + 1), BASE, np.uint64)
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            out = out * PLACES[2 * k] + whole[at : at + len(out)]
+            at += length
+        whole = whole[:-length] * PLACES[2 * k + 1] + whole[length:]
+        if k % 4 == 3:
+            whole, out = mix(whole), mix(out)
+        length *= 2
+    return mix(out)
+
+
 @dataclass
 class Words:
     """Words of a block: byte spans, a hash each, and ``at``: text i has words ``at[i]:at[i + 1]``."""

@@ -39,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ SIDE, AGREE, SURE = 16, 10, 16
 GAP_COST = 0.1
 #: Documents sampled for heavy seeds (and for each task), and heavy seeds for each task.
 SAMPLED, PER_TASK, HEAVY = 4000, 20, 4
+#: Tiles whose windows are hashed at once (or those of one document).
+GROUP = 1024
 MATCH, MISMATCH, DROP = 1, 3, 12
 
 
@@ -71,13 +74,19 @@ def minimisers(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def sketches(found: K.Words, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Two bits of each of the ``SIDE`` words before and after each seed, nearest first."""
-    codes, out = found.hashes >> np.uint64(62), np.zeros(len(begin), np.uint64)
-    for k in range(SIDE):
-        for at, shift in ((begin - 1 - k, 2 * k), (begin + SEED + k, 2 * (SIDE + k))):
-            inside = (at >= found.at[text]) & (at < found.at[text + 1])
-            out |= np.where(inside, codes[np.where(inside, at, 0)], np.uint64(0)) << np.uint64(shift)
-    return out
+    """Two bits of each of the ``SIDE`` words before and after each seed, nearest first; zeros beyond the text."""
+    n, texts = len(found.hashes), len(found.at) - 1
+    place = np.arange(n) + SIDE * (np.repeat(np.arange(texts), np.diff(found.at)) + 1)  # SIDE zeros part the texts
+    codes = np.zeros(n + SIDE * (texts + 1), np.uint64)
+    codes[place] = found.hashes >> np.uint64(62)
+    ahead, behind, length = codes, codes, 1
+    while length < SIDE:  # two runs of ``length`` words side by side
+        shift = np.uint64(2 * length)
+        ahead = ahead | (np.append(ahead[length:], np.zeros(length, np.uint64)) << shift)
+        behind = behind | (np.append(np.zeros(length, np.uint64), behind[:-length]) << shift)
+        length *= 2
+    at = begin + SIDE * (text + 1)
+    return behind[at - 1] | (ahead[at + SEED] << np.uint64(2 * SIDE))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,28 +203,23 @@ def heavy_anchors(texts: DataFrame, parts: int) -> Anchors:
     return Anchors(*(found[c].to_numpy(np.int64) for c in ("seed", "doc", "pos", "sketch")))
 
 
-def seeds(texts: DataFrame, anchors: Anchors) -> DataFrame:
-    """doc_id, seed, pos, sketch, and of heavy seeds the anchor: the chosen seeds of every document."""
-    shared = texts.sparkSession.sparkContext.broadcast(anchors)
+def seeds(texts: DataFrame, anchors: Broadcast) -> DataFrame:
+    """doc_id, seed, pos, sketch, heavy (place among the anchors, -1 for none): the chosen seeds of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in K.blocks(batches):
             text, seed, pos, sketch = chosen_seeds(block)
-            at, heavy = shared.value.find(seed)
-            given = [np.where(heavy, x[at] if len(x) else 0, 0) for x in (shared.value.doc, shared.value.pos, shared.value.sketch)]
-            yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(text)), *map(pa.array, (seed, pos, sketch, heavy, given[0], given[1].astype(np.int32), given[2]))], names=list(SEED_ROW))
-
-    return texts.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in SEED_ROW.items()))
+            at, heavy = anchors.value.find(seed)
+            yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(text)), *map(pa.array, (seed, pos, sketch, np.where(heavy, at, -1).astype(np.int32)))], names=["doc_id", "seed", "pos", "sketch", "heavy"])
 
+    return texts.mapInArrow(run, "doc_id long, seed long, pos int, sketch long, heavy int")
 
-SEED_ROW = {"doc_id": "long", "seed": "long", "pos": "int", "sketch": "long", "heavy": "boolean", "anchor_id": "long", "anchor_pos": "int", "anchor_sketch": "long"}
 
-
-def anchored(found: DataFrame, parts: int) -> DataFrame:
+def anchored(found: DataFrame, anchors: Broadcast, parts: int) -> DataFrame:
     """doc_id, anchor_id, pos, anchor_pos, near: every occurrence of the seeds of two or more documents.
 
     Rows come sorted by seed, so a task holds a batch and one document's occurrences of one seed.
-    Heavy seeds are dealt by document and keep the anchor they bring.
+    Heavy seeds are dealt by document and take their anchor from the broadcast.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,24 +229,26 @@ def anchored(found: DataFrame, parts: int) -> DataFrame:
                 continue
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            doc, seed, pos, sketch, heavy, given_id, given_pos, given_sketch = rows
+            doc, seed, pos, sketch, heavy = rows
             begin = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
             end = np.append(begin[1:], len(seed))
-            several = (doc[begin] != doc[end - 1]) | heavy[begin]
+            several = (doc[begin] != doc[end - 1]) | (heavy[begin] >= 0)
             first, shown = np.repeat(begin, end - begin), np.repeat(several, end - begin)
             shown[:done] = False
             here = np.flatnonzero(shown)
-            at, own = first[here], heavy[here]
-            anchor, place, near = (np.where(own, x[here], y[at]) for x, y in ((given_id, doc), (given_pos, pos), (given_sketch, sketch)))
+            at, own = first[here], np.flatnonzero(heavy[here] >= 0)
+            anchor, place, near = doc[at], pos[at], sketch[at]
+            given = heavy[here][own]
+            anchor[own], place[own], near[own] = anchors.value.doc[given], anchors.value.pos[given], anchors.value.sketch[given]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (doc[here], anchor, pos[here], place.astype(np.int32), alike(sketch[here].view(np.uint64), near.view(np.uint64))))],
+                [*map(pa.array, (doc[here], anchor, pos[here], place, alike(sketch[here].view(np.uint64), near.view(np.uint64))))],
                 names=["doc_id", "anchor_id", "pos", "anchor_pos", "near"],
             )
             last, done = begin[-1], int(several[-1])
             held = [x[last : last + 1] if done else x[last:] for x in rows]
 
-    dealt = F.when(F.col("heavy"), F.xxhash64("doc_id")).otherwise(F.col("seed"))
-    found = found.withColumn("dealt", dealt).repartition(parts, "dealt").sortWithinPartitions("seed", "doc_id", "pos").drop("dealt")
+    dealt = F.when(F.col("heavy") >= 0, F.xxhash64("doc_id")).otherwise(F.col("seed"))
+    found = found.repartition(parts, dealt).sortWithinPartitions("seed", "doc_id", "pos")
     return found.mapInArrow(run, "doc_id long, anchor_id long, pos int, anchor_pos int, near boolean")
 
 
@@ -495,46 +501,61 @@ def windows(parts: DataFrame, min_words: int) -> DataFrame:
     document and lies in none of the ``spans`` found so far.
     """
 
-    def of_document(rows: list) -> pd.DataFrame | None:
-        words: dict[int, bytes] = {}
-        for r in rows[1:]:  # a repeated row gives a tile twice
-            words.setdefault(r.tile, r.words)
-        head, at, hashes = rows[0], [], []
-        if head.tile >= 0:
-            return None
-        for low, high in zip(head.low, head.high, strict=True):
-            tile, run = low // TILE, []
-            while tile in words and tile * TILE < high:
-                run.append(words[tile])
-                tile += 1
-            values = np.frombuffer(b"".join(run), np.uint32)[low % TILE :][: high - low]
-            begin = np.arange(max(0, len(values) - min_words + 1))
-            at.append(begin + low), hashes.append(K.run_hashes(values, begin, min_words))
-        at, hashes = np.concatenate(at), np.concatenate(hashes)
-        if not len(at):
+    def of_documents(held: list[list]) -> pd.DataFrame | None:
+        pieces, places, docs, opens = [], [], [], []
+        for number, rows in enumerate(held):
+            words: dict[int, bytes] = {}
+            for r in rows[1:]:  # a repeated row gives a tile twice
+                words.setdefault(r.tile, r.words)
+            head, seen = rows[0], 0  # windows before ``seen`` are done, as ranges may overlap
+            if head.tile >= 0:
+                continue
+            for low, high in zip(head.low, head.high, strict=True):
+                tile, run, low = max(low, seen) // TILE, [], max(low, seen)
+                while tile in words and tile * TILE < high:
+                    run.append(words[tile])
+                    tile += 1
+                values = np.frombuffer(b"".join(run), np.uint32)[low % TILE :][: max(0, high - low)]
+                if len(values) >= min_words:
+                    pieces.append(values)
+                    places.append(np.arange(low, low + len(values) - min_words + 1))
+                    docs.append(np.full(len(places[-1]), number))
+                    seen = low + len(places[-1])
+                    free = np.ones(len(places[-1]), bool)
+                    own = np.asarray(head.own, np.int64)
+                    if len(own):
+                        free = np.searchsorted(own, places[-1]) == np.searchsorted(own, places[-1] + min_words - SEED, "right")
+                    for span in [] if head.spans is None else head.spans:
+                        free[np.searchsorted(places[-1], span["word"]) : np.searchsorted(places[-1], span["end_word"] - min_words, "right")] = False
+                    opens.append(free)
+        if not pieces:
             return None
-        at, where = np.unique(at, return_index=True)  # ranges may overlap
-        hashes = hashes[where]
-        order = np.argsort(hashes, kind="stable")
-        new = np.append(True, hashes[order][1:] != hashes[order][:-1])
+        size = np.array([len(x) for x in pieces])
+        begin = np.cumsum(size) - size
+        whole = np.concatenate([begin[k] + np.arange(len(p)) for k, p in enumerate(places)])
+        hashes = K.window_hashes(np.concatenate(pieces), min_words)[whole]
+        doc, at = np.concatenate(docs), np.concatenate(places)
+        order = np.lexsort((at, hashes, doc))
+        new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
         nth = np.empty(len(at), np.int32)
         nth[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        own = np.asarray(head.own, np.int64)
-        free = np.searchsorted(own, at) == np.searchsorted(own, at + min_words - SEED, "right")
-        for span in [] if head.spans is None else head.spans:
-            free[np.searchsorted(at, span["word"]) : np.searchsorted(at, span["end_word"] - min_words, "right")] = False
-        return pd.DataFrame({"doc_id": head.of, "pos": at, "hash": hashes.view(np.int64), "nth": nth, "open": free})
+        names = np.array([rows[0].of for rows in held], np.int64)
+        return pd.DataFrame({"doc_id": names[doc], "pos": at.astype(np.int32), "hash": hashes.view(np.int64), "nth": nth, "open": np.concatenate(opens)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list = []
+        held: list[list] = []  # rows of whole documents, of at least GROUP tiles at a time
+        tiles = 0
         for frame in frames:
             for r in frame.itertuples(index=False):
-                if rows and rows[0].of != r.of:
-                    if (out := of_document(rows)) is not None:
-                        yield out
-                    rows = []
-                rows.append(r)
-        if rows and (out := of_document(rows)) is not None:
+                if not held or held[-1][0].of != r.of:
+                    if tiles >= GROUP:
+                        if (out := of_documents(held)) is not None:
+                            yield out
+                        held, tiles = [], 0
+                    held.append([])
+                held[-1].append(r)
+                tiles += 1
+        if held and (out := of_documents(held)) is not None:
             yield out
 
     return parts.mapInPandas(run, "doc_id long, pos int, hash long, nth int, open boolean")
@@ -569,7 +590,8 @@ def headed(heads: DataFrame, tiles: DataFrame) -> DataFrame:
 def found_in(texts: DataFrame, min_words: int, identity: float) -> DataFrame:
     """``repeats`` of (doc_id, text) whose ids tell texts apart."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = stored(anchored(seeds(texts, heavy_anchors(texts, parts)), parts), "repeats-seeds")
+    anchors = texts.sparkSession.sparkContext.broadcast(heavy_anchors(texts, parts))  # HEAVY * parts rows at most
+    known = stored(anchored(seeds(texts, anchors), anchors, parts), "repeats-seeds")
     matches = known.where("doc_id != anchor_id")
     matches = matches.repartition(parts, "doc_id", "anchor_id").sortWithinPartitions("doc_id", "anchor_id", "pos", "anchor_pos")
     found_chains = chains(matches, min_words).withColumn("chain", F.concat_ws(":", "doc_id", "anchor_id", F.element_at("pos", 1), F.element_at("anchor_pos", 1)))

@@ -59,6 +59,9 @@ def test_hash_helpers():
     values = K.mix(np.arange(9000, dtype=np.uint64))
     runs = K.run_hashes(np.concatenate([values, values]), np.array([0, 9000, 1]), 5000)
     assert runs[0] == runs[1] != runs[2]
+    for size in (1, 2, 3, 50, 64, 300):
+        twice = K.window_hashes(np.concatenate([values[:400], values[:400]]).astype(np.uint32), size)
+        assert len(twice) == 801 - size and (twice[: 401 - size] == twice[400:]).all() and len(set(twice.tolist())) == 400
 
 
 # op5
