@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements of a chunk of ``sums_before``; a chunk's sums are built by appending.
-CHUNK = 256
+CHUNK = 64
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
