@@ -11,7 +11,7 @@ the parser recovers differs from the source, the next level escapes the conflict
 fails the job.
 
 Work is linear in a conversation's turns (but for the sort): places are prefix sums of byte lengths
-in two levels of ``CHUNK``, and texts are cut out of the rendered bytes by place.
+in two levels, and texts are cut out of the rendered bytes by place.
 
 Turns are ordered by (turn, role, text). A null role or text is empty; repeated rows are turns of
 their own; a null conv_id is a conversation. A conversation is one output row, so its turns come
@@ -20,17 +20,14 @@ together in one task. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import let
+from siftwell.functions.arrays import let, sums_before
 
 CLOSE = "</turn>\n"
 OPEN = "### "
 LEARNT = "assistant"
-CHUNK = 256
 #: Escapes of level 1, in order of application; undone in reverse.
 ESCAPES = [("%", "%25"), ("<", "%3C"), ("#", "%23"), ("\n", "%0A")]
 
@@ -56,22 +53,6 @@ def header(level: int) -> str:
 HEADER_CHARS = len(header(0))
 
 
-def sums_before(sizes: Column) -> Column:
-    """For each element of a bound array the sum of those before it."""
-    n = F.size(sizes)
-
-    def running(values: Column, value: Callable[[Column], Column]) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
-        return F.aggregate(values, start, lambda acc, x: F.struct((acc["sum"] + value(x)).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before")))
-
-    def of_chunk(c: Column) -> Column:
-        return running(F.sequence(c * CHUNK + 1, F.least((c + 1) * CHUNK, n)), lambda i: F.element_at(sizes, i))
-
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), of_chunk)
-    both = let(chunks, lambda cs: F.flatten(F.zip_with(cs, running(cs, lambda c: c["sum"])["before"], lambda c, b: F.transform(c["before"], lambda x: x + b))))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(both)
-
-
 def render(turns: Column, level: int) -> Column:
     one = F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape(t["role"], level, True), F.lit("\n"), escape(t["text"], level, False), F.lit(CLOSE)))
     return F.concat(F.lit(header(level)), F.array_join(one, ""))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.pages import attributes, scan
+
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -63,58 +65,10 @@ FAR = SCOPE | SECTIONS | {"tr", "body"}
 NOT_EMPTY = BLOCK | {"a", "span", "td", "th", "tr", "b", "i", "em", "strong"}
 MOST_INDENT, WIDEST = 80, 60
 
-#: From a tag's name to its end; a quoted value may hold ">". Atomic, so a failure costs one pass.
-TAG_REST = re.compile(r"""((?>[^>=]+|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>""")
-NAME = re.compile(r"[A-Za-z][^\s/>]*")
-ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']++))?""")
 GAPS = re.compile(r"[ \t\n\f\r]+")
 WHITE = " \t\n\f\r"
 
 
-def attributes(text: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for name, value in ATTR.findall(text):
-        found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
-    return found
-
-
-def scan(page: str) -> Iterator[tuple[str, str, str, int]]:
-    """(kind, name or text, attributes, end) of texts, opening ("<") and closing ("/") tags; send a place to skip to it."""
-    at = begin = 0  # text from ``begin`` on is not yet out
-    loose = False  # quotes no longer count, once they have run to the end of the page
-    while True:
-        at = page.find("<", at)
-        if at < 0:
-            break
-        ahead = page[at + 1 : at + 2]
-        closing = ahead == "/"
-        if ahead in ("!", "?"):
-            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
-            end = end if end > 3 or (end > 0 and not page.startswith("<!--", at)) else len(page)
-            if at > begin:
-                yield "text", page[begin:at], "", at
-            at = begin = end
-            continue
-        name = NAME.match(page, at + 1 + closing)
-        if not name:
-            at += 1
-            continue
-        rest = None if loose else TAG_REST.match(page, name.end())
-        if not rest:
-            loose, close = True, page.find(">", name.end())
-            if close < 0:
-                break
-        inside, end = (rest[1], rest.end()) if rest else (page[name.end() : close], close + 1)
-        if at > begin:
-            yield "text", page[begin:at], "", at
-        skip = yield "/" if closing else "<", name[0].lower(), inside, end
-        at = begin = end if skip is None else skip
-        if skip is not None:
-            yield "skip", "", "", skip
-    if begin < len(page):
-        yield "text", page[begin:], "", len(page)
-
-
 class Writer:
     """Lines of text; a block asks for a fresh line, a spaced block for a blank one."""
 
