@@ -290,7 +290,7 @@ def linked(units: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
 
     signed = units.join(nodes.select("nid", "signature"), "nid")
     hopeful = stored(promising(dealt(signed), percent / 100, miss).distinct(), f"minhash-{name}-hopeful")
-    wanted = hopeful.select("nid").distinct().join(nodes.select("nid", "node", "doc_id"), "nid")
+    wanted = stored(hopeful.select("nid").distinct().join(nodes.select("nid", "node", "doc_id"), "nid"), f"minhash-{name}-wanted")
     members = hopeful.join(units, ["unit", "nid"]).join(nodes.select("nid", "signature"), "nid").join(words_of(docs, wanted), "nid")
     return stored(confirmed(dealt(members), size, percent, miss), f"minhash-{name}-links")
 
