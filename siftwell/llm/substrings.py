@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
@@ -569,12 +569,18 @@ def exact(ranges: DataFrame, similar: DataFrame, words: DataFrame, parts: int, m
     held = ranges.withColumnRenamed("doc_id", "of").join(spans, "of", "left")
     pieces = headed(held.withColumn("tile", F.lit(-1)), needed.join(words, ["of", "tile"])).repartition(parts, "of").sortWithinPartitions("of", "tile")
     found = stored(windows(pieces, min_words), "repeats-windows")
-    left = found.where("open").select("doc_id", "pos", "hash", "nth")
+    # a document's open windows of one hash are one row, however often a line repeats in it
+    left = stored(found.where("open").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "nth")).alias("places")), "repeats-open")
     # only windows that may equal an open one are grouped; the first of each (hash, nth) is made before the join
     first = flagged(found, "hash", left, "hash", "asked").where("asked").groupBy("hash", "nth").agg(F.min(F.struct("doc_id", "pos")).alias("a"))
-    same = left.join(first, ["hash", "nth"]).join(first.where("nth = 0").select("hash", F.col("a").alias("z")), "hash")
-    a = F.when(F.col("a.doc_id") != F.col("doc_id"), F.col("a")).otherwise(F.col("z"))
-    links = same.select("doc_id", F.col("pos").alias("word"), a.alias("a")).where("a.doc_id != doc_id").select("doc_id", F.col("a.doc_id").alias("anchor_id"), F.col("word").cast("long"), F.col("a.pos").cast("long").alias("anchor_word"))
+    firsts = first.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("nth", "a"))).alias("firsts"))  # every nth from 0 on
+
+    def link(place: Column) -> Column:
+        own, least = F.get("firsts", place["nth"])["a"], F.get("firsts", F.lit(0))["a"]
+        a = F.when(own["doc_id"] != F.col("doc_id"), own).otherwise(least)
+        return F.struct(place["pos"].cast("long").alias("word"), a["doc_id"].alias("anchor_id"), a["pos"].cast("long").alias("anchor_word"))
+
+    links = left.join(firsts, "hash").select("doc_id", F.explode(F.transform("places", link)).alias("l")).select("doc_id", "l.anchor_id", "l.word", "l.anchor_word").where("anchor_id != doc_id")
     order = Window.partitionBy("doc_id", "anchor_id", "diagonal").orderBy("word")
     links = links.distinct().withColumn("diagonal", F.col("anchor_word") - F.col("word"))
     runs = links.withColumn("run", F.col("word") - F.row_number().over(order)).groupBy("doc_id", "anchor_id", "diagonal", "run").agg(F.min("word").alias("word"), F.max("word").alias("last"))
