@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, sql_near, substrings, topk
+from siftwell.llm import bpe, chat, decontaminate, html_text, langid, minhash, quality, sharding, spelling, sql_near, substrings, topk, warc, whiten
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_warc": op12_warc,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Queries without SQL (training, merges, fuzzy alignment, CRC-32) are tested against brute force.
@@ -80,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": sql_near.NEAR_DUPLICATES,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
+    "op12_warc": warc.ORACLE,
 }
