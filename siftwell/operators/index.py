@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
 from siftwell.functions.arrays import let, sums_before
+from siftwell.sources.shared import written
 
 REMOVED, CREATED, MODIFIED, UNMODIFIED, NOT_INDEXED = range(5)
 LOCAL_STATES = [U.PUBLISHED, U.CACHED, U.PRIVATE]
@@ -87,19 +88,21 @@ def link_files(extracted: DataFrame, documents: DataFrame) -> DataFrame:
     return with_id.join(documents.select("document_id", "db_document_id"), "document_id").select("file_name", "file_time", "db_document_id", "state", "file_state")
 
 
-def assign_document_ids(known: DataFrame, new: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """``new`` with ids above the greatest known one, in order of ``key``.
+def assign_document_ids(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``new`` with ids above the greatest known one, in order of ``key``, without a gap.
 
-    Rows are cut into ranges of the key and numbered inside their range; each range starts
-    where the one before ends, so no task sees all rows.
+    Rows are dealt into ranges of the key and written once, each with its place in its range; what
+    was written is counted, and each range starts where the one before ends. No task sees all rows,
+    and no range is drawn twice. Equal keys get neighbouring ids in any order, null keys the first.
     """
-    dealt = new.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("range no", F.spark_partition_id())
-    sizes = dealt.groupBy("range no").agg(F.count(F.lit(1)).alias("n"))
+    mark = F.monotonically_increasing_id()  # the number of the range above, the place in it in the lower 33 bits
+    dealt = written(new.repartitionByRange(key).sortWithinPartitions(key).withColumn("range mark", mark), "ranged")
+    part, place = F.shiftright("range mark", 33), F.col("range mark").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("range no")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("range no", (F.sum("n").over(Window.orderBy("range no")) - F.col("n")).alias("before"))  # one row a range
-    top = known.agg(F.coalesce(F.max("db_document_id"), F.lit(-1)).alias("top"))
-    place = F.row_number().over(Window.partitionBy("range no").orderBy(key))
-    numbered = dealt.withColumn("place", place).join(F.broadcast(before), "range no").crossJoin(F.broadcast(top))
-    return numbered.select(*new.columns, (F.col("top") + F.col("before") + F.col("place")).cast("long").alias("db_document_id"))
+    top = known.agg(F.coalesce(F.max("db_document_id"), F.lit(-1)).alias("top"))  # one row
+    numbered = dealt.withColumn("range no", part).join(F.broadcast(before), "range no").crossJoin(F.broadcast(top))
+    return numbered.select(*(F.col(f"`{c}`") for c in new.columns), (F.col("top") + F.col("before") + place + 1).cast("long").alias("db_document_id"))
 
 
 def relink_changed_file(extracted: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:

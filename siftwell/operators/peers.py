@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from siftwell.functions.urls import is_loopback
 from siftwell.operators.index import assign_document_ids, latest_per_key
 
 FANOUT, BEST_NODES, PRESENCE_HOURS = 8, 100, 24
-#: Words of a block of ``route_scores``, and random draws of a query.
-WORDS, DRAWS = 2048, 64
+#: Words of a block of ``route_scores``.
+WORDS = 2048
+#: Rounds of ``permuted``, and steps back into its range: more than there are numbers outside for up to
+#: 1,024 numbers; beyond, a number needs as many steps with a chance below 32 ** -32.
+ROUNDS, STEPS = 8, 32
 
 
 def register_nodes(nodes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -88,32 +93,55 @@ def random_documents(documents: DataFrame, k: int, seed: int) -> DataFrame:
     return documents.select("db_document_id", "document_id").orderBy(F.xxhash64(F.lit(seed), "db_document_id"), "db_document_id").limit(k)
 
 
-def random_draws(queries: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """query_id, node_id, draw: for each query different nodes in random order, each node being as likely.
+def permuted(number: Column, n: int, *keys: Column) -> Column:
+    """Where a keyed permutation of 0 .. n - 1 takes a number: a Feistel network on two digits.
+
+    A number is two digits, of bases whose product is n or a little more; each round adds a hash of
+    one digit to the other. A number that leaves the range is sent on until it is back inside, which
+    keeps the map one to one.
+    """
+    wide = math.isqrt(max(0, n - 1)) + 1
+    high = -(-n // wide)
+
+    def network(x: Column) -> Column:
+        def mix(acc: Column, k: Column) -> Column:
+            first = F.struct(F.pmod(acc["l"] + F.pmod(F.xxhash64(*keys, k, acc["r"]), F.lit(high)), F.lit(high)).alias("l"), acc["r"].alias("r"))
+            second = F.struct(acc["l"].alias("l"), F.pmod(acc["r"] + F.pmod(F.xxhash64(*keys, k, acc["l"]), F.lit(wide)), F.lit(wide)).alias("r"))
+            return F.when(k % 2 == 0, first).otherwise(second)
+
+        digits = F.struct(F.floor(x / wide).cast("long").alias("l"), F.pmod(x, F.lit(wide)).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), digits, mix, lambda acc: acc["l"] * wide + acc["r"])
 
-    Nodes are numbered; a query draws numbers by hash, so it meets only the nodes that it draws. With
-    no more nodes than ``DRAWS``, all come in hashed order; beyond, ``DRAWS`` numbers are drawn.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), network(number.cast("long")), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+
+
+def random_draws(queries: DataFrame, nodes: DataFrame, draws: int, seed: int) -> DataFrame:
+    """query_id, node_id, draw: for each query ``draws`` different nodes (all, if fewer) in random order.
+
+    Nodes are numbered; the k-th draw of a query is where a permutation of its own takes k, so a query
+    meets only the nodes that it draws, however many there are, and never one twice.
     """
     none = nodes.sparkSession.createDataFrame([], "db_document_id long")
     numbered = assign_document_ids(none, nodes.select("node_id").distinct(), "node_id").withColumnRenamed("db_document_id", "number")
     n = numbered.count()
-    if not n:
+    if not min(n, draws):
         return queries.select("query_id").limit(0).select("query_id", F.lit("").alias("node_id"), F.lit(0).cast("long").alias("draw"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(min(n, DRAWS) - 1))).alias("k")
-    drawn = queries.select("query_id", k)
-    mixed = F.xxhash64(F.lit(seed), "query_id", "k")
-    drawn = drawn.select("query_id", F.col("k").cast("long").alias("number"), mixed.alias("draw")) if n <= DRAWS else drawn.select("query_id", F.pmod(mixed, F.lit(n)).alias("number"), F.col("k").cast("long").alias("draw"))
-    return drawn.join(numbered, "number").groupBy("query_id", "node_id").agg(F.min("draw").alias("draw"))
+    drawn = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(n, draws) - 1).cast("long"))).alias("draw"))
+    return drawn.withColumn("number", permuted(F.col("draw"), n, F.lit(seed), F.col("query_id"))).join(numbered, "number").select("query_id", "node_id", "draw")
 
 
 def route_queries(queries: DataFrame, scores: DataFrame, nodes: DataFrame, me: str, seed: int, fanout: int = FANOUT) -> DataFrame:
-    """Targets of each query (query_id, sender): half drawn by score, the rest at random from all nodes, never me or the sender."""
+    """Targets of each query (query_id, sender): half drawn by score, the rest at random from all nodes, never me or the sender.
+
+    Of ``fanout + 1`` draws the sender and the nodes that were drawn by score are left out, which
+    leaves as many as are wanted, or all nodes.
+    """
     allowed = scores.where(F.col("node_id") != me).join(queries.select("query_id", F.col("sender").alias("node_id")), ["query_id", "node_id"], "left_anti")
     drawn = weighted_pick(allowed, -(-fanout // 2), seed).select("query_id", "node_id", F.lit("weighted").alias("kind"))
     counts = drawn.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rest = random_draws(queries, nodes.where(F.col("node_id") != me), seed + 1).join(queries.select("query_id", "sender"), "query_id").where("node_id != sender")
+    rest = random_draws(queries, nodes.where(F.col("node_id") != me), fanout + 1, seed + 1).join(queries.select("query_id", "sender"), "query_id").where(~F.col("node_id").eqNullSafe(F.col("sender")))
     rest = rest.join(drawn.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(counts, "query_id", "left")
-    placed = rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("draw", "node_id")))
+    placed = rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("draw")))
     return drawn.unionByName(placed.where(F.col("place") <= fanout - F.coalesce("n", F.lit(0))).select("query_id", "node_id", F.lit("random").alias("kind")))
 
 

@@ -145,7 +145,8 @@ add("vanished_files", lambda t: I.vanished_files(t.files(), t.crawl()).select("f
 add("existing_files", lambda t: I.existing_files(t.files().where("state = 0"), t.crawl()), "SELECT file_name FROM files WHERE state = 0 UNION SELECT file_name FROM crawl")
 add("dedupe_content", lambda t: I.dedupe_content(t.extracted()), "SELECT db_document_id, document_id, mime_type, title, size, text, publication_time, state, download_count, url, matching FROM docs")
 add("link_files", lambda t: t.files(), "SELECT file_name, file_time, db_document_id, state, file_state FROM files")
-add("assign_document_ids", lambda t: I.assign_document_ids(t.documents().where("db_document_id % 3 != 0"), t.documents().where("db_document_id % 3 = 0").select("document_id"), "document_id"), "SELECT document_id, row_number() OVER (ORDER BY document_id) + (SELECT max(db_document_id) FROM docs WHERE db_document_id % 3 <> 0) AS db_document_id FROM docs WHERE db_document_id % 3 = 0")
+add("assign_document_ids", lambda t: I.assign_document_ids(t.documents().where("db_document_id % 3 != 0"), t.documents().where("db_document_id % 3 = 0").drop("db_document_id"), "document_id"), """SELECT document_id, mime_type, title, size, text, publication_time, state, download_count, url, matching, row_number() OVER (ORDER BY document_id) + (SELECT max(db_document_id) FROM docs WHERE db_document_id % 3 <> 0) AS db_document_id
+ FROM docs WHERE db_document_id % 3 = 0""")
 
 
 def changed(t: Tables) -> DataFrame:

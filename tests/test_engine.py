@@ -10,6 +10,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import excerpts as E
@@ -272,6 +273,43 @@ def test_assigned_ids_have_no_gap(spark):
     assert [r["db_document_id"] for r in got] == list(range(8, 308))
 
 
+def test_assigned_ids_of_wide_tables(spark):
+    """Many rows of three columns: what is counted is what is numbered."""
+    known = spark.createDataFrame([(5,)], "db_document_id long")
+    new = spark.range(500_000).select(F.sha1(F.col("id").cast("string")).alias("document_id"), F.col("id").alias("extra"), F.repeat(F.lit("text "), (F.col("id") % 9).cast("int")).alias("text")).repartition(7)
+    got = index.assign_document_ids(known, new, "document_id")
+    assert got.columns == ["document_id", "extra", "text", "db_document_id"]
+    total = got.agg(F.count("*"), F.countDistinct("db_document_id"), F.min("db_document_id"), F.max("db_document_id")).first()
+    assert tuple(total) == (500_000, 500_000, 6, 500_005)
+    order = got.withColumn("before", F.lag("db_document_id").over(Window.partitionBy(F.substring("document_id", 1, 2)).orderBy("document_id")))
+    assert order.where("before is not null and db_document_id != before + 1").isEmpty()
+    plan = got._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.split("== Physical Plan ==")[1].lower()  # numbered as it was written
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 17, 100, 1000, 5000])
+def test_permutation_is_one_to_one(spark, n):
+    got = spark.range(n).select(peers.permuted(F.col("id"), n, F.lit(3), F.lit("q")).alias("x"), peers.permuted(F.col("id"), n, F.lit(4), F.lit("q")).alias("y")).collect()
+    assert sorted(r["x"] for r in got) == sorted(r["y"] for r in got) == list(range(n))
+    assert n < 17 or [r["x"] for r in got] != [r["y"] for r in got]
+
+
+@pytest.mark.parametrize(("n", "fanout"), [(1000, 200), (66, 60), (66, 64), (50, 80)])
+def test_routing_of_any_fanout(spark, n, fanout):
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node_id"))
+    queries = spark.range(20).select(F.col("id").alias("query_id"), F.lit("n1").alias("sender"))
+    scores = queries.select("query_id", F.explode(F.array(F.lit("n2"), F.lit("n3"), F.lit("n0"))).alias("node_id"), F.lit(1.0).alias("score"))
+    routes = peers.route_queries(queries, scores, nodes, "n0", 3, fanout).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("d")).collect()
+    assert {(r["n"], r["d"]) for r in routes} == {(min(fanout, n - 2),) * 2} and len(routes) == 20
+
+
+def test_random_draws_are_even(spark):
+    """Of 10 nodes each is the first, second or third draw of a query as often as the others."""
+    nodes = spark.range(10).select(F.concat(F.lit("n"), "id").alias("node_id"))
+    got = Counter((r["node_id"], r["draw"]) for r in peers.random_draws(spark.range(5000).select(F.col("id").alias("query_id")), nodes, 3, 1).collect())
+    assert len(got) == 30 and all(400 < k < 600 for k in got.values())
+
+
 def stream_of(spark, tmp_path, df, name):
     path = str(tmp_path / name)
     df.coalesce(1).write.parquet(path)
