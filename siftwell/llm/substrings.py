@@ -578,12 +578,20 @@ def exact(ranges: DataFrame, similar: DataFrame, words: DataFrame, parts: int, m
     def link(place: Column) -> Column:
         own, least = F.get("firsts", place["nth"])["a"], F.get("firsts", F.lit(0))["a"]
         a = F.when(own["doc_id"] != F.col("doc_id"), own).otherwise(least)
-        return F.struct(place["pos"].cast("long").alias("word"), a["doc_id"].alias("anchor_id"), a["pos"].cast("long").alias("anchor_word"))
+        word = place["pos"].cast("long")
+        return F.struct(a["doc_id"].alias("anchor_id"), (a["pos"] - word).alias("diagonal"), word.alias("word"))
 
-    links = left.join(firsts, "hash").select("doc_id", F.explode(F.transform("places", link)).alias("l")).select("doc_id", "l.anchor_id", "l.word", "l.anchor_word").where("anchor_id != doc_id")
-    order = Window.partitionBy("doc_id", "anchor_id", "diagonal").orderBy("word")
-    links = links.distinct().withColumn("diagonal", F.col("anchor_word") - F.col("word"))
-    runs = links.withColumn("run", F.col("word") - F.row_number().over(order)).groupBy("doc_id", "anchor_id", "diagonal", "run").agg(F.min("word").alias("word"), F.max("word").alias("last"))
+    links = left.join(firsts, "hash").select("doc_id", F.filter(F.transform("places", link), lambda x: x["anchor_id"] != F.col("doc_id")).alias("links"))
+    # a document's links are one row, in order, so that only runs of windows that follow each other become rows
+    links = links.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("links")))).alias("links"))
+
+    def follows(one: Column, two: Column) -> Column:
+        return (one["anchor_id"] == two["anchor_id"]) & (one["diagonal"] == two["diagonal"]) & (one["word"] + 1 == two["word"])
+
+    first_of_run = F.filter("links", lambda x, i: (i == 0) | ~follows(F.get("links", i - 1), x))
+    last_of_run = F.filter("links", lambda x, i: (i == F.size("links") - 1) | ~follows(x, F.get("links", i + 1)))
+    run = F.zip_with(first_of_run, last_of_run, lambda x, y: F.struct(x["anchor_id"].alias("anchor_id"), x["diagonal"].alias("diagonal"), x["word"].alias("word"), y["word"].alias("last")))
+    runs = links.select("doc_id", F.explode(run).alias("r")).select("doc_id", "r.*")
     end = F.col("last") + min_words
     return runs.select("doc_id", "anchor_id", "word", end.alias("end_word"), (F.col("word") + F.col("diagonal")).alias("anchor_word"), (end + F.col("diagonal")).alias("anchor_end_word"), (end - F.col("word")).alias("equal_words"))
 
