@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions import tokens as K
 from siftwell.functions import urls as U
-from siftwell.functions.arrays import let, sums_before
 from siftwell.sources.shared import written
 
 REMOVED, CREATED, MODIFIED, UNMODIFIED, NOT_INDEXED = range(5)
@@ -114,33 +118,37 @@ def relink_changed_file(extracted: DataFrame, files: DataFrame, documents: DataF
     return found.select("file_name", "document_id", "state", action.alias("action"))
 
 
-def placed_tokens(text: Column) -> Column:
-    """array of (word, position): every token of a normalized text with its offset, in order."""
-
-    def placed(words: Column, gaps: Column) -> Column:
-        sizes = F.zip_with(words, gaps, lambda word, gap: F.length(word) + F.length(gap))
-        return let(let(sizes, sums_before), lambda before: F.transform(words, lambda word, i: F.struct(word.alias("word"), (F.get(before, i) + F.length(F.get(gaps, i))).cast("int").alias("position"))))
-
-    words = F.struct(T.tokenize(text).alias("words"), T.token_gaps(text).alias("gaps"))
-    return let(words, lambda x: let(x["words"], lambda ws: let(F.slice(x["gaps"], 1, F.size(ws)), lambda gaps: placed(ws, gaps))))
-
-
 def token_positions(documents: DataFrame, text: Column) -> DataFrame:
     """db_document_id, n, word, position: every token with its offset in the normalized text; no shuffle."""
-    normal = documents.select("db_document_id", T.normalize_text(text).alias("normal"))
-    return normal.select("db_document_id", F.posexplode(placed_tokens(F.col("normal"))).alias("n", "t")).select("db_document_id", "n", "t.word", "t.position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, at in K.blocks(batch.column(1)):
+                found = K.tokens(data, at)
+                own = batch.column(0).take(pa.array(found.text + start))
+                yield pa.RecordBatch.from_arrays([own, pa.array(found.nth.astype(np.int32)), found.words, pa.array(found.position.astype(np.int32))], names=["db_document_id", "n", "word", "position"])
+
+    normal = documents.select(F.col("db_document_id").cast("long").alias("db_document_id"), T.normalize_text(text).alias("normal"))
+    return normal.mapInArrow(run, "db_document_id long, n int, word string, position int")
 
 
 def build_postings(documents: DataFrame) -> DataFrame:
     """(document, word) with its first position and zero scores; title and text are indexed together.
 
-    First positions are found inside the document's row, so nothing is shuffled.
+    First positions are found where the document is read, so nothing is shuffled.
     """
-    normal = documents.select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("normal"))
-    sorted_tokens = F.array_sort(placed_tokens(F.col("normal")))
-    first = let(sorted_tokens, lambda ts: F.filter(ts, lambda t, i: (i == 0) | (F.get(ts, i - 1)["word"] != t["word"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, at in K.blocks(batch.column(1)):
+                found = K.tokens(data, at)
+                first = K.first_of_each(found)
+                own = batch.column(0).take(pa.array(found.text[first] + start))
+                yield pa.RecordBatch.from_arrays([own, found.words.take(pa.array(first)), pa.array(found.position[first].astype(np.int32))], names=["db_document_id", "word", "position"])
+
+    normal = documents.select(F.col("db_document_id").cast("long").alias("db_document_id"), T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("normal"))
     zero = F.lit(0.0)
-    return normal.select("db_document_id", F.explode(first).alias("t")).select("db_document_id", "t.word", "t.position", zero.alias("download_count"), zero.alias("relevance"), zero.alias("popularity"))
+    return normal.mapInArrow(run, "db_document_id long, word string, position int").select("db_document_id", "word", "position", zero.alias("download_count"), zero.alias("relevance"), zero.alias("popularity"))
 
 
 SCORES = ["download_count", "relevance", "popularity"]

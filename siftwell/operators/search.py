@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import urls as U
+from siftwell.operators import blocks as B
 from siftwell.operators.index import latest_per_key
+from siftwell.sources.shared import written
 
 HITS, PAGE, MOST_RELEVANT = 50, 15, 5
 #: Rows of query words up to which they are broadcast.
@@ -30,22 +32,29 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def search_all_words(queries: DataFrame, postings: DataFrame, documents: DataFrame, limit: int | None = HITS, mime_type: str | None = None, private: bool = True, order: str = "relevance") -> DataFrame:
+def search_all_words(queries: DataFrame, postings: DataFrame, documents: DataFrame, limit: int | None = HITS, mime_type: str | None = None, private: bool = True, order: str = "relevance", blocks: DataFrame | None = None) -> DataFrame:
     """Documents that hold all words of a query, with summed scores, best first.
 
-    Words and postings are matched and counted before documents are touched, so only
-    documents with all words are joined; texts are never read.
+    Answered from posting blocks (``blocks``, or made of ``postings``): see ``operators.blocks``.
+    Only hits are joined with what is known of documents; texts are never read.
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
-    hits = with_postings(query_words(queries), postings).groupBy("query_id", "db_document_id").agg(F.count(F.lit(1)).alias("found"), F.first("n_words").alias("n_words"), F.sum("relevance").alias("relevance"), F.sum("popularity").alias("popularity"))
     info = documents.select("db_document_id", "document_id", "mime_type", "title", "size", "publication_time", "state", "url")
     if mime_type is not None:
         info = info.where(F.col("mime_type") == mime_type)
     if not private:
         info = search_private_filter(info)
-    out = hits.where("found = n_words").drop("found", "n_words").join(info, "db_document_id")
-    return out if limit is None else top_k(out, ["query_id"], limit, F.desc(order), F.asc("db_document_id"))
+    heads = B.document_blocks(info, F.lit(1.0), F.col("publication_time"))
+    keys = info.select("db_document_id", "publication_time") if order == "publication_time" else None
+    found, of_query = B.all_words(queries, B.posting_blocks(postings) if blocks is None else blocks, written(heads, "search-documents"), order, limit, keys)
+    found = found.drop("score")
+    if limit is None:
+        return found.join(of_query, "set").drop("set").join(info, "db_document_id")
+    if keys is not None:
+        found = found.join(keys, "db_document_id")
+    best = top_k(found, ["set"], limit, F.desc(order), F.asc("db_document_id")).drop("publication_time")
+    return best.join(info, "db_document_id").join(of_query, "set").drop("set")
 
 
 def search_private_filter(documents: DataFrame) -> DataFrame:
@@ -53,17 +62,20 @@ def search_private_filter(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("state") != U.PRIVATE)
 
 
-def search_ranked(queries: DataFrame, postings: DataFrame, documents: DataFrame, mask: int, limit: int = HITS, url: str | None = None) -> DataFrame:
-    """Sum of (relevance + .001)(popularity + .001)(matching + .001) over all words, within a state mask."""
-    info = documents.where(U.in_mask(F.col("state"), mask)).select("db_document_id", "matching", "url")
+def search_ranked(queries: DataFrame, postings: DataFrame, documents: DataFrame, mask: int, limit: int = HITS, url: str | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Sum of (relevance + .001)(popularity + .001)(matching + .001) over all words, within a state mask.
+
+    The best are found by upper bounds: a posting block is read only if its greatest scores, times the
+    greatest matching of its documents, can reach the limit (scores are not negative).
+    """
+    info = documents.where(U.in_mask(F.col("state"), mask))
     if url is not None:
         info = info.where(F.col("url") == url)
-    words = query_words(queries)
-    score = F.sum((F.col("relevance") + 0.001) * (F.col("popularity") + 0.001))
-    hits = with_postings(words, postings).groupBy("query_id", "db_document_id").agg(F.count(F.lit(1)).alias("found"), F.first("n_words").alias("n_words"), score.alias("words_score"))
-    scored = hits.where("found = n_words").join(info, "db_document_id").select("query_id", "db_document_id", (F.col("words_score") * (F.col("matching") + 0.001)).alias("score"))
+    heads = B.document_blocks(info, F.col("matching") + 0.001, F.lit(0.0))
+    found, of_query = B.all_words(queries, B.posting_blocks(postings) if blocks is None else blocks, written(heads, "search-documents"), "score", limit)
     # equal doubles may differ in their last bits with the order of the sum
-    return top_k(scored, ["query_id"], limit, F.desc(F.round("score", 12)), F.asc("db_document_id"))
+    best = top_k(found.select("set", "db_document_id", "score"), ["set"], limit, F.desc(F.round("score", 12)), F.asc("db_document_id"))
+    return best.join(of_query, "set").select("query_id", "db_document_id", "score", "rank")
 
 
 def search_by_url(documents: DataFrame, mask: int, limit: int = HITS) -> DataFrame:
@@ -71,9 +83,9 @@ def search_by_url(documents: DataFrame, mask: int, limit: int = HITS) -> DataFra
     return documents.where(U.in_mask(F.col("state"), mask)).select("db_document_id", "url", F.col("matching").alias("score")).orderBy(F.desc("score"), "db_document_id").limit(limit)
 
 
-def search_by_words_count(queries: DataFrame, postings: DataFrame, documents: DataFrame) -> DataFrame:
+def search_by_words_count(queries: DataFrame, postings: DataFrame, documents: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Number of documents with all words of each query; no text is read."""
-    return search_all_words(queries, postings, documents, limit=None).groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
+    return search_all_words(queries, postings, documents, limit=None, blocks=blocks).groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def rank_document(queries: DataFrame, postings: DataFrame, documents: DataFrame) -> DataFrame:

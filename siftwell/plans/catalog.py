@@ -12,6 +12,7 @@ from siftwell.functions import helpers as H
 from siftwell.functions import pages as X
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
+from siftwell.operators import blocks as B
 from siftwell.operators import index as I
 from siftwell.operators import peers as P
 from siftwell.operators import search as S
@@ -213,13 +214,14 @@ add("url_versions", lambda t: I.url_versions(t.documents().withColumn("url", F.c
 
 # Search
 _HIT = ["query_id", "db_document_id", "document_id", "relevance", "popularity", "rank"]
-add("search_all_words", lambda t: r6(S.search_all_words(t.queries(), t.scored_postings(), t.documents()).select(_HIT), "relevance", "popularity"), "SELECT query_id, db_document_id, document_id, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity, rank::INTEGER AS rank FROM hits")
-add("search_private_filter", lambda t: S.search_all_words(t.queries(), t.scored_postings(), t.documents(), mime_type="text/plain", private=False).select("query_id", "db_document_id", "rank"), "SELECT query_id, db_document_id, rank::INTEGER AS rank FROM (SELECT query_id, db_document_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, db_document_id) AS rank FROM hits1 WHERE state <> 0 AND mime_type = 'text/plain') WHERE rank <= 50")
+add("search_all_words", lambda t: r6(S.search_all_words(t.queries(), t.scored_postings(), t.documents(), blocks=t.blocks()).select(_HIT), "relevance", "popularity"), "SELECT query_id, db_document_id, document_id, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity, rank::INTEGER AS rank FROM hits")
+add("posting_blocks", lambda t: r6(t.blocks().select("word", "block", "n", F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), "most_relevance", "most_popularity"), "most_relevance", "most_popularity"), f"SELECT word, db_document_id // {B.BLOCK} AS block, count(*)::INTEGER AS n, min(db_document_id) AS first, max(db_document_id) AS last, round(max(relevance), 6) AS most_relevance, round(max(popularity), 6) AS most_popularity FROM spost GROUP BY ALL")
+add("search_private_filter", lambda t: S.search_all_words(t.queries(), t.scored_postings(), t.documents(), mime_type="text/plain", private=False, blocks=t.blocks()).select("query_id", "db_document_id", "rank"), "SELECT query_id, db_document_id, rank::INTEGER AS rank FROM (SELECT query_id, db_document_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, db_document_id) AS rank FROM hits1 WHERE state <> 0 AND mime_type = 'text/plain') WHERE rank <= 50")
 _match = lambda t: t.documents().withColumn("matching", (F.col("db_document_id") % 10) / F.lit(10.0))
-add("search_ranked", lambda t: r6(S.search_ranked(t.queries(), t.scored_postings(), _match(t), 11), "score"), """SELECT query_id, db_document_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, db_document_id) AS rank FROM (
+add("search_ranked", lambda t: r6(S.search_ranked(t.queries(), t.scored_postings(), _match(t), 11, blocks=t.blocks()), "score"), """SELECT query_id, db_document_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, db_document_id) AS rank FROM (
  SELECT query_id, p.db_document_id, sum((relevance + 0.001) * (popularity + 0.001)) * (min(p.db_document_id % 10) / 10.0::DOUBLE + 0.001) AS score FROM qw JOIN spost p USING (word) JOIN docs d ON d.db_document_id = p.db_document_id WHERE d.state IN (0, 1, 2) GROUP BY ALL HAVING count(*) = min(n_words))) WHERE rank <= 50""")
 add("search_by_url", lambda t: S.search_by_url(_match(t), 3, 40), "SELECT db_document_id, url, (db_document_id % 10) / 10.0::DOUBLE AS score FROM docs WHERE state IN (1, 2) ORDER BY score DESC, db_document_id LIMIT 40")
-add("search_by_words_count", lambda t: S.search_by_words_count(t.queries(), t.scored_postings(), t.documents()), "SELECT query_id, count(*) AS documents FROM hits0 GROUP BY 1")
+add("search_by_words_count", lambda t: S.search_by_words_count(t.queries(), t.scored_postings(), t.documents(), t.blocks()), "SELECT query_id, count(*) AS documents FROM hits0 GROUP BY 1")
 add("rank_document", lambda t: r6(S.rank_document(t.queries(), t.scored_postings(), _match(t)), "score"), "SELECT query_id, db_document_id, round(sum((relevance + 0.0001) * (popularity + 0.0001)) * (min(db_document_id % 10) / 10.0::DOUBLE + 0.0001), 6) AS score FROM qw JOIN spost USING (word) GROUP BY ALL")
 add("query_order", lambda t: S.query_order(t.hits(), "publication_time", descending=False).select("query_id", "db_document_id", "place"), "SELECT query_id, db_document_id, row_number() OVER (PARTITION BY query_id ORDER BY publication_time, db_document_id)::INTEGER AS place FROM hits")
 add("page", lambda t: S.page(S.query_order(t.hits(), "publication_time"), 15).select("query_id", "db_document_id", "place", "count", "first", "last", "has_previous", "has_next"), "SELECT query_id, db_document_id, place::INTEGER AS place, n AS count, 16::INTEGER AS first, least(30, n) AS last, true AS has_previous, n > 30 AS has_next FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY publication_time DESC, db_document_id) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM hits) WHERE place BETWEEN 16 AND 30")

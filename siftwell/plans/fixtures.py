@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions import urls as U
-from siftwell.operators import index, peers, search, usage
+from siftwell.operators import blocks, index, peers, search, usage
 from siftwell.sources.shared import written
 
 EPOCH = 1_600_000_000
@@ -33,8 +33,9 @@ class Tables:
     def kept(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
         if self.seen is None:
             places = [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "events")]
-            found = self.spark.read.format("binaryFile").load(places).select("path", "length", "modificationTime").orderBy("path").collect()
-            self.seen = repr(found)
+            files = self.spark.read.format("binaryFile").load(places)
+            mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+            self.seen = repr(files.agg(F.count(F.lit(1)), F.sum(mark)).first())  # one row, however many files
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.seen, name)
         if key not in KEPT:
             KEPT[key] = written(plan(), f"engine-{name}")
@@ -79,9 +80,14 @@ class Tables:
     def scored_postings(self) -> DataFrame:
         """Postings with the scores of the download log laid over them; other pairs have scores from their position.
 
-        Stored in order of words, so that a search of few words skips most of the files.
+        Stored in order of (word, document): a search of few words skips most of the files, and a
+        common word is in as many of them as it needs.
         """
-        return self.kept("scored-postings", lambda: self.new_scored_postings().repartitionByRange("word").sortWithinPartitions("word", "db_document_id"))
+        return self.kept("scored-postings", lambda: self.new_scored_postings().repartitionByRange("word", "db_document_id").sortWithinPartitions("word", "db_document_id"))
+
+    def blocks(self) -> DataFrame:
+        """The scored postings in blocks of a word and a range of documents, for searches."""
+        return self.kept("posting-blocks", lambda: blocks.posting_blocks(self.scored_postings()).repartitionByRange("word", "block").sortWithinPartitions("word", "block"))
 
     def new_scored_postings(self) -> DataFrame:
         learnt = usage.popularity_relevance(self.download_log()).withColumnsRenamed({"popularity": "new_popularity", "relevance": "new_relevance"})
@@ -145,7 +151,7 @@ class Tables:
         return log.select("ts", "event_id", F.when(F.col("action") == "notify", notify).otherwise(F.concat_ws(":", "action", "node_id")).alias("line"))
 
     def hits(self) -> DataFrame:
-        return self.kept("hits", lambda: search.search_all_words(self.queries(), self.scored_postings(), self.documents()))
+        return self.kept("hits", lambda: search.search_all_words(self.queries(), self.scored_postings(), self.documents(), blocks=self.blocks()))
 
     def results(self) -> DataFrame:
         """Hits as they came from one to three nodes; the first copy is local."""

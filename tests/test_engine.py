@@ -7,8 +7,10 @@ import itertools
 import math
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from siftwell.functions import excerpts as E
 from siftwell.functions import helpers as H
 from siftwell.functions import pages as X
 from siftwell.functions import text as T
+from siftwell.functions import tokens
 from siftwell.functions import urls as U
 from siftwell.functions.arrays import sums_before
-from siftwell.operators import index, peers, search, usage
+from siftwell.operators import blocks, index, peers, search, usage
 from siftwell.plans.fixtures import Tables
 from siftwell.sources import files
 from siftwell.streaming import jobs, runs
@@ -214,6 +217,92 @@ def test_search_cases(spark):
         search.search_all_words(ask("x"), postings, documents, order="title")
 
 
+def scored(spark, rows):
+    return spark.createDataFrame(rows, "db_document_id long, word string, relevance double, popularity double")
+
+
+@pytest.mark.parametrize("order", ["relevance", "popularity", "publication_time"])
+def test_search_in_blocks_by_brute_force(spark, monkeypatch, order):
+    """Queries of one to four words over many small blocks, with ties, repeated and unknown words and shares of one query."""
+    monkeypatch.setattr(blocks, "SHARE", 3)
+    r = random.Random(5)
+    docs = [(d, f"h{d}", r.choice(["text/plain", "text/html"]), "t", 1, r.randint(0, 20), r.choice([0, 1, 2]), f"u{d}") for d in range(400) if d % 7]
+    posts = [(d, w, r.randint(0, 8) / 8, r.randint(0, 8) / 8) for d in range(400) for w in "abcdefgh" if r.random() < {"a": 0.9, "b": 0.7, "c": 0.5}.get(w, 0.15)]
+    asked = [(q, [r.choice("abcdefgh") for _ in range(r.randint(1, 4))]) for q in range(60)] + [(60, ["a", "none"]), (61, []), (62, ["a", None]), (63, None)]
+    queries = spark.createDataFrame(asked, "query_id long, words array<string>")
+    documents = spark.createDataFrame(docs, "db_document_id long, document_id string, mime_type string, title string, size long, publication_time long, state int, url string")
+    held = blocks.posting_blocks(scored(spark, posts), 16)
+    monkeypatch.setattr(blocks.document_blocks, "__defaults__", (16,))
+    got = defaultdict(list)
+    for x in search.search_all_words(queries, None, documents, 10, "text/plain", private=False, order=order, blocks=held).collect():
+        got[x["query_id"]].append((x["rank"], x["db_document_id"], x["relevance"], x["popularity"]))
+    of = {(d, w): (rel, pop) for d, w, rel, pop in posts}
+    want = {}
+    for q, words in asked:
+        words = words or []
+        hits = []
+        for d, _, mime, _, _, time, state, _ in docs:
+            own = [of.get((d, w)) for w in set(words)]
+            if own and None not in own and mime == "text/plain" and state:
+                rel, pop = sum(x[0] for x in own), sum(x[1] for x in own)
+                hits.append((-{"relevance": rel, "popularity": pop, "publication_time": time}[order], d, rel, pop))
+        if hits:
+            want[q] = [(k + 1, *h[1:]) for k, h in enumerate(sorted(hits)[:10])]
+    assert {q: sorted(x) for q, x in got.items()} == want and len(want) > 40
+
+
+def test_search_skips_blocks(spark):
+    """With the best documents in few blocks, the others are not read, and the answer is the same."""
+    posts = [(d, w, 1.0 / (1 + d // 64) + (d % 5) / 1000, 0.5) for d in range(64 * 40) for w in ("x", "y") if w == "x" or d % 3 == 0]
+    held = blocks.posting_blocks(scored(spark, posts), 64)
+    documents = spark.range(64 * 40).select(F.col("id").alias("db_document_id"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("key"))
+    heads = blocks.document_blocks(documents, F.col("factor"), F.col("key"), 64)
+    queries = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"]), (3, ["y", "x", "y"])], "query_id long, words array<string>")
+    sets, _ = blocks.word_sets(queries)
+    assert sets.count() == 2  # equal words are asked for once
+    met = blocks.met_blocks(sets, held, heads, "relevance")
+    assert met.count() == 80
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("bound"), "block"))).where("nth <= 2").drop("nth")
+    found = blocks.answered(first, sets, held, heads, 30, "relevance")
+    assert blocks.second_lot(met, first, found, 30, F.col("relevance")).count() == 0  # 76 of 80 blocks are never read
+    assert blocks.second_lot(met, first, found, 60, F.col("relevance")).groupBy("set").count().count() == 1  # y is too rare for 60 in two blocks
+    plan = blocks.answered(first, sets, held, heads, 30, "relevance")._jdf.queryExecution().toString()
+    assert "explode(ids" not in plan  # no row for a posting
+    best, of_query = blocks.all_words(queries, held, heads, "relevance", 60)
+    for q, want in ((2, sorted(posts, key=lambda p: (-p[2] * (p[1] == "x"), p[0]))[:60]),):
+        own = best.join(of_query, "set").where(F.col("query_id") == q).orderBy(F.desc("relevance"), "db_document_id").limit(60).collect()
+        assert [r["db_document_id"] for r in own] == [p[0] for p in want]
+
+
+def test_ranked_search_by_bounds(spark):
+    """The bounds of scores hold for every query, and the answer is that of all postings."""
+    t = Tables(spark, SF)
+    documents = t.documents().withColumn("matching", (F.col("db_document_id") % 10) / F.lit(10.0))
+    one = search.search_ranked(t.queries(), None, documents, 11, 5, blocks=blocks.posting_blocks(t.scored_postings(), blocks.BLOCK))
+    words = search.query_words(t.queries())
+    every = words.join(t.scored_postings(), "word").groupBy("query_id", "db_document_id").agg(F.count("*").alias("n"), F.first("n_words").alias("m"), F.sum((F.col("relevance") + 0.001) * (F.col("popularity") + 0.001)).alias("s"))
+    every = every.where("n = m").join(documents.where("state in (0, 1, 2)").select("db_document_id", "matching"), "db_document_id")
+    two = search.top_k(every.withColumn("score", F.col("s") * (F.col("matching") + 0.001)), ["query_id"], 5, F.desc(F.round("score", 12)), F.asc("db_document_id"))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["db_document_id"]) for r in df.collect())
+    assert key(one) == key(two)
+
+
+def test_tokens_of_blocks():
+    r = random.Random(6)
+    texts = [None, "", "a", "ab c 9_ straße", "x" * 120, "x" * 101, "日本 abécd " * 3, *("".join(r.choice("ab _é-9") for _ in range(r.randint(0, 40))) for _ in range(200))]
+    column = pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts))
+    got = defaultdict(list)
+    for start, data, at in tokens.blocks(column):
+        found = tokens.tokens(data, at)
+        firsts = set(tokens.first_of_each(found).tolist())
+        for i, (word, text, nth, position) in enumerate(zip(found.words.to_pylist(), found.text, found.nth, found.position, strict=True)):
+            got[start + int(text)].append((int(nth), word, int(position), i in firsts))
+    for k, text in enumerate(texts):
+        want = [(n, m[0], m.start()) for n, m in enumerate(re.finditer(r"\w{2,50}", text or "", re.A))]
+        assert [x[:3] for x in got[k]] == want
+        assert [x[1] for x in got[k] if x[3]] == list(dict.fromkeys(m[1] for m in want))
+
+
 def test_presence_cases(spark):
     def who(lines, now="2024-01-01 01:00:00"):
         rows = [(f"2024-01-01 00:00:{k:02d}", k, *line) for k, line in enumerate(lines)]
