@@ -296,57 +296,73 @@ def events_stream(t: Tables) -> DataFrame:
 
 
 def presence_events(t: Tables) -> DataFrame:
-    rows = events_stream(t).where(F.col("event_type").isin("signup", "error"))
-    return rows.select("ts", "event_id", "node_id", F.when(F.col("event_type") == "signup", "notify").otherwise("logout").alias("action"), F.concat(F.lit("10.0.0."), F.col("user_id") % 256).alias("ip"), (F.col("user_id") % 3 + 6446).cast("int").alias("port"))
+    """Notify and logout rows of nodes that share addresses; a logout names none."""
+    rows = t.given("events").where(F.col("event_type").isin("signup", "error")).withColumn("ts", F.col("ts").cast("timestamp"))
+    joins = F.col("event_type") == "signup"
+    return rows.select("ts", "event_id", F.sha1(F.col("user_id").cast("string")).alias("node_id"), F.when(joins, "notify").otherwise("logout").alias("action"), F.when(joins, F.concat(F.lit("10.0.0."), F.col("user_id") % 8)).alias("ip"), F.when(joins, (F.col("user_id") % 3 + 6446).cast("int")).alias("port"))
 
 
 add("dedupe_queries_stream", lambda t: runs.appended(jobs.dedupe_queries_stream(events_stream(t).where("event_type = 'view'").select(F.concat_ws(":", "node_id", F.get_json_object("props", "$.k")).alias("query_id"), "ts")), "queries"))
-add("presence_stream", lambda t: runs.appended(jobs.presence_stream(presence_events(t)), "presence"))
 add("usage_stats_stream", lambda t: r6(runs.updated(jobs.usage_stats_stream(events_stream(t).where("event_type = 'view'").select("node_id", F.array(F.get_json_object("props", "$.k"), F.col("node_id")).alias("words"))), ["word"], "usage"), "claim_count"), "SELECT word, round(sum(claim), 6) AS claim_count FROM (SELECT unnest([json_extract_string(props, '$.k'), sha1(user_id::VARCHAR)]) AS word, 0.5::DOUBLE AS claim FROM events WHERE event_type = 'view') GROUP BY 1")
 
 
-# Streams into tables of micro-batches
+# Streams with keyed state, over three slices of the table in order of time
 def spooled(t: Tables) -> DataFrame:
-    """The three best results of each query of the event stream, sent in batches."""
+    """The three best results of each query's spool, as they are sent."""
     k = F.get_json_object("props", "$.k")
-    results = events_stream(t).where("event_type in ('click', 'purchase') and value is not null").select(k.alias("query_id"), F.col("event_id").cast("string").alias("document_id"), F.col("value").alias("relevance"), F.col("ts").alias("record_ts")).where("query_id is not null")
+    results = t.given("events").where("event_type in ('click', 'purchase') and value is not null").select(k.alias("query_id"), F.col("event_id").cast("string").alias("document_id"), F.col("value").alias("relevance"), F.col("ts").cast("timestamp").alias("record_ts")).where("query_id is not null")
     place = fresh_path(t.spark, "spool")
-    runs.drained(jobs.flush_spool_stream(results, place, 3, "36500 days"), place)
-    return jobs.BatchTable(f"{place}/sent", jobs.SPOOL).read(t.spark).select("query_id", "document_id", "relevance")
+    for stream in runs.sliced(results, "record_ts", 3, place):
+        sent = runs.through(jobs.flush_spool_stream(stream, 3), place, "sent")
+    return sent.select("query_id", "document_id", "relevance", "sent_ms")
 
 
 def present(t: Tables) -> DataFrame:
+    """Who has which address at the end; changes of nodes are one stream, owners of addresses another."""
     place = fresh_path(t.spark, "present")
-    runs.drained(jobs.presence_owner_stream(presence_events(t), f"{place}/nodes"), place)
-    return jobs.present_nodes(t.spark, f"{place}/nodes").select("node_id", "ip", "port")
+    for stream in runs.sliced(presence_events(t), "ts", 3, place):
+        changes = runs.through(jobs.presence_stream(stream), place, "changes")
+        again = t.spark.readStream.schema(changes.schema).parquet(f"{place}/changes")
+        owners = runs.through(jobs.owner_stream(again), place, "owners")
+    return jobs.present_nodes(owners).select("node_id", "ip", "port")
 
 
 def indexed(t: Tables) -> DataFrame:
     """Postings of every file of the document stream."""
     d = F.col("doc_id")
-    crawl = runs.table_stream(t.spark, t.sf_dir, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), d.cast("string"), F.lit(".txt")).alias("file_name"), (d * 3600).alias("file_time"), F.lit(U.PUBLISHED).alias("state"), d.alias("db_document_id"), T.first_chars_title(F.col("text")).alias("title"), "text")
+    crawl = t.given("documents").select(F.concat(F.lit("/"), "source", F.lit("/"), d.cast("string"), F.lit(".txt")).alias("file_name"), (d * 3600).alias("file_time"), F.lit(U.PUBLISHED).alias("state"), d.alias("db_document_id"), T.first_chars_title(F.col("text")).alias("title"), "text")
     place = fresh_path(t.spark, "index")
-    runs.drained(jobs.incremental_index_stream(crawl, place), place)
+    for stream in runs.sliced(crawl, "db_document_id", 3, place):
+        runs.drained(jobs.incremental_index_stream(stream, place), place)
     return jobs.current_postings(t.spark, place).select("db_document_id", "word", "position")
 
 
 def answered(t: Tables) -> DataFrame:
-    """Clicks as answers to the views of the same key in the 30 days before."""
+    """Clicks as answers to the views of the same key in the hour before, over three slices of time."""
     k = F.get_json_object("props", "$.k").alias("query_id")
-    asked = events_stream(t).where("event_type = 'view'").select(k, "ts")
-    answers = events_stream(t).where("event_type = 'click'").select(k, F.concat(F.lit("d"), F.col("event_id") % 50).alias("document_id"), F.col("ts").alias("record_ts"))
-    return runs.appended(jobs.merge_results_stream(answers, asked, "30 days"), "answers")
-
-
-add("flush_spool_stream", spooled, """WITH r AS (SELECT json_extract_string(props, '$.k') AS query_id, event_id::VARCHAR AS document_id, value AS relevance FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL)
- SELECT query_id, document_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, document_id) AS place FROM r WHERE query_id IS NOT NULL) WHERE place <= 3""")
-add("presence_owner_stream", present, """WITH e AS (SELECT sha1(user_id::VARCHAR) AS node_id, ts, event_id, event_type, '10.0.0.' || (user_id % 256) AS ip, (user_id % 3 + 6446)::INTEGER AS port FROM events WHERE event_type IN ('signup', 'error')),
- l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1 AND event_type = 'signup')
- SELECT node_id, ip, port FROM (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM l) WHERE q = 1""")
+    place = fresh_path(t.spark, "answers")
+    log = t.given("events").select("event_type", "event_id", "props", F.col("ts").cast("timestamp").alias("ts"))
+    for events in runs.sliced(log, "ts", 3, place):
+        asked = events.where("event_type = 'view'").select(k, "ts")
+        answers = events.where("event_type = 'click'").select(k, F.col("event_id").cast("string").alias("document_id"), F.col("ts").alias("record_ts"))
+        found = runs.through(jobs.merge_results_stream(answers, asked), place, "found")
+    return found.select("query_id", "document_id", F.unix_micros("asked_at").alias("asked_us"))
+
+
+add("flush_spool_stream", spooled, """WITH RECURSIVE r AS (SELECT json_extract_string(props, '$.k') AS query_id, event_id::VARCHAR AS document_id, value AS relevance, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL),
+ o AS (SELECT query_id, min(ms) AS opened FROM r GROUP BY 1 UNION ALL SELECT o.query_id, (SELECT min(ms) FROM r WHERE r.query_id = o.query_id AND r.ms >= o.opened + 40000) FROM o WHERE EXISTS (SELECT 1 FROM r WHERE r.query_id = o.query_id AND r.ms >= o.opened + 40000)),
+ d AS (SELECT r.query_id, o.opened, document_id, relevance, o.opened + 2000 * ((ms - o.opened) // 2000 + 1) AS sent_ms FROM r JOIN o ON o.query_id = r.query_id AND r.ms >= o.opened AND r.ms < o.opened + 40000)
+ SELECT query_id, document_id, relevance, sent_ms FROM (SELECT *, row_number() OVER (PARTITION BY query_id, opened ORDER BY sent_ms, relevance DESC, document_id) AS place FROM d)
+ WHERE place <= 3 AND sent_ms <= (SELECT max(ms) FROM r) - 2000""")
+add("presence_stream", present, """WITH e AS (SELECT sha1(user_id::VARCHAR) AS node_id, ts, event_id, event_type, CASE WHEN event_type = 'signup' THEN '10.0.0.' || (user_id % 8) END AS ip, (user_id % 3 + 6446)::INTEGER AS port FROM events WHERE event_type IN ('signup', 'error')),
+ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1 AND event_type = 'signup'),
+ o AS (SELECT node_id, ip, port FROM (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM e WHERE event_type = 'signup') WHERE q = 1)
+ SELECT l.node_id, l.ip, l.port FROM l JOIN o USING (node_id, ip, port) WHERE epoch_us(l.ts) // 1000 + 86400000 > (SELECT epoch_us(max(ts)) // 1000 FROM e) - 600000""")
 add("incremental_index_stream", indexed, f"""WITH t AS (SELECT file_id, {tokens('n')} AS ws, string_split_regex(n, '\\w{{2,50}}') AS gs FROM (SELECT file_id, {norm("title || ' ' || text")} AS n FROM ext))
  SELECT file_id AS db_document_id, word, min(position) AS position FROM (SELECT file_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY file_id ORDER BY i) - length(word))::INTEGER AS position
  FROM (SELECT file_id, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap, unnest(range(1, len(ws) + 1)) AS i FROM t)) GROUP BY ALL""")
-add("merge_results_stream", answered)
+add("merge_results_stream", answered, """WITH e AS (SELECT json_extract_string(props, '$.k') AS query_id, event_id, event_type, ts FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)
+ SELECT a.query_id, a.event_id::VARCHAR AS document_id, epoch_us(q.ts) AS asked_us FROM e a JOIN e q ON q.query_id = a.query_id AND q.event_type = 'view' AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click'""")
 
 # Files and extractors
 add("read_files", lambda t: files.read_files(t.spark, [t.sf_dir], content=False).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length"))

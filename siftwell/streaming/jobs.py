@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell.operators import index, usage
 from siftwell.operators.index import latest_per_key
-from siftwell.operators.search import best_unsent
+from siftwell.sources.shared import written
+from siftwell.streaming.state import AddressOwner, NodePresence, Spool, with_state, with_timers
 
-QUERY_LIFE, RESULT_LIFE, SPOOL_LIFE, PRESENCE_MS = "60 seconds", "1 hour", "40 seconds", 24 * 3600 * 1000
+QUERY_LIFE, RESULT_LIFE = "60 seconds", "1 hour"
+PERIOD_MS, SPOOL_MS, PRESENCE_MS = 2000, 40_000, 24 * 3600 * 1000
 
 
 def dedupe_queries_stream(queries: DataFrame, life: str = QUERY_LIFE) -> DataFrame:
@@ -30,157 +28,117 @@ def merge_results_stream(answers: DataFrame, queries: DataFrame, life: str = RES
     return once.join(asked, (once["query_id"] == asked["query_id"]) & in_time).drop(asked["query_id"])
 
 
-def presence_stream(log: DataFrame) -> DataFrame:
-    """node_id, action, ip, port, last_seen changes of each node; a silent node is logged out after 24 hours.
+def presence_stream(log: DataFrame, life_ms: int = PRESENCE_MS, late: str = "10 minutes") -> DataFrame:
+    """node_id, change (join or leave), ip, port, us, event_id: how nodes come to addresses and go.
 
-    Older rows than a node's state are ignored.
+    ``log``: ts, event_id, node_id, action, ip, port; a logout needs no address. A node that is silent for
+    24 hours leaves. Rows of a node that are older than its newest, or than the watermark, are ignored.
     """
-    out = "node_id string, action string, ip string, port int, last_seen timestamp"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            action, ip, port, ms = state.get
-            state.remove()
-            if action == "notify":
-                yield pd.DataFrame({"node_id": [key[0]], "action": ["expired"], "ip": [ip], "port": [port], "last_seen": [pd.Timestamp(ms, unit="ms")]})
-            return
-        last = None
-        for frame in frames:
-            if len(frame):
-                row = frame.sort_values(["ts", "event_id"]).iloc[-1]
-                last = row if last is None or (row["ts"], row["event_id"]) >= (last["ts"], last["event_id"]) else last
-        ms = int(last["ts"].timestamp() * 1000)
-        if state.exists and state.get[3] > ms:
-            return
-        state.update((str(last["action"]), str(last["ip"]), int(last["port"]), ms))
-        state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs()) + PRESENCE_MS)
-        yield pd.DataFrame({"node_id": [key[0]], "action": [last["action"]], "ip": [last["ip"]], "port": [last["port"]], "last_seen": [last["ts"]]})
-
-    held = log.withWatermark("ts", "10 minutes")
-    return held.groupBy("node_id").applyInPandasWithState(step, out, "action string, ip string, port int, ms long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def usage_stats_stream(query_log: DataFrame) -> DataFrame:
-    """Running claims of each word, in update mode."""
-    return usage.word_claims(query_log)
+    rows = log.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("us"), "event_id", "node_id", "action", "ip", "port")
+    return with_timers(rows, ["node_id"], NodePresence(life_ms), NodePresence.OUT)
 
 
-class BatchTable:
-    """A table of micro-batches: each batch writes a part of its own, which a retried batch replaces."""
+def owner_stream(changes: DataFrame) -> DataFrame:
+    """ip, port, nth, node_id, us: who has an address after each of its changes (the rows of ``presence_stream``); the newest comer has it."""
+    with_state(changes.sparkSession)
+    return changes.groupBy("ip", "port").transformWithState(AddressOwner(), AddressOwner.OUT, "Append", "None")
 
-    def __init__(self, path: str, schema: str) -> None:
-        self.path, self.schema = path, f"{schema}, batch_id long"
-
-    def prepare(self, spark: SparkSession) -> None:
-        """An empty table where there is none."""
-        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("batch_id").parquet(self.path)
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(self.path)
-
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Rows of earlier batches."""
-        return spark.read.schema(self.schema).parquet(self.path).where(F.col("batch_id") < batch_id)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(self.path)
+def present_nodes(owners: DataFrame) -> DataFrame:
+    """node_id, ip, port, us of the nodes that are there, from the rows that ``owner_stream`` wrote."""
+    last = owners.groupBy("ip", "port").agg(F.max_by(F.struct("node_id", "us"), "nth").alias("o"))
+    return last.where("o.node_id is not null").select("o.node_id", "ip", "port", "o.us")
 
 
-SPOOL = "query_id string, document_id string, relevance double, record_ts timestamp"
+def usage_stats_stream(query_log: DataFrame) -> DataFrame:
+    """Running claims of each word, in update mode."""
+    return usage.word_claims(query_log)
 
 
-def flush_spool_stream(results: DataFrame, path: str, expected: int, life: str = SPOOL_LIFE) -> DataStreamWriter:
-    """Send the best unsent hits of each query, ``expected`` in all, as batches come (a trigger of 2 seconds).
+def flush_spool_stream(results: DataFrame, expected: int, period_ms: int = PERIOD_MS, life_ms: int = SPOOL_MS, late: str = "2 seconds") -> DataFrame:
+    """query_id, document_id, relevance, record_ms, sent_ms: the hits that are sent for each query.
 
-    Hits that a batch leaves unsent wait in the spool for later ones until they are ``life`` older than
-    the newest hit. ``path``/sent holds what was sent, ``path``/spool what waits after each batch.
+    ``results``: query_id, document_id, relevance, record_ts. Every two seconds the best unsent hits of a query
+    go, ``expected`` in all; its spool lives 40 seconds from its first hit on.
     """
-    sent, spool = BatchTable(f"{path}/sent", SPOOL), BatchTable(f"{path}/spool", SPOOL)
-    for table in (sent, spool):
-        table.prepare(results.sparkSession)
-    columns = ["query_id", "document_id", "relevance", "record_ts"]
+    rows = results.withWatermark("record_ts", late).select("record_ts", F.col("query_id").cast("string").alias("query_id"), F.col("document_id").cast("string").alias("document_id"), F.col("relevance").cast("double").alias("relevance"), F.unix_millis("record_ts").alias("ms"))
+    return with_timers(rows, ["query_id"], Spool(expected, period_ms, life_ms), Spool.OUT)
 
-    def send(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(F.col("query_id").cast("string"), F.col("document_id").cast("string"), F.col("relevance").cast("double"), "record_ts")
-        waiting = rows.unionByName(spool.before(spark, batch_id).where(F.col("batch_id") == batch_id - 1).select(columns))
-        newest = waiting.agg((F.max("record_ts") - F.expr(f"INTERVAL {life}")).alias("oldest"))
-        alive = waiting.crossJoin(F.broadcast(newest)).where(F.col("record_ts") >= F.col("oldest")).drop("oldest")  # one row
-        done = sent.before(spark, batch_id).select("query_id", "document_id", "record_ts")
-        once = latest_per_key(alive, ["query_id", "document_id"], F.asc("record_ts"))
-        new = best_unsent(once, done, expected).select(columns)
-        sent.write(new, batch_id)
-        now = sent.read(spark).select("query_id", "document_id")
-        spool.write(once.join(now, ["query_id", "document_id"], "left_anti").select(columns), batch_id)
 
-    return results.writeStream.foreachBatch(send)
-
-
-PRESENT = "node_id string, action string, ip string, port int, ts timestamp, event_id long"
+FILES = "file_name string, file_time long, state int, db_document_id long"
+POSTINGS = "db_document_id long, word string, position int, download_count double, relevance double, popularity double"
+#: Folders of the files' hash buckets, and documents of a bucket of postings.
+FILE_BUCKETS, BUCKET_DOCUMENTS = 64, 1 << 16
 
 
-def presence_owner_stream(log: DataFrame, path: str) -> DataStreamWriter:
-    """Keep the newest word of each node in ``path``, a batch writing only the nodes that it changes.
+class Buckets:
+    """A table in folders by bucket, of which a batch rewrites those that it touches.
 
-    An older row than a node's own is ignored. ``present_nodes`` reads who is there.
+    A batch's rows are written aside first and then laid over their buckets, so a batch that is tried
+    again finds either the old bucket or what it wrote, and lays it over once more.
     """
-    table = BatchTable(path, PRESENT)
-    table.prepare(log.sparkSession)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        columns = ["node_id", "action", "ip", "port", "ts", "event_id"]
-        new = batch.select(columns)
-        known = table.before(batch.sparkSession, batch_id).join(new.select("node_id").distinct(), "node_id", "left_semi").select(columns)
-        table.write(latest_per_key(new.unionByName(known), ["node_id"], F.desc("ts"), F.desc("event_id")), batch_id)
+    def __init__(self, path: str, schema: str) -> None:
+        self.path, self.schema = path, f"{schema}, bucket long"
 
-    return log.writeStream.foreachBatch(merge)
+    def prepare(self, spark: SparkSession) -> None:
+        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("bucket").parquet(self.path)
 
+    def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        rows = spark.read.schema(self.schema).parquet(self.path)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
-def present_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """node_id, ip, port, ts of the nodes whose last word is no logout; of nodes at one address the newest owns it."""
-    last = latest_per_key(BatchTable(path, PRESENT).read(spark), ["node_id"], F.desc("batch_id")).where("action = 'notify'")
-    return latest_per_key(last, ["ip", "port"], F.desc("ts"), F.desc("event_id")).select("node_id", "ip", "port", "ts")
+    def aside(self, rows: DataFrame, batch_id: int) -> None:
+        """Keep the new contents of the touched buckets until they are laid over."""
+        rows.write.mode("overwrite").parquet(f"{self.path}-batch-{batch_id % 2}")
 
+    def lay_over(self, spark: SparkSession, batch_id: int) -> None:
+        rows = spark.read.schema(self.schema).parquet(f"{self.path}-batch-{batch_id % 2}")
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
-FILES = "file_name string, file_time long, state int, db_document_id long"
-POSTINGS = "db_document_id long, word string, position int, download_count double, relevance double, popularity double"
 
-
-def incremental_index_stream(crawl: DataFrame, path: str) -> DataStreamWriter:
+def incremental_index_stream(crawl: DataFrame, path: str, documents_of_bucket: int = BUCKET_DOCUMENTS) -> DataStreamWriter:
     """Index files as they come: file_name, file_time, state, db_document_id, title, text.
 
     A file is indexed if it is new, newer than the indexed one or of another state; its postings
-    take new positions, keep the scores of words that it still has, and lose the others. A batch
-    writes only the files that it changes; ``current_postings`` reads each document's last ones.
+    take new positions, keep the scores of words that it still has, and lose the others. Postings lie in
+    buckets of neighbouring documents: a batch reads and rewrites the buckets of its changed
+    documents alone, so new documents do not touch old buckets. ``current_postings`` reads them.
     """
-    files, postings = BatchTable(f"{path}/files", FILES), BatchTable(f"{path}/postings", POSTINGS)
+    spark = crawl.sparkSession
+    files, postings = Buckets(f"{path}/files", FILES), Buckets(f"{path}/postings", POSTINGS)
     for table in (files, postings):
-        table.prepare(crawl.sparkSession)
+        table.prepare(spark)
+
+    def touched(rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select("bucket").distinct().collect()]  # folders, not rows
+
+    def bucket_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.floor(F.col("db_document_id") / documents_of_bucket).cast("long"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = latest_per_key(batch, ["file_name"], F.desc("file_time"), F.desc("db_document_id"))
-        changed = index.detect_changes(newest, latest_files(files.before(spark, batch_id))).where("change != 'untouched'").drop("change")
-        files.write(changed.select("file_name", "file_time", "state", "db_document_id"), batch_id)
-        own = files.read(spark).where(F.col("batch_id") == batch_id).select("db_document_id").distinct()
-        documents = changed.dropDuplicates(["db_document_id"]).join(own, "db_document_id", "left_semi")
-        old = latest_postings(postings.before(spark, batch_id), files.before(spark, batch_id)).join(own, "db_document_id", "left_semi")
+        newest = written(latest_per_key(batch, ["file_name"], F.desc("file_time"), F.desc("db_document_id")).withColumn("bucket", F.pmod(F.xxhash64("file_name"), F.lit(FILE_BUCKETS))), "index-batch")
+        known = files.read(spark, touched(newest))
+        changed = written(index.detect_changes(newest, known).where("change != 'untouched'").drop("change"), "index-changed")
+        if changed.isEmpty():
+            return
+        columns = [c.split()[0] for c in files.schema.split(", ")]
+        own = touched(changed)
+        files.aside(index.upsert(files.read(spark, own), changed.select(columns), ["file_name"]), batch_id)
+        documents = bucket_of(changed.drop("bucket")).dropDuplicates(["db_document_id"])
+        old = postings.read(spark, touched(documents))
+        ids = documents.select("db_document_id")
         fresh = index.build_postings(documents)
-        merged = index.merge_postings(old, fresh).join(fresh.select("db_document_id", "word"), ["db_document_id", "word"], "left_semi")
-        postings.write(merged, batch_id)
+        scores = old.join(ids, "db_document_id", "left_semi").select("db_document_id", "word", *index.SCORES)
+        merged = fresh.select("db_document_id", "word", "position").join(scores, ["db_document_id", "word"], "left").fillna(0.0, index.SCORES)
+        postings.aside(old.join(ids, "db_document_id", "left_anti").unionByName(bucket_of(merged)), batch_id)
+        # postings first: a batch that stops in between still finds its files changed when it is tried again
+        postings.lay_over(spark, batch_id)
+        files.lay_over(spark, batch_id)
 
     return crawl.writeStream.foreachBatch(merge)
 
 
-def latest_files(files: DataFrame) -> DataFrame:
-    return latest_per_key(files, ["file_name"], F.desc("batch_id")).drop("batch_id")
-
-
-def latest_postings(postings: DataFrame, files: DataFrame) -> DataFrame:
-    """Each document's postings of the last batch that indexed it."""
-    last = files.groupBy("db_document_id").agg(F.max("batch_id").alias("batch_id"))
-    return postings.join(last, ["db_document_id", "batch_id"], "left_semi").drop("batch_id")
-
-
 def current_postings(spark: SparkSession, path: str) -> DataFrame:
-    return latest_postings(BatchTable(f"{path}/postings", POSTINGS).read(spark), BatchTable(f"{path}/files", FILES).read(spark))
+    return Buckets(f"{path}/postings", POSTINGS).read(spark).drop("bucket")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import itertools
 import math
@@ -432,13 +433,6 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     assert have.keys() == want.keys() and all(have[w] == pytest.approx(want[w]) for w in want)
 
 
-def test_presence_stream(spark, tmp_path):
-    rows = [("2024-01-01 00:00:00", 1, "A", "notify", "1.1.1.1", 5), ("2024-01-01 00:00:02", 2, "B", "notify", "1.1.1.2", 5), ("2024-01-01 00:00:03", 3, "A", "logout", "1.1.1.1", 5)]
-    log = spark.createDataFrame(rows, "ts string, event_id long, node_id string, action string, ip string, port int").withColumn("ts", F.to_timestamp("ts"))
-    got = drained(jobs.presence_stream(stream_of(spark, tmp_path, log, "p")), "append", "ps")
-    assert {(r["node_id"], r["action"]) for r in got.collect()} == {("A", "logout"), ("B", "notify")}
-
-
 def in_batches(spark, tmp_path, tables, name):
     """A stream that meets one table after the other, a batch each."""
     path = tmp_path / name
@@ -451,28 +445,86 @@ def in_batches(spark, tmp_path, tables, name):
     return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
-def test_spool_keeps_what_is_unsent(spark, tmp_path):
-    schema = "query_id long, document_id string, relevance double, record_ts string"
-    at = "2024-01-01 00:{}".format
-    batches = [[(1, "a", 1.0, at("00:00")), (1, "b", 5.0, at("00:01")), (1, "c", 4.0, at("00:02")), (2, "z", 1.0, at("00:00"))], [(1, "d", 9.0, at("00:10")), (1, "b", 7.0, at("00:11"))], [(2, "y", 1.0, at("02:00"))], [(3, "x", 1.0, at("02:01"))]]
-    tables = [spark.createDataFrame(b, schema).withColumn("record_ts", F.to_timestamp("record_ts")) for b in batches]
-    place = str(tmp_path / "spool")
-    runs.drained(jobs.flush_spool_stream(in_batches(spark, tmp_path, tables, "h"), place, 3), place)
-    sent = jobs.BatchTable(f"{place}/sent", jobs.SPOOL).read(spark).collect()
-    # c waits no longer once three are sent; of query 1 b, c and a go first, d comes too late
-    assert {(r["query_id"], r["document_id"], r["batch_id"]) for r in sent} == {("1", "b", 0), ("1", "c", 0), ("1", "a", 0), ("2", "z", 0), ("2", "y", 2), ("3", "x", 3)}
-    spool = jobs.BatchTable(f"{place}/spool", jobs.SPOOL).read(spark).collect()
-    assert {(r["document_id"], r["batch_id"]) for r in spool} == {("d", 1)}  # dropped when 40 seconds are over
-
-
-def test_presence_owners(spark, tmp_path):
-    schema = "node_id string, action string, ip string, port int, ts string, event_id long"
-    batches = [[("A", "notify", "1.1.1.1", 5, "2024-01-01 00:00:00", 1), ("B", "notify", "1.1.1.2", 5, "2024-01-01 00:00:01", 2)], [("C", "notify", "1.1.1.1", 5, "2024-01-01 00:00:05", 3), ("B", "notify", "9.9.9.9", 5, "2023-01-01 00:00:00", 4)], [("A", "notify", "1.1.1.3", 5, "2024-01-01 00:00:09", 5), ("B", "logout", "1.1.1.2", 5, "2024-01-01 00:00:10", 6)]]
-    tables = [spark.createDataFrame(b, schema).withColumn("ts", F.to_timestamp("ts")) for b in batches]
-    for n, want in ((2, {("C", "1.1.1.1"), ("B", "1.1.1.2")}), (3, {("C", "1.1.1.1"), ("A", "1.1.1.3")})):
-        place = str(tmp_path / f"present{n}")
-        runs.drained(jobs.presence_owner_stream(in_batches(spark, tmp_path, tables[:n], f"p{n}"), f"{place}/nodes"), place)
-        assert {(r["node_id"], r["ip"]) for r in jobs.present_nodes(spark, f"{place}/nodes").collect()} == want
+def batched(spark, tmp_path, tables, make, name):
+    """What a stream has appended after each of the batches; it is started anew for each."""
+    out = []
+    for k, df in enumerate(tables):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / f"{name}-in"))
+        out.append(runs.through(make(stream), str(tmp_path), name).collect())
+    return out
+
+
+HITS = "query_id long, document_id string, relevance double, record_ts timestamp"
+
+
+def moment(text):
+    return datetime.datetime.fromisoformat(f"2024-01-01 {text}")
+
+
+def test_spool_sends_the_best_and_expires(spark, tmp_path):
+    at = lambda s: moment("00:00:00") + datetime.timedelta(seconds=s)
+    batches = [
+        [(1, "a", 1.0, at(0)), (1, "b", 5.0, at(1)), (1, "c", 4.0, at(1.5)), (1, "d", 3.0, at(1.9)), (2, "z", 1.0, at(0)), (2, "z", 9.0, at(1))],
+        [(2, "y", 2.0, at(10)), (2, "z", 3.0, at(11)), (1, "e", 9.0, at(12))],
+        [(2, "x", 5.0, at(30)), (2, "w", 1.0, at(39.9)), (2, "v", 8.0, at(40)), (1, "f", 2.0, at(47))],
+        [(3, "end", 1.0, at(200))],
+        [(4, "end", 1.0, at(400))],
+    ]
+    tables = [spark.createDataFrame(b, HITS) for b in batches]
+    got = batched(spark, tmp_path, tables, lambda s: jobs.flush_spool_stream(s, 3), "sent")
+    sent = {(r["query_id"], r["document_id"], r["relevance"], r["sent_ms"] - 1_704_067_200_000) for r in got[-1]}
+    # three of a query go, the best of each two seconds first; a document goes once in a spool, by its first arrival;
+    # after 40 seconds a query's next hit opens a new spool
+    want = {("1", "b", 5.0, 2000), ("1", "c", 4.0, 2000), ("1", "d", 3.0, 2000), ("2", "z", 1.0, 2000), ("2", "y", 2.0, 12000), ("2", "x", 5.0, 32000), ("2", "v", 8.0, 42000), ("1", "f", 2.0, 49000), ("3", "end", 1.0, 202000)}
+    assert sent == want and len(got[-1]) == len(want)
+    assert len(got[1]) < len(got[2]) < len(got[3])
+
+
+def test_spool_does_not_depend_on_batches(spark, tmp_path):
+    r = random.Random(2)
+    hits = sorted(((r.randint(1, 5), f"d{r.randint(0, 30)}", r.randint(0, 9) / 2, moment("00:00:00") + datetime.timedelta(milliseconds=r.randint(0, 300_000))) for _ in range(400)), key=lambda x: x[3])
+    hits.append((9, "end", 0.0, moment("01:00:00")))
+    whole = batched(spark, tmp_path, [spark.createDataFrame(hits, HITS)], lambda s: jobs.flush_spool_stream(s, 4), "one")[-1]
+    parts = batched(spark, tmp_path, [spark.createDataFrame(hits[k : k + 101], HITS) for k in range(0, 401, 101)], lambda s: jobs.flush_spool_stream(s, 4), "many")[-1]
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(whole) > 40
+
+
+LOG = "node_id string, action string, ip string, port int, ts timestamp, event_id long"
+
+
+def presence(spark, tmp_path, batches, name):
+    """(node, address) present after each batch."""
+    changes, owners, out = f"{name}-changes", f"{name}-owners", []
+    for b in batches:
+        spark.createDataFrame(b, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
+        stream = spark.readStream.schema(LOG).parquet(str(tmp_path / f"{name}-in"))
+        rows = runs.through(jobs.presence_stream(stream), str(tmp_path), changes)
+        found = runs.through(jobs.owner_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / changes))), str(tmp_path), owners)
+        out.append({(r["node_id"], r["ip"]) for r in jobs.present_nodes(found).collect()})
+    return out
+
+
+def test_presence_with_logout_takeover_and_expiry(spark, tmp_path):
+    at = moment
+    batches = [
+        [("A", "notify", "1.1.1.1", 5, at("00:00:00"), 1), ("B", "notify", "1.1.1.2", 5, at("00:00:01"), 2)],
+        [("A", "logout", None, None, at("00:00:02"), 3)],  # names no address
+        [("A", "notify", "1.1.1.1", 5, at("00:00:03"), 4), ("C", "notify", "1.1.1.1", 5, at("00:00:05"), 5), ("B", "notify", "9.9.9.9", 5, at("00:00:00"), 0)],
+        [("A", "notify", "1.1.1.3", 5, at("00:00:09"), 6), ("B", "logout", None, None, at("00:00:10"), 7), ("D", "logout", None, None, at("00:00:10"), 8)],
+        [("C", "logout", None, None, at("00:00:11"), 9), ("E", "notify", "1.1.1.3", 5, at("00:00:11"), 11), ("A", "logout", None, None, at("00:00:11"), 12)],
+        [("F", "notify", "2.2.2.2", 5, datetime.datetime(2024, 1, 3), 13)],
+        [("F", "notify", "2.2.2.2", 5, datetime.datetime(2024, 1, 3, 1), 14)],
+    ]
+    got = presence(spark, tmp_path, batches, "p")
+    assert got[:5] == [{("A", "1.1.1.1"), ("B", "1.1.1.2")}, {("B", "1.1.1.2")}, {("C", "1.1.1.1"), ("B", "1.1.1.2")}, {("C", "1.1.1.1"), ("A", "1.1.1.3")}, {("E", "1.1.1.3")}]
+    assert got[6] == {("F", "2.2.2.2")}  # E was silent for 24 hours
+
+
+def test_presence_of_equal_times(spark, tmp_path):
+    """Of two rows of one moment the greater event_id is the newer, in whatever batches they come."""
+    one, two = ("A", "notify", "1.1.1.1", 5, moment("00:00:00"), 2), ("A", "notify", "1.1.1.2", 5, moment("00:00:00"), 1)
+    assert presence(spark, tmp_path, [[one], [two]], "x")[-1] == presence(spark, tmp_path, [[two], [one]], "y")[-1] == presence(spark, tmp_path, [[one, two]], "z")[-1] == {("A", "1.1.1.1")}
 
 
 def test_incremental_index(spark, tmp_path):
@@ -481,8 +533,46 @@ def test_incremental_index(spark, tmp_path):
     tables = [spark.createDataFrame(b, schema) for b in batches]
     place = str(tmp_path / "index")
     runs.drained(jobs.incremental_index_stream(in_batches(spark, tmp_path, tables, "f"), place), place)
-    got = {(r["db_document_id"], r["word"], r["position"]) for r in jobs.current_postings(spark, place).collect()}
-    assert got == {(1, "fox", 2), (1, "den", 6), (2, "owl", 2), (3, "new", 2), (3, "file", 6)}
+    got = sorted((r["db_document_id"], r["word"], r["position"]) for r in jobs.current_postings(spark, place).collect())
+    assert got == sorted([(1, "fox", 2), (1, "den", 6), (2, "owl", 2), (3, "new", 2), (3, "file", 6)])
+
+
+def test_incremental_index_touches_few_buckets(spark, tmp_path):
+    """Ten batches leave one version of each posting, and a batch of new documents leaves old buckets as they are."""
+    schema = "file_name string, file_time long, state int, db_document_id long, title string, text string"
+    rows = [[(f"/{k}", 1, 1, k, "t", f"word{k} common") for k in range(10 * b, 10 * b + 10)] for b in range(9)] + [[("/5", 2, 1, 5, "t", "fresh common"), *((f"/{k}", 1, 1, k, "t", "same time") for k in range(20, 30))]]
+    place, seen = str(tmp_path / "index"), []
+    for b in rows:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        runs.drained(jobs.incremental_index_stream(stream, place, 10), place)
+        seen.append({f.parent.name: f.name for f in (tmp_path / "index" / "postings").glob("bucket=*/part-*")})
+    for k in range(1, 9):
+        assert all(seen[k][bucket] == f for bucket, f in seen[k - 1].items())  # only a new bucket came
+    assert {b for b in seen[8] if seen[9][b] != seen[8][b]} == {"bucket=0"}
+    got = sorted((r["db_document_id"], r["word"]) for r in jobs.current_postings(spark, place).collect())
+    assert got == sorted([(k, w) for k in range(90) for w in (f"word{k}", "common") if k != 5] + [(5, "fresh"), (5, "common")])
+
+
+def test_incremental_index_of_a_batch_tried_again(spark, tmp_path):
+    """A batch that stopped after its postings were laid over gives the same when it comes once more."""
+    schema = "file_name string, file_time long, state int, db_document_id long, title string, text string"
+    place = str(tmp_path / "index")
+    spark.createDataFrame([("/a", 1, 1, 1, "t", "red fox"), ("/b", 1, 1, 2, "t", "owl")], schema).write.parquet(str(tmp_path / "in"))
+    real = jobs.Buckets.lay_over
+
+    def stopping(self, spark, batch_id):
+        if self.path.endswith("files"):
+            raise RuntimeError("stopped")
+        real(self, spark, batch_id)
+
+    stream = lambda: jobs.incremental_index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), place)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jobs.Buckets, "lay_over", stopping)
+        with pytest.raises(Exception, match="stopped"):
+            runs.drained(stream(), place)
+    runs.drained(stream(), place)
+    assert sorted((r["db_document_id"], r["word"]) for r in jobs.current_postings(spark, place).collect()) == [(1, "fox"), (1, "red"), (2, "owl")]
 
 
 def test_excerpts_of_every_scored_word(spark):
