@@ -62,6 +62,33 @@ def merge_excerpts(text: Column, positions: Column, half: int = HALF) -> Column:
     return F.aggregate(spans, start, joined, lambda acc: F.when(acc["out"] != "", F.concat(acc["out"], F.lit(DOTS))))
 
 
+def window_of(text: str, position: int, half: int = HALF) -> tuple[int, int]:
+    """``window`` of one text in a task."""
+    at = 0 if position >= LAST_POSITION else position
+    first = max(0, at - half)
+    blank = text.find(" ", first, at)
+    begin = 0 if first == 0 else blank + 1 if blank >= 0 else at + 1
+    last = min(len(text), begin + 2 * half)
+    back = text.rfind(" ", at + 1, max(at + 1, last + 1))
+    return begin, len(text) if last >= len(text) else back + 1 if back >= 0 else at + 1
+
+
+def excerpt_of(text: str, position: int) -> str:
+    begin, end = window_of(text, position)
+    return text[begin : max(begin, end)]
+
+
+def merged_of(text: str, positions: list[int]) -> str | None:
+    """``merge_excerpts`` of one text in a task."""
+    out, last = "", 0
+    for begin, end in sorted(window_of(text, p) for p in positions):
+        if end > last:
+            piece = text[max(begin, last) : end].replace("<", "&lt;").replace(">", "&gt;")
+            out += (DOTS.strip() if begin > last else "") + piece
+            last = end
+    return out + DOTS if out else None
+
+
 def places(text: str, words: list[str]) -> list[tuple[int, int]]:
     """At most five places of the words in order: each word's first place, then its second, and so on."""
     seen: dict[str, int] = {}

@@ -41,11 +41,13 @@ def untag_text(text: Column) -> Column:
 
 
 def any_of(words: list[str]) -> str:
-    return "(" + "|".join(words) + ")"
+    """A pattern of the words as they are; signs of the pattern language are quoted."""
+    return "(" + "|".join(re.escape(w) for w in words) + ")"
 
 
 def boldify(text: Column, words: list[str]) -> Column:
     """``<b>`` around each occurrence of the words, in any case, inside words too."""
+    words = [w for w in words if w]
     return F.regexp_replace(text, "(?i)" + any_of(words), "<b>$1</b>") if words else text
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +32,24 @@ def select_where(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key (null is a key as well): the greatest by its other columns in their order, as in ``max`` of a struct."""
+    others = [c for c in df.columns if c not in keys]
+    return latest_per_key(df, keys, *(F.desc_nulls_last(F.col(f"`{c}`")) for c in others or keys))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys of which null equals null; the key columns are those of either side."""
+    other = right.withColumnsRenamed({k: f"right {k}" for k in keys})
+    condition = functools.reduce(lambda x, y: x & y, (left[k].eqNullSafe(other[f"right {k}"]) for k in keys))
+    joined = left.join(other, condition, how)
+    return joined if how in ("left_anti", "left_semi") else joined.withColumns({k: F.coalesce(k, f"`right {k}`") for k in keys}).drop(*(f"right {k}" for k in keys))
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed keys take the new row, others keep theirs."""
-    return current.join(changes.select(*keys), keys, "left_anti").select(*current.columns).unionByName(changes.select(*current.columns))
+    """Changed keys take the new row, others keep theirs; of several changes of a key the greatest row counts."""
+    new = one_per_key(changes.select(*current.columns), keys)
+    return matched(current, new.select(*keys), keys, "left_anti").select(*current.columns).unionByName(new)
 
 
 def path_scope(files: DataFrame, private: list[str], public: list[str], skipped: list[str]) -> DataFrame:
@@ -155,9 +172,9 @@ SCORES = ["download_count", "relevance", "popularity"]
 
 
 def merge_postings(postings: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Known pairs keep their scores and take the new position, new ones come in, gone ones stay."""
-    new = fresh.select("db_document_id", "word", F.col("position").alias("new_position"))
-    both = postings.join(new, ["db_document_id", "word"], "full")
+    """Known pairs keep their scores and take the new position, new ones come in, gone ones stay. A pair that comes in twice takes its last position."""
+    new = fresh.groupBy("db_document_id", "word").agg(F.max("position").alias("new_position"))
+    both = matched(postings, new, ["db_document_id", "word"], "full")
     return both.select("db_document_id", "word", F.coalesce("new_position", "position").alias("position"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in SCORES))
 
 
@@ -210,9 +227,9 @@ def list_files(files: DataFrame, limit: int, offset: int = 0, after: str | None
 
 
 def merge_known_document(documents: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Peers' descriptions: new documents come in as KNOWN; local copies keep their fields but fill an empty url."""
-    new = incoming.select("document_id", *(F.col(c).alias(f"new_{c}") for c in ("mime_type", "title", "size", "publication_time", "url")))
-    both = documents.join(new, "document_id", "full")
+    """Peers' descriptions: new documents come in as KNOWN; local copies keep their fields but fill an empty url. Of several of one document the greatest counts."""
+    new = one_per_key(incoming, ["document_id"]).select("document_id", *(F.col(c).alias(f"new_{c}") for c in ("mime_type", "title", "size", "publication_time", "url")))
+    both = matched(documents, new, ["document_id"], "full")
     local = F.col("state").isin(LOCAL_STATES)
     fields = [F.when(local | F.col(f"new_{c}").isNull(), F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in ("mime_type", "title", "size", "publication_time")]
     url = F.when(local, F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("new_url"))).otherwise(F.coalesce("new_url", "url"))
@@ -220,22 +237,56 @@ def merge_known_document(documents: DataFrame, incoming: DataFrame) -> DataFrame
 
 
 def merge_known_scores(postings: DataFrame, incoming: DataFrame, documents: DataFrame) -> DataFrame:
-    """Peers' word scores: ignored for local documents, else they overwrite."""
+    """Peers' word scores: ignored for local documents, else they overwrite; of several of one pair the greatest counts."""
     remote = documents.where(~F.col("state").isin(LOCAL_STATES)).select("db_document_id")
-    new = incoming.join(remote, "db_document_id", "left_semi").select("db_document_id", "word", F.col("relevance").alias("new_relevance"), F.col("popularity").alias("new_popularity"))
-    both = postings.join(new, ["db_document_id", "word"], "full")
+    new = one_per_key(incoming.select("db_document_id", "word", "relevance", "popularity"), ["db_document_id", "word"]).join(remote, "db_document_id", "left_semi").select("db_document_id", "word", F.col("relevance").alias("new_relevance"), F.col("popularity").alias("new_popularity"))
+    both = matched(postings, new, ["db_document_id", "word"], "full")
     return both.select("db_document_id", "word", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("download_count", F.lit(0.0)).alias("download_count"), F.coalesce("new_relevance", "relevance").alias("relevance"), F.coalesce("new_popularity", "popularity").alias("popularity"))
 
 
 def patch_sparse_text(excerpts: DataFrame, known: DataFrame) -> DataFrame:
-    """db_document_id, text: excerpts laid at their offsets over the known text (null: none), later offsets over earlier ones, blanks where nothing is known."""
-    parts = F.sort_array(F.collect_list(F.struct("position", "excerpt")))
+    """db_document_id, text: excerpts laid at their offsets over the known text (null: none), later offsets over earlier ones, blanks where nothing is known.
 
-    def lay(acc: Column, part: Column) -> Column:
-        return F.overlay(F.rpad(acc, F.greatest(F.length(acc), part["position"] + F.length(part["excerpt"])), F.lit(" ")), part["excerpt"], part["position"] + 1)
+    Of excerpts at one offset the greater text lies above. Null offsets and texts, and offsets below 0,
+    are left out. A sweep over a document's excerpts in order of their offsets keeps those that are still
+    open, the last on top; what each shows is cut once, so the work grows with the text and n log n.
+    """
 
-    laid = excerpts.groupBy("db_document_id").agg(parts.alias("parts")).join(known.select("db_document_id", F.col("text").alias("known")), "db_document_id", "left")
-    return laid.select("db_document_id", F.aggregate("parts", F.coalesce("known", F.lit("")), lay).alias("text"))
+    def laid(text: str, places: list[tuple[int, str]]) -> str:
+        out: list[str] = []
+        at = 0  # up to here the text is made
+        stack: list[tuple[int, str]] = []  # open excerpts, the later above
+
+        def show(upto: int) -> None:
+            nonlocal at
+            while at < upto:
+                while stack and stack[-1][0] + len(stack[-1][1]) <= at:
+                    stack.pop()
+                if stack:
+                    begin, excerpt = stack[-1]
+                    end = min(upto, begin + len(excerpt))
+                    out.append(excerpt[at - begin : end - begin])
+                else:
+                    end = upto
+                    out.append(text[at:end].ljust(end - at))
+                at = end
+
+        for begin, excerpt in sorted(places):
+            show(begin)
+            stack.append((begin, excerpt))
+        show(max([len(text), *(begin + len(excerpt) for begin, excerpt in places)]))
+        return "".join(out)
+
+    def run(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one):
+            return pd.DataFrame({"db_document_id": [], "text": []})
+        fine = one[one["position"].notna() & one["excerpt"].notna()]
+        places = [(int(p), x) for p, x in zip(fine["position"], fine["excerpt"], strict=True) if p >= 0]
+        text = next((x for x in two["text"] if isinstance(x, str)), "")
+        return pd.DataFrame({"db_document_id": [key[0]], "text": [laid(text, places)]})
+
+    pieces = excerpts.select("db_document_id", F.col("position").cast("long").alias("position"), "excerpt")
+    return pieces.groupBy("db_document_id").cogroup(known.select("db_document_id", "text").groupBy("db_document_id")).applyInPandas(run, "db_document_id long, text string")
 
 
 def merge_providers(providers: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import excerpts as E
 from siftwell.functions import helpers as H
 from siftwell.functions import pages as X
 from siftwell.functions import text as T
@@ -16,6 +15,7 @@ from siftwell.operators import blocks as B
 from siftwell.operators import index as I
 from siftwell.operators import peers as P
 from siftwell.operators import search as S
+from siftwell.operators import snippets as N
 from siftwell.operators import usage as G
 from siftwell.plans.fixtures import Tables
 from siftwell.plans.oracle_tables import deviation, norm, sql, tokens
@@ -111,22 +111,37 @@ def link_edges(t: Tables) -> DataFrame:
 
 add("link_edges", link_edges)
 add("decode_text", lambda t: t.given("pages").select("page_id", H.decode_text(F.encode("html", "UTF-8"), F.lit("page.html")).alias("d")).select("page_id", "d.encoding", F.sha1("d.text").alias("text_sha1"), "d.error"))
-add("make_abstract", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").where("rank <= 15").select("query_id", "db_document_id", E.make_abstract("text", "words").alias("abstract")))
-add("answer_payload", lambda t: t.hits().join(t.documents().select("db_document_id", "text"), "db_document_id").join(t.queries().select("query_id", "words"), "query_id").select("query_id", "document_id", T.untag_text(E.make_abstract("text", "words")).alias("abstract"), U.public_url(F.col("url")).alias("url")))
+def abstracts(t: Tables) -> DataFrame:
+    """Every hit with its abstract: words of a query in their order."""
+    hits = t.hits().join(t.queries().select("query_id", "words"), "query_id")
+    return N.abstracts(hits, t.documents().select("db_document_id", "text"))
+
+
+add("make_abstract", lambda t: abstracts(t).select("query_id", "db_document_id", "rank", "abstract"))
+add("answer_payload", lambda t: abstracts(t).select("query_id", "document_id", T.untag_text(F.col("abstract")).alias("abstract"), U.public_url(F.col("url")).alias("url")))
+
+
+def normal_texts(t: Tables) -> DataFrame:
+    return t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("text"))
+
+
 def scored_words(t: Tables) -> DataFrame:
-    """query_id, db_document_id, word, position, n: the query words of every hit and the document's text."""
-    texts = t.documents().select("db_document_id", T.normalize_text(T.index_text(F.col("title"), F.col("text"))).alias("n"))
+    """query_id, db_document_id, word, position: the query words of every hit."""
     own = t.hits().select("query_id", "db_document_id").join(S.query_words(t.queries()).select("query_id", "word"), "query_id")
-    return own.join(t.postings().select("db_document_id", "word", "position"), ["db_document_id", "word"]).join(texts, "db_document_id")
+    return own.join(t.postings().select("db_document_id", "word", "position"), ["db_document_id", "word"])
 
 
 _AT = "(CASE WHEN position >= 65535 THEN 0 ELSE position END)"
-_EXCERPT = f"""SELECT query_id, db_document_id, word, substr(n, b + 1, greatest(0, e - b)) AS excerpt FROM (
- SELECT *, CASE WHEN b + 80 >= length(n) THEN length(n) WHEN strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') > 0 THEN p0 + 2 + greatest(0, b + 80 - p0) - strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') ELSE p0 + 1 END AS e FROM (
+_WINDOWS = f"""SELECT *, CASE WHEN b + 80 >= length(n) THEN length(n) WHEN strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') > 0 THEN p0 + 2 + greatest(0, b + 80 - p0) - strpos(reverse(substr(n, p0 + 2, greatest(0, b + 80 - p0))), ' ') ELSE p0 + 1 END AS e FROM (
  SELECT *, CASE WHEN p0 <= 40 THEN 0 WHEN strpos(substr(n, p0 - 39, 40), ' ') > 0 THEN p0 - 40 + strpos(substr(n, p0 - 39, 40), ' ') ELSE p0 + 1 END AS b FROM (
- SELECT hits.query_id, hits.db_document_id, qw.word, {_AT} AS p0, n FROM hits JOIN qw ON qw.query_id = hits.query_id JOIN postings p ON p.db_document_id = hits.db_document_id AND p.word = qw.word JOIN normed ON normed.db_document_id = hits.db_document_id)))"""
-add("excerpt_at", lambda t: scored_words(t).select("query_id", "db_document_id", "word", E.excerpt_at(F.col("n"), F.col("position")).alias("excerpt")), _EXCERPT)
-add("merge_excerpts", lambda t: scored_words(t).groupBy("query_id", "db_document_id").agg(F.first("n").alias("n"), F.collect_list("position").alias("places")).select("query_id", "db_document_id", E.merge_excerpts(F.col("n"), F.col("places")).alias("excerpt")))
+ SELECT hits.query_id, hits.db_document_id, qw.word, {_AT} AS p0, n FROM hits JOIN qw ON qw.query_id = hits.query_id JOIN postings p ON p.db_document_id = hits.db_document_id AND p.word = qw.word JOIN normed ON normed.db_document_id = hits.db_document_id))"""
+_EXCERPT = f"SELECT query_id, db_document_id, word, substr(n, b + 1, greatest(0, e - b)) AS excerpt FROM ({_WINDOWS})"
+add("excerpt_at", lambda t: N.excerpts_at(scored_words(t), normal_texts(t)).select("query_id", "db_document_id", "word", "excerpt"), _EXCERPT)
+_PIECE = "replace(replace(substr(n, greatest(b, coalesce(upto, 0)) + 1, e - greatest(b, coalesce(upto, 0))), '<', '&lt;'), '>', '&gt;')"
+_MERGED = f"""SELECT query_id, db_document_id, CASE WHEN string_agg(piece, '' ORDER BY b, e) <> '' THEN string_agg(piece, '' ORDER BY b, e) || ' <b>...</b>' END AS excerpt FROM (
+ SELECT *, CASE WHEN e > coalesce(upto, 0) THEN CASE WHEN b > coalesce(upto, 0) THEN '<b>...</b>' ELSE '' END || {_PIECE} ELSE '' END AS piece FROM (
+ SELECT *, max(e) OVER (PARTITION BY query_id, db_document_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ({_WINDOWS}))) GROUP BY ALL"""
+add("merge_excerpts", lambda t: N.merged_excerpts(scored_words(t).groupBy("query_id", "db_document_id").agg(F.collect_list("position").alias("places")), normal_texts(t)).select("query_id", "db_document_id", "excerpt"), _MERGED)
 
 # Sources
 add("read_tables", lambda t: I.select_where(t.given("documents"), lang="en", source="src1").select("doc_id", "lang", "source"), "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'")
@@ -161,10 +176,10 @@ add("relink_changed_file", lambda t: I.relink_changed_file(changed(t), t.files()
 add("index_text", lambda t: t.documents().select("db_document_id", F.sha1(T.index_text(F.col("title"), F.col("text"))).alias("digest")), "SELECT db_document_id, sha1(title || ' ' || text) AS digest FROM docs")
 add("build_postings", lambda t: I.build_postings(t.documents()), "SELECT * FROM postings")
 _fresh = lambda t: t.postings().withColumn("position", F.col("position") + 1).unionByName(t.postings().withColumn("word", F.concat(F.lit("new"), "word")))
-add("merge_postings", lambda t: r6(I.merge_postings(t.scored_postings(), _fresh(t)), "relevance", "popularity"), """SELECT db_document_id, word, position + 1 AS position, 0.0::DOUBLE AS download_count, round(relevance, 6) AS relevance, round(popularity, 6) AS popularity FROM spost WHERE (db_document_id, word) NOT IN (SELECT (db_document_id, 'new' || word) FROM postings)
- UNION ALL SELECT db_document_id, 'new' || word, position, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM postings WHERE (db_document_id, 'new' || word) NOT IN (SELECT (db_document_id, word) FROM postings)""")
+add("merge_postings", lambda t: r6(I.merge_postings(t.scored_postings(), _fresh(t)), "relevance", "popularity"), """SELECT f.db_document_id, f.word, f.position, 0.0::DOUBLE AS download_count, round(coalesce(s.relevance, 0), 6) AS relevance, round(coalesce(s.popularity, 0), 6) AS popularity
+ FROM (SELECT db_document_id, word, max(position) AS position FROM (SELECT db_document_id, word, position + 1 AS position FROM postings UNION ALL SELECT db_document_id, 'new' || word, position FROM postings) GROUP BY ALL) f LEFT JOIN spost s ON s.db_document_id = f.db_document_id AND s.word = f.word""")
 add("extend_vocabulary", lambda t: t.words(), "SELECT word, claim_count, download_count FROM words")
-_kept_files = "SELECT db_document_id FROM files WHERE db_document_id % 4 <> 1"
+
 def unreferenced(t: Tables) -> DataFrame:
     """What is left of documents (word null) and postings, and the counts of what is gone on every row."""
     documents, postings, gone = I.remove_unreferenced_documents(t.documents(), t.files().where("db_document_id % 4 != 1"), t.postings())
@@ -172,8 +187,9 @@ def unreferenced(t: Tables) -> DataFrame:
     return rows.crossJoin(F.broadcast(gone))  # one row
 
 
-add("remove_unreferenced_documents", unreferenced, f"""WITH gone AS (SELECT (SELECT count(*) FROM docs WHERE db_document_id NOT IN ({_kept_files})) AS documents, (SELECT count(*) FROM postings WHERE db_document_id NOT IN ({_kept_files})) AS postings)
- SELECT db_document_id, word, documents, postings FROM (SELECT db_document_id, NULL AS word FROM docs WHERE db_document_id IN ({_kept_files}) UNION ALL SELECT db_document_id, word FROM postings p WHERE db_document_id IN ({_kept_files})), gone""")
+add("remove_unreferenced_documents", unreferenced, """WITH kept AS MATERIALIZED (SELECT DISTINCT db_document_id FROM files WHERE db_document_id % 4 <> 1),
+ gone AS (SELECT (SELECT count(*) FROM docs ANTI JOIN kept USING (db_document_id)) AS documents, (SELECT count(*) FROM postings ANTI JOIN kept USING (db_document_id)) AS postings)
+ SELECT db_document_id, word, gone.documents, gone.postings FROM (SELECT db_document_id, NULL AS word FROM docs SEMI JOIN kept USING (db_document_id) UNION ALL SELECT db_document_id, word FROM postings SEMI JOIN kept USING (db_document_id)), gone""")
 def removed(t: Tables) -> DataFrame:
     """The four tables without the documents of one state, a row naming its table and key."""
     left = I.remove_document_everywhere(t.documents().where("state = 2"), documents=t.documents(), files=t.files(), postings=t.postings(), providers=t.providers())
@@ -238,11 +254,14 @@ add("spool_counts", lambda t: S.spool_counts(S.first_arrival(t.results())).withC
 add("best_unsent", lambda t: S.best_unsent(S.first_arrival(t.results()), S.first_arrival(t.results()).where("state = 1"), 8).select("query_id", "document_id", "rank"), "WITH sent AS (SELECT query_id, document_id FROM arrival WHERE state = 1), lft AS (SELECT a.*, coalesce(n, 0) AS n FROM arrival a LEFT JOIN (SELECT query_id, count(*) AS n FROM sent GROUP BY 1) USING (query_id) WHERE state <> 1) SELECT query_id, document_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, document_id) AS rank FROM lft) WHERE rank <= 8 - n")
 add("known_answers", lambda t: S.known_answers(t.results(), t.results().where("state = 2")).select("query_id", "document_id"), "SELECT DISTINCT query_id, document_id FROM results WHERE state <> 2")
 add("top_relevant_words", lambda t: r6(S.top_relevant_words(t.scored_postings()).select("db_document_id", "word", "relevance", "rank"), "relevance"), "SELECT db_document_id, word, round(relevance, 6) AS relevance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY db_document_id ORDER BY relevance DESC, word) AS rank FROM spost WHERE relevance > 0) WHERE rank <= 5")
-add("hit_profile", lambda t: r6(S.hit_profile(t.hits(), t.queries(), t.scored_postings()), "relevance"), """WITH most AS (SELECT max(n_words) AS m FROM qw), best AS (SELECT * FROM (SELECT db_document_id, word, relevance, row_number() OVER (PARTITION BY db_document_id ORDER BY relevance DESC, word) AS place FROM spost WHERE relevance > 0) WHERE place <= 5 + 2 * (SELECT m FROM most)),
- per AS (SELECT query_id, max(n_words) AS n_words, list(word) AS own FROM qw GROUP BY 1),
- o AS (SELECT h.query_id, h.db_document_id, b.word, b.relevance, n_words, row_number() OVER (PARTITION BY h.query_id, h.db_document_id ORDER BY b.relevance DESC, b.word) AS r FROM hits h JOIN per USING (query_id) JOIN best b ON b.db_document_id = h.db_document_id WHERE NOT list_contains(own, b.word))
- SELECT h.query_id, h.db_document_id, s.word, round(s.relevance, 6) AS relevance, true AS in_query FROM hits h JOIN qw ON qw.query_id = h.query_id JOIN spost s ON s.db_document_id = h.db_document_id AND s.word = qw.word
- UNION ALL SELECT query_id, db_document_id, word, round(relevance, 6), false FROM o WHERE r <= n_words + 5""")
+add("hit_profile", lambda t: r6(S.hit_profile(t.hits(), t.queries(), t.scored_postings()), "relevance"), """WITH h AS MATERIALIZED (SELECT query_id, db_document_id FROM hits), most AS (SELECT max(n_words) AS m FROM qw),
+ best AS MATERIALIZED (SELECT db_document_id, word, relevance FROM spost SEMI JOIN h USING (db_document_id) WHERE relevance > 0 QUALIFY row_number() OVER (PARTITION BY db_document_id ORDER BY relevance DESC, word) <= 5 + 2 * (SELECT m FROM most)),
+ per AS (SELECT query_id, max(n_words) AS n_words FROM qw GROUP BY 1),
+ o AS (SELECT h.query_id, h.db_document_id, best.word, relevance FROM h JOIN best ON best.db_document_id = h.db_document_id),
+ r AS (SELECT o.query_id, o.db_document_id, o.word, o.relevance, n_words, row_number() OVER (PARTITION BY o.query_id, o.db_document_id ORDER BY o.relevance DESC, o.word) AS place FROM (SELECT * FROM o ANTI JOIN qw USING (query_id, word)) o JOIN per USING (query_id)),
+ own AS (SELECT h.query_id, h.db_document_id, qw.word FROM h JOIN qw ON qw.query_id = h.query_id)
+ SELECT own.query_id, own.db_document_id, s.word, round(s.relevance, 6) AS relevance, true AS in_query FROM own JOIN spost s ON s.db_document_id = own.db_document_id AND s.word = own.word
+ UNION ALL SELECT query_id, db_document_id, word, round(relevance, 6), false FROM r WHERE place <= n_words + 5""")
 add("document_scores_listing", lambda t: r6(S.document_scores_listing(t.scored_postings(), ["the", "und", "que"], 100).select("db_document_id", "word", "relevance"), "relevance"), "SELECT db_document_id, word, round(relevance, 6) AS relevance FROM (SELECT * FROM spost WHERE word IN ('the', 'und', 'que') ORDER BY word, relevance DESC, db_document_id LIMIT 100)")
 add("best_providers", lambda t: S.best_providers(t.providers(), t.nodes(), 3), "SELECT * FROM (SELECT node_id, db_document_id, last_providing_time, ip, port, row_number() OVER (PARTITION BY db_document_id ORDER BY last_providing_time DESC, node_id)::INTEGER AS rank FROM providers JOIN nodes USING (node_id)) WHERE rank <= 3")
 add("provider_candidates", lambda t: S.provider_candidates(t.providers(), t.nodes(), t.providers().where("last_providing_time % 3 = 0").select("db_document_id", "node_id", F.col("last_providing_time").alias("failed_at")), F.lit(1_705_000_000)), "SELECT node_id, db_document_id, last_providing_time, ip, port FROM providers JOIN nodes USING (node_id) WHERE NOT (last_providing_time % 3 = 0 AND last_providing_time > 1705000000 - 10)")

@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -575,22 +576,70 @@ def test_incremental_index_of_a_batch_tried_again(spark, tmp_path):
     assert sorted((r["db_document_id"], r["word"]) for r in jobs.current_postings(spark, place).collect()) == [(1, "fox"), (1, "red"), (2, "owl")]
 
 
-def test_excerpts_of_every_scored_word(spark):
-    from siftwell.plans import catalog
-
-    texts = {1: "old red fox runs", 2: "fox and owl " * 20 + "red end"}
-
-    class Given:
-        documents = staticmethod(lambda: spark.createDataFrame([(i, t, "") for i, t in texts.items()], "db_document_id long, title string, text string"))
-        hits = staticmethod(lambda: spark.createDataFrame([(7, 1), (7, 2), (8, 2)], "query_id long, db_document_id long"))
-        queries = staticmethod(lambda: spark.createDataFrame([(7, ["red", "fox"]), (8, ["owl"])], "query_id long, words array<string>"))
-        postings = staticmethod(lambda: spark.createDataFrame([(i, w, t.index(w)) for i, t in texts.items() for w in ("red", "fox", "owl") if w in t], "db_document_id long, word string, position int"))
-
-    def window(text, at):
-        begin, end = window_of(text, at)
-        return text[begin:end]
-
-    want = {(q, d, w): window(texts[d], texts[d].index(w)).strip() for q, d, ws in ((7, 1, ("red", "fox")), (7, 2, ("red", "fox")), (8, 2, ("owl",))) for w in ws}
-    assert {(r[0], r[1], r[2]): r[3].strip() for r in catalog.CATALOG["excerpt_at"][0](Given).collect()} == want
-    got = {(r[0], r[1]): r[2] for r in catalog.CATALOG["merge_excerpts"][0](Given).collect()}
-    assert set(got) == {(7, 1), (7, 2), (8, 2)} and all(got.values())
+def test_excerpts_of_every_scored_word(spark, monkeypatch):
+    """Excerpts through texts that are read once, with a document in several shares, as the column functions give them."""
+    from siftwell.operators import snippets
+
+    monkeypatch.setattr(snippets, "SHARE", 5)
+    r = random.Random(8)
+    texts = {d: " ".join("".join(r.choice("abc<>") for _ in range(r.randint(1, 12))) for _ in range(r.randint(0, 120))) for d in range(6)}
+    docs = spark.createDataFrame([*texts.items(), (9, None)], "db_document_id long, text string")
+    rows = [(q, d, r.randint(0, max(0, len(texts[d]) - 1))) for q in range(40) for d in range(6)] + [(1, 7, 3), (1, 9, 3)]
+    hits = spark.createDataFrame(rows, "query_id long, db_document_id long, position int")
+    got = sorted((x["query_id"], x["db_document_id"], x["position"], x["excerpt"] or "") for x in snippets.excerpts_at(hits, docs).collect())
+    want = hits.join(docs, "db_document_id", "left").select("query_id", "db_document_id", "position", F.coalesce(E.excerpt_at(F.col("text"), F.col("position")), F.lit("")))
+    assert got == sorted(map(tuple, want.collect()))
+    both = hits.groupBy("query_id", "db_document_id").agg(F.collect_list("position").alias("places")).unionByName(spark.createDataFrame([(50, 0, list(range(0, 60, 7)))], "query_id long, db_document_id long, places array<int>"))
+    got = sorted((x["query_id"], x["db_document_id"], x["excerpt"] or "") for x in snippets.merged_excerpts(both, docs).collect())
+    want = both.join(docs, "db_document_id", "left").select("query_id", "db_document_id", F.coalesce(E.merge_excerpts(F.col("text"), F.col("places")), F.lit("")))
+    assert got == sorted(map(tuple, want.collect()))
+    asked = spark.createDataFrame([(q, d, ["ab", "c"] if q % 2 else ["b", ""]) for q in range(20) for d in range(6)] + [(30, 0, None)], "query_id long, db_document_id long, words array<string>")
+    for x in snippets.abstracts(asked, docs).collect():
+        assert x["abstract"] == E.abstract(texts[x["db_document_id"]], [w for w in x["words"] or [] if w])
+    plan = snippets.excerpts_at(hits, docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Python" not in plan.split("MapInArrow")[0] and "text#" not in plan.split("MapInArrow")[0]  # only snippets go on
+
+
+def test_patches_by_brute_force(spark):
+    r = random.Random(9)
+    rows, known, want = [], [], {}
+    for d in range(40):
+        text = None if d % 5 == 0 else "".join(r.choice("xyz") for _ in range(r.randint(0, 30)))
+        own = [(r.randint(0, 50), "".join(r.choice("ABCDE") for _ in range(r.randint(0, 15)))) for _ in range(r.randint(1, 12))]
+        rows += [(d, p, x) for p, x in own]
+        known += [(d, text)] if d % 7 else []
+        out = list((text if d % 7 else None) or "")
+        for p, x in sorted(own):
+            out += [" "] * (p + len(x) - len(out))
+            out[p : p + len(x)] = x
+        want[d] = "".join(out)
+    rows += [(0, None, "q"), (0, 3, None), (0, -1, "q")]
+    got = index.patch_sparse_text(spark.createDataFrame(rows, "db_document_id long, position int, excerpt string"), spark.createDataFrame(known, "db_document_id long, text string"))
+    assert {x["db_document_id"]: x["text"] for x in got.collect()} == want
+
+
+def test_patches_of_a_large_document_are_quick(spark):
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("db_document_id"), (F.col("id") * 7).cast("int").alias("position"), F.lit("word sat").alias("excerpt"))
+    began = time.time()
+    text = index.patch_sparse_text(rows, spark.createDataFrame([(1, "k" * 1_000_000)], "db_document_id long, text string")).first()["text"]
+    assert text == "word sa" * 99_999 + "word sat" + "k" * (1_000_000 - 700_001) and time.time() - began < 30
+
+
+def test_upserts_of_repeated_and_null_keys(spark):
+    schema = "k string, v int"
+    got = index.upsert(spark.createDataFrame([("a", 1), (None, 2), ("c", 9)], schema), spark.createDataFrame([("a", 3), ("a", 4), (None, 5), ("d", None)], schema), ["k"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", 4), (None, 5), ("c", 9), ("d", None)]))
+    docs = "document_id string, mime_type string, title string, size long, publication_time long, url string"
+    known = spark.createDataFrame([("x", "m", "t", 1, 1, "u", 4), (None, "m", "t", 1, 1, "u", 4)], docs + ", state int")
+    peers_rows = spark.createDataFrame([("x", "m2", "t2", 2, 2, "u2"), ("x", "m3", "t3", 3, 3, "u3"), (None, "m4", "t4", 4, 4, "u4"), ("y", "m5", "t5", 5, 5, "u5")], docs)
+    assert {(r["document_id"], r["title"]) for r in index.merge_known_document(known, peers_rows).collect()} == {("x", "t3"), (None, "t4"), ("y", "t5")}
+    posts = spark.createDataFrame([(1, "a", 5, 1.0, 1.0, 1.0), (1, None, 6, 1.0, 1.0, 1.0)], "db_document_id long, word string, position int, download_count double, relevance double, popularity double")
+    fresh = spark.createDataFrame([(1, "a", 7), (1, "a", 8), (1, None, 9), (2, "b", 1)], "db_document_id long, word string, position int")
+    assert sorted((r[0], r[1] or "", r[2], r[4]) for r in index.merge_postings(posts, fresh).collect()) == [(1, "", 9, 1.0), (1, "a", 8, 1.0), (2, "b", 1, 0.0)]
+    scores = spark.createDataFrame([(1, "a", 0.1, 0.2), (1, "a", 0.3, 0.1), (1, None, 0.4, 0.4)], "db_document_id long, word string, relevance double, popularity double")
+    got = index.merge_known_scores(posts, scores, spark.createDataFrame([(1, 4)], "db_document_id long, state int"))
+    assert sorted((r["word"] or "", r["relevance"], r["popularity"]) for r in got.collect()) == [("", 0.4, 0.4), ("a", 0.3, 0.1)]
+
+
+def test_bold_words_are_quoted(spark):
+    assert one(spark, T.boldify(F.lit("C++ and (x) c+ a.b axb"), ["c++", "(x", "a.b", ""])) == "<b>C++</b> and <b>(x</b>) c+ <b>a.b</b> axb"
