@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import excerpts as E
@@ -57,21 +57,22 @@ def with_snippets(hits: DataFrame, texts: DataFrame, make: Make, name: str) -> D
     return hits.join(found, same, "left").withColumn(name, F.col("snippet")).drop("of document", "of places", "of words", "snippet")
 
 
-NO_WORDS, NO_PLACES = F.lit(None).cast("array<string>"), F.lit(None).cast("array<int>")
+def none(kind: str) -> Column:
+    return F.lit(None).cast(f"array<{kind}>")
 
 
 def excerpts_at(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """``hits`` (db_document_id, position, ..) with the excerpt of normalized text around the position."""
-    wanted = hits.withColumn("places", F.array(F.col("position").cast("int"))).withColumn("words", NO_WORDS)
+    wanted = hits.withColumn("places", F.array(F.col("position").cast("int"))).withColumn("words", none("string"))
     return with_snippets(wanted, texts, lambda text, places, _: E.excerpt_of(text, places[0]), "excerpt").drop("places", "words")
 
 
 def merged_excerpts(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """``hits`` (db_document_id, places, ..) with the excerpts of all their places as one text."""
-    wanted = hits.withColumn("places", F.array_sort(F.array_distinct(F.col("places").cast("array<int>")))).withColumn("words", NO_WORDS)
+    wanted = hits.withColumn("places", F.array_sort(F.array_distinct(F.col("places").cast("array<int>")))).withColumn("words", none("string"))
     return with_snippets(wanted, texts, lambda text, places, _: E.merged_of(text, places), "excerpt").drop("words")
 
 
 def abstracts(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """``hits`` (db_document_id, words, ..) with an abstract around their words."""
-    return with_snippets(hits.withColumn("places", NO_PLACES), texts, lambda text, _, words: E.abstract(text, [w for w in words if w]), "abstract").drop("places")
+    return with_snippets(hits.withColumn("places", none("int")), texts, lambda text, _, words: E.abstract(text, [w for w in words if w]), "abstract").drop("places")
