@@ -5,7 +5,8 @@ a token is looked up, one that was met before comes from a bounded cache (each t
 compared, so equal hashes of different slices cost time and change no id), and the rest are merged
 together: rows of part ids in a matrix, each step joining every row's pair of lowest rank.
 ``offsets`` holds the byte at which each token begins, so decoding can map any id back to its
-place. A null text counts as empty; an empty text has no ids.
+place. A null text counts as empty; an empty text has no ids; bytes that are no UTF-8 are read as
+U+FFFD before anything else.
 """
 
 from __future__ import annotations
@@ -288,7 +289,7 @@ def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,25 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(df[c] for c in cols))
 
 
+#: Columns of documents; others are put aside while an operator works, so that no name of theirs can clash.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keeping_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents (first argument) whose result has their columns: extra ones travel in one column."""
+
+    @functools.wraps(operator)
+    def wrapped(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        extra = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        if not extra:
+            return operator(docs, *args, **options)
+        aside = F.struct(*(F.col(f"`{c}`").alias(name) for c, name in extra.items())).alias("extra columns")
+        found = operator(docs.select(*(c for c in docs.columns if c not in extra), aside), *args, **options)
+        return found.select(*(F.col("extra columns")[extra[c]].alias(c) if c in extra else F.col(c) for c in docs.columns))
+
+    return wrapped
+
+
 def flagged(df: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: false only for keys that are not in ``ids`` (or null).
 

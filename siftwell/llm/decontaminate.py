@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.arrays import let
 from siftwell.llm import kernels as K
-from siftwell.llm.common import stored
+from siftwell.llm.common import keeping_columns, stored
 
 WINDOW = 10
 MOST_WINDOWS, MOST_BYTES = 200_000, 1 << 26
@@ -205,11 +205,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int |
     return found.select("doc_id", *(F.col(FOUND)[c].alias(c) for c in ("n_words", "n_hit", "items", "spans")))
 
 
+@keeping_columns
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int | None = None) -> DataFrame:
     """Documents without any hit, with all their columns."""
     return annotated(docs, benchmark, size, most).where(F.col(FOUND)["n_hit"] == 0).drop(FOUND)
 
 
+@keeping_columns
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int | None = None) -> DataFrame:
     """All documents; the bytes of hit spans are cut out of the texts."""
     found = annotated(docs, benchmark, size, most)

@@ -382,7 +382,7 @@ def extract(text: str) -> tuple[str, str]:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, title, text: a row for each page."""
+    """page_id, title, text: a row for each page. Bytes that are no UTF-8 are read as U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,5 +391,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 found = [(None, None) if page is None else extract(page) for page in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.string()) for x in zip(*found, strict=True))], names=["id", "title", "text"])
 
-    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
+    source = pages.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(html_col).cast("string")).alias("html"))
     return source.mapInArrow(run, "id long, title string, text string").withColumnRenamed("id", id_col)

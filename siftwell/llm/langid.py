@@ -11,7 +11,7 @@ the sample sets the softmax temperature. Every whole text is scored.
 Only text and non-null lang of rows outside the held-out fold are learnt from; predictions use
 the text alone. A null text, or one without a letter, is ``und`` with score 0. Without any
 training row every text is ``und``. A null doc_id is never learnt from. Repeated rows are
-repeated; extra columns are ignored.
+repeated; bytes that are no UTF-8 are read as U+FFFD; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def train(sample: DataFrame, languages: list[str], idf: np.ndarray) -> tuple[np.
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(fold == held, F.lit(False)).alias("held_out"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"), F.make_valid_utf8(F.col("lang").cast("string")).alias("lang"), F.coalesce(fold == held, F.lit(False)).alias("held_out"))
     known = texts.where("doc_id is not null and text is not null and lang is not null and not held_out")
     per = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not per:

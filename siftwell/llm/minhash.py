@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import flagged, stored, without_ids
+from siftwell.llm.common import flagged, keeping_columns, stored, without_ids
 from siftwell.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -348,6 +348,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+@keeping_columns
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, with all its columns: the smallest doc_id.
 

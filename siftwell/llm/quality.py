@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
 from siftwell.llm import linear
+from siftwell.llm.common import keeping_columns
 
 LABELLED, POOL, PER_ID = 6000, 3000, 4
 WORD_BITS, PAIR_BITS = 17, 12
@@ -190,7 +191,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[K.Block, Parts
     """Blocks with the parts of their texts and the metadata rows."""
     for block in K.blocks(batches):
         own = parts_of(block)
-        source, lang = (block.batch.column(block.batch.schema.get_field_index(c)).to_pylist() for c in ("source", "lang"))
+        source, lang = ([None if x is None else x.decode("utf-8", "replace") for x in block.batch.column(block.batch.schema.get_field_index(c)).cast(pa.binary()).to_pylist()] for c in ("source", "lang"))
         yield block, own, [meta_row(f, s, g) for f, s, g in zip(own.figures, source, lang, strict=True)]
 
 
@@ -272,6 +273,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     return scored(own, model, ["doc_id"], threshold, False).withColumnsRenamed({c: c.removeprefix("quality ") for c in SCORES})
 
 
+@keeping_columns
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents with all their columns, without those that the classifier rejects: one pass, no shuffle."""
     model = learn(docs, labels)

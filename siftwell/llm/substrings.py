@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import kernels as K
-from siftwell.llm.common import flagged, stored
+from siftwell.llm.common import flagged, keeping_columns, stored
 
 SEED, WINDOW, RATE, TILE = 4, 12, 4, 64
 #: Words sketched on each side of a seed, how many must agree on one side, and the span from which a chain needs no sketch.
@@ -639,6 +639,7 @@ def repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Data
     return found
 
 
+@keeping_columns
 def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """All documents with their columns; repeated passages are cut out of all but their first document.
 
@@ -668,6 +669,6 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, identity: float = 0.8)
             out.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
         return pd.Series(out)
 
-    text = F.when(F.col("hit spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("hit spans")))
+    text = F.when(F.col("hit spans").isNull(), F.col("text")).otherwise(cut(F.make_valid_utf8("text"), F.col("hit spans")))
     changed = touched.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
     return rows.where(~F.col("maybe hit")).select(*(F.col(f"`{c}`") for c in docs.columns)).union(changed)

@@ -5,8 +5,9 @@ its least and greatest value over all rows; a vector's approximation is its cell
 each, written as a narrow table in blocks.
 
 1. Blocks of queries scan the blocks of cells alone: a cell gives an upper and a lower bound of
-   every score, from one matrix product. A vector whose upper bound is below the block's kth lower
-   bound cannot be a result; the others are candidates.
+   every score, from one matrix product. With several blocks a first scan gives each query's k best
+   lower bounds of a block, and their kth over all blocks. A vector whose upper bound is below a
+   query's kth lower bound cannot be a result; the others are candidates, as many for any number of blocks.
 2. The exact vectors of each query's ``FIRST * k`` candidates of greatest upper bound (least bound of the
    distance) are read, which gives a kth exact score.
 3. Only candidates whose upper bound reaches that score are read as well; then the kth result is certain.
@@ -84,14 +85,24 @@ def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray)
     return base + (np.maximum(q, 0) * room).sum(1, keepdims=True) + slack, base + (np.minimum(q, 0) * room).sum(1, keepdims=True) - slack
 
 
-def candidates(q: np.ndarray, q_rows: np.ndarray, cells: np.ndarray, rows: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vector, upper bound) of the pairs of a block that may be results."""
+def best_lower(q: np.ndarray, q_rows: np.ndarray, cells: np.ndarray, rows: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, their k greatest lower bounds in a block, or all if fewer)."""
+    for start in range(0, len(q), 64):
+        own = q_rows[start : start + 64]
+        _, lower = bounds(q[start : start + 64], cells, low, width)
+        lower[own[:, None] == rows[None, :]] = -np.inf
+        yield own, np.partition(lower, -k, axis=1)[:, -k:] if lower.shape[1] > k else lower
+
+
+def candidates(q: np.ndarray, q_rows: np.ndarray, least: np.ndarray, cells: np.ndarray, rows: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, upper bound) of the pairs of a block that may be results; ``least`` is known of each query's kth score."""
     for start in range(0, len(q), 64):
         own = q_rows[start : start + 64]
         upper, lower = bounds(q[start : start + 64], cells, low, width)
         same = own[:, None] == rows[None, :]
         upper[same] = lower[same] = -np.inf
         kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] >= k else np.full(len(own), -np.inf)
+        kth = np.maximum(kth, least[start : start + 64])
         a, b = np.nonzero((upper >= kth[:, None]) & (upper > -np.inf))
         yield own[a], rows[b], upper[a, b]
 
@@ -113,21 +124,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // QUERIES))
     there = approximated(thin).groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("row", "cells")).alias("m"))
     there = stored(there.select("dim", "block", F.col("m.row").alias("rows"), F.col("m.cells").alias("cells")), "topk-cells")
-    asked = queries.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("asked")).agg(F.collect_list(F.struct("row", "v")).alias("m"))
-    asked = asked.select("dim", F.col("m.row").alias("q_rows"), F.flatten("m.v").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                q_rows, own = np.asarray(r.q_rows, np.int64), np.asarray(r.rows, np.int64)
-                q = np.asarray(r.q_values, np.float64).reshape(len(q_rows), r.dim)
-                cells = np.frombuffer(b"".join(r.cells), np.uint8).reshape(len(own), r.dim)
-                low, width = (np.asarray([] if x is None else x, np.float64) for x in (r.lows, r.widths))
-                for a, b, upper in candidates(q, q_rows, cells, own, low, width, k):
-                    yield pd.DataFrame({"query": a, "row": b, "upper": upper})
-
-    pairs = there.join(edges, "dim", "left").join(asked, ["dim", "block"])
-    found = stored(pairs.select("dim", "rows", "cells", "lows", "widths", "q_rows", "q_values").mapInPandas(run, "query long, row long, upper double"), "topk-candidates")
+
+    def asked(queries: DataFrame) -> DataFrame:
+        """dim, block, q_rows, q_values, least: every block of queries for every block of cells."""
+        packed = queries.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("asked")).agg(F.collect_list(F.struct("row", "v", "least")).alias("m"))
+        return packed.select("dim", F.col("m.row").alias("q_rows"), F.flatten("m.v").alias("q_values"), F.col("m.least").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def scanned(queries: DataFrame, use, schema: str, name: str) -> DataFrame:
+        """What ``use`` yields for each pair of blocks, as a written table."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.itertuples(index=False):
+                    q_rows, own = np.asarray(r.q_rows, np.int64), np.asarray(r.rows, np.int64)
+                    q = np.asarray(r.q_values, np.float64).reshape(len(q_rows), r.dim)
+                    cells = np.frombuffer(b"".join(r.cells), np.uint8).reshape(len(own), r.dim)
+                    low, width = (np.asarray([] if x is None else x, np.float64) for x in (r.lows, r.widths))
+                    yield from use(q, q_rows, np.asarray(r.least, np.float64), cells, own, low, width)
+
+        pairs = there.join(edges, "dim", "left").join(asked(queries), ["dim", "block"])
+        return stored(pairs.select("dim", "rows", "cells", "lows", "widths", "q_rows", "q_values", "least").mapInPandas(run, schema), name)
+
+    def lows(q, q_rows, least, *block) -> Iterator[pd.DataFrame]:
+        for own, best in best_lower(q, q_rows, *block, k):
+            yield pd.DataFrame({"query": own, "lows": list(best)})
+
+    def hopeful(q, q_rows, least, *block) -> Iterator[pd.DataFrame]:
+        for a, b, upper in candidates(q, q_rows, least, *block, k):
+            yield pd.DataFrame({"query": a, "row": b, "upper": upper})
+
+    nothing = F.lit(float("-inf"))
+    bounded = queries.withColumn("least", nothing)
+    if blocks > 1:
+        best = scanned(bounded, lows, "query long, lows array<double>", "topk-lower").groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("lows")), asc=False).alias("b"))
+        kth_bound = best.select(F.col("query").alias("row"), F.get("b", F.lit(k - 1)).alias("bound"))
+        bounded = queries.join(kth_bound, "row", "left").withColumn("least", F.coalesce("bound", nothing)).drop("bound")
+    found = scanned(bounded, hopeful, "query long, row long, upper double", "topk-candidates")
 
     small = (most or 0.0) ** 2 * max(1, dims or 0) < 2.0**62  # no sum of products can pass the range of a long
 

@@ -663,6 +663,27 @@ def test_top_k_over_many_blocks(spark, monkeypatch, cells, scale):
         assert sorted(got[q]) == [(k + 1, i, min(-s, 2**63 - 1)) for k, (s, i) in enumerate(sorted(scores)[:20])]
 
 
+def test_candidates_do_not_grow_with_blocks(spark, monkeypatch):
+    """One bound for a query over all blocks: 1, 4 and 16 blocks leave nearly the same candidates."""
+    vectors = np.random.default_rng(9).normal(0, 0.3, (1600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    counts, results = [], []
+    real = topk.stored
+
+    def counted(frame, name):
+        out = real(frame, name)
+        if name == "topk-candidates":
+            counts.append(out.count() / 80)
+        return out
+
+    monkeypatch.setattr(topk, "stored", counted)
+    for block in (1600, 400, 100):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        results.append(sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 1600
+    assert max(counts) < 1.2 * counts[0] < 60
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     for size in (3, 1000, 10**12):
