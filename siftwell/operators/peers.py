@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.tries import Trie
 from siftwell.functions.urls import is_loopback
 from siftwell.operators.index import assign_document_ids, latest_per_key
+from siftwell.sources.shared import written
 
 FANOUT, BEST_NODES, PRESENCE_HOURS = 8, 100, 24
-#: Words of a block of ``route_scores``.
-WORDS = 2048
+#: Interest words of a trie, and query words of a task's share of it.
+WORDS, SHARE = 4096, 4096
 #: Rounds of ``permuted``, and steps back into its range: more than there are numbers outside for up to
 #: 1,024 numbers; beyond, a number needs as many steps with a chance below 32 ** -32.
 ROUNDS, STEPS = 8, 32
@@ -54,22 +59,69 @@ def registered_neighbors(nodes: DataFrame, me: str, count: int) -> DataFrame:
 def route_scores(queries: DataFrame, nodes: DataFrame, interests: DataFrame, best: int = BEST_NODES) -> DataFrame:
     """Of the nodes of best affinity: interest in the query's words, halved for each edit between the words.
 
-    Every query word weighs every interest word of the chosen nodes, so the distinct query words, in
-    blocks, run over the distinct interest words, in blocks: each pair of blocks is a task's share,
-    and the distance of each pair of words is computed once.
+    Every interest word weighs on every query word, but no pair of words is a row: the nodes' interest
+    words, in order and in blocks of ``WORDS``, are tries; a query word walks a trie once, a row of the
+    edit matrix for each node of it, and the distances times the weights give its share of each
+    node. Only (query word, node) shares leave a task.
     """
     chosen = nodes.orderBy(F.desc("affinity"), "node_id").limit(best).select("node_id", "affinity")
     own = interests.join(F.broadcast(chosen), "node_id").select("node_id", F.col("word").alias("interest"), (F.col("specialisation") * F.col("expertise") * F.col("affinity")).alias("weight"))
-    asked = queries.select("query_id", F.explode("words").alias("word"))
-    left, right = asked.select("word").distinct(), own.select("interest").distinct()
-    n_left, n_right = (max(1, -(-x.count() // WORDS)) for x in (left, right))
-
-    def dealt(words: DataFrame, column: str, own_block: str, n: int, other_block: str, others: int) -> DataFrame:
-        return words.select(column, F.pmod(F.xxhash64(column), F.lit(n)).alias(own_block), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other_block))
-
-    met = dealt(left, "word", "asked block", n_left, "own block", n_right).join(dealt(right, "interest", "own block", n_right, "asked block", n_left), ["asked block", "own block"])
-    near = met.select("word", "interest", (1 / F.pow(F.lit(2.0), F.levenshtein("word", "interest"))).alias("factor"))
-    scored = near.join(own, "interest").groupBy("word", "node_id").agg(F.sum(F.col("weight") * F.col("factor")).alias("part"))
+    asked = queries.select("query_id", F.explode("words").alias("word")).where("word is not null")
+    per_word = own.where("interest is not null").groupBy("interest").agg(F.collect_list(F.struct("node_id", "weight")).alias("of")).select("interest", F.col("of.node_id").alias("node_ids"), F.col("of.weight").alias("weights"))
+    per_word = written(per_word, "route-interests")  # of ``best`` nodes
+    blocks = max(1, -(-per_word.count() // WORDS))
+    words = written(asked.select("word").distinct(), "route-words")
+    shares = max(1, -(-words.count() // SHARE))
+
+    def each(column: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column)
+
+    there = per_word.select(F.pmod(F.xxhash64("interest"), F.lit(blocks)).cast("int").alias("block"), each("share", shares), F.lit(0).alias("kind"), F.col("interest").alias("word"), "node_ids", "weights")
+    here = words.select(F.pmod(F.xxhash64("word"), F.lit(shares)).cast("int").alias("share"), each("block", blocks), F.lit(1).alias("kind"), "word")
+    rows = there.unionByName(here, allowMissingColumns=True).repartition("block", "share").sortWithinPartitions("block", "share", "kind", "word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, trie, table, names = None, [], None, None, []
+        for batch in batches:
+            parts: list[tuple] = []
+            block, share, kind, word, node_ids, weights = (batch.column(k).to_pylist() for k in range(6))
+            waiting: list[str] = []
+
+            def walk() -> None:
+                for places, distances in trie.distances(waiting):
+                    share_of = np.exp2(-distances.astype(np.float64)) @ table
+                    for k, row in zip(places, share_of, strict=True):
+                        parts.append((waiting[k], row))
+                waiting.clear()
+
+            for i in range(batch.num_rows):
+                if (block[i], share[i]) != now:
+                    if waiting:
+                        walk()
+                    now, held, trie = (block[i], share[i]), [], None
+                if kind[i] == 0:
+                    held.append((word[i], node_ids[i], weights[i]))
+                    continue
+                if trie is None:
+                    held.sort(key=lambda x: x[0])
+                    trie = Trie([w for w, *_ in held])
+                    names = sorted({n for _, ns, _ in held for n in ns})
+                    place = {n: k for k, n in enumerate(names)}
+                    table = np.zeros((len(held), len(names)))
+                    for k, (_, ns, ws) in enumerate(held):
+                        for n, w in zip(ns, ws, strict=True):
+                            table[k, place[n]] += w or 0.0
+                waiting.append(word[i])
+                last = i + 1 == batch.num_rows or (block[i + 1], share[i + 1]) != now
+                if last or len(waiting) >= 4096:
+                    walk()
+                    if parts and names:
+                        out = pa.array([w for w, _ in parts for _ in names])
+                        yield pa.RecordBatch.from_arrays([out, pa.array(names * len(parts)), pa.array(np.concatenate([row for _, row in parts]))], names=["word", "node_id", "part"])
+                    parts.clear()
+
+    scored = rows.select("block", "share", "kind", "word", "node_ids", "weights").mapInArrow(run, "word string, node_id string, part double")
+    scored = scored.groupBy("word", "node_id").agg(F.sum("part").alias("part"))
     return asked.join(scored, "word").groupBy("query_id", "node_id").agg(F.sum("part").alias("score"))
 
 

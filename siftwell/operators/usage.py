@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import hoeffding_deviation
+from siftwell.sources.shared import written
 
 FLOOR = 1e-6
 AGING, AGING_FROM = 0.75, 1000
+#: Nodes of a word that are joined in one piece.
+CHUNK = 4096
 
 
 def claims(query_log: DataFrame) -> DataFrame:
@@ -107,13 +110,35 @@ def affinity(interests: DataFrame, nodes: DataFrame, me: str | None = None) -> D
     mine = interests if me is None else interests.where(F.col("node_id") == me)
     left = mine.select(F.col("node_id").alias("me"), "word", "specialisation")
     right = interests.select(F.col("node_id").alias("other"), "word", "expertise")
-    found = left.join(right, "word").groupBy("me", "other").agg(F.sum(F.col("specialisation") * F.col("expertise")).alias("affinity"))
     if me is None:
-        return found
+        return all_affinities(left, right)
+    found = left.join(right, "word").groupBy("me", "other").agg(F.sum(F.col("specialisation") * F.col("expertise")).alias("affinity"))
     others = nodes.select(F.lit(me).alias("me"), F.col("node_id").alias("other"))
     return others.join(found, ["me", "other"], "left").select("me", "other", F.coalesce("affinity", F.lit(0.0)).alias("affinity"))
 
 
+def all_affinities(left: DataFrame, right: DataFrame, chunk: int | None = None) -> DataFrame:
+    """me, other, affinity of every two nodes that share a word: a product of sparse tables.
+
+    Words of at most ``CHUNK`` nodes are joined as they are. The nodes of a heavier word are cut into
+    chunks, and each pair of chunks is a key of its own, so no task holds all pairs of a word;
+    a row is copied once for each chunk of the other side.
+    """
+    chunk = CHUNK if chunk is None else chunk
+    heavy = left.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("word", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    heavy = written(heavy, "affinity-heavy")
+    light = left.join(heavy, "word", "left_anti").join(right.join(heavy, "word", "left_anti"), "word")
+
+    def cut(rows: DataFrame, node: str, own: str, other: str) -> DataFrame:
+        placed = rows.join(heavy, "word").withColumn(own, F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
+        return placed.select(*rows.columns, own, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(other))
+
+    keys = ["word", "my chunk", "other chunk"]
+    pairs = cut(left, "me", "my chunk", "other chunk").join(cut(right, "other", "other chunk", "my chunk"), keys)
+    columns = ["me", "other", (F.col("specialisation") * F.col("expertise")).alias("part")]
+    return light.select(*columns).union(pairs.select(*columns)).groupBy("me", "other").agg(F.sum("part").alias("affinity"))
+
+
 def matching(interests: DataFrame, postings: DataFrame, documents: DataFrame, me: str) -> DataFrame:
     """Sum over shared words of (my specialisation + .01)(relevance + .01) of every document, 0 without one."""
     mine = interests.where(F.col("node_id") == me).select("word", "specialisation")

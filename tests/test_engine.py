@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import gzip
 import itertools
 import math
@@ -21,7 +22,7 @@ from siftwell.functions import excerpts as E
 from siftwell.functions import helpers as H
 from siftwell.functions import pages as X
 from siftwell.functions import text as T
-from siftwell.functions import tokens
+from siftwell.functions import tokens, tries
 from siftwell.functions import urls as U
 from siftwell.functions.arrays import sums_before
 from siftwell.operators import blocks, index, peers, search, usage
@@ -348,13 +349,68 @@ def test_routing_reaches_every_node(spark, n):
         assert min(seen.values()) > 2 and max(seen.values()) < 50
 
 
-def test_route_scores_in_blocks(spark, monkeypatch):
-    t = Tables(spark, SF)
-    args = t.queries().limit(60), t.nodes_with_affinity("x"), t.interests()
-    one = {(r[0], r[1]): r[2] for r in peers.route_scores(*args).collect()}
-    monkeypatch.setattr(peers, "WORDS", 7)
-    two = {(r[0], r[1]): r[2] for r in peers.route_scores(*args).collect()}
-    assert one.keys() == two.keys() and all(two[k] == pytest.approx(one[k]) for k in one)
+def test_route_scores_by_brute_force(spark, monkeypatch):
+    """Tries in several blocks and shares give the sums over all pairs of words, and no pair is a row."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(0, 6))) for _ in range(60)] + ["x" * 40]
+    interests = [(f"n{k}", w, r.random(), r.random()) for k in range(9) for w in sorted({r.choice(words) for _ in range(12)})]
+    nodes = [(f"n{k}", k / 10) for k in range(9)]
+    queries = [(q, [r.choice(words) for _ in range(r.randint(0, 4))]) for q in range(50)] + [(99, ["zz", None])]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1] + [0] * len(b) if not b else functools.reduce(lambda new, j: [*new, min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != b[j]))], range(len(b)), [i + 1])
+        return row[-1]
+
+    weight = dict(nodes)
+    chosen = {n for n, _ in sorted(nodes, key=lambda x: -x[1])[:5]}
+    want = defaultdict(float)
+    for q, ws in queries:
+        for w in ws:
+            for n, i, s, e in interests:
+                if w is not None and n in chosen:
+                    want[(q, n)] += s * e * weight[n] / 2 ** edits(w, i)
+    args = spark.createDataFrame(queries, "query_id long, words array<string>"), spark.createDataFrame(nodes, "node_id string, affinity double"), spark.createDataFrame(interests, "node_id string, word string, specialisation double, expertise double")
+    for size, share in ((4096, 4096), (7, 5)):
+        monkeypatch.setattr(peers, "WORDS", size)
+        monkeypatch.setattr(peers, "SHARE", share)
+        scores = peers.route_scores(*args, best=5)
+        got = {(x["query_id"], x["node_id"]): x["score"] for x in scores.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        plan = scores._jdf.queryExecution().toString()
+        assert "levenshtein" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_tries_by_brute_force(spark):
+    r = random.Random(13)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(0, 7))) for _ in range(200)})
+    asked = ["".join(r.choice("abcd") for _ in range(r.randint(0, 9))) for _ in range(100)]
+    pairs = spark.createDataFrame([(a, w) for a in asked for w in words], "a string, w string").select("a", "w", F.levenshtein("a", "w").alias("d")).distinct()
+    want = {(x["a"], x["w"]): x["d"] for x in pairs.collect()}
+    trie = tries.Trie(words)
+    seen = set()
+    for places, distances in trie.distances(asked):
+        for k, row in zip(places, distances, strict=True):
+            seen.add(k)
+            assert row.tolist() == [want[(asked[k], w)] for w in words]
+    assert seen == set(range(100))
+    assert sum(len(x[0]) for x in trie.levels) == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a node for each prefix
+
+
+def test_affinities_of_heavy_words(spark):
+    r = random.Random(14)
+    rows = [(f"n{k}", w, r.random(), r.random()) for k in range(60) for w in "abcdef" if w == "a" or r.random() < 0.3]
+    interests = spark.createDataFrame(rows, "node_id string, word string, specialisation double, expertise double")
+    left, right = interests.select(F.col("node_id").alias("me"), "word", "specialisation"), interests.select(F.col("node_id").alias("other"), "word", "expertise")
+    want = defaultdict(float)
+    for n, w, s, _ in rows:
+        for m, v, _, e in rows:
+            if w == v:
+                want[(n, m)] += s * e
+    for chunk in (4096, 7):
+        got = {(x["me"], x["other"]): x["affinity"] for x in usage.all_affinities(left, right, chunk).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_assigned_ids_have_no_gap(spark):
