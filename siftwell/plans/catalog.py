@@ -296,6 +296,8 @@ add("active_neighbors", lambda t: P.active_neighbors(t.nodes(), me(), 5).select(
 add("registered_neighbors", lambda t: P.registered_neighbors(t.nodes(), me(), 50).select("node_id", "last_seen_time"), f"SELECT node_id, last_seen_time FROM nodes WHERE node_id <> {ME} ORDER BY last_seen_time DESC, node_id LIMIT 50")
 add("presence_registry", lambda t: t.registry(F.lit("2024-01-20").cast("timestamp")), """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM plog) WHERE r = 1 AND action = 'notify'), o AS (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM l)
  SELECT node_id, ip, port, bandwidth, floor(epoch(ts))::BIGINT AS last_seen FROM o WHERE q = 1 AND ts > TIMESTAMP '2024-01-19'""")
+add("who_lines", lambda t: P.who_lines(t.registry(F.lit("2024-01-20").cast("timestamp"))), """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM plog) WHERE r = 1 AND action = 'notify'), o AS (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM l)
+ SELECT concat_ws(chr(9), node_id, ip, port, bandwidth, floor(epoch(ts))::BIGINT) AS line FROM o WHERE q = 1 AND ts > TIMESTAMP '2024-01-19' ORDER BY ts DESC, node_id""")
 _SCORES = lambda t: P.route_scores(t.queries(), t.nodes_with_affinity(me()), t.interests())
 _ROUTES = """WITH best AS (SELECT other AS node_id, affinity FROM aff ORDER BY round(affinity, 12) DESC, node_id LIMIT 100),
  own AS (SELECT node_id, i.word AS interest, specialisation * expertise * affinity AS weight FROM interests i JOIN best USING (node_id)),
@@ -384,7 +386,16 @@ add("merge_results_stream", answered, """WITH e AS (SELECT json_extract_string(p
  SELECT a.query_id, a.event_id::VARCHAR AS document_id, epoch_us(q.ts) AS asked_us FROM e a JOIN e q ON q.query_id = a.query_id AND q.event_type = 'view' AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click'""")
 
 # Files and extractors
-add("read_files", lambda t: files.read_files(t.spark, [t.sf_dir], content=False).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length"))
+def filed(t: Tables) -> DataFrame:
+    """Pages written as lines of files in folders, found there and read with their content."""
+    place = fresh_path(t.spark, "crawled")
+    t.given("pages").select(F.hex(F.encode("html", "UTF-8")).alias("line"), (F.col("page_id") % 16).alias("folder")).write.partitionBy("folder").text(place)
+    found = files.read_files(t.spark, [place]).where(F.col("path").endswith(".txt"))
+    lines = found.select(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"), "length")
+    return lines.where("line != '' and length > 0").select("folder", F.sha1(F.unhex("line")).alias("page_sha1"))
+
+
+add("read_files", filed, "SELECT page_id % 16 AS folder, sha1(html) AS page_sha1 FROM pages WHERE html <> ''")
 _page_files = lambda t: t.given("pages").select(F.col("url").alias("path"), F.when(F.col("page_id") % 5 == 0, "image/png").when(F.col("page_id") % 5 == 1, "text/plain").otherwise("text/html").alias("mime_type"), F.encode("html", "UTF-8").alias("content"))
 add("extract", lambda t: files.split_failures(files.Registry().extract(_page_files(t)))[0].select("path", "mime_type", "title", F.sha1("text").alias("text_sha1"), F.size("links").alias("n_links")))
 add("indexing_failures", lambda t: files.split_failures(files.Registry().extract(_page_files(t)))[1], "SELECT url AS path, 'image/png' AS mime_type, 'no extractor for image/png' AS error FROM pages WHERE page_id % 5 = 0")

@@ -25,15 +25,30 @@ def read_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of another database; filters and columns are pushed to it."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings in folders by hash bucket of the word, so that a search reads few files."""
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 64, **options: str) -> DataFrame:
+    """A table of another database; filters and columns are pushed to it.
+
+    With a whole-number ``key`` its range is asked for first, and ``parts`` connections each read a
+    part of it (null keys go with the first); without one, one connection reads all.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is not None:
+        column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        bounds = f"(SELECT min({column}) AS low, max({column}) AS high FROM {table}) bounds"
+        low, high = spark.read.format("jdbc").options(url=url, dbtable=bounds, **options).load().first()
+        if low is not None:
+            reader = reader.options(partitionColumn=key, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(max(1, min(parts, int(high) - int(low) + 1))))
+    return reader.option("dbtable", table).load()
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 64, files: int = 8) -> None:
+    """Postings in folders by hash bucket of the word, so that a search reads few files.
+
+    A bucket is up to ``files`` files by document, so a common word is no single task's work.
+    """
     bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-    postings.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    place = F.pmod(F.xxhash64("db_document_id"), F.lit(files))
+    postings.withColumn("bucket", bucket).repartition("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, words: DataFrame, most: int = 10_000, buckets: int = 64) -> DataFrame:

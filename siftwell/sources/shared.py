@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; on one machine, where it is unset, a temporary folder."""
+    """``spark.checkpoint.dir``, or the context's checkpoint folder; on one machine, where both are unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found is None and context_dir.isDefined():
+        found = context_dir.get()
     if found is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

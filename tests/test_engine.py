@@ -180,6 +180,17 @@ def test_postings_by_bucket(spark, tmp_path):
     assert sorted(got.select("db_document_id", "word").collect()) == sorted(postings.where("word in ('the', 'und')").select("db_document_id", "word").collect())
 
 
+def test_tables_of_a_database(spark):
+    """A table read through several connections by its key, filters pushed down."""
+    url, driver = "jdbc:derby:memory:siftwell;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(1000).selectExpr("id AS db_document_id", "concat('w', id % 7) AS word").write.jdbc(url, "postings_of_peers", "overwrite", {"driver": driver})
+    got = files.read_jdbc(spark, url, "postings_of_peers", key="db_document_id", parts=5, driver=driver)
+    assert got.rdd.getNumPartitions() == 5 and got.count() == got.distinct().count() == 1000
+    some = got.where("db_document_id = 77")
+    assert "PushedFilters: [*IsNotNull" in some._jdf.queryExecution().toString() and some.first()["word"] == "w0"
+    assert files.read_jdbc(spark, url, "postings_of_peers", driver=driver).count() == 1000
+
+
 def test_popularity_by_replay(spark):
     log = Tables(spark, SF).download_log()
     doc, word, pair, out = Counter(), Counter(), Counter(), {}
