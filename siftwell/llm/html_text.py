@@ -114,7 +114,8 @@ class Writer:
 
 
 def number(text: str | None, most: int) -> int | None:
-    return min(int(text), most) if text and text.isascii() and text.isdigit() and len(text) < 7 else None
+    """A span: a whole number of any length, cut to ``most``."""
+    return min(int(text.lstrip("0")[:9] or "0"), most) if text and text.isascii() and text.isdigit() else None
 
 
 class Table:

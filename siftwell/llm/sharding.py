@@ -8,7 +8,8 @@ no order of rows, no state.
 Slots number the rows of a shard from 0 without gaps: rows are dealt to ``PARTS`` parts of each
 shard by a hash of key, text and the partition they were read in, counted, and numbered inside
 their part from the part's offset, so no task holds a shard, or all rows of one key. The parts are
-written before they are counted, so slots hold. Equal rows get slots of their own. A null text has no bytes; a null key hashes as
+written before they are counted, so slots hold within a run; a run over an input that is split in
+another way numbers a shard's rows in another order. Equal rows get slots of their own. A null text has no bytes; a null key hashes as
 a string of its own. Extra columns are ignored.
 """
 

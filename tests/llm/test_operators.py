@@ -423,6 +423,10 @@ def test_html_of_a_megabyte_is_linear(page):
     assert time.perf_counter() - began < 15
 
 
+def test_html_spans_of_many_digits():
+    assert [html_text.number(x, 1000) for x in ("2", "0003", "1234567", "9" * 5000, "", None, "x", "-1", "0")] == [2, 3, 1000, 1000, None, None, None, None, 0]
+
+
 def test_html_edges(spark):
     pages = ["<li>" * 5000 + "deep", "<div>" * 5000 + "deep", "<table>" * 300 + "<td>deep", "<", "<a", "<!--", "<script>", None, "", "x" * 300_000, "<p " + "a" * 1000 + ">deep"]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "1 AS id", "2 AS text", "3 AS title")
