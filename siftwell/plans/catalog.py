@@ -338,6 +338,14 @@ def spooled(t: Tables) -> DataFrame:
     return sent.select("query_id", "document_id", "relevance", "sent_ms")
 
 
+def came_and_stayed(t: Tables) -> DataFrame:
+    """Where nodes are at the end, by the stream of their changes."""
+    place = fresh_path(t.spark, "nodes")
+    for stream in runs.sliced(presence_events(t), "ts", 3, place):
+        changes = runs.through(jobs.presence_stream(stream), place, "changes")
+    return jobs.joined_nodes(changes).select("node_id", "ip", "port")
+
+
 def present(t: Tables) -> DataFrame:
     """Who has which address at the end; changes of nodes are one stream, owners of addresses another."""
     place = fresh_path(t.spark, "present")
@@ -375,10 +383,12 @@ add("flush_spool_stream", spooled, """WITH RECURSIVE r AS (SELECT json_extract_s
  d AS (SELECT r.query_id, o.opened, document_id, relevance, o.opened + 2000 * ((ms - o.opened) // 2000 + 1) AS sent_ms FROM r JOIN o ON o.query_id = r.query_id AND r.ms >= o.opened AND r.ms < o.opened + 40000)
  SELECT query_id, document_id, relevance, sent_ms FROM (SELECT *, row_number() OVER (PARTITION BY query_id, opened ORDER BY sent_ms, relevance DESC, document_id) AS place FROM d)
  WHERE place <= 3 AND sent_ms <= (SELECT max(ms) FROM r) - 2000""")
-add("presence_stream", present, """WITH e AS (SELECT sha1(user_id::VARCHAR) AS node_id, ts, event_id, event_type, CASE WHEN event_type = 'signup' THEN '10.0.0.' || (user_id % 8) END AS ip, (user_id % 3 + 6446)::INTEGER AS port FROM events WHERE event_type IN ('signup', 'error')),
+_CAME = """WITH e AS (SELECT sha1(user_id::VARCHAR) AS node_id, ts, event_id, event_type, CASE WHEN event_type = 'signup' THEN '10.0.0.' || (user_id % 8) END AS ip, (user_id % 3 + 6446)::INTEGER AS port FROM events WHERE event_type IN ('signup', 'error')),
  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1 AND event_type = 'signup'),
  o AS (SELECT node_id, ip, port FROM (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY ts DESC, event_id DESC) AS q FROM e WHERE event_type = 'signup') WHERE q = 1)
- SELECT l.node_id, l.ip, l.port FROM l JOIN o USING (node_id, ip, port) WHERE epoch_us(l.ts) // 1000 + 86400000 > (SELECT epoch_us(max(ts)) // 1000 FROM e) - 600000""")
+ SELECT l.node_id, l.ip, l.port FROM l {} WHERE epoch_us(l.ts) // 1000 + 86400000 > (SELECT epoch_us(max(ts)) // 1000 FROM e) - 600000"""
+add("presence_stream", came_and_stayed, _CAME.format(""))
+add("presence_owner_stream", present, _CAME.format("JOIN o USING (node_id, ip, port)"))
 add("incremental_index_stream", indexed, f"""WITH t AS (SELECT file_id, {tokens('n')} AS ws, string_split_regex(n, '\\w{{2,50}}') AS gs FROM (SELECT file_id, {norm("title || ' ' || text")} AS n FROM ext))
  SELECT file_id AS db_document_id, word, min(position) AS position FROM (SELECT file_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY file_id ORDER BY i) - length(word))::INTEGER AS position
  FROM (SELECT file_id, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap, unnest(range(1, len(ws) + 1)) AS i FROM t)) GROUP BY ALL""")

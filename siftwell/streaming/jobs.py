@@ -38,6 +38,12 @@ def presence_stream(log: DataFrame, life_ms: int = PRESENCE_MS, late: str = "10
     return with_timers(rows, ["node_id"], NodePresence(life_ms), NodePresence.OUT)
 
 
+def joined_nodes(changes: DataFrame) -> DataFrame:
+    """node_id, ip, port, us of the nodes that came and did not go, from the rows that ``presence_stream`` wrote."""
+    last = changes.groupBy("node_id").agg(F.max_by(F.struct("change", "ip", "port", "us"), F.struct("us", "event_id", F.col("change") == "join")).alias("c"))
+    return last.where("c.change = 'join'").select("node_id", "c.ip", "c.port", "c.us")
+
+
 def owner_stream(changes: DataFrame) -> DataFrame:
     """ip, port, nth, node_id, us: who has an address after each of its changes (the rows of ``presence_stream``); the newest comer has it."""
     with_state(changes.sparkSession)

@@ -589,6 +589,13 @@ def test_presence_with_logout_takeover_and_expiry(spark, tmp_path):
     assert got[6] == {("F", "2.2.2.2")}  # E was silent for 24 hours
 
 
+def test_nodes_that_came_and_stayed(spark, tmp_path):
+    rows = [("A", "notify", "1.1.1.1", 5, moment("00:00:00"), 1), ("B", "notify", "1.1.1.2", 5, moment("00:00:01"), 2), ("A", "notify", "1.1.1.3", 5, moment("00:00:09"), 6), ("B", "logout", None, None, moment("00:00:10"), 7), ("C", "notify", None, 5, moment("00:00:10"), 8), ("D", "logout", None, None, moment("00:00:10"), 9)]
+    changes = batched(spark, tmp_path, [spark.createDataFrame(rows[:2], LOG), spark.createDataFrame(rows[2:], LOG)], jobs.presence_stream, "c")[-1]
+    assert sorted((r["node_id"], r["change"], r["ip"]) for r in changes) == [("A", "join", "1.1.1.1"), ("A", "join", "1.1.1.3"), ("A", "leave", "1.1.1.1"), ("B", "join", "1.1.1.2"), ("B", "leave", "1.1.1.2")]
+    assert [tuple(r)[:3] for r in jobs.joined_nodes(spark.createDataFrame(changes)).collect()] == [("A", "1.1.1.3", 5)]
+
+
 def test_presence_of_equal_times(spark, tmp_path):
     """Of two rows of one moment the greater event_id is the newer, in whatever batches they come."""
     one, two = ("A", "notify", "1.1.1.1", 5, moment("00:00:00"), 2), ("A", "notify", "1.1.1.2", 5, moment("00:00:00"), 1)
