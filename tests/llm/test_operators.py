@@ -155,7 +155,7 @@ def test_quality_sample_is_bounded(spark):
     """One doc_id with many texts, and many equal rows, bring a bounded share to the training task."""
     texts = [(1, f"text {i % 300}") for i in range(3000)] + [(i, prose(20, random.Random(i))) for i in range(2, 40)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    got = quality.sample(docs_of(spark, texts), labels, 10_000, 10_000).groupBy("good").count().collect()
+    got = quality.sample(quality.numbered(docs_of(spark, texts)), quality.marked(labels, 10_000)).groupBy("good").count().collect()
     assert {r["good"]: r["count"] for r in got} == {0: 19, 1: 19 + quality.PER_ID}
 
 
@@ -182,6 +182,39 @@ def test_co_training_helps():
     assert together > alone + 0.02
 
 
+def test_learning_equals_co_training_in_memory(spark):
+    """The model learnt over a table is that of all its rows in one list: no document is left out of the pool."""
+    docs, labels = quality_tables(spark, 400)
+    docs = docs.unionByName(docs.where("doc_id < 60")).unionByName(docs.where("doc_id % 6 = 1").withColumn("doc_id", F.col("doc_id") + 1000))  # rows and texts that repeat
+    got = quality.learn(docs.repartition(7), labels)
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = sorted({r["row"]: r for r in quality.numbered(docs).collect()}.values(), key=lambda r: r["row"])
+    batch = pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in ("text", "source", "lang")})
+    block, own, metas = next(quality.features(iter([batch])))
+    assert len(block) == len(rows) == 400 + 67
+    text = [(np.asarray(a, np.int32), np.asarray(x, np.float32)) for a, x in quality.text_rows(block, own)]
+    meta = [(np.asarray(a, np.int32), np.asarray(x, np.float32)) for a, x in metas]
+    label, number, look = (np.array(x) for x in ([mark.get(r["doc_id"], -1) for r in rows], [r["row"] for r in rows], [r["look"] for r in rows]))
+    want = quality.co_train(text, meta, label, number % 4, look)
+    alone = quality.co_train(text, meta, label, number % 4, look, rounds=0)
+    assert not np.allclose(alone.text, want.text, atol=1e-3)  # the rounds took effect
+    for name in ("text", "meta", "text_line", "meta_line", "both"):
+        assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-4), name
+
+
+def test_a_hot_text_is_handed_over_once(spark):
+    """A text that holds most rows of the pool takes one place of the draw; the others still come."""
+    docs, labels = quality_tables(spark, 200)
+    hot = docs.where("doc_id = 1").crossJoin(spark.range(2000).select(F.col("id").alias("k"))).withColumn("doc_id", F.col("k") + 5000).drop("k")
+    both = docs.unionByName(hot)
+    model = quality.learn(both, labels, rounds=0)
+    found = quality.sure_rows(quality.numbered(both.where("doc_id % 6 in (1, 5) or doc_id >= 5000")), model, [set(), set()]).collect()
+    per = {}
+    for r in found:
+        per.setdefault((r["view"], r["good"]), []).append(r["look"])
+    assert found and all(len(x) == len(set(x)) <= quality.PER_ROUND for x in per.values()) and len(per[0, 1]) > 20
+
+
 # op3
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
 
