@@ -48,7 +48,7 @@ REPEATS_AT = PAIRS_AT + (1 << PAIR_BITS)
 TEXT_SIZE = REPEATS_AT + REPEATS * BINS + 1
 META_SIZE = LAYOUT * BINS + 2 * NAMES + 1
 #: Rounds, rows that a view hands over of each class in a round, and the probability that makes it sure.
-ROUNDS, PER_ROUND, SURE = 3, 75, 0.97
+ROUNDS, PER_ROUND, SURE = 2, 75, 0.99
 THRESHOLD = 0.6
 #: Columns of scores, by names that no document's own column is likely to have.
 SCORES = {"quality text_score": "double", "quality meta_score": "double", "quality score": "double", "quality kept": "boolean"}
