@@ -1,0 +1,25 @@
+"""Steps that must not move or make more rows than their input asks for."""
+
+from __future__ import annotations
+
+import re
+
+from siftwell.operators import blocks as B
+from siftwell.plans.fixtures import Tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_dealt_out_once_for_their_blocks(spark):
+    found = plan(B.posting_blocks(Tables(spark, SF).new_scored_postings()))
+    assert len(re.findall(r"rangepartitioning\(word#\d+ ASC NULLS FIRST, block#", found)) == 1
+    assert not re.search(r"hashpartitioning\(word#\d+, (block|_groupingexpression)", found)
+
+
+def test_tokens_of_texts_are_not_shuffled(spark):
+    found = Tables(spark, SF).new_event_words(["view", "click"])._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("regexp_extract_all") == 1
