@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from siftwell.functions import excerpts as E
 from siftwell.operators import blocks as B
+from siftwell.operators import search as S
 from siftwell.plans.fixtures import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +27,35 @@ def test_postings_are_dealt_out_once_for_their_blocks(spark):
 def test_tokens_of_texts_are_not_shuffled(spark):
     found = Tables(spark, SF).new_event_words(["view", "click"])._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("regexp_extract_all") == 1
+
+
+def test_little_more_than_the_best_leaves_a_range(spark):
+    """Of 40 alike blocks the bound of some ranges keeps all but a few rows inside the tasks."""
+    posts = [(d, "x", ((d * 7919) % 2560) / 2560, 0.5) for d in range(64 * 40)]
+    held = B.posting_blocks(spark.createDataFrame(posts, "db_document_id long, word string, relevance double, popularity double"), 64)
+    documents = spark.range(64 * 40).select(F.col("id").alias("db_document_id"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("key"))
+    heads = B.document_blocks(documents, F.col("factor"), F.col("key"), 64)
+    queries = spark.createDataFrame([(1, ["x"])], "query_id long, words array<string>")
+    found, _ = B.all_words(queries, held, heads, "relevance", 30)
+    rows = sorted(((-r["relevance"], r["db_document_id"]) for r in found.collect()))
+    assert len(rows) <= 30 * 2 * 4
+    assert [d for _, d in rows[:30]] == [p[0] for p in sorted(posts, key=lambda p: (-p[2], p[0]))[:30]]
+
+
+def test_a_text_is_read_once_for_its_abstracts(monkeypatch):
+    """Many abstracts of one text are made from the places of its words; only the first one reads it all."""
+    text = "".join(f"w{i} " for i in range(20_000)) + "Straſe needle\nNeedle"
+    read = E.Readable(text)
+    assert "<b>w7</b>" in read.abstract(["w7"])
+    monkeypatch.setattr(E.re, "finditer", None)
+    for i in range(0, 20_000, 10):
+        assert f"<b>w{i}</b>" in read.abstract([f"w{i}"])
+    assert "<b>Straſe</b>" in read.abstract(["strase"]) and read.abstract(["NEEDLE"]).count("<b>") == 3
+
+
+def test_hits_are_stored_for_words_and_grouped_by_query_without_a_shuffle(spark):
+    t = Tables(spark, SF)
+    found = plan(S.merge_spool(t.results()).select("query_id", "document_id", "place"))
+    assert "hashpartitioning(query_id#" in found and not re.search(r"hashpartitioning\(query_id#\d+L, document_id", found)
+    assert "hits-of-sets" in found and "title" not in found  # columns that are not asked for stay in the files
+    assert t.hits().groupBy("query_id").count().agg(F.max("count")).first()[0] <= S.HITS
