@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import excerpts as E
 from siftwell.operators import blocks as B
+from siftwell.operators import index as I
 from siftwell.operators import search as S
 from siftwell.plans.fixtures import Tables
 
@@ -59,3 +60,27 @@ def test_hits_are_stored_for_words_and_grouped_by_query_without_a_shuffle(spark)
     assert "hashpartitioning(query_id#" in found and not re.search(r"hashpartitioning\(query_id#\d+L, document_id", found)
     assert "hits-of-sets" in found and "title" not in found  # columns that are not asked for stay in the files
     assert t.hits().groupBy("query_id").count().agg(F.max("count")).first()[0] <= S.HITS
+
+
+def test_queries_meet_documents_inside_the_tasks(spark):
+    """Scores of all documents with a word: as many rows as results, none for a query and a posting."""
+    posts = [(d, w, (d % 9) / 9, (d % 5) / 5) for d in range(300) for w in "xyz" if d % {"x": 1, "y": 2, "z": 7}[w] == 0]
+    postings = spark.createDataFrame(posts, "db_document_id long, word string, relevance double, popularity double")
+    documents = spark.range(300).select(F.col("id").alias("db_document_id"), F.when(F.col("id") != 5, F.col("id") / 300).alias("matching")).where("db_document_id != 8")
+    asked = [(1, ["x", "y", "x"]), (2, ["y", "x"]), (3, ["z", "none"]), (4, ["none"]), (5, None), (6, ["z", None])]
+    found = S.rank_document(spark.createDataFrame(asked, "query_id long, words array<string>"), postings, documents)
+    got = {(r["query_id"], r["db_document_id"]): r["score"] for r in found.collect()}
+    want = {}
+    for q, words in asked:
+        for d in range(300):
+            own = [(r + 0.0001) * (p + 0.0001) for e, w, r, p in posts if e == d and w in set(words or [])] if d != 8 else []
+            if own:
+                want[q, d] = None if d == 5 else sum(own) * (d / 300 + 0.0001)
+    assert got.keys() == want.keys() and all(want[k] is None and got[k] is None or abs(want[k] - got[k]) < 1e-12 for k in want)
+    assert "MapInArrow" in plan(found) and not re.search(r"hashpartitioning\(query_id#\d+L, db_document_id", plan(found))
+
+
+def test_patched_texts_need_not_be_utf8(spark):
+    known = spark.sql("SELECT 1L AS db_document_id, concat('ab ', cast(x'ff' AS string), ' cd') AS text")
+    rows = spark.createDataFrame([(1, 5, "CD")], "db_document_id long, position int, excerpt string")
+    assert I.patch_sparse_text(rows, known).first()["text"] == "ab � CD"
