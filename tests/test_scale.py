@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftwell.functions import excerpts as E
+from siftwell.functions import tokens as K
 from siftwell.operators import blocks as B
 from siftwell.operators import index as I
 from siftwell.operators import search as S
@@ -84,3 +87,12 @@ def test_patched_texts_need_not_be_utf8(spark):
     known = spark.sql("SELECT 1L AS db_document_id, concat('ab ', cast(x'ff' AS string), ' cd') AS text")
     rows = spark.createDataFrame([(1, 5, "CD")], "db_document_id long, position int, excerpt string")
     assert I.patch_sparse_text(rows, known).first()["text"] == "ab � CD"
+
+
+def test_memory_of_tokens_follows_small_blocks():
+    texts = pa.array(["some words of a text " * 100] * 4000)  # 8 MB
+    tracemalloc.start()
+    found = sum(len(K.first_of_each(K.tokens(data, at))) for _, data, at in K.blocks(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4 * 4000 and peak < 64e6
