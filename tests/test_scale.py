@@ -22,6 +22,19 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def exchanges(df) -> int:
+    """Shuffles of a plan with no broadcast."""
+    return len(re.findall(r"Exchange (?:hash|range|roundrobin)", plan(df), re.I))
+
+
+def test_merged_postings_are_dealt_out_once(spark):
+    posts = spark.range(1000).select(F.col("id").alias("db_document_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("word"), F.lit(3).alias("position"), *(F.lit(1.0).alias(c) for c in I.SCORES))
+    assert exchanges(I.merge_postings(posts, posts.unionByName(posts))) == 1
+    documents = posts.select("db_document_id", F.lit(4).alias("state"))
+    merged = plan(I.merge_known_scores(posts, posts, documents))
+    assert "FullOuter" not in merged and merged.count("Window [") == 1
+
+
 def test_postings_are_dealt_out_once_for_their_blocks(spark):
     found = plan(B.posting_blocks(Tables(spark, SF).new_scored_postings()))
     assert len(re.findall(r"rangepartitioning\(word#\d+ ASC NULLS FIRST, block#", found)) == 1
