@@ -13,6 +13,7 @@ from siftwell.functions import tokens as K
 from siftwell.operators import blocks as B
 from siftwell.operators import index as I
 from siftwell.operators import search as S
+from siftwell.plans.catalog import CATALOG
 from siftwell.plans.fixtures import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,15 @@ def test_merged_postings_are_dealt_out_once(spark):
     assert "FullOuter" not in merged and merged.count("Window [") == 1
 
 
+def test_index_calls_are_read_once(spark):
+    calls = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "db_document_id long, node_id string, last_providing_time long")
+    nodes = spark.createDataFrame([("a",), ("a",), (None,)], "node_id string")
+    marked = I.calls_marked(calls, nodes)
+    assert {(r["db_document_id"], r["accepted"]) for r in marked.collect()} == {(1, True), (2, False), (3, False)} and marked.count() == 3
+    assert [[r["db_document_id"] for r in x.orderBy("db_document_id").collect()] for x in I.provider_must_exist(calls, nodes)] == [[1], [2, 3]]
+    assert plan(CATALOG["provider_must_exist"][0](Tables(spark, SF))).count("partial_max(ts") == 1
+
+
 def test_postings_are_dealt_out_once_for_their_blocks(spark):
     found = plan(B.posting_blocks(Tables(spark, SF).new_scored_postings()))
     assert len(re.findall(r"rangepartitioning\(word#\d+ ASC NULLS FIRST, block#", found)) == 1
