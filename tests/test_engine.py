@@ -409,6 +409,21 @@ def test_tries_by_brute_force(spark):
     assert sum(len(x[0]) for x in trie.levels) == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a node for each prefix
 
 
+def test_draws_from_lists_are_those_from_rows(spark):
+    """Lists of scores give the draws and routes of rows; no row is made of a query and a node, and nothing is broadcast but the nodes' names."""
+    r = random.Random(3)
+    names = [f"n{k}" for k in range(20)]
+    lists = spark.createDataFrame([(q, names, [r.choice([0.0, r.random()]) for _ in names]) for q in range(200)], "query_id long, node_ids array<string>, scores array<double>")
+    rows = lists.select("query_id", F.explode(F.arrays_zip("node_ids", "scores")).alias("s")).select("query_id", F.col("s.node_ids").alias("node_id"), F.col("s.scores").alias("score"))
+    want = sorted((x["query_id"], x["place"], x["node_id"]) for x in peers.weighted_pick(rows, 4, 7).collect())
+    got = peers.weighted_pick_lists(lists, 4, 7).select("query_id", F.posexplode("picked").alias("at", "p")).collect()
+    assert sorted((x["query_id"], x["at"] + 1, x["p"]["node_id"]) for x in got) == want
+    queries = lists.select("query_id", F.when(F.col("query_id") % 5 != 0, F.concat(F.lit("n"), F.col("query_id") % 20)).alias("sender"))
+    nodes = spark.createDataFrame([(x,) for x in names], "node_id string")
+    routes = [sorted(map(tuple, peers.route_queries(queries, x, nodes, "n3", 7).collect())) for x in (rows, lists)]
+    assert routes[0] == routes[1] and len(routes[0]) > 1500
+
+
 def test_affinities_of_heavy_words(spark):
     r = random.Random(14)
     rows = [(f"n{k}", w, r.random(), r.random()) for k in range(60) for w in "abcdef" if w == "a" or r.random() < 0.3]

@@ -12,6 +12,7 @@ from siftwell.functions import excerpts as E
 from siftwell.functions import tokens as K
 from siftwell.operators import blocks as B
 from siftwell.operators import index as I
+from siftwell.operators import peers as Peers
 from siftwell.operators import search as S
 from siftwell.plans.catalog import CATALOG
 from siftwell.plans.fixtures import Tables
@@ -45,6 +46,12 @@ def test_index_calls_are_read_once(spark):
     assert plan(CATALOG["provider_must_exist"][0](Tables(spark, SF))).count("partial_max(ts") == 1
 
 
+def test_routing_makes_no_row_of_a_word_and_a_node(spark):
+    t = Tables(spark, SF)
+    found = Peers.route_scores(t.queries(), t.nodes().withColumn("affinity", F.lit(0.5)), t.interests())
+    assert not re.search(r"Exchange hashpartitioning\((word|query_id)#\d+, node_id|Exchange hashpartitioning\(query_id#\d+L, node_id", plan(found))
+
+
 def test_postings_are_dealt_out_once_for_their_blocks(spark):
     found = plan(B.posting_blocks(Tables(spark, SF).new_scored_postings()))
     assert len(re.findall(r"rangepartitioning\(word#\d+ ASC NULLS FIRST, block#", found)) == 1
