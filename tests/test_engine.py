@@ -439,6 +439,16 @@ def test_affinities_of_heavy_words(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_affinities_are_no_shuffled_pairs(spark):
+    """Of 300 nodes with one word in common all 90,000 pairs are found, and no shuffle is by pairs."""
+    rows = spark.range(300).select(F.concat(F.lit("n"), "id").alias("node"), F.lit("a").alias("word"), F.lit(0.5).alias("x"))
+    found = usage.all_affinities(rows.select(F.col("node").alias("me"), "word", F.col("x").alias("specialisation")), rows.select(F.col("node").alias("other"), "word", F.col("x").alias("expertise")), 70)
+    assert not re.search(r"hashpartitioning\((me|other|node)#", found._jdf.queryExecution().executedPlan().toString())
+    assert found.agg(F.count("*"), F.countDistinct("me", "other"), F.min("affinity"), F.max("affinity")).first() == (90_000, 90_000, 0.25, 0.25)
+    none = rows.limit(0).select(F.col("node").alias("other"), "word", F.col("x").alias("expertise"))
+    assert usage.all_affinities(rows.select(F.col("node").alias("me"), "word", F.col("x").alias("specialisation")), none).isEmpty()
+
+
 def test_assigned_ids_have_no_gap(spark):
     known = spark.createDataFrame([(7,), (3,)], "db_document_id long")
     new = spark.createDataFrame([(f"k{i:03d}",) for i in range(300)], "document_id string")
