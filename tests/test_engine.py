@@ -25,7 +25,7 @@ from siftwell.functions import text as T
 from siftwell.functions import tokens, tries
 from siftwell.functions import urls as U
 from siftwell.functions.arrays import sums_before
-from siftwell.operators import blocks, index, peers, search, usage
+from siftwell.operators import blocks, index, peers, search, snippets, usage
 from siftwell.plans.fixtures import Tables
 from siftwell.sources import files
 from siftwell.streaming import jobs, runs
@@ -717,6 +717,23 @@ def test_patches_by_brute_force(spark):
     assert {x["db_document_id"]: x["text"] for x in got.collect()} == want
 
 
+def test_snippets_of_sets_are_those_of_their_queries(spark, monkeypatch):
+    """What is made once for a set of words is what each of its queries had; many queries of a set are dealt out in pieces."""
+    texts = spark.createDataFrame([(1, "the cat sat on the mat " * 9), (2, "a dog " + "x" * 120 + " cat"), (3, None)], "db_document_id long, text string")
+    wants = spark.createDataFrame([(7, ["cat", "mat"], [1, 2, 3]), (8, ["dog", "zz", "x" * 50], [2])], "set long, words array<string>, db_document_ids array<long>")
+    positions = {(r["db_document_id"], r["word"]): r["position"] for r in index.build_postings(texts.withColumn("title", F.lit("a"))).collect()}
+    texts = texts.select("db_document_id", T.normalize_text(T.index_text(F.lit("a"), F.col("text"))).alias("text"))
+    body = {r["db_document_id"]: r["text"] for r in texts.collect()}
+    want = {(s, d, w, E.excerpt_of(body[d], positions[(d, w)])) for s, ws, ds in map(tuple, wants.collect()) for d in ds for w in ws if (d, w) in positions}
+    monkeypatch.setattr(snippets, "SHARE", 1)
+    assert {tuple(r) for r in snippets.word_excerpts(wants, texts).collect()} == want and len(want) == 5
+    assert {(r[0], r[1]) for r in snippets.set_abstracts(wants, texts).collect()} == {(7, 1), (7, 2), (7, 3), (8, 2)}
+    monkeypatch.setattr(blocks, "PIECE", 10)
+    of_query = spark.range(100).select(F.col("id").alias("query_id"), F.when(F.col("id") < 95, 7).otherwise(8).cast("long").alias("set"))
+    got = search.rows_of_queries(spark.createDataFrame([(7, "a"), (7, "b"), (8, "c")], "set long, v string"), of_query).collect()
+    assert sorted(map(tuple, got)) == sorted([(q, v) for q in range(95) for v in "ab"] + [(q, "c") for q in range(95, 100)])
+
+
 def test_patches_of_a_large_document_are_quick(spark):
     rows = spark.range(100_000).select(F.lit(1).cast("long").alias("db_document_id"), (F.col("id") * 7).cast("int").alias("position"), F.lit("word sat").alias("excerpt"))
     began = time.time()
