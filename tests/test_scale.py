@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftwell.functions import excerpts as E
+from siftwell.functions import helpers as H
+from siftwell.functions import pages as Pages
 from siftwell.functions import tokens as K
 from siftwell.operators import blocks as B
 from siftwell.operators import index as I
@@ -37,6 +39,18 @@ def test_merged_postings_are_dealt_out_once(spark):
     assert "FullOuter" not in merged and merged.count("Window [") == 1
 
 
+def test_pages_of_a_batch_are_few_python_objects_at_a_time():
+    """Python's part of a batch of 6,000 pages of 3 kB is that of a few of them."""
+    pages = pa.array(["<title>t</title><body>" + "word \u00e9 " * 430 + f"<a href=/x{k}>y</a>" for k in range(6000)] + [None])
+    for udf, args in ((Pages.extract_html, (pages,)), (Pages.extract_html_clean, (pages,)), (H.decode_text, (pages.cast(pa.binary()), pa.array(["p.html"] * 6001)))):
+        tracemalloc.start()
+        found = udf.func(*args)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 6001 and set(found[6000].as_py().values()) == {None} and "word" in found[5999].as_py()["text"]
+        assert peak < 4_000_000
+
+
 def test_index_calls_are_read_once(spark):
     calls = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "db_document_id long, node_id string, last_providing_time long")
     nodes = spark.createDataFrame([("a",), ("a",), (None,)], "node_id string")
