@@ -51,6 +51,11 @@ def test_pages_of_a_batch_are_few_python_objects_at_a_time():
         assert peak < 4_000_000
 
 
+def test_postings_of_documents_are_dropped_as_lists(spark):
+    found = CATALOG["drop_orphan_scores"][0](Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert found.index("Generate explode") < found.index("Join LeftSemi")
+
+
 def test_index_calls_are_read_once(spark):
     calls = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "db_document_id long, node_id string, last_providing_time long")
     nodes = spark.createDataFrame([("a",), ("a",), (None,)], "node_id string")
