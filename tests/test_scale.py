@@ -145,3 +145,27 @@ def test_memory_of_tokens_follows_small_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 4 * 4000 and peak < 64e6
+
+
+def test_hits_are_moved_once_for_their_profiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 2)
+    monkeypatch.setattr(B, "PIECE", 2)
+    lists = [(d, [f"w{(d + i) % 9}" for i in range(n)], [7 * i for i in range(n)]) for d, n in enumerate([9, 5, 1, 0, 8])]
+    learnt = [(0, "w8", 0.5), (1, "w1", 0.0), (1, "x", 0.9), (4, "w4", 0.05), (4, "w5", 0.05)]
+    sets = [(1, ["w0", "w1"], [0]), (2, ["w4"], [0, 1, 4]), (3, ["w5", "w6", "w7", "w8"], [0, 4]), (4, ["w2"], [0, 2, 9])]
+    of_query = [(10, 1), (11, 2), (12, 2), (13, 2), (14, 3), (15, 4)]
+    wanted = spark.createDataFrame(sets, "set long, words array<string>, db_document_ids array<long>")
+    tables = spark.createDataFrame(of_query, "query_id long, set long"), spark.createDataFrame(lists, "db_document_id long, words array<string>, positions array<int>"), spark.createDataFrame(learnt, "db_document_id long, word string, relevance double")
+    found = S.hit_profile(wanted, *tables, lambda p: 1.0 / (p + 10.37), 2)
+    want = set()
+    for q, s in of_query:
+        words, documents = sets[s - 1][1:]
+        for d, held, places in lists:
+            scores = {w: 1.0 / (p + 10.37) for w, p in zip(held, places, strict=True)} | {w: r for e, w, r in learnt if e == d and w in held}
+            if d in documents:
+                others = sorted((-r, w) for w, r in scores.items() if r > 0 and w not in words)[: 2 + len(words)]
+                want |= {(q, d, w, scores[w], True) for w in words if w in scores} | {(q, d, w, -r, False) for r, w in others}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    text = plan(found)
+    assert "Window [" not in text and not re.search(r"hashpartitioning\(query_id", text)
