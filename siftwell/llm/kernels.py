@@ -6,6 +6,7 @@ a block holds ``BLOCK_BYTES`` of text, or one longer document.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
+#: Of the C library, where it has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
 #: Words of more bytes are hashed by a cryptographic digest.
@@ -45,7 +48,8 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut record batches into blocks; a null text counts as empty."""
+    """Cut record batches into blocks; a null text counts as empty. At the end the worker hands back what it no longer uses."""
+    batch = column = whole = ends = None
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
         if not len(column):
@@ -57,6 +61,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
             yield Block(batch.slice(start, stop - start), whole[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start])
             start = stop
+    del batch, column, whole, ends
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the machine: a worker lives on for tasks of other operators, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

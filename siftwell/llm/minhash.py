@@ -196,6 +196,7 @@ def promising(units: DataFrame, threshold: float, miss: float) -> DataFrame:
                 for k in range(0, len(x), 32768):
                     compare(x[k : k + 32768], y[k : k + 32768], band)
             yield frame.loc[stays, ["unit", "nid"]]
+        K.hand_back()
 
     return units.mapInPandas(run, "unit string, nid long")
 
@@ -263,6 +264,7 @@ def confirmed(units: DataFrame, size: int, percent: int, miss: float) -> DataFra
                 stop = max(at + 1, int(np.searchsorted(weight[end], weight[begin[at]] + GROUP_BYTES, "right")))
                 yield pd.DataFrame(links_of(frame.iloc[begin[at] : end[stop - 1]]), columns=["one", "two"], dtype="int64")
                 at = stop
+        K.hand_back()
 
     return units.mapInPandas(run, "one long, two long")
 

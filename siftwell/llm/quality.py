@@ -288,6 +288,8 @@ def taught(made: DataFrame, given: list[dict[int, int]], last: bool) -> Model |
         model = fit_views([[rows[r][0][k] for r in order] for k in (0, 1)], y, np.array(order) % 4, own, last)
         parts = [np.asarray(x, np.float64).tobytes() for x in (model.text, model.meta, model.text_line, model.meta_line, model.both)]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=list("abcde"))
+        del rows, model, a, b, c, d
+        K.hand_back()
 
     found = made.coalesce(1).mapInArrow(run, "a binary, b binary, c binary, d binary, e binary").collect()
     return Model(*(np.frombuffer(bytes(x), np.float64) for x in found[0])) if found else None

@@ -474,6 +474,7 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
         close()
         if out:
             yield pd.DataFrame(out, columns=names)
+        K.hand_back()
 
     return parts.mapInPandas(run, "doc_id long, anchor_id long, word long, end_word long, anchor_word long, anchor_end_word long, equal_words long")
 
@@ -557,6 +558,7 @@ def windows(parts: DataFrame, min_words: int) -> DataFrame:
                 tiles += 1
         if held and (out := of_documents(held)) is not None:
             yield out
+        K.hand_back()
 
     return parts.mapInPandas(run, "doc_id long, pos int, hash long, nth int, open boolean")
 

@@ -153,3 +153,14 @@ def test_spans_of_rows_that_share_an_id(spark):
     for most in (100, 0):
         assert Counter((x["doc_id"], x["text"]) for x in decontaminate.remove_spans(docs, bench, most=most).collect()) == Counter([(7, "a  b"), (7, clean), (None, " c"), (None, clean)])
         assert Counter((x["doc_id"], x["text"]) for x in decontaminate.drop_contaminated(docs, bench, most=most).collect()) == Counter([(7, clean), (None, clean)])
+
+
+def test_a_worker_hands_back_memory_at_the_end_of_a_task(monkeypatch):
+    ended = []
+    monkeypatch.setattr(K, "hand_back", lambda: ended.append(True))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b", None] * n, pa.string())], names=["text"]) for n in (3, 0, 2)]
+    found = K.blocks(iter(batches), most=4)
+    assert len(next(found)) == 2 and not ended
+    assert sum(len(block) for block in found) == 8 and ended == [True]
+    monkeypatch.undo()
+    K.hand_back()
