@@ -169,3 +169,24 @@ def test_hits_are_moved_once_for_their_profiles(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == want
     text = plan(found)
     assert "Window [" not in text and not re.search(r"hashpartitioning\(query_id", text)
+
+
+def test_providers_need_no_words(spark):
+    t = Tables(spark, SF)
+    assert "regexp_extract_all" not in t.providers()._jdf.queryExecution().toString()
+    slow = t.download_log().groupBy("db_document_id", "node_id").agg(F.unix_timestamp(F.max("ts")).alias("last_providing_time"))
+    got, want = (sorted(map(tuple, x.collect())) for x in (t.providers(), slow))
+    assert got == want and got
+    assert "engine-event-words" not in " ".join(t.providers().inputFiles())
+
+
+def test_rows_without_words_have_no_providers(spark, tmp_path):
+    texts = [None, "", "a b ä ñ .", "ÀÉ", "x" * 3, " " * 70 + "late words", "é" * 60 + "z", "一丁 a_", "a\r\nb"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'src1' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    events = [(i, i % 3, "click", '{"k": 3}' if i % 4 else "{}") for i in range(90)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").selectExpr("*", "timestamp_seconds(1700000000 + event_id) AS ts")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    t = Tables(spark, str(tmp_path))
+    slow = t.download_log().groupBy("db_document_id", "node_id").agg(F.unix_timestamp(F.max("ts")).alias("last_providing_time"))
+    got, want = (sorted(map(tuple, x.collect())) for x in (t.providers(), slow))
+    assert got == want and {r[0] for r in got} == {3, 4, 5, 6, 7}
