@@ -518,6 +518,21 @@ def test_result_stream_drops_unknown_queries(spark, tmp_path):
     assert [(r["query_id"], r["document_id"]) for r in got.collect()] == [(1, "d")]
 
 
+def test_answers_meet_queries_of_their_time_alone(spark, tmp_path):
+    """Answers of up to an hour later are found across the slots of time that the join is dealt out by."""
+    at = lambda text: F.to_timestamp(F.concat(F.lit("2024-01-01 "), F.col(text)))
+    times = ["00:59:59", "01:00:00", "01:30:00", "01:59:59", "02:00:00", "02:29:59", "02:30:00", "02:30:01", "03:00:00"]
+    answers = spark.createDataFrame([(1, f"d{t}", t) for t in times], "query_id long, document_id string, record_ts string").withColumn("record_ts", at("record_ts"))
+    queries = spark.createDataFrame([(1, "01:00:00"), (1, "01:30:00"), (1, None), (2, "01:30:00")], "query_id long, ts string").withColumn("ts", at("ts"))
+    found = jobs.merge_results_stream(stream_of(spark, tmp_path, answers, "a"), stream_of(spark, tmp_path, queries, "b"))
+    keys = found._jdf.queryExecution().analyzed().toString().split("Join Inner")[1].splitlines()[0]
+    assert "slot answered" in keys and "slot asked" in keys
+    got = drained(found, "append", "slots")
+    assert got.columns == ["query_id", "document_id", "record_ts", "asked_at"]
+    want = [(f"d{t}", q) for q, last in (("01:00:00", "02:00:00"), ("01:30:00", "02:30:00")) for t in times if q <= t <= last]
+    assert sorted((r["document_id"], f"{r['asked_at']:%H:%M:%S}") for r in got.collect()) == sorted(want)
+
+
 def test_usage_stream_equals_batch(spark, tmp_path):
     log = Tables(spark, SF).query_log().select("node_id", "words")
     got = drained(jobs.usage_stats_stream(stream_of(spark, tmp_path, log, "u")), "complete", "us")
