@@ -652,6 +652,26 @@ def test_incremental_index(spark, tmp_path):
     assert got == sorted([(1, "fox", 2), (1, "den", 6), (2, "owl", 2), (3, "new", 2), (3, "file", 6)])
 
 
+def test_incremental_index_keeps_lists_and_scores(spark, tmp_path):
+    """A document is one stored row; a changed one keeps the scores of words that it still has, others keep theirs; equal rows and ids count once."""
+    schema = "file_name string, file_time long, state int, db_document_id long, title string, text string"
+    place = str(tmp_path / "index")
+
+    def index_rows(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        runs.drained(jobs.incremental_index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), place), place)
+
+    index_rows([("/a", 1, 1, 1, "t", "red fox"), ("/a", 1, 1, 1, "t", "red fox"), ("/b", 1, 1, 2, "t", "owl"), ("/c", 1, 1, 3, "t", "hen"), ("/d", 1, 1, 3, "t", "hen")])
+    assert sorted(r["db_document_id"] for r in jobs.posting_buckets(place).read(spark).collect()) == [1, 2, 3]
+    score = lambda w: F.struct(F.lit(w).alias("word"), *(F.lit(k).alias(c) for k, c in ((1.0, "download_count"), (2.0, "relevance"), (3.0, "popularity"))))
+    scored = jobs.posting_buckets(place).read(spark).withColumn("scored", F.when(F.col("db_document_id") == 1, F.array(score("red"), score("fox"))).when(F.col("db_document_id") == 2, F.array(score("owl"))))
+    jobs.posting_buckets(place).aside(scored, 7)
+    jobs.posting_buckets(place).lay_over(spark, 7)
+    index_rows([("/a", 2, 1, 1, "t", "fox den"), ("/b", 1, 1, 2, "t", "not newer")])
+    got = {(r["db_document_id"], r["word"]): (r["position"], r["download_count"], r["relevance"], r["popularity"]) for r in jobs.current_postings(spark, place).collect()}
+    assert got == {(1, "fox"): (2, 1.0, 2.0, 3.0), (1, "den"): (6, 0.0, 0.0, 0.0), (2, "owl"): (2, 1.0, 2.0, 3.0), (3, "hen"): (2, 0.0, 0.0, 0.0)}
+
+
 def test_incremental_index_touches_few_buckets(spark, tmp_path):
     """Ten batches leave one version of each posting, and a batch of new documents leaves old buckets as they are."""
     schema = "file_name string, file_time long, state int, db_document_id long, title string, text string"
