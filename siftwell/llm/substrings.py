@@ -33,6 +33,7 @@ one document. Extra columns are ignored by ``repeats`` and kept by ``remove_repe
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,8 @@ SAMPLED, PER_TASK, HEAVY = 4000, 20, 4
 #: Tiles whose windows are hashed at once (or those of one document).
 GROUP = 1024
 MATCH, MISMATCH, DROP = 1, 3, 12
+#: Places of a diagonal that are compared at once.
+AHEAD = 256
 
 
 def minimisers(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -254,14 +257,24 @@ def anchored(found: DataFrame, anchors: Broadcast, parts: int) -> DataFrame:
 
 def chain(pos: list[int], anchor: list[int]) -> list[list[int]]:
     """Collinear chains of matches sorted by ``pos``: lists of indices, each match in at most one."""
-    ranks = {a: k + 1 for k, a in enumerate(sorted(set(anchor)))}
+    n = len(pos)
+    score, parent = [0.0] * n, [-1] * n
+    rising = all(map(operator.lt, pos, pos[1:])) and all(map(operator.lt, anchor, anchor[1:]))
+    for j in range(n if rising else 0):  # a match adds words to the best chain before it, so that ends in the match before
+        score[j] = SEED
+        if j:
+            step, astep = pos[j] - pos[j - 1], anchor[j] - anchor[j - 1]
+            best = score[j - 1] + GAP_COST * (pos[j - 1] + anchor[j - 1])
+            joined = best - GAP_COST * (pos[j] + anchor[j]) + min(SEED, step, astep) + GAP_COST * 2 * min(SEED, step)
+            if joined > SEED:
+                score[j], parent[j] = joined, j - 1
+    ranks = {} if rising else {a: k + 1 for k, a in enumerate(sorted(set(anchor)))}
     size = len(ranks)
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (size + 1)  # prefix maxima over anchor ranks
-    score, parent = [0.0] * len(pos), [-1] * len(pos)
-    i = 0
-    while i < len(pos):
+    i = n if rising else 0
+    while i < n:
         j = i
-        while j < len(pos) and pos[j] == pos[i]:
+        while j < n and pos[j] == pos[i]:
             best, at, k = float("-inf"), -1, ranks[anchor[j]] - 1
             while k > 0:
                 if tree[k][0] > best:
@@ -282,9 +295,9 @@ def chain(pos: list[int], anchor: list[int]) -> list[list[int]]:
                     tree[k] = (value, m)
                 k += k & -k
         i = j
-    used = [False] * len(pos)
+    used = [False] * n
     out = []
-    for end in sorted(range(len(pos)), key=lambda m: -score[m]):
+    for end in sorted(range(n), key=lambda m: -score[m]):
         path, m = [], end
         while m >= 0 and not used[m]:
             used[m] = True
@@ -320,10 +333,10 @@ def chains(matches: DataFrame, min_words: int) -> DataFrame:
             near = near.astype(bool) | (min_words < 2 * SIDE + SEED)  # a short passage may fill neither side
             new = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]))
             begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(doc))
+            may = np.logical_or.reduceat(near, begin) | (pos[end - 1] - pos[begin] >= SURE)
             out: dict[str, list] = {"doc_id": [], "anchor_id": [], "pos": [], "anchor_pos": []}
-            for s, e in zip(begin, np.append(begin[1:], len(doc)), strict=True):
-                if not near[s:e].any() and pos[e - 1] - pos[s] < SURE:
-                    continue
+            for s, e in zip(begin[may].tolist(), end[may].tolist(), strict=True):
                 p, q, good = pos[s:e].tolist(), apos[s:e].tolist(), near[s:e]
                 last: dict[int, int] = {}
                 for path in sorted(chain(p, q)):
@@ -360,18 +373,36 @@ def tiles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def extend(equal: np.ndarray) -> int:
     """How many places to go on along ``equal`` before the score has dropped for good."""
-    if not len(equal):
-        return 0
-    score = np.cumsum(np.where(equal, MATCH, -MISMATCH))
-    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-    score = score[: fallen[0]] if len(fallen) else score
-    return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
+    score = best = at = 0
+    for k, same in enumerate(equal.tolist(), 1):
+        score += MATCH if same else -MISMATCH
+        if score > best:
+            best, at = score, k
+        elif best - score > DROP:
+            break
+    return at
+
+
+class Diagonal:
+    """Equal words of ``a`` and ``b`` along a diagonal, counted once for ``AHEAD`` places of it."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a, self.b = a, b
+        self.way = self.low = 0
+        self.count = [0]
+
+    def equal(self, i: int, j: int, size: int) -> int:
+        """Equal words of ``a[i:i + size]`` and ``b[j:j + size]``."""
+        if size > AHEAD:
+            return np.count_nonzero(self.a[i : i + size] == self.b[j : j + size])
+        if i - j != self.way or i < self.low or i + size - self.low >= len(self.count):
+            n = min(len(self.a) - i, len(self.b) - j, AHEAD)
+            self.way, self.low, self.count = i - j, i, [0, *np.cumsum(self.a[i : i + n] == self.b[j : j + n]).tolist()]
+        return self.count[i + size - self.low] - self.count[i - self.low]
 
 
 def gap_equal(a: np.ndarray, b: np.ndarray, x: int, y: int, i: int, j: int) -> int:
-    """Equal words between (x, y) and (i, j), with at most one change of diagonal at its best place."""
-    if i - j == x - y:
-        return int((a[x:i] == b[y:j]).sum())
+    """Equal words between (x, y) and (i, j) of two diagonals, with one change of diagonal at its best place."""
     n = min(i - x, j - y)
     before = np.append(0, np.cumsum(a[x : x + n] == b[y : y + n]))
     after = np.append(np.cumsum((a[i - n : i] == b[j - n : j])[::-1])[::-1], 0)
@@ -385,18 +416,20 @@ def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tu
     """
     out = []
     begin = abegin = x = y = equal = 0
+    diagonal = Diagonal(a, b)
 
     def close() -> None:
         room = min(len(a) - x, len(b) - y)
-        on = extend(a[x : x + room] == b[y : y + room])
-        out.append((begin, x + on, abegin, y + on, equal + int((a[x : x + on] == b[y : y + on]).sum())))
+        same = a[x : x + room] == b[y : y + room]
+        on = extend(same)
+        out.append((begin, x + on, abegin, y + on, equal + np.count_nonzero(same[:on])))
 
     opened = False
     for i, j in zip(p.tolist(), q.tolist(), strict=True):
         if opened and (i < x or j < y):
             continue
         if opened:
-            inside = gap_equal(a, b, x, y, i, j)
+            inside = diagonal.equal(x, y, i - x) if i - j == x - y else gap_equal(a, b, x, y, i, j)
             if MATCH * inside - MISMATCH * (max(i - x, j - y) - inside) < -DROP:
                 close()
                 opened = False
@@ -404,11 +437,12 @@ def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tu
                 equal += inside
         if not opened:
             left = min(i, j)
-            back = extend((a[i - left : i] == b[j - left : j])[::-1])
+            same = (a[i - left : i] == b[j - left : j])[::-1]
+            back = extend(same)
             begin, abegin, opened = i - back, j - back, True
-            equal = int((a[begin:i] == b[abegin:j]).sum())
+            equal = np.count_nonzero(same[:back])
         stop = min(SEED, len(a) - i, len(b) - j)
-        equal += int((a[i : i + stop] == b[j : j + stop]).sum())
+        equal += diagonal.equal(i, j, stop)
         x, y = i + stop, j + stop
     if opened:
         close()
@@ -423,6 +457,9 @@ def widened(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int, int],
         return span
     left, right = min(begin, abegin, need + SEED), min(len(a) - end, len(b) - aend, need + SEED)
     ahead, behind = (a[begin - left : begin] == b[abegin - left : abegin])[::-1], a[end : end + right] == b[aend : aend + right]
+    most = equal + np.count_nonzero(ahead) + np.count_nonzero(behind) - identity * need
+    if left + right < need or most < identity * max(end - begin, aend - abegin) - 1e-6:  # no ends give the identity
+        return span
     before, after = np.append(0, np.cumsum(ahead)), np.append(0, np.cumsum(behind))
     words = np.add.outer(np.arange(left + 1), np.arange(right + 1))
     spare = np.add.outer(before, after) - identity * words
@@ -479,20 +516,54 @@ def aligned(parts: DataFrame, min_words: int, identity: float) -> DataFrame:
     return parts.mapInPandas(run, "doc_id long, anchor_id long, word long, end_word long, anchor_word long, anchor_end_word long, equal_words long")
 
 
-def candidates(known: DataFrame, min_words: int) -> DataFrame:
+def candidates(known: DataFrame, parts: int, min_words: int) -> DataFrame:
     """doc_id, low array, high array, own array: word ranges where all shared windows of ``min_words`` words lie.
 
     A shared window holds a repeated seed in every ``WINDOW`` runs. ``own`` are the positions of
-    seeds that no earlier document has, so no window around them is a repeat.
+    seeds that no earlier document has, so no window around them is a repeat. Rows are dealt out once, by
+    document; a task holds a batch and one document's rows.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    spots = known.groupBy("doc_id", "pos").agg(F.max(F.col("anchor_id") == F.col("doc_id")).alias("is_own"))
-    apart = spots.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(order) > WINDOW, F.lit(True)).cast("int"))
-    runs = apart.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.collect_list(F.when(F.col("is_own"), F.col("pos"))).alias("own"))
-    runs = runs.where(F.col("b") - F.col("a") >= max(0, min_words - SEED - 2 * (WINDOW - 1)))
-    low, high = F.greatest(F.lit(0), F.col("a") - (WINDOW - 1)), F.col("b") + SEED + WINDOW - 1
-    each = F.sort_array(F.collect_list(F.struct(low.alias("low"), high.alias("high"))))
-    return runs.groupBy("doc_id").agg(each.alias("r"), F.sort_array(F.flatten(F.collect_list("own"))).alias("own")).select("doc_id", "r.low", "r.high", "own")
+    least = max(0, min_words - SEED - 2 * (WINDOW - 1))
+
+    def ranges(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        """The ranges of whole documents."""
+        doc, pos, own = (np.concatenate(x) for x in zip(*rows, strict=True))
+        spot = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))  # a repeated row gives a place twice
+        doc, pos, own = doc[spot], pos[spot], np.logical_or.reduceat(own, spot)
+        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)))
+        end = np.append(begin[1:], len(doc))
+        long = pos[end - 1] - pos[begin] >= least
+        own &= np.repeat(long, end - begin)
+        first, last = pos[begin[long]], pos[end[long] - 1]
+        of_run, of_own = doc[begin[long]], doc[own]
+        docs = np.unique(of_run)
+
+        def listed(values: np.ndarray, of: np.ndarray) -> pa.ListArray:
+            bounds = np.append(np.searchsorted(of, docs), len(of))
+            return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+        lists = listed(np.maximum(0, first - (WINDOW - 1)), of_run), listed(last + SEED + WINDOW - 1, of_run), listed(pos[own], of_own)
+        return pa.RecordBatch.from_arrays([pa.array(docs), *lists], names=["doc_id", "low", "high", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last document, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and (cut or held[0][0][0] != rows[0][0]):
+                yield ranges([*held, [x[:cut] for x in rows]])
+                held = []
+            elif cut:
+                yield ranges([[x[:cut] for x in rows]])
+            held.append([x[cut:] for x in rows])
+        if held:
+            yield ranges(held)
+
+    spots = known.select("doc_id", "pos", (F.col("anchor_id") == F.col("doc_id")).alias("is_own"))
+    spots = spots.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos")
+    return spots.mapInArrow(run, "doc_id long, low array<int>, high array<int>, own array<int>")
 
 
 def windows(parts: DataFrame, min_words: int) -> DataFrame:
@@ -619,7 +690,7 @@ def found_in(texts: DataFrame, min_words: int, identity: float) -> DataFrame:
     here = found_chains.select("chain", F.lit(0).alias("side"), F.col("doc_id").alias("of"), span("pos").alias("tile"))
     there = found_chains.select("chain", F.lit(1).alias("side"), F.col("anchor_id").alias("of"), span("anchor_pos").alias("tile"))
     needed = here.union(there)
-    ranges = stored(candidates(known, min_words), "repeats-ranges")
+    ranges = stored(candidates(known, parts, min_words), "repeats-ranges")
     wanted = found_chains.select("doc_id").union(found_chains.select(F.col("anchor_id").alias("doc_id"))).union(ranges.select("doc_id")).distinct()
     words = tiles(texts, stored(wanted, "repeats-wanted")).select(F.col("doc_id").alias("of"), "tile", "words")
     heads = found_chains.select("chain", F.lit(-1).alias("side"), F.lit(-1).alias("tile"), "doc_id", "anchor_id", "pos", "anchor_pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -164,3 +165,32 @@ def test_a_worker_hands_back_memory_at_the_end_of_a_task(monkeypatch):
     assert sum(len(block) for block in found) == 8 and ended == [True]
     monkeypatch.undo()
     K.hand_back()
+
+
+def test_ranges_of_repeated_seeds_are_dealt_out_once(spark):
+    """Ranges of documents in one shuffle, as a plain loop over each document's seeds gives them."""
+    r = np.random.default_rng(5)
+    rows = [(d, int(p), int(r.choice([d, 0]))) for d in range(1, 60) for p in np.unique(r.integers(0, 400, r.integers(1, 120)))]
+    known = spark.createDataFrame(rows, "doc_id long, pos int, anchor_id long").repartition(4)
+    found = substrings.candidates(known.union(known.limit(7)), 4, 50)
+    assert len(re.findall(r"Exchange hashpartitioning", found._jdf.queryExecution().executedPlan().toString())) == 1
+    want = {}
+    for d in range(1, 60):
+        places = sorted((p, a == d) for x, p, a in rows if x == d)
+        cuts = [k for k in range(len(places)) if not k or places[k][0] - places[k - 1][0] > substrings.WINDOW]
+        runs = [places[a:b] for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True)]
+        runs = [x for x in runs if x[-1][0] - x[0][0] >= 50 - substrings.SEED - 2 * (substrings.WINDOW - 1)]
+        if runs:
+            low, high = [max(0, x[0][0] - substrings.WINDOW + 1) for x in runs], [x[-1][0] + substrings.SEED + substrings.WINDOW - 1 for x in runs]
+            want[d] = low, high, [p for x in runs for p, own in x if own]
+    assert len(want) > 10 and {x["doc_id"]: (x["low"], x["high"], x["own"]) for x in found.collect()} == want
+
+
+def test_equal_words_along_diagonals():
+    r = np.random.default_rng(6)
+    a, b = r.integers(0, 2, 900, np.uint32), r.integers(0, 2, 700, np.uint32)
+    diagonal = substrings.Diagonal(a, b)
+    for _ in range(2000):
+        i, j = int(r.integers(0, 900)), int(r.integers(0, 700))
+        size = int(r.integers(0, min(900 - i, 700 - j) + 1)) if r.random() < 0.2 else min(4, 900 - i, 700 - j)
+        assert all(diagonal.equal(i + k, j + k, size - k) == int((a[i + k : i + size] == b[j + k : j + size]).sum()) for k in (0, size // 2))
