@@ -201,13 +201,24 @@ def test_null_lists_do_not_go_to_arrow(spark):
     rows = no_null_lists(spark.range(3).select("id", F.when(F.col("id") == 1, F.array(F.lit(7))).alias("a b"), F.lit(None).cast("array<string>").alias("s")))
     assert [(r["id"], r["a b"], r["s"]) for r in rows.orderBy("id").collect()] == [(0, [], []), (1, [7], []), (2, [], [])]
     t = Tables(spark, SF)
-    asked = [S.search_by_words_count(t.queries(), None, t.documents(), t.blocks()), S.rank_document(t.queries(), None, t.documents(), t.blocks())]
+    asked = [S.search_by_words_count(t.queries(), None, t.documents(), t.blocks()), S.rank_document(t.queries(), None, t.documents(), t.blocks()), CATALOG["patch_sparse_text"][0](t)]
     asked += [CATALOG["hit_profile"][0](t), N.abstracts(t.hits().select("db_document_id").withColumn("words", F.lit(None).cast("array<string>")), t.documents())]
     for found in asked:
         maps = found._jdf.queryExecution().analyzed().toString().split("MapInArrow")
         assert len(maps) > 1 and any("coalesce(" in below and "cast(array() as array<" in below for below in maps[1:])
 
 
+def test_excerpts_of_a_document_are_laid_as_lists(spark):
+    """Lists of excerpts and their rows give the same; a document's excerpts are no rows in the plan of the query."""
+    known = spark.createDataFrame([(1, "the cat sat"), (2, None), (2, "two"), (4, "unseen")], "db_document_id long, text string")
+    lists = spark.createDataFrame([(1, [4, 0, 4], ["CAT", "T", "CA"]), (2, [1, None, -1, 9], ["WO", "x", "y", "z"]), (3, [2], ["abc"]), (None, [0], ["n"]), (None, [1], ["m"])], "db_document_id long, positions array<int>, excerpts array<string>")
+    rows = lists.select("db_document_id", F.explode(F.arrays_zip("positions", "excerpts")).alias("p")).select("db_document_id", F.col("p.positions").alias("position"), F.col("p.excerpts").alias("excerpt"))
+    want = {1: "The CAT sat", 2: "tWO      z", 3: "  abc", None: "nm"}
+    assert {r[0]: r[1] for r in I.patch_sparse_text(lists, known).collect()} == want == {r[0]: r[1] for r in I.patch_sparse_text(rows, known).collect()}
+    found = CATALOG["patch_sparse_text"][0](Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in found and "CoGroup" not in found
+
+
 def laid_out(order, lists, n, key=None):
     """A range of ``n`` documents (ids by twos) with the given postings: word -> {place: (one, two)}."""
     r = Range(order)
