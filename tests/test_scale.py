@@ -281,3 +281,24 @@ def test_sets_in_a_range_by_brute_force():
                 for v, c in own:
                     upto += c
                     assert sum(w >= v - 1e-9 for w in want[s].values()) >= upto
+
+
+def test_abstracts_of_a_set_stay_a_list(spark, monkeypatch):
+    """Hits and their abstracts meet as lists of a set: no row of a hit is joined or dealt out for them, and queries of a set in pieces have all."""
+    monkeypatch.setattr(B, "PIECE", 2)
+    lists = spark.createDataFrame([(7, [3, 1, 2], ["u3", "u1", "u2"]), (8, [1], ["u1"]), (9, [5], ["u5"])], "set long, db_document_id array<long>, url array<string>")
+    made = spark.createDataFrame([(7, 1, "a"), (7, 3, "c"), (8, 1, "z")], "set long, db_document_id long, abstract string")
+    of_query = spark.createDataFrame([(q, 7) for q in range(9)] + [(20, 8), (21, 9)], "query_id long, set long")
+    found = S.made_of_hits(lists, made, of_query, "abstract", "url")
+    assert found.columns == ["query_id", "db_document_id", "url", "abstract"]
+    assert sorted(map(tuple, found.collect())) == sorted([x for q in range(9) for x in ((q, 1, "u1", "a"), (q, 3, "u3", "c"))] + [(20, 1, "u1", "z")])
+    t = Tables(spark, SF)
+    whole = CATALOG["answer_payload"][0](t)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(.*db_document_id#\d+L = .*\bset#|Join Inner, \(.*set#\d+L = .*db_document_id#\d+L", whole)
+
+
+def test_ascii_words_are_folded_without_a_table():
+    assert E.folded("AbC İıſKÉ") == "abc iiské" and E.folded("X") == "x"
+    read = E.Readable("Straſe strase STRASE " * 4)
+    assert sorted(nth for nth, *_ in read.runs_of("strase")) == [1, 1, 2, 2, 3, 3, 4, 4, 5]
+    assert E.plain("Wo_rd") == "wo_rd" and E.plain("a b") is None and E.plain("é") is None
